@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
-from .common import table
+from . import language_id, packing, quality_rules
+from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out()))
+    predicted = language_id.predict(docs, model)
+    return predicted.withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if re.match(r"op\d+_", n)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
