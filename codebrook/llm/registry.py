@@ -6,8 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_rules
+from . import language_id, line_quality, packing, quality_rules
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = line_quality.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
 
