@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_quality, packing, quality_rules
+from . import language_id, license_scan, line_quality, oracles, packing, quality_rules, url_filter
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,16 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = url_filter.rule_table(spark)
+    others = url_filter.rule_table(spark, [(h, "/", "block") for h in url_filter.BLOCKED_HOSTS])
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules, others)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
@@ -49,4 +59,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql()}
