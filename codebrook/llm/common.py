@@ -115,15 +115,15 @@ def hash_words(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return mix(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), first
 
 
-def window_hashes(words: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, first: np.ndarray, size: int, base: int = 0xA24BAED4963EE407) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of `size` words inside one row, their row, and their start in it."""
     n = len(words) - size + 1
     rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    acc = np.full(n, _U(seed * 2 + 1), np.uint64)
+    acc = np.zeros(n, np.uint64)
     for j in range(size):
-        acc *= _U(0xA24BAED4963EE407)
+        acc *= _U(base)
         acc += words[j : j + n]
     inside = np.flatnonzero(rows[:n] == rows[size - 1 :])
     at = rows[inside]
