@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,3 +146,39 @@ def keep(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): texts as zstd frames, so that a shuffle of texts is less than half as large."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches):
+            texts = [None if t is None else pack.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
+
+    return docs.select("doc_id", "text").mapInArrow(packed, "doc_id long, z binary")
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Connected components of undirected links: (node, root), root the least node.
+
+    Alternates large and small stars: each node hands its larger (then smaller)
+    neighbours the least node it knows. Minima combine in the tasks before a shuffle and
+    come back by an equi-join, so a node with very many links is no single group.
+    """
+    edges = keep(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keep(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = keep(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, keep, mix, slices, text_bytes, window_hashes
+from .common import compressed, hash_words, keep, mix, slices, text_bytes, window_hashes
 
 RANGE_BYTES = 12 << 20
 RUNS = "doc_id long, start int, n int, step int, first_doc long, first_start int"
@@ -269,12 +269,6 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
         longest = own if longest is None else longest.unionByName(own)
     marks = spans.join(longest.groupBy("doc_id").agg(F.max("m").alias("longest_repeat")), "doc_id", "left")
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches):
-            texts = [None if t is None else pack.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches, "z"):
@@ -291,5 +285,4 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
                 out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), longest or 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
 
-    texts = docs.select("doc_id", "text").mapInArrow(packed, "doc_id long, z binary")
-    return texts.join(marks, "doc_id", "left").select("doc_id", "z", "spans", "longest_repeat").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long")
+    return compressed(docs).join(marks, "doc_id", "left").select("doc_id", "z", "spans", "longest_repeat").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long")
