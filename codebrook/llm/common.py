@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _U = np.uint64
+#: Bytes outside letters, digits and non-ASCII.
+MARKS = np.ones(256, bool)
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = MARKS[128:] = False
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,10 +93,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words between ASCII white space, and each row's first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words between bytes of a class, and each row's first word."""
     solid = np.ones(len(data) + 2, bool)
-    solid[1:-1] = ~_IS_SPACE[data]
+    solid[1:-1] = ~between[data]
     solid[0] = solid[-1] = False
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -102,10 +105,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(array: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(array: pa.Array, lower: bool = False, between: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a string array, and each row's first word."""
     data, offsets = utf8(array)
-    starts, ends, first = word_spans(data, offsets)
+    starts, ends, first = word_spans(data, offsets, between)
     if not len(starts):
         return np.zeros(0, np.uint64), first
     if lower:
