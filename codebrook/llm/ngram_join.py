@@ -254,3 +254,12 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK)
     known = of_sig.join(of_root, "root").select("sig", "component_id")
     full = signed.where("n > 0").select("doc_id", "n", "sig").join(known, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+    """All columns of one document, that of the least doc_id, of each class.
+
+    Texts travel compressed to the join by doc_id; a repeated doc_id stays once.
+    """
+    kept = classes(docs, n, percent, block).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
