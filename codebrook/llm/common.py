@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII white space of the word contracts (0x20, 0x09-0x0D).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -151,16 +152,43 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z): texts as zstd frames, so that a shuffle of texts is less than half as large."""
+def _recode(df: DataFrame, make, to) -> DataFrame:
+    """`df` with its text column put through `make`, a function for batches of values."""
+    fields = [T.StructField(f.name, to) if f.name == "text" else f for f in df.schema.fields]
+    k = df.columns.index("text")
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = [None if t is None else pack.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "z"])
+            columns = list(batch.columns)
+            columns[k] = make(columns[k])
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return df.mapInArrow(rows, T.StructType(fields))
+
+
+def zipped(df: DataFrame) -> DataFrame:
+    """All columns, with texts as zstd frames, so that a shuffle of texts is less than half as large."""
+
+    def make(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3)
+        return pa.array([None if t is None else pack.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return docs.select("doc_id", "text").mapInArrow(packed, "doc_id long, z binary")
+    return _recode(df, make, T.BinaryType())
+
+
+def unzipped(df: DataFrame) -> DataFrame:
+    """The texts of `zipped` again."""
+
+    def make(frames: pa.Array) -> pa.Array:
+        unpack = zstandard.ZstdDecompressor()
+        return pa.array([None if z is None else unpack.decompress(z) for z in frames.to_pylist()], pa.binary()).cast(pa.string())
+
+    return _recode(df, make, T.StringType())
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(doc_id, z): the texts as zstd frames."""
+    return zipped(docs.select("doc_id", "text")).withColumnRenamed("text", "z")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

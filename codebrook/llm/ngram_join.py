@@ -2,7 +2,9 @@
 
 A document's set holds the hashes of its distinct n-word shingles in one global order,
 rarest first, by a count sketch of fixed size over all documents. Documents with equal
-sets are one from the start. Two sets that reach the threshold share a shingle among
+sets are one from the start. A set can only link if `ceil(t n)` of its shingles stand in
+other documents, which an exchange of three bytes a shingle tells; the rest of the work
+is on those sets. Two sets that reach the threshold share a shingle among
 their first `n - ceil(t n) + 1`; for each such shingle, the sets that have it there
 join the block of the one that has it earliest, so any pair that may link meets in a
 block. In a block every set is first compared with the block's head. What the head
@@ -30,10 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, compressed, hash_words, keep, mix, slices, window_hashes
+from .common import components, compressed, hash_words, keep, mix, slices, text_bytes, unzipped, window_hashes, zipped
+from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
 SKETCH, BLOCK = 1 << 18, 1 << 20
+#: Text in a fine range.
+RANGE_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -93,22 +98,81 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def signatures(docs: DataFrame, n: int, percent: int, counts) -> DataFrame:
-    """(doc_id, n, sig, prefix): set size, set hash, and the set's first shingles."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, sig): set size and a hash of the whole set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, first = shingle_sets(batch.column(1), n)
             size = np.diff(first)
-            ordered = in_order(h, first, counts.value)
             total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h))])
             sig = mix((total[first[1:]] - total[first[:-1]]) + size.astype(_U)).view(np.int64)
-            take = np.where(size > 0, size - least(size, percent) + 1, 0)
-            at = np.repeat(first[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(ordered[at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig), prefix], ["doc_id", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig)], ["doc_id", "n", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, sig long")
+
+
+def repeated_counts(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, repeated): at least as many of its shingles stand in other documents too.
+
+    Shingles that repeat inside a slice are counted there and sent once, without a
+    document. The others travel as three bytes to fine ranges, which grow in number
+    with the input; the few that only seem to repeat (about one in 25) make candidates.
+    """
+    ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=3 << 19):
+            ids = batch.column(0).to_numpy()
+            h, first = shingle_sets(batch.column(1), n)
+            if not len(h):
+                continue
+            row = np.repeat(np.arange(len(ids)), np.diff(first))
+            by = np.argsort(h, kind="stable")
+            new = np.append(True, h[by][1:] != h[by][:-1])
+            group = np.cumsum(new) - 1
+            many = np.empty(len(h), bool)
+            many[by] = np.bincount(group)[group] > 1
+            local = np.bincount(row[many], minlength=len(ids))
+            told = np.flatnonzero(local)
+            out = [(to, 2, planes(ids[told[at]]), local[told[at]].astype(np.int32).tobytes(), None, None) for to, at in by_key(_part(ids[told], ranges))]
+            to = ((h >> _U(32)) % _U(ranges)).astype(np.int64)
+            low = h.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            lead = by[new]
+            shared, own = lead[many[lead]], np.flatnonzero(~many)
+            out += [(k, 1, None, low[shared[at]].tobytes(), None, None) for k, at in by_key(to[shared])]
+            out += [(k, 0, planes(ids[row[own[at]]]), low[own[at]].tobytes(), None, None) for k, at in by_key(to[own])]
+            yield entry_batch(out)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in in_ranges(batches):
+            out, sent, shared = ([r for r in rows if r[1] == kind] for kind in (2, 0, 1))
+            if sent:
+                doc = np.concatenate([unplanes(r[2], np.int64) for r in sent])
+                low = np.zeros((len(doc) + sum(len(r[3]) for r in shared) // 3, 4), np.uint8)
+                low[:, :3] = np.frombuffer(b"".join(r[3] for r in [*sent, *shared]), np.uint8).reshape(-1, 3)
+                low = low.view("<u4")[:, 0]
+                order = np.argsort(low)
+                again = low[order][1:] == low[order][:-1]
+                order = order[np.append(again, False) | np.append(False, again)]
+                ids, counts = np.unique(doc[order[order < len(doc)]], return_counts=True)
+                out += [(to, 2, planes(ids[at]), counts[at].astype(np.int32).tobytes(), None, None) for to, at in by_key(_part(ids, ranges))]
+            if out:
+                yield entry_batch(out)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in in_ranges(batches):
+            doc = np.concatenate([unplanes(r[2], np.int64) for r in rows])
+            ids, of = np.unique(doc, return_inverse=True)
+            counts = np.bincount(of, np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64))], ["doc_id", "repeated"])
+
+    sent = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, ENTRIES)
+    return dealt(dealt(sent, ranges).mapInArrow(find, ENTRIES), ranges).mapInArrow(add, "doc_id long, repeated long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, sig long, prefix array<long>")
+def _part(ids: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(ids.astype(_U)) % _U(ranges)).astype(np.int64)
 
 
 class Trie:
@@ -184,29 +248,33 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between set hashes, enough to connect all that link."""
-    reps = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    own = signed.join(reps, ["sig", "doc_id"]).dropDuplicates(["sig", "doc_id"])
-    postings = own.select("sig", "n", "doc_id", F.posexplode("prefix").alias("pos", "shingle"))
-    first = F.min(F.struct("pos", F.col("sig").alias("head"), F.col("n").alias("head_n"), F.col("doc_id").alias("head_doc")))
-    heads = postings.groupBy("shingle").agg(first.alias("first"), F.count("*").alias("many")).where("many > 1").select("shingle", "first.head", "first.head_n", "first.head_doc")
-    pairs = keep(postings.join(heads, "shingle").groupBy("head", "sig").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("head_doc").alias("head_doc")))
-    wanted = pairs.select("sig", "doc_id").unionByName(pairs.select(F.col("head").alias("sig"), F.col("head_doc").alias("doc_id"))).distinct()
+    reps = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    able = reps.join(repeated_counts(docs, n), "doc_id").where(f"100 * repeated >= {percent} * n")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "z", 1 << 20):
+        for batch in slices(batches, "z", 1 << 19):
             texts = pa.array([unpack.decompress(z) if z else b"" for z in batch.column(1).to_pylist()], pa.binary()).cast(pa.string())
-            h, at = shingle_sets(texts, n)
-            h = in_order(h, at, counts.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())], ["sig", "set"])
-
-    held = compressed(docs).join(wanted, "doc_id").dropDuplicates(["sig"]).select("sig", "z").mapInArrow(sets, "sig long, set binary")
-    many = pairs.groupBy("head").agg(F.sum("n").alias("shingles"))
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("shingles") / block)).cast("int")
-    dealt = pairs.join(many, "head").select("sig", "head", chunks.alias("chunks"), F.pmod(F.xxhash64("sig"), chunks).cast("int").alias("chunk"))
+            h, first = shingle_sets(texts, n)
+            size = np.diff(first)
+            h = in_order(h, first, counts.value)
+            take = np.where(size > 0, size - least(size, percent) + 1, 0)
+            at = np.repeat(first[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(h[at].view(np.int64)))
+            whole = pa.array([h[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), prefix, whole], ["sig", "n", "prefix", "set"])
+
+    held = compressed(docs).join(able.select("doc_id", "sig"), "doc_id").dropDuplicates(["sig"])
+    held = keep(held.select("sig", "z").mapInArrow(sets, "sig long, n long, prefix array<long>, set binary"))
+    postings = held.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    heads = postings.groupBy("shingle").agg(F.min(F.struct("pos", F.col("sig").alias("head"))).alias("first"), F.count("*").alias("many"))
+    heads = heads.where("many > 1").select("shingle", "first.head")
+    pairs = keep(postings.join(heads, "shingle").groupBy("head", "sig").agg(F.first("n").alias("n")))
+    size = pairs.groupBy("head").agg(F.ceil(F.sum("n") / block).cast("int").alias("chunks"))
+    pairs = pairs.join(size, "head").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # the head itself is in every chunk
-    every = dealt.select(F.col("head").alias("sig"), "head", "chunks").distinct().select("sig", "head", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    members = keep(dealt.where("sig <> head").select("sig", "head", "chunks", "chunk").unionByName(every).join(held, "sig"))
+    every = size.select(F.col("head").alias("sig"), "head", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    members = pairs.where("sig <> head").select("sig", "head", "chunks", "chunk").unionByName(every).join(held.select("sig", "set"), "sig")
 
     def order_keys(own: list[np.ndarray]) -> list[bytes]:
         return [np.stack([counts.value[(s % _U(SKETCH)).astype(np.int64)].astype(">u8"), s.astype(">u8")], 1).tobytes() for s in own]
@@ -235,18 +303,22 @@ def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, bloc
         return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*out)) or ([], []))], ["a", "b"])
 
     within = keep(members.groupBy("head", "chunk").applyInArrow(compare, "a long, b long"))
-    # only in blocks of several chunks: sets that the head does not hold meet the other chunks
-    loose = members.where("chunks > 1 AND sig <> head").join(within.where("b IS NULL").select(F.col("a").alias("sig")).distinct(), "sig")
+    found = within.where("b IS NOT NULL")
+    if size.where("chunks > 1").isEmpty():
+        return found
+    # in blocks of several chunks, sets that the head does not hold meet the other chunks
+    large = members.where("chunks > 1 AND sig <> head")
+    loose = large.join(within.where("b IS NULL").select(F.col("a").alias("sig")).distinct(), "sig")
     meeting = loose.select("sig", "head", "set", F.col("chunk").alias("from"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("seek")).where("from <> chunk")
-    other = members.where("chunks > 1 AND sig <> head").join(meeting.select("head", "chunk", "from").distinct(), ["head", "chunk"]).select("sig", "head", "set", "from", "chunk", F.lit(False).alias("seek"))
+    other = large.join(meeting.select("head", "chunk", "from").distinct(), ["head", "chunk"]).select("sig", "head", "set", "from", "chunk", F.lit(False).alias("seek"))
     crossed = meeting.unionByName(other).groupBy("head", "chunk", "from").applyInArrow(across, "a long, b long")
-    return within.where("b IS NOT NULL").unionByName(crossed)
+    return found.unionByName(crossed)
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """Per document (doc_id, n_shingles, component_id): the least doc_id that links reach."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    signed = keep(signatures(docs, n, percent, counts))
+    signed = keep(signatures(docs, n))
     roots = components(links(docs, signed, n, percent, counts, block))
     least_doc = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
     of_sig = least_doc.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -262,4 +334,4 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     Texts travel compressed to the join by doc_id; a repeated doc_id stays once.
     """
     kept = classes(docs, n, percent, block).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return unzipped(zipped(docs).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import compressed, hash_words, keep, mix, slices, text_bytes, window_hashes
+from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 RANGE_BYTES = 4 << 20
 #: Bytes of a window's hash that travel; the range adds an independent part.
@@ -40,44 +41,18 @@ HASH_BYTES = 7
 RUNS = "doc_id long, start int, n int, step int, first_doc long, first_start int"
 _NAMES = ["doc_id", "start", "n", "step", "first_doc", "first_start"]
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-_ENTRIES = "range int, kind int, a binary, b binary, c binary, d binary"
-_ENTRY_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-
-
-def planes(values: np.ndarray) -> bytes:
-    """Differences of integers, all first bytes, then all second bytes and so on."""
-    v = np.diff(values, prepend=values.dtype.type(0))
-    return v.view(np.uint8).reshape(len(v), -1).T.tobytes()
-
-
-def unplanes(data: bytes, dtype) -> np.ndarray:
-    wide = np.dtype(dtype).itemsize
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(wide, -1).T.copy().view(dtype)[:, 0], dtype=dtype)
-
-
-def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each key and the places where it stands, in order."""
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.diff(keys[order])) + 1
-    for part in np.split(order, cuts) if len(order) else ():
-        yield int(keys[part[0]]), part
-
-
-def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ENTRY_TYPES)], [x.split()[0] for x in _ENTRIES.split(", ")])
 
 
 def _send(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, route: np.ndarray, ranges: int) -> list[tuple]:
     """Rows of entries (document, position, hash) for each range."""
-    return [(key, 0, planes(doc[at]), planes(pos[at].astype(np.int32)), h[at].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes(), None) for key, at in _split((route % np.uint64(ranges)).astype(np.int64))]
+    return [(key, 0, planes(doc[at]), planes(pos[at].astype(np.int32)), h[at].view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes(), None) for key, at in by_key((route % np.uint64(ranges)).astype(np.int64))]
 
 
 def _reply(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray, ranges: int, kind: int) -> list[tuple]:
     """Rows of places and their classes for each range of documents."""
     to = (mix(doc.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
     pos, first_pos = pos.astype(np.int32), first_pos.astype(np.int32)
-    return [(key, kind, planes(doc[at]), planes(pos[at]), planes(first_doc[at]), planes(first_pos[at])) for key, at in _split(to)]
+    return [(key, kind, planes(doc[at]), planes(pos[at]), planes(first_doc[at]), planes(first_pos[at])) for key, at in by_key(to)]
 
 
 def runs(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray) -> list[np.ndarray]:
@@ -107,21 +82,6 @@ def _run_batch(columns: list[np.ndarray], extra: int | None = None) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays if extra is None else [*arrays, pa.array(np.full(len(columns[0]), extra, np.int32))], _NAMES if extra is None else [*_NAMES, "kind"])
 
 
-def _in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows by range; the input is sorted by it."""
-    now, rows = None, []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = tuple(c[i].as_py() for c in batch.columns)
-            if row[0] != now and rows:
-                yield now, rows
-                rows = []
-            now = row[0]
-            rows.append(row)
-    if rows:
-        yield now, rows
-
-
 def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
     """Entries of level 0, and the classes that a slice's documents give each other."""
 
@@ -146,16 +106,16 @@ def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
             if len(other):
                 told = np.unique(np.append(other, lead[other]))
                 rows += _reply(doc[told], pos[told], doc[lead[told]], pos[lead[told]], ranges, 2)
-            yield _entry_batch(rows)
+            yield entry_batch(rows)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, _ENTRIES)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, ENTRIES)
 
 
 def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
     """Runs of places with their class, and kind: 1 final, 2 as seen inside one slice."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _in_ranges(batches):
+        for _, rows in in_ranges(batches):
             out = [r for r in rows if r[1]]
             sent = [r for r in rows if not r[1]]
             if sent:
@@ -174,10 +134,10 @@ def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
                     order, lead = order[by], lead[by]
                     out += _reply(doc[order], pos[order], doc[lead], pos[lead], ranges, 1)
             if out:
-                yield _entry_batch(out)
+                yield entry_batch(out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _in_ranges(batches):
+        for _, rows in in_ranges(batches):
             for kind in (1, 2):
                 own = [r for r in rows if r[1] == kind]
                 if own:
@@ -185,9 +145,7 @@ def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
                     order = np.lexsort((pos, doc))
                     yield _run_batch(runs(doc[order], pos[order], first_doc[order], first_pos[order]), kind)
 
-    parts = min(ranges, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    in_order = lambda df: df.repartition(parts, "range").sortWithinPartitions("range")
-    return in_order(in_order(entries).mapInArrow(find, _ENTRIES)).mapInArrow(gather, f"{RUNS}, kind int")
+    return dealt(dealt(entries, ranges).mapInArrow(find, ENTRIES), ranges).mapInArrow(gather, f"{RUNS}, kind int")
 
 
 def _resolved(found: DataFrame) -> DataFrame:
@@ -243,9 +201,9 @@ def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
                 u = [v[~whole].astype(np.uint64) for v in (a, x, b, y)]
                 h = mix(mix(mix(mix(u[0]) + u[1]) + u[2]) + u[3])
                 route = mix(u[0] * np.uint64(3) + mix(u[1] + mix(u[2] + mix(u[3]))))
-                yield _entry_batch(rows + _send(doc[~whole], pos[~whole], h, route, ranges))
+                yield entry_batch(rows + _send(doc[~whole], pos[~whole], h, route, ranges))
 
-    return docs.mapInArrow(emit, _ENTRIES)
+    return docs.mapInArrow(emit, ENTRIES)
 
 
 def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]]:
