@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compressed, hash_words, keep, mix, slices, text_bytes, window_hashes
+from .common import compressed, hash_words, keep, mix, rows_of, slices, text_bytes, window_hashes
 from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 RANGE_BYTES = 4 << 20
@@ -155,7 +155,7 @@ def _resolved(found: DataFrame) -> DataFrame:
     of_doc = final.groupBy(F.col("doc_id").alias("first_doc")).agg(F.collect_list(F.struct("start", "n", "step", F.col("first_doc").alias("d"), "first_start")).alias("known"))
 
     def lead_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches, 500):
             out = []
             for doc, start, n, step, mid, mid_start, known in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in [*_NAMES, "known"])):
                 pos, at, _ = places(*(np.array([x]) for x in (start, n, step, mid_start)))
@@ -182,7 +182,7 @@ def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
     docs = docs.where(F.col("_end") - F.col("_begin") > length).select("doc_id", "runs")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rows_of(batches, 200):
             rows, parts = [], []
             for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s, n, t, d, fs = (np.array(x, np.int64) for x in zip(*((x["start"], x["n"], x["step"], x["first_doc"], x["first_start"]) for x in own)))
@@ -235,7 +235,7 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "z"):
+        for batch in slices(batches, "z", 1 << 18):
             out = []
             for doc, z, own, longest in zip(*(c.to_pylist() for c in batch.columns)):
                 words = unpack.decompress(z).split() if z else []
