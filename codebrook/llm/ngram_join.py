@@ -5,8 +5,8 @@ rarest first, by a count sketch of fixed size over all documents. Documents with
 sets are one from the start. A set can only link if `ceil(t n)` of its shingles stand in
 other documents, which an exchange of three bytes a shingle tells; the rest of the work
 is on those sets. Two sets that reach the threshold share a shingle among
-their first `n - ceil(t n) + 1`; for each such shingle, the sets that have it there
-join the block of the one that has it earliest, so any pair that may link meets in a
+their first `n - ceil(t n) + 1`; for each such shingle, the sets of like size that have
+it there join the block of the one that has it earliest, so any pair that may link meets in a
 block. In a block every set is first compared with the block's head. What the head
 does not hold is looked up in a trie of the block's ordered sets: a traversal shares
 the overlap of common beginnings, and leaves a subtree when what remains on either
@@ -266,10 +266,12 @@ def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, bloc
 
     held = compressed(docs).join(able.select("doc_id", "sig"), "doc_id").dropDuplicates(["sig"])
     held = keep(held.select("sig", "z").mapInArrow(sets, "sig long, n long, prefix array<long>, set binary"))
-    postings = held.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    heads = postings.groupBy("shingle").agg(F.min(F.struct("pos", F.col("sig").alias("head"))).alias("first"), F.count("*").alias("many"))
-    heads = heads.where("many > 1").select("shingle", "first.head")
-    pairs = keep(postings.join(heads, "shingle").groupBy("head", "sig").agg(F.first("n").alias("n")))
+    # sets that may link are in the same size class or in adjoining ones; each set is in its own and the next
+    own = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / max(percent - 1, 1)))).cast("int")
+    postings = held.select("sig", "n", F.posexplode("prefix").alias("pos", "shingle")).select("*", F.explode(F.array(own, own + 1)).alias("size"))
+    heads = postings.groupBy("shingle", "size").agg(F.min(F.struct("pos", F.col("sig").alias("head"))).alias("first"), F.count("*").alias("many"))
+    heads = heads.where("many > 1").select("shingle", "size", "first.head")
+    pairs = keep(postings.join(heads, ["shingle", "size"]).groupBy("head", "sig").agg(F.first("n").alias("n")))
     size = pairs.groupBy("head").agg(F.ceil(F.sum("n") / block).cast("int").alias("chunks"))
     pairs = pairs.join(size, "head").withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"))
     # the head itself is in every chunk
