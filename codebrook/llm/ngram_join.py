@@ -36,7 +36,7 @@ from .common import components, compressed, hash_words, keep, mix, slices, text_
 from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
-SKETCH, BLOCK = 1 << 18, 1 << 20
+SKETCH, BLOCK = 1 << 18, 1 << 17
 #: Text in a fine range.
 RANGE_BYTES = 4 << 20
 _U = np.uint64
