@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import analytics, linear  # noqa: F401  they register their queries
+from .catalog import analytics, learning, linear, pictures  # noqa: F401  they register their queries
 from .catalog.base import QUERIES, SQL, Query
 
 
