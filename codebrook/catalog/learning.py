@@ -23,7 +23,7 @@ def _tree(spark, model: Model):
 
 @query("tree_fit_exact")
 def tree_fit_exact(spark, d):
-    return _tree(spark, fit.tree_fit(matrix(spark, d), D, 4, exact=True))
+    return _tree(spark, fit.tree_fit(matrix(spark, d), D, C, exact=True))
 
 
 @query("tree_fit_binned")
@@ -51,14 +51,14 @@ def ridge_refine(spark, d):
 @query("approx_matmul")
 def approx_matmul(spark, d):
     m = matrix(spark, d)
-    y = api.approx_matmul(m.where("row_id % 5 <> 0"), m.where("row_id % 5 = 0"), WEIGHTS, D, 4)
+    y = api.approx_matmul(m.where("row_id % 5 <> 0"), m.where("row_id % 5 = 0"), WEIGHTS, D, C)
     return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
 
 
 @query("approx_linear")
 def approx_linear(spark, d):
     m = matrix(spark, d)
-    y = api.approx_linear(m, m, WEIGHTS, [0.1 * i for i in range(len(WEIGHTS))], D, 2, ridge=False)
+    y = api.approx_linear(m, m, WEIGHTS, [0.1 * i for i in range(len(WEIGHTS))], D, C, ridge=False)
     return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
 
 
@@ -73,15 +73,15 @@ def approx_conv2d(spark, d):
 def fit_many(spark, d):
     e = read(spark, d, "embeddings")
     layers = {str(k): layout.matrix(e.where(F.col("label") % 2 == k)) for k in (0, 1)}
-    configs = spark.createDataFrame([("0", 2), ("1", 2), ("1", 1)], "layer string, c int")
-    done = spark.createDataFrame([("1", 1)], "layer string, c int")
+    configs = spark.createDataFrame([("0", 8), ("1", 8), ("1", 4)], "layer string, c int")
+    done = spark.createDataFrame([("1", 4)], "layer string, c int")
     rows = [(layer, c, len(m.prototypes)) for (layer, c), m in api.fit_many(layers, configs, done, D).items()]
     return spark.createDataFrame(rows, "layer string, c int, cells int")
 
 
 @query("config_sweep")
 def config_sweep(spark, d):
-    return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [1, 2]), *metrics.METRICS)
+    return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [8, 16]), *metrics.METRICS)
 
 
 def _centroids(spark, rows):
