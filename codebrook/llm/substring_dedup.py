@@ -5,7 +5,8 @@ a class: its first place, the least (doc_id, position) of all its occurrences. L
 k + 1 takes only places p whose windows at p and p + L (L = size * 2**k) both repeat,
 and asks which windows of 2L words repeat. Where the classes of the two halves lie L
 words apart in one document, the doubled window is that document's text and keeps its
-class; only other pairs are grouped anew. Doubling ends when no place is left.
+class; only other pairs are grouped anew. Doubling ends when no such pair is left: what remains
+then repeats as far as its runs reach.
 
 Scale: a task combines the windows of a slice of documents first, and sends each
 distinct hash for one document of the slice only, so a passage that a third of all
@@ -111,8 +112,8 @@ def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, ENTRIES)
 
 
-def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
-    """Runs of places with their class, and kind: 1 final, 2 as seen inside one slice."""
+def _finder(ranges: int):
+    """The task that looks for repeated hashes, range by range; classes pass through."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in in_ranges(batches):
@@ -136,16 +137,28 @@ def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
             if out:
                 yield entry_batch(out)
 
+    return find
+
+
+def _ordered(rows: list[tuple]) -> list[np.ndarray]:
+    """Places and classes of replies, in order of (doc, pos)."""
+    at = [np.concatenate([unplanes(r[k], t) for r in rows]) for k, t in ((2, np.int64), (3, np.int32), (4, np.int64), (5, np.int32))]
+    order = np.lexsort((at[1], at[0]))
+    return [v[order] for v in at]
+
+
+def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
+    """Runs of level 0 with their class, and kind: 1 final, 2 as seen inside one slice."""
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in in_ranges(batches):
             for kind in (1, 2):
                 own = [r for r in rows if r[1] == kind]
                 if own:
-                    doc, pos, first_doc, first_pos = (np.concatenate([unplanes(r[k], t) for r in own]) for k, t in ((2, np.int64), (3, np.int32), (4, np.int64), (5, np.int32)))
-                    order = np.lexsort((pos, doc))
-                    yield _run_batch(runs(doc[order], pos[order], first_doc[order], first_pos[order]), kind)
+                    yield _run_batch(runs(*_ordered(own)), kind)
 
-    return dealt(dealt(entries, ranges).mapInArrow(find, ENTRIES), ranges).mapInArrow(gather, f"{RUNS}, kind int")
+    found = dealt(entries, ranges).mapInArrow(_finder(ranges), ENTRIES)
+    return dealt(found, ranges).mapInArrow(gather, f"{RUNS}, kind int")
 
 
 def _resolved(found: DataFrame) -> DataFrame:
@@ -154,69 +167,98 @@ def _resolved(found: DataFrame) -> DataFrame:
     local = found.where("kind = 2").drop("kind")
     of_doc = final.groupBy(F.col("doc_id").alias("first_doc")).agg(F.collect_list(F.struct("start", "n", "step", F.col("first_doc").alias("d"), "first_start")).alias("known"))
 
+    of_pair = local.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("start", "n", "step", "first_start")).alias("runs"))
+
     def lead_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 500):
+        for batch in rows_of(batches, 200):
             out = []
-            for doc, start, n, step, mid, mid_start, known in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in [*_NAMES, "known"])):
-                pos, at, _ = places(*(np.array([x]) for x in (start, n, step, mid_start)))
+            for doc, mid, own, known in zip(*(c.to_pylist() for c in batch.columns)):
+                s, n, t, fs = (np.array(x, np.int64) for x in zip(*sorted((x["start"], x["n"], x["step"], x["first_start"]) for x in own)))
+                pos, at, _ = places(s, n, t, fs)
                 first_doc, first_pos = np.full(len(pos), mid), at.copy()
                 if known:
-                    k = sorted((x["start"], x["n"], x["step"], x["first_start"], x["d"]) for x in known if x["start"] <= at[-1] and x["start"] + x["n"] > at[0])
-                    if k:
-                        s, m, t, fs, d = (np.array(x) for x in zip(*k))
-                        i = np.maximum(np.searchsorted(s, at, "right") - 1, 0)
-                        hit = (at >= s[i]) & (at < s[i] + m[i])
-                        first_doc[hit] = d[i][hit]
-                        first_pos[hit] = (fs[i] + (at - s[i]) * t[i])[hit]
+                    s, m, t, fs, d = (np.array(x, np.int64) for x in zip(*sorted((x["start"], x["n"], x["step"], x["first_start"], x["d"]) for x in known)))
+                    i = np.maximum(np.searchsorted(s, at, "right") - 1, 0)
+                    hit = (at >= s[i]) & (at < s[i] + m[i])
+                    first_doc[hit] = d[i][hit]
+                    first_pos[hit] = (fs[i] + (at - s[i]) * t[i])[hit]
                 out.append(runs(np.full(len(pos), doc), pos, first_doc, first_pos))
             if out:
                 yield _run_batch([np.concatenate(c) for c in zip(*out)])
 
-    joined = local.join(of_doc, "first_doc", "left").select(*_NAMES, "known")
+    joined = of_pair.join(of_doc, "first_doc", "left").select("doc_id", "first_doc", "runs", "known")
     return final.unionByName(joined.mapInArrow(lead_on, RUNS))
 
 
+def _pair_up(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray, length: int, ranges: int) -> list[tuple]:
+    """Entries and classes of windows of twice the length, from places in order of (doc, pos)."""
+    new = np.append(True, (np.diff(doc) != 0) | (np.diff(pos) != 0))[: len(doc)]
+    doc, pos, first_doc, first_pos = (v[new].astype(np.int64) for v in (doc, pos, first_doc, first_pos))
+    key = (np.cumsum(np.append(True, np.diff(doc) != 0)[: len(doc)]) << 32) + pos
+    j = np.minimum(np.searchsorted(key, key + length), max(len(key) - 1, 0))
+    i = np.flatnonzero(key[j] == key + length) if len(key) else np.zeros(0, np.int64)
+    j = j[i]
+    doc, pos, a, x, b, y = doc[i], pos[i], first_doc[i], first_pos[i], first_doc[j], first_pos[j]
+    whole = (a == b) & (x + length == y)
+    u = [v[~whole].astype(np.uint64) for v in (a, x, b, y)]
+    h = mix(mix(mix(mix(u[0]) + u[1]) + u[2]) + u[3])
+    route = mix(u[0] * np.uint64(3) + mix(u[1] + mix(u[2] + mix(u[3]))))
+    return _reply(doc[whole], pos[whole], a[whole], x[whole], ranges, 1) + _send(doc[~whole], pos[~whole], h, route, ranges)
+
+
 def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Entries and classes of windows of twice the length, from runs of windows of `length`."""
+    """The first doubling: entries and classes from runs of windows of `length`."""
     docs = state.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "step", "first_doc", "first_start")).alias("runs"), F.max(F.col("start") + F.col("n")).alias("_end"), F.min("start").alias("_begin"))
     docs = docs.where(F.col("_end") - F.col("_begin") > length).select("doc_id", "runs")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
-            rows, parts = [], []
+            parts = []
             for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s, n, t, d, fs = (np.array(x, np.int64) for x in zip(*((x["start"], x["n"], x["step"], x["first_doc"], x["first_start"]) for x in own)))
                 pos, first_pos, of = places(s, n, t, fs)
-                pos, at = np.unique(pos, return_index=True)
-                first_pos, first_doc = first_pos[at], d[of][at]
-                j = np.searchsorted(pos, pos + length)
-                i = np.flatnonzero((j < len(pos)) & (pos[np.minimum(j, len(pos) - 1)] == pos + length))
-                if len(i):
-                    j = j[i]
-                    parts.append((np.full(len(i), doc), pos[i], first_doc[i], first_pos[i], first_doc[j], first_pos[j]))
+                order = np.argsort(pos, kind="stable")
+                parts.append((np.full(len(pos), doc), pos[order], d[of][order], first_pos[order]))
             if parts:
-                doc, pos, a, x, b, y = (np.concatenate(p) for p in zip(*parts))
-                whole = (a == b) & (x + length == y)
-                rows += _reply(doc[whole], pos[whole], a[whole], x[whole], ranges, 1)
-                u = [v[~whole].astype(np.uint64) for v in (a, x, b, y)]
-                h = mix(mix(mix(mix(u[0]) + u[1]) + u[2]) + u[3])
-                route = mix(u[0] * np.uint64(3) + mix(u[1] + mix(u[2] + mix(u[3]))))
-                yield entry_batch(rows + _send(doc[~whole], pos[~whole], h, route, ranges))
+                yield entry_batch(_pair_up(*(np.concatenate(p) for p in zip(*parts)), length, ranges))
 
     return docs.mapInArrow(emit, ENTRIES)
 
 
+def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
+    """Runs of repeated windows of `length` (range null), and entries of the next doubling.
+
+    A document's places meet in one task here, so the next doubling starts from them.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in in_ranges(batches):
+            at = _ordered(rows)
+            kept, more = _run_batch(runs(*at)), entry_batch(_pair_up(*at, length, ranges))
+            for batch, mine in ((kept, True), (more, False)):
+                null = lambda t: pa.nulls(batch.num_rows, t)  # noqa: B023, E731
+                left = batch.columns if mine else [null(t) for t in _TYPES]
+                right = [null(f.type) for f in more.schema] if mine else batch.columns
+                yield pa.RecordBatch.from_arrays([*left, *right], [*_NAMES, *more.schema.names])
+
+    found = dealt(entries, ranges).mapInArrow(_finder(ranges), ENTRIES)
+    return dealt(found, ranges).mapInArrow(gather, f"{RUNS}, {ENTRIES}")
+
+
 def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]]:
     """For each level, the window length and the kept runs of repeated places."""
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
     found = keep(_repeated(_window_entries(docs, size, ranges), ranges))
     levels = [(size, keep(_resolved(found)))]
+    entries = _doubled(levels[0][1], size, ranges)
     while True:
-        length, state = levels[-1]
-        larger = keep(_repeated(_doubled(state, length, ranges), ranges).drop("kind"))
-        if larger.isEmpty():
+        length = 2 * levels[-1][0]
+        level = keep(_level(entries, length, ranges))
+        levels.append((length, level.where("range IS NULL").select(*_NAMES)))
+        entries = level.where("range IS NOT NULL").select(*ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
+        # places whose class goes on in its own document repeat as far as their runs say
+        if level.where("kind = 0").isEmpty():
             return levels
-        levels.append((2 * length, larger))
 
 
 def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
@@ -225,13 +267,14 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     A word goes if a window over it also starts in a document with a smaller doc_id.
     Texts travel compressed to the join with the spans.
     """
-    size, base = levels[0]
-    spans = base.where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    longest = None
+    size = levels[0][0]
+    reach = F.when(F.col("step") == 1, F.col("n") + F.col("_length") - 1).otherwise(F.col("_length"))
+    all_levels = None
     for length, state in levels:
-        own = state.where("first_doc < doc_id").groupBy("doc_id").agg(F.max(F.when(F.col("step") == 1, F.col("n") + F.lit(length - 1)).otherwise(F.lit(length))).cast("long").alias("m"))
-        longest = own if longest is None else longest.unionByName(own)
-    marks = spans.join(longest.groupBy("doc_id").agg(F.max("m").alias("longest_repeat")), "doc_id", "left")
+        own = state.where("first_doc < doc_id").withColumn("_length", F.lit(length))
+        all_levels = own if all_levels is None else all_levels.unionByName(own)
+    at_base = F.col("_length") == size
+    marks = all_levels.groupBy("doc_id").agg(F.collect_list(F.when(at_base, F.struct("start", "n"))).alias("spans"), F.max(reach).cast("long").alias("longest_repeat"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
