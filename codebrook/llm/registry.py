@@ -76,4 +76,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql()}
+    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql(), "op8_ngram_jaccard_join": oracles.jaccard_sql()}
