@@ -162,32 +162,39 @@ def _repeated(entries: DataFrame, ranges: int) -> DataFrame:
 
 
 def _resolved(found: DataFrame) -> DataFrame:
-    """Runs of one slice's classes led on to the class that the slice's first document has."""
-    final = found.where("kind = 1").drop("kind")
-    local = found.where("kind = 2").drop("kind")
-    of_doc = final.groupBy(F.col("doc_id").alias("first_doc")).agg(F.collect_list(F.struct("start", "n", "step", F.col("first_doc").alias("d"), "first_start")).alias("known"))
+    """(doc_id, runs): runs of one slice's classes are led on to the class that the slice's
+    first document has. A document may have several rows, one for each such first document.
+    """
+    run = F.struct("start", "n", "step", "first_doc", "first_start")
+    final = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
+    of_pair = found.where("kind = 2").groupBy("doc_id", "first_doc").agg(F.collect_list(run).alias("runs"))
 
-    of_pair = local.groupBy("doc_id", "first_doc").agg(F.collect_list(F.struct("start", "n", "step", "first_start")).alias("runs"))
+    def columns(own: list[dict], *names: str) -> list[np.ndarray]:
+        own = sorted(own, key=lambda x: x["start"])
+        return [np.array([x[name] for x in own], np.int64) for name in names]
 
     def lead_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
             out = []
             for doc, mid, own, known in zip(*(c.to_pylist() for c in batch.columns)):
-                s, n, t, fs = (np.array(x, np.int64) for x in zip(*sorted((x["start"], x["n"], x["step"], x["first_start"]) for x in own)))
-                pos, at, _ = places(s, n, t, fs)
+                pos, at, _ = places(*columns(own, "start", "n", "step", "first_start"))
                 first_doc, first_pos = np.full(len(pos), mid), at.copy()
                 if known:
-                    s, m, t, fs, d = (np.array(x, np.int64) for x in zip(*sorted((x["start"], x["n"], x["step"], x["first_start"], x["d"]) for x in known)))
+                    s, m, t, fs, d = columns(known, "start", "n", "step", "first_start", "first_doc")
                     i = np.maximum(np.searchsorted(s, at, "right") - 1, 0)
                     hit = (at >= s[i]) & (at < s[i] + m[i])
                     first_doc[hit] = d[i][hit]
                     first_pos[hit] = (fs[i] + (at - s[i]) * t[i])[hit]
                 out.append(runs(np.full(len(pos), doc), pos, first_doc, first_pos))
             if out:
-                yield _run_batch([np.concatenate(c) for c in zip(*out)])
+                flat = _run_batch([np.concatenate(c) for c in zip(*out)])
+                ends = np.cumsum([0, *(len(r[0]) for r in out)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat.columns[1:], _NAMES[1:]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "runs"])
 
-    joined = of_pair.join(of_doc, "first_doc", "left").select("doc_id", "first_doc", "runs", "known")
-    return final.unionByName(joined.mapInArrow(lead_on, RUNS))
+    known = final.select(F.col("doc_id").alias("first_doc"), F.col("runs").alias("known"))
+    joined = of_pair.join(known, "first_doc", "left").select("doc_id", "first_doc", "runs", "known")
+    return final.unionByName(joined.mapInArrow(lead_on, "doc_id long, runs array<struct<start: int, n: int, step: int, first_doc: long, first_start: int>>"))
 
 
 def _pair_up(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray, length: int, ranges: int) -> list[tuple]:
@@ -208,8 +215,9 @@ def _pair_up(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos:
 
 def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
     """The first doubling: entries and classes from runs of windows of `length`."""
-    docs = state.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "step", "first_doc", "first_start")).alias("runs"), F.max(F.col("start") + F.col("n")).alias("_end"), F.min("start").alias("_begin"))
-    docs = docs.where(F.col("_end") - F.col("_begin") > length).select("doc_id", "runs")
+    docs = state.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    reach = F.array_max(F.transform("runs", lambda r: r["start"] + r["n"])) - F.array_min("runs.start")
+    docs = docs.where(reach > length)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
@@ -246,7 +254,10 @@ def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]]:
-    """For each level, the window length and the kept runs of repeated places."""
+    """For each level, the window length and the kept runs of repeated places.
+
+    Level 0 has rows (doc_id, runs), later ones a row a run.
+    """
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
     found = keep(_repeated(_window_entries(docs, size, ranges), ranges))
     levels = [(size, keep(_resolved(found)))]
@@ -268,13 +279,13 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     Texts travel compressed to the join with the spans.
     """
     size = levels[0][0]
-    reach = F.when(F.col("step") == 1, F.col("n") + F.col("_length") - 1).otherwise(F.col("_length"))
-    all_levels = None
-    for length, state in levels:
-        own = state.where("first_doc < doc_id").withColumn("_length", F.lit(length))
-        all_levels = own if all_levels is None else all_levels.unionByName(own)
-    at_base = F.col("_length") == size
-    marks = all_levels.groupBy("doc_id").agg(F.collect_list(F.when(at_base, F.struct("start", "n"))).alias("spans"), F.max(reach).cast("long").alias("longest_repeat"))
+    far = lambda step, n, length: F.when(step == 1, n + (length - 1)).otherwise(length)
+    earlier = levels[0][1].select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
+    marks = earlier.select("doc_id", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"))).alias("spans"), F.array_max(F.transform("runs", lambda r: far(r["step"], r["n"], size))).alias("m"))
+    for length, state in levels[1:]:
+        own = state.where("first_doc < doc_id")
+        marks = marks.unionByName(own.select("doc_id", F.lit(None).alias("spans"), far(F.col("step"), F.col("n"), length).alias("m")))
+    marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("m").cast("long").alias("longest_repeat"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
