@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode, fit, lut, metrics
 from ..plans import layout
-from .base import C, CELLS, CODES, GOLD, K, LUT, OUTPUTS, PROTO, RESID, cells, coded, codes, lut_table, query, r4, read, residuals, rounded
+from .base import C, CODES, GOLD, K, OUTPUTS, PROTO, RESID, cells, coded, codes, lut_table, query, r4, read, residuals, rounded
 
 
 def pairs(spark, d):

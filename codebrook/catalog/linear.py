@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import encode, lut, metrics, runs
+from ..operators import encode, lut, runs
 from ..plans import layout
 from .base import C, CELLS, CODES, D, FEATURES, GOLD, K, LAYOUT, LUT, M, OUTPUTS, PROTO, RESID, TREE, WEIGHTS, cells, coded, codes, lut_table, matrix, query, r4, read, residuals, rounded
 

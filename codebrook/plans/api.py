@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import fit, images, lut, metrics, runs
 from ..operators.encode import encode_tree, tree_code
-from . import layout
 from .model import Model
 
 
