@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Above this many terms, decoding uses higher-order functions instead of unrolled sums.
-UNROLL = 4096
+#: Largest table that is written into a plan; larger ones are broadcast as arrays.
+UNROLL = 65536
 
 
 def lut_build(prototypes: DataFrame, weights: DataFrame) -> DataFrame:
@@ -24,16 +24,27 @@ def lut_build_block(centroids: DataFrame, weights: DataFrame, width: int) -> Dat
     return centroids.join(sliced, ["c", "d"]).groupBy("m", "c", "k").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
+def look_up(spots: list[Column], lut: list[list[float]], codes: int = 16) -> Column:
+    """Outputs as an array: for each codebook the code's row of all outputs, added up.
+
+    Every code stands once in the expression, so that plans stay small.
+    """
+    rows = lambda c: F.array(*(F.array(*(F.lit(float(row[c * codes + k])) for row in lut)) for k in range(codes)))
+    total = None
+    for c, code in enumerate(spots):
+        own = F.get(rows(c), code)
+        total = own if total is None else F.zip_with(total, own, lambda s, v: s + v)
+    return total
+
+
 def decode_lut(coded: DataFrame, lut: list[list[float]], codes: int = 16) -> DataFrame:
-    """(row_id, y): outputs of each row by looking up its codes, without a shuffle."""
-    many = len(lut) * (len(lut[0]) // codes)
-    if many <= UNROLL:
-        spots = [F.get("codes", F.lit(c)) for c in range(len(lut[0]) // codes)]
-        look = lambda row: sum((F.get(F.array(*(F.lit(float(v)) for v in row[c * codes : (c + 1) * codes])), k) for c, k in enumerate(spots)), F.lit(0.0))
-        return coded.select("row_id", F.array(*map(look, lut)).alias("y"))
-    table = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in lut))
-    flat = F.transform("codes", lambda k, c: k + c * codes)
-    return coded.select("row_id", F.transform(table, lambda t: F.aggregate(flat, F.lit(0.0), lambda s, i: s + F.get(t, i))).alias("y"))
+    """(row_id, y): outputs of each row by looking up its codes, without a shuffle.
+
+    Tables of more than `UNROLL` entries go through `decode_arrow`.
+    """
+    if len(lut) * len(lut[0]) > UNROLL:
+        return decode_arrow(coded, lut, codes)
+    return coded.select("row_id", look_up([F.get("codes", F.lit(c)) for c in range(len(lut[0]) // codes)], lut, codes).alias("y"))
 
 
 def decode_arrow(coded: DataFrame, lut: list[list[float]], codes: int = 16) -> DataFrame:

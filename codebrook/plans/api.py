@@ -17,11 +17,9 @@ def codes_of(model: Model):
 
 def both_products(m: DataFrame, model: Model) -> DataFrame:
     """All columns of m with `a`, the looked-up outputs, and `d`, the exact ones; no shuffle."""
-    table, n = model.lut(), model.codes
-    spots = [F.get("_codes", F.lit(c)) for c in range(model.codebooks)]
-    look = lambda row: sum((F.get(F.array(*(F.lit(float(v)) for v in row[c * n : (c + 1) * n])), k) for c, k in enumerate(spots)), F.lit(0.0))
+    spots = [tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds)]
     dot = lambda row: F.aggregate(F.zip_with("features", F.array(*(F.lit(float(v)) for v in row)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-    return m.withColumn("_codes", codes_of(model)).withColumns({"a": F.array(*map(look, table)), "d": F.array(*map(dot, model.weights))}).drop("_codes", "features")
+    return m.withColumns({"a": lut.look_up(spots, model.lut(), model.codes), "d": F.array(*map(dot, model.weights))}).drop("features")
 
 
 def learn(train: DataFrame, weights: list[list[float]], dims: int, codebooks: int, exact: bool = False, ridge: bool = True, fitter=fit.tree_fit) -> Model:
