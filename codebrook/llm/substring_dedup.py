@@ -40,6 +40,7 @@ RANGE_BYTES = 4 << 20
 #: Bytes of a window's hash that travel; the range adds an independent part.
 HASH_BYTES = 7
 RUNS = "doc_id long, start int, n int, step int, first_doc long, first_start int"
+BY_DOC = "doc_id long, runs array<struct<start: int, n: int, step: int, first_doc: long, first_start: int>>"
 _NAMES = ["doc_id", "start", "n", "step", "first_doc", "first_start"]
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
 
@@ -83,6 +84,14 @@ def _run_batch(columns: list[np.ndarray], extra: int | None = None) -> pa.Record
     return pa.RecordBatch.from_arrays(arrays if extra is None else [*arrays, pa.array(np.full(len(columns[0]), extra, np.int32))], _NAMES if extra is None else [*_NAMES, "kind"])
 
 
+def _by_doc(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Runs in order of documents, as one row a document."""
+    flat, doc = _run_batch(columns), np.asarray(columns[0], np.int64)
+    begin = np.flatnonzero(np.append(True, np.diff(doc) != 0)[: len(doc)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(doc)), pa.int32()), pa.StructArray.from_arrays(flat.columns[1:], _NAMES[1:]))
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), lists], ["doc_id", "runs"])
+
+
 def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
     """Entries of level 0, and the classes that a slice's documents give each other."""
 
@@ -194,7 +203,7 @@ def _resolved(found: DataFrame) -> DataFrame:
 
     known = final.select(F.col("doc_id").alias("first_doc"), F.col("runs").alias("known"))
     joined = of_pair.join(known, "first_doc", "left").select("doc_id", "first_doc", "runs", "known")
-    return final.unionByName(joined.mapInArrow(lead_on, "doc_id long, runs array<struct<start: int, n: int, step: int, first_doc: long, first_start: int>>"))
+    return final.unionByName(joined.mapInArrow(lead_on, BY_DOC))
 
 
 def _pair_up(doc: np.ndarray, pos: np.ndarray, first_doc: np.ndarray, first_pos: np.ndarray, length: int, ranges: int) -> list[tuple]:
@@ -242,21 +251,21 @@ def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in in_ranges(batches):
             at = _ordered(rows)
-            kept, more = _run_batch(runs(*at)), entry_batch(_pair_up(*at, length, ranges))
+            kept, more = _by_doc(runs(*at)), entry_batch(_pair_up(*at, length, ranges))
             for batch, mine in ((kept, True), (more, False)):
                 null = lambda t: pa.nulls(batch.num_rows, t)  # noqa: B023, E731
-                left = batch.columns if mine else [null(t) for t in _TYPES]
+                left = batch.columns if mine else [null(f.type) for f in kept.schema]
                 right = [null(f.type) for f in more.schema] if mine else batch.columns
-                yield pa.RecordBatch.from_arrays([*left, *right], [*_NAMES, *more.schema.names])
+                yield pa.RecordBatch.from_arrays([*left, *right], ["doc_id", "runs", *more.schema.names])
 
     found = dealt(entries, ranges).mapInArrow(_finder(ranges), ENTRIES)
-    return dealt(found, ranges).mapInArrow(gather, f"{RUNS}, {ENTRIES}")
+    return dealt(found, ranges).mapInArrow(gather, f"{BY_DOC}, {ENTRIES}")
 
 
 def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]]:
     """For each level, the window length and the kept runs of repeated places.
 
-    Level 0 has rows (doc_id, runs), later ones a row a run.
+    Each level has rows (doc_id, runs).
     """
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
     found = keep(_repeated(_window_entries(docs, size, ranges), ranges))
@@ -265,7 +274,7 @@ def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]
     while True:
         length = 2 * levels[-1][0]
         level = keep(_level(entries, length, ranges))
-        levels.append((length, level.where("range IS NULL").select(*_NAMES)))
+        levels.append((length, level.where("range IS NULL").select("doc_id", "runs")))
         entries = level.where("range IS NOT NULL").select(*ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
         # places whose class goes on in its own document repeat as far as their runs say
         if level.where("kind = 0").isEmpty():
@@ -280,11 +289,12 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     """
     size = levels[0][0]
     far = lambda step, n, length: F.when(step == 1, n + (length - 1)).otherwise(length)
-    earlier = levels[0][1].select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
-    marks = earlier.select("doc_id", F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"))).alias("spans"), F.array_max(F.transform("runs", lambda r: far(r["step"], r["n"], size))).alias("m"))
-    for length, state in levels[1:]:
-        own = state.where("first_doc < doc_id")
-        marks = marks.unionByName(own.select("doc_id", F.lit(None).alias("spans"), far(F.col("step"), F.col("n"), length).alias("m")))
+    marks = None
+    for length, state in levels:
+        own = state.select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
+        spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"))) if length == size else F.lit(None)
+        own = own.select("doc_id", spans.alias("spans"), F.array_max(F.transform("runs", lambda r: far(r["step"], r["n"], length))).alias("m"))  # noqa: B023
+        marks = own if marks is None else marks.unionByName(own)
     marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("m").cast("long").alias("longest_repeat"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
