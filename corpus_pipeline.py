@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of linked documents."""
-    return ngram_join.representatives(docs)
+    """One document, that of the least id, of each class of documents linked at 0.8 on 5-word shingles."""
+    return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
