@@ -3,9 +3,14 @@
 Words are runs of letters and digits, A-Z lower-cased, so that punctuation and case do
 not hide a copy. Seeds are the n-word runs of the test items that are rare: held by at
 most `rare_share` of all documents, or by no more than `typical` times the median of
-the item's own seeds, so that an item which was copied everywhere keeps its seeds.
+the item's own seeds that stand anywhere, so that an item or a part of it which was
+copied everywhere keeps its seeds.
 Wherever a document holds a seed, the words around that diagonal are aligned with the
-item; the score is the best local alignment over that of the item with itself.
+item; the score is the best local alignment over that of the item with itself. A pair
+counts from a share of the item (`score`) or from a passage of `passage` equal words,
+whatever the item's length. Passages are scored more strictly: a word that differs or
+is missing costs `STRICT`, as much as two equal words give, so long chance alignments
+of common words do not add up (at most one word in three may differ).
 
 Scale: the items, which are the stated query set, are taken in blocks of `BLOCK_BYTES`
 text; a block is broadcast and all documents pass by it, without a shuffle of texts.
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import MARKS, hash_words, slices, window_hashes
 
-SEED, SCORE, RARE_SHARE, TYPICAL = 3, 0.5, 0.01, 4.0
-MATCH, MISMATCH, GAP = 2, 1, 1
+SEED, SCORE, PASSAGE, RARE_SHARE, TYPICAL = 3, 0.5, 16, 0.01, 4.0
+MATCH, MISMATCH, GAP, STRICT = 2, 1, 1, 4
 BLOCK_BYTES = 4 << 20
 #: Windows aligned at once.
 BATCH = 512
@@ -88,22 +93,23 @@ def rare_seeds(docs: DataFrame, items: Items, n: int, rare_share: float, typical
     df = held[np.searchsorted(shared.value, items.seeds)]
     limit = np.full(len(items.ids), rare_share * texts)
     for k in np.unique(items.item):
-        limit[k] = max(limit[k], typical * np.median(df[items.item == k]))
+        own = df[(items.item == k) & (df > 0)]
+        limit[k] = max(limit[k], typical * np.median(own)) if len(own) else limit[k]
     keep = df <= limit[items.item]
     return Items(items.ids, items.words, items.first, items.seeds[keep], items.item[keep], items.at[keep])
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(a: np.ndarray, b: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of rows of a with rows of b, and where it ends in b.
 
     Row by row: a gap along b is a running maximum, so whole rows are computed at once.
     """
-    slope = GAP * np.arange(b.shape[1], dtype=np.int32)
+    slope = gap * np.arange(b.shape[1], dtype=np.int32)
     above = np.zeros((len(b), b.shape[1] + 1), np.int32)
     best, end = np.zeros(len(b), np.int32), np.zeros(len(b), np.int64)
     for i in range(a.shape[1]):
-        step = np.where(a[:, i : i + 1] == b, MATCH, -MISMATCH)
-        row = np.maximum(np.maximum(above[:, :-1] + step, above[:, 1:] - GAP), 0)
+        step = np.where(a[:, i : i + 1] == b, MATCH, -mismatch)
+        row = np.maximum(np.maximum(above[:, :-1] + step, above[:, 1:] - gap), 0)
         row = np.maximum.accumulate(row + slope, 1) - slope
         above[:, 1:] = row
         at = row.argmax(1)
@@ -113,8 +119,8 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, end
 
 
-def _scores(words: np.ndarray, first: np.ndarray, items: Items, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, score, last word) of the best alignment of each seeded pair."""
+def _scores(words: np.ndarray, first: np.ndarray, items: Items, n: int, score: float, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, score, last word) of the best alignment of each seeded pair that counts."""
     h, row, pos = window_hashes(words, first, n)
     window, seed = _hits(h, items.seeds)
     doc, item = row[window], items.item[seed]
@@ -136,14 +142,22 @@ def _scores(words: np.ndarray, first: np.ndarray, items: Items, n: int) -> tuple
         inside = (j >= 0) & (j < np.diff(first)[doc][:, None]) & (np.arange(width) < (2 * m + 2 * pad)[:, None])
         b = np.where(inside, words[np.clip(first[doc][:, None] + j, 0, len(words) - 1)], np.uint64(2))
         best, end = align(a, b)
-        out.append((doc, item, best / (MATCH * m), begin + end))
+        value = best / (MATCH * m)
+        good = value >= score
+        # the strict score is never the larger one
+        look = np.flatnonzero(~good & (best >= MATCH * passage))
+        if len(look):
+            strict, at_end = align(a[look], b[look], STRICT, STRICT)
+            good[look] = strict >= MATCH * passage
+            end[look] = at_end
+        out.append((doc[good], item[good], value[good], (begin + end)[good]))
     if not out:
         return (np.zeros(0, np.int64),) * 4
-    doc, item, score, end = (np.concatenate(c) for c in zip(*out))
-    order = np.lexsort((end, -score, item, doc))
-    doc, item, score, end = doc[order], item[order], score[order], end[order]
+    doc, item, value, end = (np.concatenate(c) for c in zip(*out))
+    order = np.lexsort((end, -value, item, doc))
+    doc, item, value, end = doc[order], item[order], value[order], end[order]
     top = np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))[: len(doc)]
-    return doc[top], item[top], score[top], end[top]
+    return doc[top], item[top], value[top], end[top]
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare_share: float, typical: float) -> Iterator[Items]:
@@ -156,7 +170,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame, n: int, rare_share: float, typ
             yield rare_seeds(docs, _items([r["item_id"] for r in rows], [r["text"] for r in rows], n), n, rare_share, typical)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float = SCORE, rare_share: float = RARE_SHARE, typical: float = TYPICAL) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float = SCORE, rare_share: float = RARE_SHARE, typical: float = TYPICAL, passage: int = PASSAGE) -> DataFrame:
     """Rows (doc_id, item_id, score, last_word) of documents that hold a test item's passage."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, last_word long"
@@ -167,15 +181,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float =
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words, first = hash_words(batch.column(1), True, MARKS)
-                doc, item, value, end = _scores(words, first, shared.value, n)
-                good = value >= score
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[good])), pa.array(shared.value.ids[item[good]]), pa.array(value[good].astype(float)), pa.array(end[good].astype(np.int64))], ["doc_id", "item_id", "score", "last_word"])
+                doc, item, value, end = _scores(words, first, shared.value, n, score, passage)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(shared.value.ids[item]), pa.array(value.astype(float)), pa.array(end.astype(np.int64))], ["doc_id", "item_id", "score", "last_word"])
 
         found = found.unionByName(docs.select("doc_id", "text").mapInArrow(rows, schema))
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float = SCORE, rare_share: float = RARE_SHARE, typical: float = TYPICAL) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float = SCORE, rare_share: float = RARE_SHARE, typical: float = TYPICAL, passage: int = PASSAGE) -> DataFrame:
     """The documents, with all their columns, that hold no test item's passage."""
     kept = docs
     for items in blocks(docs, benchmark, n, rare_share, typical):
@@ -184,9 +197,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = SEED, score: float = S
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 words, first = hash_words(batch.column(batch.schema.get_field_index("text")), True, MARKS)
-                doc, _, value, _ = _scores(words, first, shared.value, n)
+                doc, _, _, _ = _scores(words, first, shared.value, n, score, passage)
                 good = np.ones(batch.num_rows, bool)
-                good[doc[value >= score]] = False
+                good[doc] = False
                 yield batch.filter(pa.array(good))
 
         kept = kept.mapInArrow(rows, kept.schema)

@@ -3,6 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
+from codebrook.llm import decontamination
 
 
 def docs(spark, rows):
@@ -36,3 +37,18 @@ def test_near_duplicate_stage_against_brute_force(spark):
                 root[max(x, y)] = min(x, y)
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, rows), "")
     assert {r["doc_id"] for r in kept.collect()} == {find(d) for d in sets}
+
+
+def test_part_of_a_long_item_is_a_match(spark):
+    """90 of 200 words, 20 of 200, 30 of 200 with edits, 10 of 200 (too few), and shuffled words (none)."""
+    rng = np.random.default_rng(4)
+    item = [f"w{i}" for i in rng.integers(0, 120, 200)]
+    edited = list(item[60:100])
+    edited[10], edited[25] = "other", "another"
+    own = lambda k: " ".join(f"own{k}_{i}" for i in range(60))
+    parts = {1: item[50:140], 2: item[100:120], 3: edited, 4: item[10:20], 5: list(rng.permutation(item)), 6: []}
+    rows = [(k, f"{own(k)} {' '.join(w)} {own(-k)}") for k, w in parts.items()] + [(k, own(k)) for k in range(10, 20)]
+    bench = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontamination.matches(docs(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 3} and abs(got[1] - 0.45) < 0.02
+    assert {r["doc_id"] for r in decontamination.clean(docs(spark, rows), bench).collect()} == {4, 5, 6, *range(10, 20)}
