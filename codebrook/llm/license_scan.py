@@ -1,12 +1,15 @@
 """License scans by an exact set-similarity join, with DataFrame functions only.
 
-Templates and text blocks (lines) are sets of words. A block matches a template when
+Templates and text blocks are sets of words. Blocks are the lines, and, for notices that
+are wrapped, all runs of words of a template's length (over `percent`, so that some
+words may stand between) wherever lines end. A block matches a template when
 it holds at least `percent` of the template's words. Words are ordered by how many
 documents of the whole table hold them, rarest first; a block can only reach the
 threshold if it shares one of the template's first `size - required + 1` words in
 that order (prefix filter), has `required` words (length filter), and has enough
 words left on both sides after the first shared one (positional filter). What passes
-is compared word by word, so the result is exact.
+is compared word by word, so the result is exact. Runs are only looked at around the
+places of those first words: any run that matches holds one of them.
 
 Templates are parameters, so their words (a few hundred) are the bound of all that is
 broadcast or collected.
@@ -62,17 +65,32 @@ def prefixes(templates, percent: int, frequency: dict[str, int]) -> list[tuple]:
     return rows
 
 
+def run_matches(docs: DataFrame, index: DataFrame, seeds: Column, longest: int) -> DataFrame:
+    """Rows (doc_id, template, label, overlap, size) of the best run of words around each seed."""
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(seeds, F.get("w", i)))
+    around = F.transform(at, lambda i: F.struct(F.get("w", i).alias("word"), F.least(i, F.lit(longest - 1)).alias("left"), F.slice("w", F.greatest(i - (longest - 2), F.lit(1)), F.least(i, F.lit(longest - 1)) + longest).alias("near")))
+    hits = docs.where(F.arrays_overlap("w", seeds)).select("doc_id", "_row", F.explode(around).alias("h")).select("doc_id", "_row", "h.*").join(F.broadcast(index), "word")
+    # the seed is at `left` (from 0); runs that hold it begin at most a length before it
+    begin = F.greatest(F.col("left") - F.col("length") + 1, F.lit(0))
+    hits = hits.withColumn("near", F.slice("near", begin + 1, F.col("left") - begin + F.col("length"))).withColumn("left", F.col("left") - begin)
+    hits = hits.where(F.size(F.array_intersect("ordered", "near")) >= F.col("required"))
+    held = F.transform(F.sequence(F.lit(0), F.col("left")), lambda s: F.size(F.array_intersect("ordered", F.slice("near", s + 1, F.col("length")))))
+    return hits.select("doc_id", "_row", "template", "label", "size", "required", F.array_max(held).alias("overlap")).where("overlap >= required")
+
+
 def block_matches(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, block, template, label, overlap, containment) of all matching lines.
+    """Rows (doc_id, block, template, label, overlap, containment) of all matching lines and runs.
 
-    `docs` has doc_id, `low` (the lower-cased text) and `w` (its words).
+    `docs` has doc_id, `low` (the lower-cased text) and `w` (its words). A run has no
+    block number.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, text in templates for w in template_words(text)})
     held = docs.select(F.explode(F.array_intersect("w", F.array(*map(F.lit, vocabulary)))).alias("word"))
     frequency = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     rows = prefixes(templates, percent, frequency)
-    index = spark.createDataFrame(rows, "template int, label string, word string, position int, size int, required int, ordered array<string>")
+    lengths = [ceil(100 * len("".join(c if c.isalnum() else " " for c in text).split()) / percent) for _, text in templates]
+    index = spark.createDataFrame([(*r, lengths[r[0]]) for r in rows], "template int, label string, word string, position int, size int, required int, ordered array<string>, length int")
     seeds = F.array(*map(F.lit, sorted({r[2] for r in rows})))
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
     order = F.array(*(F.lit(w) for w in sorted(rank, key=rank.get)))
@@ -86,7 +104,9 @@ def block_matches(docs: DataFrame, templates=TEMPLATES, percent: int = 80) -> Da
     hits = blocks.select("*", F.posexplode("known").alias("at", "word")).join(F.broadcast(index), "word")
     hits = hits.where((F.col("n") >= F.col("required")) & (F.least(F.col("size") - F.col("position"), F.size("known") - F.col("at")) >= F.col("required")))
     overlap = F.size(F.array_intersect("known", "ordered"))
-    pairs = hits.select("doc_id", "_row", "block", "template", "label", "size", "required", overlap.alias("overlap")).where("overlap >= required").distinct()
+    pairs = hits.select("doc_id", "_row", "block", "template", "label", "size", "required", overlap.alias("overlap")).where("overlap >= required")
+    runs = run_matches(docs, index, seeds, max(lengths, default=1)).withColumn("block", F.lit(None).cast("int"))
+    pairs = pairs.unionByName(runs).distinct()
     return pairs.select("doc_id", "_row", "block", "template", "label", "overlap", (F.col("overlap") / F.col("size")).alias("containment"))
 
 

@@ -1,9 +1,12 @@
 """Cases that show whether an operator does its whole job."""
 
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codebrook.llm import decontamination
+from codebrook.llm import decontamination, license_scan
 
 
 def docs(spark, rows):
@@ -52,3 +55,51 @@ def test_part_of_a_long_item_is_a_match(spark):
     got = {r["doc_id"]: r["score"] for r in decontamination.matches(docs(spark, rows), bench).collect()}
     assert set(got) == {1, 2, 3} and abs(got[1] - 0.45) < 0.02
     assert {r["doc_id"] for r in decontamination.clean(docs(spark, rows), bench).collect()} == {4, 5, 6, *range(10, 20)}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation"""
+
+
+def test_wrapped_license_notices(spark):
+    """Wrapped at 72 to 80 columns, at 20, and as comments; words far apart are no notice."""
+    commented = lambda text, mark: "\n".join(f"{mark} {x}" for x in text.split("\n"))
+    narrow = "\r\n".join(re.findall(r".{1,20}(?:\s|$)", BSD.replace("\n", " ")))
+    far = "\n".join(f"{w} then come many other words that say nothing of that kind at all" for w in BSD.split())
+    rows = [(1, MIT), (2, BSD), (3, GPL), (4, "def f():\n" + commented(MIT, " *")), (5, commented(BSD, "#")), (6, narrow), (7, far), (8, BSD.split("\n")[0])]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert [got[k]["labels"] for k in range(1, 9)] == ["mit", "bsd", "gpl", "mit", "bsd", "bsd", "", ""]
+    assert [got[k]["score"] for k in range(1, 9)] == [1.0] * 6 + [0.0] * 2
+
+
+def test_runs_of_words_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pool = [w for _, t in license_scan.TEMPLATES for w in re.findall("[a-z0-9]+", t.lower())] + ["x", "y"]
+    rows = []
+    for k in range(60):
+        own = re.findall("[a-z0-9]+", license_scan.TEMPLATES[k % 9][1].lower())
+        w = [own[j] if rng.random() < 0.9 else str(rng.choice(pool)) for j in range(len(own))]
+        w = list(rng.choice(pool, 12)) + w + list(rng.choice(pool, 12))
+        rows.append((k, "\n".join(map(str, w))))
+    want = {}
+    for d, t in rows:
+        w = t.split("\n")
+        found = {}
+        for k, (label, text) in enumerate(license_scan.TEMPLATES):
+            own = re.findall("[a-z0-9]+", text.lower())
+            length = -(-100 * len(own) // 80)
+            best = max(len(set(own) & set(w[i : i + length])) for i in range(len(w)))
+            if 100 * best >= 80 * len(set(own)):
+                found[k] = best
+        want[d] = found
+    read = docs(spark, rows).select("doc_id", F.col("text").alias("low")).withColumn("w", license_scan.words(F.col("low"))).withColumn("_row", F.xxhash64("low"))
+    got = {d: {} for d, _ in rows}
+    for r in license_scan.block_matches(read).where("block IS NULL").collect():
+        got[r["doc_id"]][r["template"]] = max(r["overlap"], got[r["doc_id"]].get(r["template"], 0))
+    assert got == want and sum(map(len, want.values())) > 30
