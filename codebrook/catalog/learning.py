@@ -91,7 +91,7 @@ def _centroids(spark, rows):
 @query("pq_kmeans_fit")
 def pq_kmeans_fit(spark, d):
     m = matrix(spark, d)
-    centroids, _ = fit.kmeans_fit(m, D, C, K, rounds=4)
+    centroids, _ = fit.kmeans_fit(m, D, C, K, rounds=4, max_points=0)
     return rounded(_centroids(spark, fit.centroid_model(m, D, centroids)), "value")
 
 
@@ -99,12 +99,12 @@ def pq_kmeans_fit(spark, d):
 def pq_refit_codebook(spark, d):
     m = matrix(spark, d)
     start = [[[GOLD.prototypes[c, k, x] for x in range(a, b)] for k in range(K)] for c, (a, b) in enumerate(LAYOUT)]
-    return rounded(_centroids(spark, fit.centroid_model(m, D, fit.refit_codebook(m, start, 3, D, rounds=3))), "value")
+    return rounded(_centroids(spark, fit.centroid_model(m, D, fit.refit_codebook(m, start, 3, D, rounds=3, max_points=0))), "value")
 
 
 @query("best_of_restarts")
 def best_of_restarts(spark, d):
-    seed, _, inertia = api.best_of_restarts(matrix(spark, d), D, 2, [1, 2], rounds=2)
+    seed, _, inertia = api.best_of_restarts(matrix(spark, d), D, 2, [1, 2], rounds=2, max_points=0)
     return spark.createDataFrame([(seed, round(inertia, 4))], "seed int, inertia double")
 
 
