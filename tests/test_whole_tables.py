@@ -58,3 +58,9 @@ def test_restarts_are_judged_on_all_rows(spark, large, m, x):
     want = {seed: sum(lloyd(x[:, a:b], starts(m, seed + 1, K)[:, a:b], 2)[1] for a, b in layout.bounds(D, 2)) for seed in (1, 2)}
     r = registry.queries()["best_of_restarts"](spark, large).first()
     assert r["seed"] == min(want, key=want.get) and abs(r["inertia"] - want[r["seed"]]) < 1e-2
+
+
+def test_every_row_has_its_products(spark, data):
+    got = registry.queries()["approx_matmul"](spark, data).groupBy("row_id").count().collect()
+    want = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()
+    assert {r["row_id"]: r["count"] for r in got} == {r["vec_id"]: 10 for r in want}
