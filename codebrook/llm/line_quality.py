@@ -5,13 +5,17 @@ lines before and after it; a 2 x 2 table scores label pairs. Lines learn from th
 label of their document. A document's quality is the mean of the forward-backward
 marginals of its lines, weighted by length, put through a logistic calibration.
 
-The field is fitted on a bounded sample: at most `sample` labelled documents per
-label, those with the smallest hash of the id, with at most `sample_lines` lines each
-for fitting (scores always cover whole texts). Those ids are all that is broadcast.
+The field is fitted on a bounded sample of labelled rows: per label at most `sample`
+documents, those with the smallest hash of the id, as far as their texts have at most
+`sample_bytes` bytes in all. Each is taken with its whole text, as scores are too. Those
+ids are all that is broadcast.
 
 Edge cases: a null or empty text is one empty line; documents without lines of words
 get the score of an empty line; without labelled rows every score is 0.5; labels that
-repeat a doc_id count once; other columns are ignored.
+repeat a doc_id count once, with the lower quality; repeated documents, and equal texts,
+get equal scores; a very long text is one slice of the work, and one that alone exceeds
+`sample_bytes` teaches nothing; an empty table gives an empty result; other columns stay,
+but for one with the score's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import hash_words, slices, utf8
 
-SAMPLE, SAMPLE_LINES = 2000, 500
+#: Documents a label, and bytes of their texts, that teach.
+SAMPLE, SAMPLE_BYTES = 2000, 16 << 20
 #: Upper edges of the bins of each measure.
 EDGES = {
     "upper": (0.05, 0.1, 0.2, 0.4, 0.7),
@@ -187,20 +192,24 @@ def train(x: np.ndarray, chars: np.ndarray, first: np.ndarray, label: np.ndarray
     return Model(model.weights, model.pairs, float(a[0]), float(a[1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Fit on (doc_id, text) and (doc_id, quality); None without labels of both kinds."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     pick = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = pick(0).unionByName(pick(1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    ids = pick(0).unionByName(pick(1))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.sum("n").alias("n"))
+    # one row a chosen document: at most two times `sample` in all
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taught = sizes.withColumn("n", so_far).where(F.col("n") <= sample_bytes).select("doc_id", "quality")
+    taught = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x, chars, first = line_features(batch.column(0))
-            ends = np.minimum(first[1:], first[:-1] + sample_lines)
-            rows = [(int(q), x[a:b].tobytes(), chars[a:b].tobytes()) for q, a, b in zip(batch.column(1).to_pylist(), first, ends)]
+            rows = [(int(q), x[a:b].tobytes(), chars[a:b].tobytes()) for q, a, b in zip(batch.column(1).to_pylist(), first, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["quality", "x", "chars"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "quality").mapInArrow(measured, "quality int, x binary, chars binary").toPandas()
+    rows = taught.select("text", "quality").mapInArrow(measured, "quality int, x binary, chars binary").toPandas()
     if rows["quality"].nunique() < 2:
         return None
     x = np.frombuffer(b"".join(rows["x"]), bool).reshape(-1, WIDTH)
