@@ -28,8 +28,9 @@ equal items with ids of their own each match, repeated rows of the benchmark cou
 a passage that stands in a document several times gives one row with its best place;
 repeated documents, and those without a doc_id, each give their rows; a very long text is
 looked through whole; an empty benchmark or table changes nothing; other columns stay
-(`clean`) or are ignored (`matches`). A copy with an edit in every 13 words, whose shorter
-runs are all common, is not found: that is the price of rare seeds.
+(`clean`) or are ignored (`matches`). Seeds have their price: a copy that keeps no three
+words in a row is not found, nor one with an edit in every 13 words whose shorter runs are
+all common.
 """
 
 from __future__ import annotations
@@ -316,5 +317,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_sh
 def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_share: float = RARE_SHARE, passage: int = PASSAGE) -> DataFrame:
     """The documents, with all their columns, that hold no test item's passage."""
     bad = keep(found(docs, benchmark, score, rare_share, passage).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(_small(bad), same, "left_anti")
+    bad = _small(bad)
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
