@@ -56,3 +56,29 @@ def dealt(entries: DataFrame, ranges: int) -> DataFrame:
     """Rows by range, each range in one task, tasks take one range after the other."""
     parts = min(ranges, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return entries.repartition(parts, "range").sortWithinPartitions("range")
+
+
+class Frequent:
+    """Hashes that a task has met in several documents, at most `most`, with columns of values.
+
+    What is let go when it is full are the least frequent ones; they are only combined less.
+    """
+
+    def __init__(self, columns: int = 0, most: int = 1 << 15):
+        self.most, self.h, self.n = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.values = [np.zeros(0, np.int64) for _ in range(columns)]
+
+    def among(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of known hashes in sorted distinct ones, and here; adds their counts."""
+        at = np.searchsorted(hashes, self.h)
+        own = np.flatnonzero(at < len(hashes))
+        own = own[hashes[at[own]] == self.h[own]]
+        self.n[own] += counts[at[own]]
+        return at[own], own
+
+    def add(self, hashes: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> None:
+        h, n = np.append(self.h, hashes), np.append(self.n, counts)
+        order = np.argsort(-n, kind="stable")[: self.most]
+        order = order[np.argsort(h[order])]
+        self.values = [np.append(a, b)[order] for a, b in zip(self.values, values)]
+        self.h, self.n = h[order], n[order]

@@ -8,18 +8,25 @@ words apart in one document, the doubled window is that document's text and keep
 class; only other pairs are grouped anew. Doubling ends when no such pair is left: what remains
 then repeats as far as its runs reach.
 
-Scale: a task combines the windows of a slice of documents first, and sends each
-distinct hash for one document of the slice only, so a passage that a third of all
-documents share costs one entry per slice. Entries travel packed, about 9 bytes a
-window, to fine hash ranges of about `RANGE_BYTES` of text each, which tasks take one
-after the other; ranges grow in number with the input, so memory is bounded. Window
-identity is a 56-bit hash plus an independent hash that picks the range, and ranges do
+What is removed is the union of the repeated runs of all levels: the long ones from the
+doubled windows, and from each level below what did not repeat at twice the length.
+
+Scale: first occurrences are found in three steps. A slice of documents sends each
+distinct hash for one document only; windows that are met in several documents are kept
+by the task, up to a bound, so that its later slices send them no more; what is left
+meets in the ranges. A passage that a third of all documents share costs about one entry
+a task. Entries travel packed, about 9 bytes a window, to fine hash ranges of about
+`RANGE_BYTES` of text each, which tasks take one after the other; ranges grow in number
+with the input, so a range has windows of that text and a few entries a task for each
+shared one. Window identity is a 56-bit hash plus an independent hash that picks the range, and ranges do
 not grow, so a window is mistaken for another with probability under 1e-11.
 
 Edge cases: null or empty texts, texts under `size` words and rows without a doc_id
 have no windows and lose nothing; repeated rows of one doc_id count as one document;
-windows that repeat only inside a document have a class but are not removed; an empty
-table gives empty results; columns other than doc_id and text are ignored.
+windows that repeat only inside a document have a class but are not removed; of equal
+passages that of the least doc_id stays; a very long text is a slice of its own and its
+windows go to all ranges; an empty table gives empty results; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,9 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import compressed, hash_words, keep, mix, rows_of, slices, text_bytes, window_hashes
-from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
+from .entries import ENTRIES, Frequent, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 RANGE_BYTES = 4 << 20
+#: Text of a slice of documents.
+SLICE_BYTES = 3 << 19
 #: Bytes of a window's hash that travel; the range adds an independent part.
 HASH_BYTES = 7
 RUNS = "doc_id long, start int, n int, step int, first_doc long, first_start int"
@@ -92,11 +101,12 @@ def _by_doc(columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[begin]), lists], ["doc_id", "runs"])
 
 
-def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
-    """Entries of level 0, and the classes that a slice's documents give each other."""
+def _window_entries(docs: DataFrame, size: int, ranges: int, limit: int) -> DataFrame:
+    """Entries of level 0, and the classes that a task's documents give each other."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=3 << 19):
+        frequent = Frequent(2)
+        for batch in slices(batches, limit=limit):
             ids = batch.column(0).to_numpy()
             words, first = hash_words(batch.column(1))
             h, row, pos = window_hashes(words, first, size)
@@ -107,15 +117,27 @@ def _window_entries(docs: DataFrame, size: int, ranges: int) -> DataFrame:
             order = np.lexsort((pos, doc))
             doc, pos, h, route = doc[order], pos[order], h[order], route[order]
             by = np.argsort(h, kind="stable")
-            new = np.append(True, h[by][1:] != h[by][:-1])
-            lead = np.empty(len(h), np.int64)
-            lead[by] = by[np.flatnonzero(new)][np.cumsum(new) - 1]
-            own = doc == doc[lead]
+            begin = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
+            lead, many = by[begin], np.diff(np.append(begin, len(h)))
+            of = np.empty(len(h), np.int64)
+            of[by] = np.repeat(np.arange(len(lead)), many)
+            lead_doc, lead_pos = doc[lead], pos[lead]
+            # a place of an earlier slice leads on where it is the smaller one, else it is followed from now on
+            k, at = frequent.among(h[lead], many)
+            old_doc, old_pos = frequent.values[0][at], frequent.values[1][at]
+            earlier = (old_doc < lead_doc[k]) | ((old_doc == lead_doc[k]) & (old_pos <= lead_pos[k]))
+            frequent.values[0][at[~earlier]], frequent.values[1][at[~earlier]] = lead_doc[k[~earlier]], lead_pos[k[~earlier]]
+            lead_doc[k[earlier]], lead_pos[k[earlier]] = old_doc[earlier], old_pos[earlier]
+            lead[k[earlier]] = -1
+            own = doc == lead_doc[of]
             rows = _send(doc[own], pos[own], h[own], route[own], ranges)
             other = np.flatnonzero(~own)
             if len(other):
-                told = np.unique(np.append(other, lead[other]))
-                rows += _reply(doc[told], pos[told], doc[lead[told]], pos[lead[told]], ranges, 2)
+                heads = lead[of[other]]
+                told = np.unique(np.append(other, heads[heads >= 0]))
+                rows += _reply(doc[told], pos[told], lead_doc[of[told]], lead_pos[of[told]], ranges, 2)
+                fresh = np.setdiff1d(np.unique(of[other]), k, assume_unique=True)
+                frequent.add(h[lead[fresh]], many[fresh], lead_doc[fresh], lead_pos[fresh])
             yield entry_batch(rows)
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, ENTRIES)
@@ -262,13 +284,13 @@ def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
     return dealt(found, ranges).mapInArrow(gather, f"{BY_DOC}, {ENTRIES}")
 
 
-def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]]:
+def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTES) -> list[tuple[int, DataFrame]]:
     """For each level, the window length and the kept runs of repeated places.
 
     Each level has rows (doc_id, runs).
     """
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
-    found = keep(_repeated(_window_entries(docs, size, ranges), ranges))
+    found = keep(_repeated(_window_entries(docs, size, ranges, slice_bytes), ranges))
     levels = [(size, keep(_resolved(found)))]
     entries = _doubled(levels[0][1], size, ranges)
     while True:
@@ -284,15 +306,15 @@ def repeated_runs(docs: DataFrame, size: int = 13) -> list[tuple[int, DataFrame]
 def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     """Per document: words, removed words, longest earlier repeat, and the kept text's sha256.
 
-    A word goes if a window over it also starts in a document with a smaller doc_id.
-    Texts travel compressed to the join with the spans.
+    A word goes if a window over it also starts in a document with a smaller doc_id: it
+    lies in a run of some level whose class has one. Texts travel compressed to the join with the spans.
     """
     size = levels[0][0]
     far = lambda step, n, length: F.when(step == 1, n + (length - 1)).otherwise(length)
     marks = None
     for length, state in levels:
         own = state.select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
-        spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"))) if length == size else F.lit(None)
+        spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"] + (length - 1)).alias("end")))  # noqa: B023
         own = own.select("doc_id", spans.alias("spans"), F.array_max(F.transform("runs", lambda r: far(r["step"], r["n"], length))).alias("m"))  # noqa: B023
         marks = own if marks is None else marks.unionByName(own)
     marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("m").cast("long").alias("longest_repeat"))
@@ -308,7 +330,7 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
                     edge = np.zeros(n + 1, np.int64)
                     for x in own:
                         edge[x["start"]] += 1
-                        edge[x["start"] + x["n"] + size - 1] -= 1
+                        edge[x["end"]] -= 1
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), longest or 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
