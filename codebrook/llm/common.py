@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,20 +158,21 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int, base: int = 0
     return mix(acc[inside]), at, inside - first[at]
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder and cut its lineage.
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset, as
-    in tests, a new temporary folder is taken.
-    """
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

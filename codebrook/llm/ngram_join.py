@@ -7,19 +7,27 @@ other documents, which an exchange of three bytes a shingle tells; the rest of t
 is on those sets. Two sets that reach the threshold share a shingle among
 their first `n - ceil(t n) + 1`; for each such shingle, the sets of like size that have
 it there join the block of the one that has it earliest, so any pair that may link meets in a
-block. In a block every set is first compared with the block's head. What the head
-does not hold is looked up in a trie of the block's ordered sets: a traversal shares
-the overlap of common beginnings, and leaves a subtree when what remains on either
-side cannot reach the required overlap, or when all its sets are linked already.
+block. A block's ordered sets form a trie. A set's traversal of it shares the overlap of
+common beginnings, and leaves a subtree when what remains on either side cannot reach the
+required overlap, or when all its sets are linked already. The block's head goes first;
+then only those that nothing has linked with it.
+
+The order only has to put shingles last that very many documents share. A counter of the
+sketch holds those of all shingles that fall to it, N / `SKETCH` on average; shingles
+stand out that are some times more frequent than the root of that.
 
 Blocks over `BLOCK` shingles are dealt in chunks, each with the head; sets that the head
-does not hold then meet every chunk. No task holds more than two chunks, pairs already
+does not link then meet every chunk. No task holds more than two chunks, pairs already
 known to be connected are never compared, and links are only dropped when both sets
 are connected by others.
 
 Edge cases: a text of fewer words than n is one shingle; null or empty texts, or
 texts without words, have an empty set and link with nothing; repeated rows share
-their class; an empty table gives an empty result; other columns are ignored.
+their class; rows without a doc_id share the class of an equal set, else they link
+nothing; a class is named by its
+least doc_id, which also is the one that `representatives` keeps, beside all rows without
+words; a very long text is one set of the work; an empty table gives
+an empty result; other columns are ignored (`classes`) or stay (`representatives`).
 """
 
 from __future__ import annotations
@@ -31,9 +39,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, compressed, hash_words, keep, mix, slices, text_bytes, unzipped, window_hashes, zipped
-from .entries import ENTRIES, by_key, dealt, entry_batch, in_ranges, planes, unplanes
+from .entries import ENTRIES, Frequent, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
 SKETCH, BLOCK = 1 << 18, 1 << 17
@@ -98,48 +107,58 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _signature(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size of each text's set, and a hash of the whole set."""
+    h, first = shingle_sets(texts, n)
+    size = np.diff(first)
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h))])
+    return size, mix((total[first[1:]] - total[first[:-1]]) + size.astype(_U)).view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, n, sig): set size and a hash of the whole set."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            h, first = shingle_sets(batch.column(1), n)
-            size = np.diff(first)
-            total = np.concatenate([np.zeros(1, _U), np.cumsum(mix(h))])
-            sig = mix((total[first[1:]] - total[first[:-1]]) + size.astype(_U)).view(np.int64)
+            size, sig = _signature(batch.column(1), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig)], ["doc_id", "n", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, sig long")
 
 
-def repeated_counts(docs: DataFrame, n: int) -> DataFrame:
+def repeated_counts(docs: DataFrame, n: int, slice_bytes: int = 3 << 19) -> DataFrame:
     """(doc_id, repeated): at least as many of its shingles stand in other documents too.
 
     Shingles that repeat inside a slice are counted there and sent once, without a
-    document. The others travel as three bytes to fine ranges, which grow in number
+    document; the task keeps them, up to a bound, and sends them no more. The others travel as three bytes to fine ranges, which grow in number
     with the input; the few that only seem to repeat (about one in 25) make candidates.
     """
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=3 << 19):
+        frequent = Frequent()
+        for batch in slices(batches, limit=slice_bytes):
             ids = batch.column(0).to_numpy()
             h, first = shingle_sets(batch.column(1), n)
             if not len(h):
                 continue
             row = np.repeat(np.arange(len(ids)), np.diff(first))
             by = np.argsort(h, kind="stable")
-            new = np.append(True, h[by][1:] != h[by][:-1])
-            group = np.cumsum(new) - 1
+            begin = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
+            lead, held = by[begin], np.diff(np.append(begin, len(h)))
+            known, _ = frequent.among(h[lead], held)
+            fresh = np.setdiff1d(np.flatnonzero(held > 1), known, assume_unique=True)
+            repeats = held > 1
+            repeats[known] = True
+            frequent.add(h[lead[fresh]], held[fresh])
             many = np.empty(len(h), bool)
-            many[by] = np.bincount(group)[group] > 1
+            many[by] = np.repeat(repeats, held)
             local = np.bincount(row[many], minlength=len(ids))
             told = np.flatnonzero(local)
             out = [(to, 2, planes(ids[told[at]]), local[told[at]].astype(np.int32).tobytes(), None, None) for to, at in by_key(_part(ids[told], ranges))]
             to = ((h >> _U(32)) % _U(ranges)).astype(np.int64)
             low = h.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            lead = by[new]
-            shared, own = lead[many[lead]], np.flatnonzero(~many)
+            shared, own = lead[fresh], np.flatnonzero(~many)
             out += [(k, 1, None, low[shared[at]].tobytes(), None, None) for k, at in by_key(to[shared])]
             out += [(k, 0, planes(ids[row[own[at]]]), low[own[at]].tobytes(), None, None) for k, at in by_key(to[own])]
             yield entry_batch(out)
@@ -225,15 +244,20 @@ class Trie:
                 yield lo
 
 
-def block_links(sets: list[np.ndarray], keys: list[bytes], percent: int, seekers: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links (seeker, other) that connect what `linked` (a group number each) does not."""
+def block_links(sets: list[np.ndarray], keys: list[bytes], percent: int, seekers: list[int], done: int | None = None) -> list[tuple[int, int]]:
+    """Links (seeker, other), enough to connect all that link with a seeker.
+
+    Seekers that are connected with the set `done` by the time of their turn are skipped.
+    """
     if not seekers:
         return []
     trie, out = Trie(sets, keys), []
-    group = linked[trie.order].copy()
+    group = np.arange(len(sets))
     place = np.empty(len(sets), np.int64)
     place[trie.order] = np.arange(len(sets))
     for s in seekers:
+        if done is not None and s != done and group[place[s]] == group[place[done]]:
+            continue
         for other in trie.links(sets[s], percent, group, group[place[s]]):
             if group[other] != group[place[s]]:
                 out.append((s, trie.order[other]))
@@ -241,11 +265,6 @@ def block_links(sets: list[np.ndarray], keys: list[bytes], percent: int, seekers
     return out
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-    return int((a[at] == b).sum())
-
-
 def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between set hashes, enough to connect all that link."""
     reps = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -285,23 +304,17 @@ def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, bloc
         sig, head = group.column("sig").to_pylist(), key[0].as_py()
         own = [np.frombuffer(x, _U) for x in group.column("set").to_pylist()]
         lead = sig.index(head)
-        top = np.sort(own[lead])
-        linked = np.arange(len(own))
-        out = []
-        for i, s in enumerate(own):
-            if i != lead and _overlap(top, s) >= needed(len(s), len(top), percent):
-                linked[i] = lead
-                out.append((sig[i], head))
-        loose = [i for i in range(len(own)) if linked[i] != lead]
-        out += [(sig[a], sig[b]) for a, b in block_links(own, order_keys(own) if loose else [], percent, loose, linked)]
-        apart = [] if group.column("chunks")[0].as_py() == 1 else [(sig[i], None) for i in loose]
+        pairs = block_links(own, order_keys(own), percent, [lead, *(i for i in range(len(own)) if i != lead)], lead)
+        out = [(sig[a], sig[b]) for a, b in pairs]
+        held = {lead, *(b for a, b in pairs if a == lead)}
+        apart = [] if group.column("chunks")[0].as_py() == 1 else [(sig[i], None) for i in range(len(own)) if i not in held]
         return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*out + apart)) or ([], []))], ["a", "b"])
 
     def across(key: tuple, group: pa.Table) -> pa.Table:
         sig = group.column("sig").to_pylist()
         own = [np.frombuffer(x, _U) for x in group.column("set").to_pylist()]
         seek = [i for i, x in enumerate(group.column("seek").to_pylist()) if x]
-        out = [(sig[a], sig[b]) for a, b in block_links(own, order_keys(own), percent, seek, np.arange(len(own)))]
+        out = [(sig[a], sig[b]) for a, b in block_links(own, order_keys(own), percent, seek)]
         return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*out)) or ([], []))], ["a", "b"])
 
     within = keep(members.groupBy("head", "chunk").applyInArrow(compare, "a long, b long"))
@@ -317,13 +330,18 @@ def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, counts, bloc
     return found.unionByName(crossed)
 
 
-def classes(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
-    """Per document (doc_id, n_shingles, component_id): the least doc_id that links reach."""
+def _roots(docs: DataFrame, signed: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(sig, root, least): the class of every set that is not empty, and the set's least doc_id."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch(docs, n))
-    signed = keep(signatures(docs, n))
     roots = components(links(docs, signed, n, percent, counts, block))
     least_doc = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    of_sig = least_doc.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    return least_doc.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def classes(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
+    """Per document (doc_id, n_shingles, component_id): the least doc_id that links reach."""
+    signed = keep(signatures(docs, n))
+    of_sig = _roots(docs, signed, n, percent, block)
     of_root = of_sig.groupBy("root").agg(F.min("least").alias("component_id"))
     known = of_sig.join(of_root, "root").select("sig", "component_id")
     full = signed.where("n > 0").select("doc_id", "n", "sig").join(known, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -333,7 +351,27 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK)
 def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """All columns of one document, that of the least doc_id, of each class.
 
-    Texts travel compressed to the join by doc_id; a repeated doc_id stays once.
+    A class keeps one row. A doc_id with different texts counts with each of them, rows
+    without a doc_id are kept where their set is nobody else's, and rows without words
+    stay. Texts travel compressed to the join.
     """
-    kept = classes(docs, n, percent, block).where("doc_id = component_id").select("doc_id").distinct()
-    return unzipped(zipped(docs).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    signed = keep(signatures(docs, n))
+    of_sig = _roots(docs, signed, n, percent, block)
+    first = of_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sig")).alias("f"))
+    kept = first.select(F.col("f.sig").alias("_kept"), F.col("f.least").alias("_least"))
+    texts = zipped(_signed(docs, n))
+    joined = texts.join(kept, (F.col("__sig") == F.col("_kept")) & texts["doc_id"].eqNullSafe(kept["_least"]), "left")
+    joined = joined.where("__n = 0 OR _kept IS NOT NULL").withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
+    return unzipped(joined.dropDuplicates(["__sig", "__row"]).select(*(texts[c] for c in docs.columns)))
+
+
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """All columns, and the size and the hash of each row's set."""
+    k = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            size, sig = _signature(batch.column(k), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(sig)], [*batch.schema.names, "__n", "__sig"])
+
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sig", T.LongType())]))
