@@ -103,3 +103,55 @@ def test_runs_of_words_against_brute_force(spark):
     for r in license_scan.block_matches(read).where("block IS NULL").collect():
         got[r["doc_id"]][r["template"]] = max(r["overlap"], got[r["doc_id"]].get(r["template"], 0))
     assert got == want and sum(map(len, want.values())) > 30
+
+
+def test_first_places_over_many_slices(spark):
+    """A passage that all documents share, met in many slices of a task, in any order of ids."""
+    import hashlib
+
+    from codebrook.llm import substring_dedup
+
+    rng = np.random.default_rng(12)
+    shared, rows = [f"s{i}" for i in range(30)], []
+    for d in rng.permutation(120):
+        own = [f"o{d}_{i}" for i in range(20)]
+        rows.append((int(d), " ".join(own[:10] + shared[: 30 - d % 4] + own[10:] + (shared if d % 7 == 0 else []))))
+    first = {}
+    for d, t in sorted(rows):
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    table = docs(spark, rows).coalesce(1)
+    got = {r["doc_id"]: r for r in substring_dedup.removed(table, substring_dedup.repeated_runs(table, slice_bytes=2000)).collect()}
+    for d, t in rows:
+        w = t.split()
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        assert got[d]["n_removed"] == len(gone)
+        assert got[d]["kept_sha256"] == hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
+
+
+def test_repeated_shingles_over_many_slices(spark):
+    from codebrook.llm import ngram_join
+
+    rows = [(d, " ".join([f"o{d}_{i}" for i in range(9)] + [f"s{i}" for i in range(12)] + [f"p{d % 5}_{i}" for i in range(8)])) for d in range(200)]
+    rows += [(500, " ".join(f"z{i}" for i in range(40)))]
+    counts = {}
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for d, t in rows}
+    for s in sets.values():
+        for x in s:
+            counts[x] = counts.get(x, 0) + 1
+    got = {r["doc_id"]: r["repeated"] for r in ngram_join.repeated_counts(docs(spark, rows).coalesce(1), 3, 3000).collect()}
+    for d, s in sets.items():
+        want = sum(counts[x] > 1 for x in s)
+        assert want <= got.get(d, 0) <= want + 2
+
+
+def test_representatives_of_odd_rows(spark):
+    from codebrook.llm import ngram_join
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (None, ""), (3, None), (3, None), (4, " \n"), (5, "a0 " + a)]
+    clash = docs(spark, rows).selectExpr("*", "7 AS sig", "8 AS least", "9 AS n", "doc_id AS root")
+    kept = ngram_join.representatives(clash, n=5, percent=80)
+    assert kept.columns == clash.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept.collect()) == sorted([("1", a), ("2", b), ("None", c), ("None", ""), ("3", "None"), ("3", "None"), ("4", " \n")])
