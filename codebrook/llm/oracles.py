@@ -15,9 +15,9 @@ def _text(value: str) -> str:
 
 def license_sql(percent: int = 80) -> str:
     rows = []
-    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+    for k, ((label, text), length) in enumerate(zip(license_scan.TEMPLATES, license_scan.run_lengths(license_scan.TEMPLATES, percent))):
         own = license_scan.template_words(text)
-        rows.append(f"({k}, {_text(label)}, [{', '.join(map(_text, own))}], {ceil(percent * len(own) / 100)})")
+        rows.append(f"({k}, {_text(label)}, [{', '.join(map(_text, own))}], {ceil(percent * len(own) / 100)}, {length})")
     places = "\nUNION ALL\n".join(
         f"SELECT r, doc_id, {_text(label)} AS label, unnest(list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"coalesce(w[i + {j + 1}] = {_text(x)}, false)" for j, x in enumerate(phrase.split())) + ")) AS place FROM d WHERE contains(low, 'license')"
         for phrase, label in license_scan.PHRASES
@@ -27,13 +27,15 @@ def license_sql(percent: int = 80) -> str:
 WITH d AS (
   SELECT *, regexp_extract_all(low, {word}) AS w
   FROM (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS low FROM documents)
-), templates(id, label, words, required) AS (VALUES {", ".join(rows)}),
+), templates(id, label, words, required, length) AS (VALUES {", ".join(rows)}),
 places AS ({places}),
 base AS (SELECT r, count(*) AS n, min(place) AS a, max(place) AS b, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY r),
-lines AS (SELECT r, regexp_extract_all(unnest(string_split(low, chr(10))), {word}) AS w FROM d),
+whole AS (SELECT r, low, w, label, words, required, length FROM d JOIN templates ON len(list_intersect(list_distinct(w), words)) >= required),
+lines AS (SELECT r, label, words, required, regexp_extract_all(unnest(string_split(low, chr(10))), {word}) AS w FROM whole),
+runs AS (SELECT r, label, words, required, length, w, unnest(range(1, len(w) + 1)) AS i FROM whole),
 pairs AS (
-  SELECT r, label, len(list_intersect(list_distinct(w), words)) AS overlap, len(words) AS size, required
-  FROM lines JOIN templates ON list_has_any(w, words)
+  SELECT r, label, len(list_intersect(list_distinct(w), words)) AS overlap, len(words) AS size, required FROM lines
+  UNION ALL SELECT r, label, len(list_intersect(list_distinct(w[i : i + length - 1]), words)), len(words), required FROM runs
 ), found AS (SELECT r, list(label) AS labels, max(overlap / size) AS best FROM pairs WHERE overlap >= required GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word,
   array_to_string(coalesce(base.labels, []), ',') AS base_labels,
@@ -44,17 +46,21 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""
 
 def url_sql() -> str:
     values = lambda rows: ", ".join(f"({', '.join(map(_text, r))})" for r in rows)
-    others = [(h, "/", "block") for h in url_filter.BLOCKED_HOSTS]
+    given, words = (", ".join(map(_text, x)) for x in (url_filter.BLOCKED_HOSTS, url_filter.BLOCKED_WORDS))
+    canonical = lambda of: f"regexp_replace({of}, '^.*@|:[0-9]*$|\\.$', '', 'g')"
     pattern = r"'^.*?://([^/?#]*)([^?#]*)'"
-    best = lambda what, rules, path: f"(SELECT {what} FROM {rules} r WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with({path}, r.path) ORDER BY length(r.host || r.path) DESC, length(r.host) DESC LIMIT 1)"
+    best = lambda what, rules, host, path: f"(SELECT {what} FROM {rules} r WHERE ({host} = r.host OR ends_with({host}, '.' || r.host)) AND starts_with({path}, r.path) ORDER BY length(r.host || r.path) DESC, length(r.host) DESC LIMIT 1)"
     return f"""
-WITH rules(host, path, verdict) AS (VALUES {values(url_filter.RULES)}), others(host, path, verdict) AS (VALUES {values(others)}),
+WITH rules(host, path, verdict) AS (VALUES {values(url_filter.RULES)}),
 p AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, {pattern}, 1, 's'), ''), '{_UP}', '{_LOW}') AS host, coalesce(regexp_extract(url, {pattern}, 2, 's'), '') AS path
   FROM pages
+), hosts AS (SELECT DISTINCT {canonical("host")} AS host FROM p), others AS (
+  SELECT host, '/' AS path, 'block' AS verdict FROM hosts WHERE list_has_any(regexp_split_to_array(host, '[.-]'), [{words}])
+  UNION SELECT unnest([{given}]), '/', 'block'
 )
-SELECT page_id, host, path, {best("r.host || r.path", "rules", "p.path")} AS rule,
-  coalesce({best("r.verdict", "rules", "p.path")}, {best("r.verdict", "others", "CASE WHEN p.path = '' THEN '/' ELSE p.path END")}, 'allow') AS verdict
+SELECT page_id, host, path, {best("r.host || r.path", "rules", "p.host", "p.path")} AS rule,
+  coalesce({best("r.verdict", "rules", "p.host", "p.path")}, {best("r.verdict", "others", canonical("p.host"), "CASE WHEN p.path = '' THEN '/' ELSE p.path END")}, 'allow') AS verdict
 FROM p"""
 
 

@@ -46,9 +46,8 @@ def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = url_filter.rule_table(spark)
-    others = url_filter.rule_table(spark, [(h, "/", "block") for h in url_filter.BLOCKED_HOSTS])
-    return url_filter.judge(table(spark, sf_dir, "pages"), rules, others)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.rule_table(spark), url_filter.listed_hosts(pages))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,26 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, then an exact hash join.
 
-A list holds canonical URLs, host and path prefix. An URL's candidate keys are all its
-parent domains with all path prefixes of listed lengths. Each key looks into one
-64-bit block of the filter; only keys whose bits are all set reach the exact join,
-which removes false positives. DataFrame functions only.
+A list is a table of canonical URLs: host and path prefix, with a verdict. An URL's
+candidate keys are all its parent domains with all path prefixes of listed lengths. Inside
+the row, each key looks into one 64-bit block of the filter; only keys whose bits are all
+set leave the row for the exact join on the key, which removes false positives. DataFrame
+functions only.
 
-The filter has `BITS` bits a listed URL. It is broadcast only while the list is under
-`BROADCAST_URLS` rows (counted); beyond that both joins shuffle on the key.
+The filter has `BITS` bits a listed URL, up to `FILTER_BLOCKS` blocks of 8 bytes, and is a
+scalar of the plan, so a list of any length is filtered the same way; beyond that size
+more keys pass, which the exact join then tells apart. Listed URLs are broadcast to that
+join under `SMALL_ROWS` rows, which are counted, else it shuffles on the key.
+
+The list where no rule speaks, `listed_hosts`, is derived from the pages: canonical hosts
+with a word of `BLOCKED_WORDS` among the words of their labels, and some given ones.
+Canonical hosts have no user, no port and no last dot.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and matches
 no rule; distinct (host, path) pairs are judged once, so repeated URLs and a host with
 a third of all rows cost one row each; the longest listed URL wins, then the longer
-host, then the text order.
+host, then the text order; an URL that is listed with two verdicts is blocked; a very long
+URL has as many keys as labels times listed lengths; an empty list blocks nothing; an
+empty table gives an empty result; columns other than page_id and url are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +36,11 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Hosts blocked where no rule speaks.
+#: Hosts that are listed whatever the pages are.
 BLOCKED_HOSTS = ("ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
-BITS, BROADCAST_URLS = 128, 100_000
+#: Words of a host's labels that put it on the list.
+BLOCKED_WORDS = ("ads", "adult", "bets", "casino", "gambling", "malware", "phishing", "pills", "poker", "porn", "spam", "track", "viagra", "xxx")
+BITS, FILTER_BLOCKS, SMALL_ROWS = 128, 1 << 20, 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -59,36 +70,64 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return own.groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
-def listed_matches(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """Longest listed URL of each distinct (host, path): host, path, rule, verdict.
+def packed_bloom(listed: DataFrame, blocks: int) -> DataFrame:
+    """The filter as one row with an array of all blocks; at most `FILTER_BLOCKS` of them."""
+    every = listed.sparkSession.range(blocks).select(F.col("id").alias("block")).join(bloom(listed, blocks), "block", "left")
+    packed = every.agg(F.array_sort(F.collect_list(F.struct("block", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
+    return packed.select(F.col("all.bits").alias("filter"))
 
-    `listed` has host, path (a prefix) and verdict.
-    """
-    entries = listed.select(F.concat("host", "path").alias("key"), F.length("host").alias("_h"), "verdict").dropDuplicates(["key"])
-    size = entries.count()
-    lengths = [r["n"] for r in listed.select(F.length("path").alias("n")).distinct().collect()]
-    blocks = max(1, (size * BITS + 63) // 64)
-    small = F.broadcast if size <= BROADCAST_URLS else (lambda df: df)
+
+def canonical(of: Column) -> Column:
+    """A host without user, port and last dot."""
+    return F.regexp_replace(of, r"^.*@|:[0-9]*$|\.$", "")
+
+
+def listed_hosts(pages: DataFrame, words=BLOCKED_WORDS, given=BLOCKED_HOSTS) -> DataFrame:
+    """The list (host, path, verdict) of the pages' hosts that have a listed word, and of given ones."""
+    hosts = pages.select(canonical(host(F.col("url"))).alias("host")).distinct()
+    found = hosts.where(F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, words))))
+    always = pages.sparkSession.createDataFrame([(h,) for h in given], "host string")
+    return found.unionByName(always).distinct().select("host", F.lit("/").alias("path"), F.lit("block").alias("verdict"))
+
+
+def possible_keys(urls: DataFrame, entries: DataFrame, lengths: list[int], size: int, most: int = FILTER_BLOCKS) -> DataFrame:
+    """(host, path, key) of distinct URLs' candidate keys that pass the filter over `size` entries."""
+    blocks = max(1, min((size * BITS + 63) // 64, most))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fitting = F.filter(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     heads = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
-    probes = urls.select("host", "path").distinct().withColumn("key", F.explode(keys)).withColumn("block", _block(F.col("key"), blocks))
-    possible = probes.join(small(bloom(entries, blocks)), "block").where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-    exact = possible.select("host", "path", "key").join(small(entries), "key")
+    probed = urls.select("host", "path").distinct().withColumn("filter", packed_bloom(entries, blocks).scalar())
+    passed = F.filter(keys, lambda k: F.get("filter", _block(k, blocks).cast("int")).bitwiseAND(_mask(k)) == _mask(k))
+    return probed.select("host", "path", F.explode(passed).alias("key"))
+
+
+def listed_matches(urls: DataFrame, listed: DataFrame, most: int = FILTER_BLOCKS) -> DataFrame:
+    """Longest listed URL of each distinct (host, path): host, path, rule, verdict.
+
+    `listed` has host, path (a prefix) and verdict; "block" wins over "allow".
+    """
+    entries = listed.select(F.concat("host", "path").alias("key"), F.length("host").alias("_h"), "verdict").groupBy("key").agg(F.max("_h").alias("_h"), F.max("verdict").alias("verdict"))
+    size = entries.count()
+    lengths = [r["n"] for r in listed.select(F.length("path").alias("n")).distinct().collect()]
+    exact = possible_keys(urls, entries, lengths, size, most).join(F.broadcast(entries) if size <= SMALL_ROWS else entries, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "_h", "key", "verdict")).alias("top"))
     return best.select("host", "path", F.col("top.key").alias("rule"), F.col("top.verdict").alias("verdict"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, others: DataFrame) -> DataFrame:
-    """Per page: host, path, rule and verdict; `others` is the list where no rule fits."""
+    """Per page: host, path, rule and verdict; `others` is the list where no rule fits.
+
+    Rules see hosts and paths as they are; the list sees canonical hosts, and / for an
+    empty path.
+    """
     split = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     ruled = listed_matches(split, rules)
-    slashed = split.withColumn("path", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
-    other = listed_matches(slashed, others).select("host", F.col("path").alias("_slashed"), F.col("verdict").alias("_other"))
-    joined = split.join(ruled, ["host", "path"], "left").withColumn("_slashed", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
-    joined = joined.join(other, ["host", "_slashed"], "left")
+    as_listed = lambda df: df.withColumn("_host", canonical(F.col("host"))).withColumn("_path", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
+    plain = as_listed(split).select(F.col("_host").alias("host"), F.col("_path").alias("path"))
+    other = listed_matches(plain, others).select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("verdict").alias("_other"))
+    joined = as_listed(split.join(ruled, ["host", "path"], "left")).join(other, ["_host", "_path"], "left")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", "_other", F.lit("allow")).alias("verdict"))
 
 
