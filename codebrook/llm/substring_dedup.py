@@ -108,14 +108,18 @@ def _window_entries(docs: DataFrame, size: int, ranges: int, limit: int) -> Data
         frequent = Frequent(2)
         for batch in slices(batches, limit=limit):
             ids = batch.column(0).to_numpy()
+            if (np.diff(ids) < 0).any():
+                batch = batch.take(pa.array(np.argsort(ids, kind="stable")))
+                ids = batch.column(0).to_numpy()
             words, first = hash_words(batch.column(1))
             h, row, pos = window_hashes(words, first, size)
             if not len(h):
                 continue
             route, _, _ = window_hashes(words, first, size, 0xD1342543DE82EF95)
             doc = ids[row]
-            order = np.lexsort((pos, doc))
-            doc, pos, h, route = doc[order], pos[order], h[order], route[order]
+            if (np.diff(ids) == 0).any():
+                order = np.lexsort((pos, doc))
+                doc, pos, h, route = doc[order], pos[order], h[order], route[order]
             by = np.argsort(h, kind="stable")
             begin = np.flatnonzero(np.append(True, h[by][1:] != h[by][:-1]))
             lead, many = by[begin], np.diff(np.append(begin, len(h)))
