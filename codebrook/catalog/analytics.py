@@ -83,12 +83,11 @@ def approx_vs_exact_by_label(spark, d):
     """Flagship: table look-ups against exact products, by label; the scores of a row never leave it."""
     from ..plans.api import both_products
 
-    both = both_products(layout.matrix(read(spark, d, "embeddings")).join(labels(spark, d), "row_id"), GOLD)
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+    both = both_products(rows, GOLD)
     best = lambda c: F.array_position(F.col(c), F.array_max(c))
     long = both.select("label", (best("a") == best("d")).cast("int").alias("same"), F.explode(F.arrays_zip("a", "d")).alias("p")).select("label", "same", "p.a", "p.d")
-    per = metrics.error_metrics(long, "label")
-    agree = long.groupBy("label").agg((100.0 * F.avg("same")).alias("agree"))
-    return rounded(per.join(agree, "label"), "agree", *metrics.METRICS)
+    return rounded(metrics.error_metrics(long, "label", (100.0 * F.avg("same")).alias("agree")), "agree", *metrics.METRICS)
 
 
 @query("merge_error_reports", f"WITH {OUTPUTS}, rep AS (SELECT row_id % 7 AS batch, m, avg(abs(a - d)) AS mae, count(*) AS n FROM pairs GROUP BY ALL) SELECT m, round(sum(mae * n) / sum(n), 4) AS mae, sum(n)::BIGINT AS n FROM rep GROUP BY m")
@@ -192,28 +191,29 @@ def bucket_means(spark, d):
 
 
 _KEYS, _ORDER = ["c", "node", "dim"], ["x", "row_id"]
-# discounts and taxes only: short sums keep every intermediate exact
-_SMALL = f"{_FIXED}, sm AS (SELECT * FROM fx WHERE dim >= 2)"
-_HEAD = f"{_SMALL}, hd AS (SELECT *, count(*) OVER w AS n_head, (sum(x) OVER w)::BIGINT AS s_head, (sum(x * x) OVER w)::BIGINT AS q_head, count(*) OVER p AS n_all, (sum(x) OVER p)::BIGINT AS s_all, (sum(x * x) OVER p)::BIGINT AS q_all, lead(x) OVER (PARTITION BY c, node, dim ORDER BY x, row_id) AS next_x FROM sm WINDOW w AS (PARTITION BY c, node, dim ORDER BY x, row_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY c, node, dim)), lo AS (SELECT *, floor(q_head - s_head * s_head / n_head::DOUBLE)::BIGINT AS sse_head, (CASE WHEN n_all > n_head THEN floor((q_all - q_head) - (s_all - s_head) * (s_all - s_head) / (n_all - n_head)::DOUBLE) ELSE 0 END)::BIGINT AS sse_tail, coalesce((x + next_x) / 2.0, x::DOUBLE) AS threshold FROM hd)"
+# sums and squares are exact: wide integers there, wide decimals here
+_OVER = "w AS (PARTITION BY c, node, dim ORDER BY x, row_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY c, node, dim)"
+_FLOOR = lambda q, s, n: f"({q} - ({s} * {s} + {n} - 1) // {n})"
+_HEAD = f"{_FIXED}, hd AS (SELECT *, (count(*) OVER w)::HUGEINT AS n_head, (sum(x::HUGEINT) OVER w) AS s_head, (sum(x::HUGEINT * x) OVER w) AS q_head, (count(*) OVER p)::HUGEINT AS n_all, (sum(x::HUGEINT) OVER p) AS s_all, (sum(x::HUGEINT * x) OVER p) AS q_all, lead(x) OVER (PARTITION BY c, node, dim ORDER BY x, row_id) AS next_x FROM fx WINDOW {_OVER}), lo AS (SELECT c, node, dim, row_id, x, n_head::BIGINT AS n_head, {_FLOOR('q_head', 's_head', 'n_head')} AS sse_head, CASE WHEN n_all > n_head THEN {_FLOOR('(q_all - q_head)', '(s_all - s_head)', '(n_all - n_head)')} ELSE 0 END AS sse_tail, coalesce((x + next_x) / 2.0, x::DOUBLE) AS threshold FROM hd)"
 
 
 def heads(spark, d):
-    return fit.cum_sse_head(fixed(spark, d).where("dim >= 2"), _KEYS, _ORDER)
+    return fit.cum_sse_head(fixed(spark, d), _KEYS, _ORDER)
 
 
-@query("cum_sse_head", f"WITH {_HEAD} SELECT row_id, node, dim, n_head, sse_head FROM lo")
+@query("cum_sse_head", f"WITH {_HEAD} SELECT row_id, node, dim, n_head, sse_head::DOUBLE AS sse_head FROM lo")
 def cum_sse_head(spark, d):
-    return heads(spark, d).select("row_id", "node", "dim", "n_head", "sse_head")
+    return heads(spark, d).select("row_id", "node", "dim", "n_head", F.col("sse_head").cast("double").alias("sse_head"))
 
 
-@query("cum_sse_tail", f"WITH {_HEAD} SELECT row_id, node, dim, sse_tail FROM lo")
+@query("cum_sse_tail", f"WITH {_HEAD} SELECT row_id, node, dim, sse_tail::DOUBLE AS sse_tail FROM lo")
 def cum_sse_tail(spark, d):
-    return fit.cum_sse_tail(heads(spark, d), _KEYS).select("row_id", "node", "dim", "sse_tail")
+    return fit.cum_sse_tail(heads(spark, d), _KEYS).select("row_id", "node", "dim", F.col("sse_tail").cast("double").alias("sse_tail"))
 
 
 @query("split_candidates", f"WITH {_HEAD} SELECT row_id, node, dim, round(threshold, 4) AS threshold FROM lo")
 def split_candidates(spark, d):
-    return rounded(fit.split_candidates(fixed(spark, d).where("dim >= 2"), _KEYS, _ORDER).select("row_id", "node", "dim", "threshold"), "threshold")
+    return rounded(fit.split_candidates(fixed(spark, d), _KEYS, _ORDER).select("row_id", "node", "dim", "threshold"), "threshold")
 
 
 @query("rank_split_dims", f"WITH {_STATS}, e AS (SELECT c, dim, sum(greatest(0.0, sum_x2 - sum_x::DOUBLE * sum_x / n)) AS sse FROM st GROUP BY c, dim), r AS (SELECT c, dim, row_number() OVER (PARTITION BY c ORDER BY sse DESC, dim)::INT AS rank FROM e) SELECT c, dim, rank FROM r WHERE rank <= 3")
@@ -227,11 +227,11 @@ def splits(spark, d):
     return fit.best_split(fit.split_candidates(full, _KEYS, _ORDER), _KEYS)
 
 
-@query("best_split", f"WITH {_HEAD} SELECT c, node, dim, round(arg_min(threshold, (sse_head + sse_tail, x, row_id)), 4) AS threshold, min(sse_head + sse_tail) AS loss FROM lo GROUP BY c, node, dim")
+@query("best_split", f"WITH {_HEAD} SELECT c, node, dim, round(arg_min(threshold, (sse_head + sse_tail, x, row_id)), 4) AS threshold, min(sse_head + sse_tail)::DOUBLE AS loss FROM lo GROUP BY c, node, dim")
 def best_split(spark, d):
-    return rounded(splits(spark, d), "threshold")
+    return rounded(splits(spark, d), "threshold").withColumn("loss", F.col("loss").cast("double"))
 
 
-@query("best_split_dim", f"WITH {_HEAD}, b AS (SELECT c, node, dim, min(sse_head + sse_tail) AS loss FROM lo GROUP BY c, node, dim), t AS (SELECT c, dim, sum(loss)::BIGINT AS loss FROM b GROUP BY c, dim) SELECT c, arg_min(dim, (loss, dim)) AS dim, min(loss) AS loss FROM t GROUP BY c")
+@query("best_split_dim", f"WITH {_HEAD}, b AS (SELECT c, node, dim, min(sse_head + sse_tail) AS loss FROM lo GROUP BY c, node, dim), t AS (SELECT c, dim, sum(loss) AS loss FROM b GROUP BY c, dim) SELECT c, arg_min(dim, (loss, dim)) AS dim, min(loss)::DOUBLE AS loss FROM t GROUP BY c")
 def best_split_dim(spark, d):
-    return fit.choose_dim(splits(spark, d))
+    return fit.choose_dim(splits(spark, d)).withColumn("loss", F.col("loss").cast("double"))

@@ -57,6 +57,22 @@ def lut_table(spark: SparkSession) -> DataFrame:
     return lut.lut_build(GOLD.prototype_table(spark), GOLD.weight_table(spark))
 
 
+def learned_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(m, c, k, value) of the data: bucket means of the sub-vectors against the means of the labels."""
+    m = matrix(spark, sf_dir)
+    with_codes = m.withColumn("codes", F.array(*(encode.tree_code(F.col("features"), x, t) for x, t in zip(GOLD.dims, GOLD.thresholds))))
+    per = F.array(*(F.struct(F.lit(c).alias("c"), F.get("codes", F.lit(c)).alias("k"), F.lit(a).alias("a"), F.slice("features", a + 1, b - a).alias("sub")) for c, (a, b) in enumerate(LAYOUT)))
+    own = with_codes.select(F.explode(per).alias("p")).select("p.c", "p.k", "p.a", F.posexplode("p.sub").alias("j", "x"))
+    means = own.groupBy("c", "k", (F.col("a") + F.col("j")).alias("dim")).agg(F.avg("x").alias("value"))
+    return lut.lut_build(means, label_means(spark, sf_dir))
+
+
+def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(m, dim, w): the mean embedding of each label as a row of weights."""
+    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    return e.groupBy(F.col("label").alias("m"), "dim").agg(F.avg("x").alias("w"))
+
+
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row_id, dim, x, r) of the rule-made model."""
     return lut.residual(cells(spark, sf_dir), lut.reconstruct(codes(spark, sf_dir), GOLD.prototype_table(spark)))
@@ -88,3 +104,4 @@ CODES = f"{CELLS}, {FEATURES}, {TREE}, {_STEPS}, codes AS (SELECT row_id, c, g A
 LUT = f"{PROTO}, {WEIGHTS}, lut AS (SELECT m, c, k, sum(w * value) AS value FROM proto JOIN weights USING (dim) GROUP BY m, c, k)"
 RESID = f"{CODES}, {PROTO}, resid AS (SELECT x.row_id, x.dim, x.x, x.x - p.value AS r, p.c, p.k FROM cells x JOIN codes c USING (row_id) JOIN proto p ON p.c = c.c AND p.k = c.k AND p.dim = x.dim)"
 OUTPUTS = f"{CODES}, {LUT}, approx AS (SELECT row_id, m, sum(value) AS y FROM codes JOIN lut USING (c, k) GROUP BY row_id, m), exact AS (SELECT row_id, m, sum(x * w) AS y FROM cells JOIN weights USING (dim) GROUP BY row_id, m), pairs AS (SELECT a.row_id, a.m, a.y AS a, e.y AS d FROM approx a JOIN exact e USING (row_id, m))"
+LEARNED = f"{CODES}, dmean AS (SELECT c, k, dim, avg(x) AS value FROM cells JOIN codes USING (row_id) WHERE c = dim // 8 GROUP BY c, k, dim), dweight AS (SELECT label AS m, dim, avg(x) AS w FROM cells JOIN embeddings ON vec_id = row_id GROUP BY label, dim), lut AS (SELECT m, c, k, sum(w * value) AS value FROM dmean JOIN dweight USING (dim) GROUP BY m, c, k)"

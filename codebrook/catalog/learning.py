@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import encode, fit, lut, metrics
@@ -56,6 +54,14 @@ def approx_matmul(spark, d):
     return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
 
 
+@query("approx_matmul_quantized")
+def approx_matmul_quantized(spark, d):
+    """The same with 8-bit table entries."""
+    m = matrix(spark, d)
+    y = api.approx_matmul(m, m, WEIGHTS, D, C, quantize=True)
+    return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
+
+
 @query("approx_linear")
 def approx_linear(spark, d):
     m = matrix(spark, d)
@@ -63,26 +69,37 @@ def approx_linear(spark, d):
     return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
 
 
+_KERNELS = [[round(0.1 * (m + 1) * ((p % 3) - 1) + 0.03 * (p // 9), 3) for p in range(36)] for m in range(2)]
+
+
 @query("approx_conv2d")
 def approx_conv2d(spark, d):
-    kernels = [[0.1 * (m + 1) * ((p % 3) - 1) for p in range(9)] for m in range(2)]
+    """Pictures of four channels, 4 x 4 each, with a bias per output."""
+    m = matrix(spark, d)
+    return rounded(api.approx_conv2d(m, m, _KERNELS, 4, 4, 3, 6, padding=1, channels=4, bias=[0.1, -0.1], ridge=False), "v")
+
+
+@query("approx_conv2d_kn2col")
+def approx_conv2d_kn2col(spark, d):
+    """The same pictures, with one model for each place of the kernel."""
     m = matrix(spark, d)
-    return rounded(api.approx_conv2d(m, m, kernels, 8, 8, 3, 3, padding=1, ridge=False), "v")
+    return rounded(api.approx_conv2d(m, m, _KERNELS, 4, 4, 3, 2, padding=1, channels=4, bias=[0.1, -0.1], loop="kn2col"), "v")
 
 
 @query("fit_many")
 def fit_many(spark, d):
-    e = read(spark, d, "embeddings")
-    layers = {str(k): layout.matrix(e.where(F.col("label") % 2 == k)) for k in (0, 1)}
+    """Thresholds of two layers' trees, of those configurations that are not done."""
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).cast("string").alias("layer"))
     configs = spark.createDataFrame([("0", 8), ("1", 8), ("1", 4)], "layer string, c int")
     done = spark.createDataFrame([("1", 4)], "layer string, c int")
-    rows = [(layer, c, len(m.prototypes)) for (layer, c), m in api.fit_many(layers, configs, done, D).items()]
-    return spark.createDataFrame(rows, "layer string, c int, cells int")
+    found = [(layer, n, *row) for (layer, n), m in api.fit_many(rows, configs, D, done).items() for row in m.tree_rows()]
+    return spark.createDataFrame(found, "layer string, n_codebooks int, c int, level int, node int, dim int, threshold double").withColumn("threshold", r4("threshold"))
 
 
 @query("config_sweep")
 def config_sweep(spark, d):
-    return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [8, 16]), *metrics.METRICS)
+    """Errors by number of codebooks and width of the tables."""
+    return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [8, 16], (0, 8, 4)), *metrics.METRICS)
 
 
 def _centroids(spark, rows):
@@ -124,18 +141,9 @@ def lut_refit(spark, d):
 
 @query("distill_trees")
 def distill_trees(spark, d):
-    """Depth-4 classifiers that imitate the nearest codes of one codebook, by frequency level."""
-    a, b = LAYOUT[0]
-    near = encode.assign_nearest(cells(spark, d), GOLD.prototype_table(spark)).where("c = 0")
-    levels = {k: [r["k"] for r in metrics.classes_by_level(near).where(F.col("level") == k).collect()] for k in range(3)}
-    rows = matrix(spark, d).select("row_id", array_to_vector(F.slice("features", a + 1, b - a)).alias("features")).join(near.select("row_id", F.col("k").cast("double").alias("k")), "row_id")
-    out = rows
-    for level in range(3):
-        own = levels[level] or [0]
-        tree = DecisionTreeClassifier(featuresCol="features", labelCol="_l", predictionCol=f"_p{level}", rawPredictionCol=f"_r{level}", probabilityCol=f"_q{level}", maxDepth=4, impurity="gini")
-        model = tree.fit(rows.withColumn("_l", F.when(F.col("k").isin(own), F.col("k")).otherwise(float(K))))
-        out = model.transform(out).withColumn(f"t{level}", F.when(F.col(f"_p{level}") == K, -1).otherwise(F.col(f"_p{level}").cast("int")))
-    return encode.cascade_predict(out, ["t0", "t1", "t2"]).select("row_id", F.col("k").cast("int").alias("k"), "class")
+    """Depth-4 classifiers that imitate the nearest codes of every codebook, by frequency level."""
+    near = encode.assign_nearest(cells(spark, d), GOLD.prototype_table(spark))
+    return api.distill_trees(matrix(spark, d), near, LAYOUT, K)
 
 
 @query("evaluate", f"WITH {OUTPUTS} SELECT {_METRICS} FROM pairs")

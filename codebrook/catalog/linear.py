@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode, lut, runs
 from ..plans import layout
-from .base import C, CELLS, CODES, D, FEATURES, GOLD, K, LAYOUT, LUT, M, OUTPUTS, PROTO, RESID, TREE, WEIGHTS, cells, coded, codes, lut_table, matrix, query, r4, read, residuals, rounded
+from .base import C, CELLS, CODES, FEATURES, GOLD, K, LAYOUT, LEARNED, M, OUTPUTS, PROTO, RESID, TREE, WEIGHTS, cells, coded, codes, label_means, learned_lut, lut_table, matrix, query, r4, read, residuals, rounded
 
 
 @query("scan_matrix", f"WITH {CELLS} SELECT row_id, dim, round(x, 4) AS x FROM cells")
@@ -21,20 +21,29 @@ def scan_weights(spark, d):
     return e.groupBy(F.col("label").alias("m"), "dim").agg(r4(F.avg("x")).alias("w"))
 
 
-def _layout_sql(dims: int, n: int, rest: str) -> str:
-    return f"SELECT c::INT AS c, (c * {dims // n} + {'least(c, %d)' % (dims % n) if rest == 'start' else 'greatest(c - %d, 0)' % (n - dims % n)})::INT AS start_idx, ((c + 1) * {dims // n} + {'least(c + 1, %d)' % (dims % n) if rest == 'start' else 'greatest(c + 1 - %d, 0)' % (n - dims % n)})::INT AS end_idx FROM (SELECT unnest(range({n})) AS c), (SELECT count(*) AS n FROM embeddings) WHERE n > 0"
+def _layout_sql(n: int, rest: str) -> str:
+    start, end = (f"least(c{x}, dims % {n})" if rest == "start" else f"greatest(c{x} - ({n} - dims % {n}), 0)" for x in ("", " + 1"))
+    layout = f"lay AS (SELECT c::INT AS c, (c * (dims // {n}) + {start})::INT AS start_idx, ((c + 1) * (dims // {n}) + {end})::INT AS end_idx FROM (SELECT unnest(range({n})) AS c), (SELECT max(len(embedding)) AS dims FROM embeddings))"
+    return f"WITH {CELLS}, {layout} SELECT c, start_idx, end_idx, count(*) AS n_values, round(avg(x * x), 4) AS msv FROM lay JOIN cells ON dim >= start_idx AND dim < end_idx GROUP BY c, start_idx, end_idx"
 
 
-@query("codebook_layout", _layout_sql(64, 12, "start"))
+def _layout(spark, d, remainder):
+    """The layout of as many dims as the embeddings have, with each block's values and their mean square."""
+    m = matrix(spark, d)
+    dims = m.agg(F.max(F.size("features")).alias("n")).first()["n"] or 1
+    per = layout.to_cells(m).groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    blocks = layout.codebook_layout(spark, dims, 12, remainder).withColumn("dim", F.explode(F.sequence("start_idx", F.col("end_idx") - 1)))
+    return blocks.join(per, "dim").groupBy("c", "start_idx", "end_idx").agg(F.sum("n").alias("n_values"), r4(F.sum("q") / F.sum("n")).alias("msv"))
+
+
+@query("codebook_layout", _layout_sql(12, "start"))
 def codebook_layout(spark, d):
-    some = read(spark, d, "embeddings").agg(F.count("*").alias("n")).where("n > 0")
-    return layout.codebook_layout(spark, D, 12).join(F.broadcast(some), F.col("n") > 0).drop("n")
+    return _layout(spark, d, "start")
 
 
-@query("codebook_layout_end", _layout_sql(64, 12, "end"))
+@query("codebook_layout_end", _layout_sql(12, "end"))
 def codebook_layout_end(spark, d):
-    some = read(spark, d, "embeddings").agg(F.count("*").alias("n")).where("n > 0")
-    return layout.codebook_layout(spark, D, 12, "end").join(F.broadcast(some), F.col("n") > 0).drop("n")
+    return _layout(spark, d, "end")
 
 
 @query("subvectors", f"WITH {FEATURES} SELECT row_id, c::INT AS c, round(list_sum(f[c * 8 + 1 : c * 8 + 8]), 4) AS total, len(f[c * 8 + 1 : c * 8 + 8])::INT AS width FROM mat, (SELECT unnest(range(8)) AS c)")
@@ -69,11 +78,9 @@ def sufficiency_report(spark, d):
     return layout.sufficiency(matrix(spark, d), C, K)
 
 
-@query("output_group_slice", f"WITH {LUT} SELECT m, c, k, round(value, 4) AS value FROM lut, (SELECT count(*) AS n FROM embeddings) WHERE m BETWEEN 4 AND 7 AND n > 0")
+@query("output_group_slice", f"WITH {LEARNED} SELECT m, c, k, round(value, 4) AS value FROM lut WHERE m BETWEEN 4 AND 7")
 def output_group_slice(spark, d):
-    some = read(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    part = lut.output_group(lut_table(spark), 1, 3, M)
-    return rounded(part.join(F.broadcast(some), F.col("n") > 0).drop("n"), "value")
+    return rounded(lut.output_group(learned_lut(spark, d), 1, 3, M), "value")
 
 
 @query("flat_codes", f"WITH {CODES} SELECT row_id, c, k + c * 16 AS flat FROM codes")
@@ -81,6 +88,12 @@ def flat_codes(spark, d):
     return coded(spark, d).select("row_id", F.posexplode(encode.flat_codes(F.col("codes"), K)).alias("c", "flat"))
 
 
+@query("rows_in_classes", f"WITH {CODES} SELECT row_id, k, round(f[1], 4) AS x0 FROM codes JOIN mat USING (row_id) WHERE c = 2 AND k IN (0, 3, 5, 9)")
+def rows_in_classes(spark, d):
+    kept = runs.rows_in_classes(matrix(spark, d), codes(spark, d), 2, [0, 3, 5, 9])
+    return kept.select("row_id", "k", r4(F.get("features", F.lit(0))).alias("x0"))
+
+
 @query("mask_not_in_classes", f"WITH {CODES} SELECT row_id, c, CASE WHEN k IN (0, 3, 5, 9) THEN k ELSE -1 END AS k FROM codes")
 def mask_not_in_classes(spark, d):
     return runs.mask_not_in_classes(codes(spark, d), "k", [0, 3, 5, 9])
@@ -176,10 +189,10 @@ def cascade_predict(spark, d):
     return encode.cascade_predict(k, ["t0", "t1", "t2"]).select("row_id", "class")
 
 
-@query("lut_build", f"WITH {LUT} SELECT m, c, k, round(value, 4) AS value FROM lut, (SELECT count(*) AS n FROM embeddings) WHERE n > 0")
+@query("lut_build", f"WITH {LEARNED} SELECT m, c, k, round(value, 4) AS value FROM lut")
 def lut_build(spark, d):
-    some = read(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    return rounded(lut_table(spark).join(F.broadcast(some), F.col("n") > 0).drop("n"), "value")
+    """Tables of the embeddings' bucket means for their labels' means."""
+    return rounded(learned_lut(spark, d), "value")
 
 
 _MEANS = "means AS (SELECT label AS m, (i - 1)::INT AS dim, avg(embedding[i]::DOUBLE) AS w FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i)"
@@ -189,9 +202,7 @@ _MEANS = "means AS (SELECT label AS m, (i - 1)::INT AS dim, avg(embedding[i]::DO
 def lut_build_block(spark, d):
     """Tables for the class means, from block-local centroids."""
     local = GOLD.prototype_table(spark).withColumn("d", F.col("dim") % 8).drop("dim")
-    e = read(spark, d, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
-    means = e.groupBy(F.col("label").alias("m"), "dim").agg(F.avg("x").alias("w"))
-    return rounded(lut.lut_build_block(local, means, 8), "value")
+    return rounded(lut.lut_build_block(local, label_means(spark, d), 8), "value")
 
 
 _APPROX = f"WITH {OUTPUTS} SELECT row_id, m, round(y, 4) AS y FROM approx"
@@ -224,7 +235,7 @@ def residual(spark, d):
 
 @query("pair_outputs", f"WITH {OUTPUTS} SELECT row_id, m, round(a, 4) AS a, round(d, 4) AS d FROM pairs")
 def pair_outputs(spark, d):
-    """Both products in one pass over the rows: no join on (row, output) is needed."""
+    """Looked-up and exact products, each made inside its row, paired on (row, output)."""
     m = matrix(spark, d)
     approx = lut.decode_lut(m.select("row_id", "features", F.array(*(encode.tree_code(F.col("features"), x, t) for x, t in zip(GOLD.dims, GOLD.thresholds))).alias("codes")), GOLD.lut())
     exact = lut.matmul_arrays(m, [list(r) for r in GOLD.weights])
@@ -232,48 +243,43 @@ def pair_outputs(spark, d):
     return rounded(long(approx, "a").join(long(exact, "d"), ["row_id", "m"]), "a", "d")
 
 
-_RANGE = f"{LUT}, ranges AS (SELECT c, min(value) AS low, max(value) AS high, max(value) - min(value) AS gap FROM lut GROUP BY c), params AS (SELECT sum(low) AS shift, power(2.0, -ceil(log2(max(gap)))) * (255.5 - 1e-10) AS scale FROM ranges), lq AS (SELECT m, c, k, floor((value - low) * scale + 0.5)::INT AS q FROM lut JOIN ranges USING (c), params)"
-_SOME = "(SELECT count(*) AS cnt FROM embeddings) WHERE cnt > 0"
+_RANGE = "ranges AS (SELECT c, min(value) AS low, max(value) AS high, max(value) - min(value) AS gap FROM lut GROUP BY c), params AS (SELECT sum(low) AS shift, power(2.0, -ceil(log2(max(gap)))) * (255.5 - 1e-10) AS scale FROM ranges), lq AS (SELECT m, c, k, floor((value - low) * scale + 0.5)::INT AS q FROM lut JOIN ranges USING (c), params)"
 
 
-def _if_rows(spark, d, df):
-    some = read(spark, d, "embeddings").agg(F.count("*").alias("cnt"))
-    return df.join(F.broadcast(some), F.col("cnt") > 0).drop("cnt")
-
-
-@query("lut_ranges", f"WITH {_RANGE} SELECT c, round(low, 4) AS low, round(high, 4) AS high, round(gap, 4) AS gap FROM ranges, {_SOME}")
+@query("lut_ranges", f"WITH {LEARNED}, {_RANGE} SELECT c, round(low, 4) AS low, round(high, 4) AS high, round(gap, 4) AS gap FROM ranges")
 def lut_ranges(spark, d):
-    return rounded(_if_rows(spark, d, lut.lut_ranges(lut_table(spark))), "low", "high", "gap")
+    return rounded(lut.lut_ranges(learned_lut(spark, d)), "low", "high", "gap")
 
 
-@query("lut_quantize_u8", f"WITH {_RANGE} SELECT m, c, k, q FROM lq, {_SOME}")
+@query("lut_quantize_u8", f"WITH {LEARNED}, {_RANGE} SELECT m, c, k, q FROM lq")
 def lut_quantize_u8(spark, d):
-    return _if_rows(spark, d, lut.quantize_u8(lut_table(spark)))
+    return lut.quantize_u8(learned_lut(spark, d))
 
 
-@query("decode_quantized", f"WITH {CODES}, {_RANGE} SELECT row_id, m, round(sum(q) / any_value(scale) + any_value(shift), 4) AS y FROM codes JOIN lq USING (c, k), params GROUP BY row_id, m")
+@query("decode_quantized", f"WITH {LEARNED}, {_RANGE} SELECT row_id, m, round(sum(q) / any_value(scale) + any_value(shift), 4) AS y FROM codes JOIN lq USING (c, k), params GROUP BY row_id, m")
 def decode_quantized(spark, d):
-    t = lut_table(spark)
+    t = learned_lut(spark, d)
     return rounded(lut.decode_quantized(codes(spark, d), lut.quantize_u8(t), lut.lut_params(t)), "y")
 
 
-_I8Q = f"{LUT}, sc AS (SELECT (max(value) - min(value)) / 255.0 AS scale FROM lut), lq AS (SELECT m, c, k, greatest(-128.0, least(127.0, round_even(value / scale, 0)))::INT AS q FROM lut, sc)"
+_I8Q = "sc AS (SELECT (max(value) - min(value)) / 255.0 AS scale FROM lut), lq AS (SELECT m, c, k, greatest(-128.0, least(127.0, round_even(value / scale, 0)))::INT AS q FROM lut, sc)"
 
 
-@query("lut_quantize_i8", f"WITH {_I8Q} SELECT m, c, k, q FROM lq, {_SOME}")
+@query("lut_quantize_i8", f"WITH {LEARNED}, {_I8Q} SELECT m, c, k, q FROM lq")
 def lut_quantize_i8(spark, d):
-    return _if_rows(spark, d, lut.quantize_i8(lut_table(spark)))
+    return lut.quantize_i8(learned_lut(spark, d))
 
 
-@query("decode_i8", f"WITH {CODES}, {_I8Q} SELECT row_id, m, round(sum(q) * any_value(scale), 4) AS y FROM codes JOIN lq USING (c, k), sc GROUP BY row_id, m")
+@query("decode_i8", f"WITH {LEARNED}, {_I8Q} SELECT row_id, m, round(sum(q) * any_value(scale), 4) AS y FROM codes JOIN lq USING (c, k), sc GROUP BY row_id, m")
 def decode_i8(spark, d):
-    t = lut_table(spark)
+    t = learned_lut(spark, d)
     return rounded(lut.decode_i8(codes(spark, d), lut.quantize_i8(t), lut.i8_scale(t)), "y")
 
 
-@query("lut_saturation", f"WITH {_I8Q} SELECT count(*) FILTER (round_even(value / scale, 0) NOT BETWEEN -128 AND 127) AS saturated, count(*) AS entries FROM lut, sc, {_SOME}")
+@query("lut_saturation", f"WITH {LEARNED}, {_I8Q} SELECT count(*) FILTER (round_even(value / scale, 0) NOT BETWEEN -128 AND 127) AS saturated, count(*) AS entries, round(max(scale), 6) AS scale FROM lut, sc")
 def lut_saturation(spark, d):
-    return _if_rows(spark, d, lut.saturation(lut_table(spark)))
+    t = learned_lut(spark, d)
+    return lut.saturation(t).crossJoin(lut.i8_scale(t)).withColumn("scale", F.round("scale", 6))
 
 
 @query("split_quant_params", f"WITH {CELLS}, {TREE}, s AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM cells GROUP BY dim), t AS (SELECT c, dim, min(threshold)::DOUBLE AS least, max(threshold)::DOUBLE AS most FROM tree GROUP BY c, dim) SELECT c, dim, round((lo + least) / 2, 4) AS \"offset\", power(2.0, trunc(log2(254.0 / ((hi + most) / 2 - (lo + least) / 2)))) AS scale FROM t JOIN s USING (dim)")
@@ -281,23 +287,61 @@ def split_quant_params(spark, d):
     return rounded(lut.split_quant_params(cells(spark, d), GOLD.tree(spark)), "offset")
 
 
+_PARAMS = "seen AS (SELECT dim, min(x) AS lo, max(x) AS hi FROM cells GROUP BY dim), cuts AS (SELECT c, dim, min(threshold)::DOUBLE AS least, max(threshold)::DOUBLE AS most FROM tree GROUP BY c, dim), params AS (SELECT c, dim, (lo + least) / 2 AS off, power(2.0, trunc(log2(254.0 / ((hi + most) / 2 - (lo + least) / 2)))) AS scale FROM cuts JOIN seen USING (dim)), qtree AS (SELECT t.c, t.level, t.node, t.dim, trunc(greatest(0.0, least(255.0, (t.threshold::DOUBLE - off) * scale)))::INT AS threshold FROM tree t JOIN params p ON p.c = t.c AND p.dim = t.dim)"
+
+
+@query("quantize_tree", f"WITH {CELLS}, {TREE}, {_PARAMS} SELECT * FROM qtree")
+def quantize_tree(spark, d):
+    tree = GOLD.tree(spark)
+    return lut.quantize_tree(tree, lut.split_quant_params(cells(spark, d), tree))
+
+
+_QSTEPS = ", ".join(["n0 AS (SELECT row_id, c, 0 AS g FROM (SELECT DISTINCT row_id, c FROM qx))"] + [f"n{l + 1} AS (SELECT n.row_id, n.c, 2 * n.g + (x.x > t.threshold)::INT AS g FROM n{l} n JOIN qtree t ON t.c = n.c AND t.level = {l} AND t.node = n.g JOIN qx x ON x.row_id = n.row_id AND x.c = n.c AND x.dim = t.dim)" for l in range(4)])
+
+
+@query("encode_tree_u8", f"WITH {CELLS}, {TREE}, {_PARAMS}, qx AS (SELECT row_id, c, dim, greatest(0, least(255, floor((x - off) * scale + 0.5)))::INT AS x FROM cells JOIN params USING (dim)), {_QSTEPS} SELECT row_id, c, g AS k FROM n4")
+def encode_tree_u8(spark, d):
+    """Codes by whole numbers from 0 to 255 on both sides of every comparison."""
+    x, tree = cells(spark, d), GOLD.tree(spark)
+    params = lut.split_quant_params(x, tree)
+    return encode.encode_tree_join(lut.quantize_cells(x, params), lut.quantize_tree(tree, params))
+
+
 def _fake(bits: int, x: str) -> str:
     top = float(2 ** (bits - 1) - 1)
     return f"greatest({-top - 1}, least({top}, round_even({x} / s, 0))) * s"
 
 
-@query("fake_quantize", " UNION ALL ".join(f"SELECT {b} AS bits, round(avg(abs({_fake(b, 'l_extendedprice')} - l_extendedprice)), 4) AS mae FROM lineitem, (SELECT max(abs(l_extendedprice)) / {float(2 ** (b - 1) - 1)} AS s FROM lineitem)" for b in (4, 6, 8, 10, 16)))
+_WIDTHS = (4, 6, 7, 8, 10, 16, 32)
+
+
+@query("fake_quantize", " UNION ALL ".join(f"SELECT {b} AS bits, round(avg(abs({_fake(b, 'l_extendedprice')} - l_extendedprice)), 4) AS mae FROM lineitem, (SELECT max(abs(l_extendedprice)) / {float(2 ** (b - 1) - 1)} AS s FROM lineitem)" for b in _WIDTHS))
 def fake_quantize(spark, d):
     """Error of quantizing prices to several widths, all in one scan after the range."""
     rows = read(spark, d, "lineitem").select(F.col("l_extendedprice").alias("x"))
     top = rows.agg(F.max(F.abs("x")).alias("top"))
-    widths = F.array(*map(F.lit, (4, 6, 8, 10, 16)))
+    widths = F.array(*map(F.lit, _WIDTHS))
     each = rows.crossJoin(F.broadcast(top)).select("x", "top", F.explode(widths).alias("bits"))
     err = lambda b: F.abs(lut.fake_quantize(F.col("x"), F.col("top") / float(2 ** (b - 1) - 1), b) - F.col("x"))
-    e = F.coalesce(*(F.when(F.col("bits") == b, err(b)) for b in (4, 6, 8, 10, 16)))
+    e = F.coalesce(*(F.when(F.col("bits") == b, err(b)) for b in _WIDTHS))
     return each.groupBy("bits").agg(r4(F.avg(e)).alias("mae"))
 
 
+@query("fake_quantized_product", f"WITH {CELLS}, {WEIGHTS}, top AS (SELECT max(abs(x)) AS xt FROM cells), wt AS (SELECT max(abs(w)) AS wt FROM weights) " + " UNION ALL ".join(f"SELECT {b} AS bits, round(avg(abs(q - y)), 4) AS mae FROM (SELECT row_id, m, sum(x * w) AS y, sum((greatest({-2.0 ** (b - 1)}, least({2.0 ** (b - 1) - 1}, round_even(x / (xt / {2.0 ** (b - 1) - 1}), 0))) * (xt / {2.0 ** (b - 1) - 1})) * (greatest({-2.0 ** (b - 1)}, least({2.0 ** (b - 1) - 1}, round_even(w / (wt / {2.0 ** (b - 1) - 1}), 0))) * (wt / {2.0 ** (b - 1) - 1}))) AS q FROM cells JOIN weights USING (dim), top, wt GROUP BY row_id, m)" for b in (4, 7, 8, 32)))
+def fake_quantized_product(spark, d):
+    """Error of the product whose two sides are quantized, by width."""
+    m = matrix(spark, d)
+    top = m.agg(F.max(F.array_max(F.transform("features", F.abs))).alias("t")).first()["t"]
+    weights = [list(r) for r in GOLD.weights]
+    out = None
+    for bits in (4, 7, 8, 32):
+        q = lut.fake_quantized_product(m, weights, bits, top)
+        both = q.select("row_id", F.posexplode("y").alias("m", "q")).join(lut.matmul_arrays(m, weights).select("row_id", F.posexplode("y").alias("m", "y")), ["row_id", "m"])
+        row = both.agg(r4(F.avg(F.abs(F.col("q") - F.col("y")))).alias("mae")).select(F.lit(bits).alias("bits"), "mae")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("dequantize", "SELECT l_linenumber, round(avg((l_quantity - 25.0) / 0.5), 4) AS v FROM lineitem GROUP BY l_linenumber")
 def dequantize(spark, d):
     v = lut.dequantize(F.col("l_quantity"), F.lit(25.0), F.lit(0.5))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import images, metrics, runs
+from ..sources import tables
 from .base import CELLS, FEATURES, matrix, query, r4, read, rounded
 
 _PX = f"{CELLS}, px AS (SELECT row_id AS img_id, 0 AS ch, (dim // 8)::INT AS y, (dim % 8)::INT AS x, x AS v FROM cells)"
@@ -63,11 +64,11 @@ def batch_norm_fused(spark, d):
     return rounded(images.batch_norm_fused(q, "l_linenumber", "q", 0.5, 3.0).select("l_orderkey", "l_linenumber", "bn"), "bn")
 
 
-@query("fold_output", f"WITH {CELLS} SELECT row_id // 16 AS img_id, dim % 4 AS ch, ((row_id % 16) // 4)::INT AS y, ((row_id % 16) % 4)::INT AS x, round(x, 4) AS v FROM cells WHERE dim < 4")
+@query("fold_output", f"WITH {CELLS} SELECT row_id // 16 AS img_id, dim AS ch, ((row_id % 16) // 4)::INT AS y, ((row_id % 16) % 4)::INT AS x, round(x, 4) AS v FROM cells")
 def fold_output(spark, d):
     from ..plans.layout import to_cells
 
-    rows = to_cells(matrix(spark, d)).where("dim < 4").select("row_id", F.col("dim").alias("m"), F.col("x").alias("y"))
+    rows = to_cells(matrix(spark, d)).select("row_id", F.col("dim").alias("m"), F.col("x").alias("y"))
     return rounded(images.fold_output(rows, 4, 4), "v")
 
 
@@ -103,11 +104,18 @@ def smoothed_metric(spark, d):
     return rounded(s, "median", "avg", "max", "last").withColumn("global_avg", F.floor(F.col("global_avg") * 1000) / 1000)
 
 
-@query("ema", "WITH w AS (SELECT event_type, event_id, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS held FROM events) SELECT event_type, event_id, round(list_reduce(held, lambda s, x: s * 0.9::DOUBLE + x * 0.1::DOUBLE), 4) AS ema FROM w")
+@query("ema", "WITH w AS (SELECT event_type, event_id, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS held FROM events) SELECT event_type, event_id, round(list_reduce(held, lambda s, x: s * 0.9::DOUBLE + x * 0.1::DOUBLE), 4) AS ema FROM w")
 def ema(spark, d):
     return rounded(runs.ema(read(spark, d, "events"), ["event_type"], ["event_id"]), "ema")
 
 
+@query("progress_gates", "WITH ev AS (SELECT event_type, event_id, round_even(value * 100, 0) AS value FROM events), w AS (SELECT event_type, count(*) OVER g AS step, avg(value) OVER g AS mean, count(*) OVER p AS steps, avg(value) OVER p AS ended FROM ev WINDOW g AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY event_type)), e AS (SELECT event_type, any_value(steps) AS steps, any_value(ended) AS ended FROM w GROUP BY event_type), b AS (SELECT event_type, steps, max(ended) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM e), s AS (SELECT w.event_type, min(step) AS stopped_at FROM w JOIN b USING (event_type) WHERE prev_max > 0 AND ((step > b.steps * 0.25 AND mean < prev_max - 0.2) OR (step > b.steps * 0.1 AND mean < prev_max - 0.8)) GROUP BY w.event_type) SELECT event_type, steps, round(prev_max, 4) AS prev_max, stopped_at FROM b LEFT JOIN s USING (event_type)")
+def progress_gates(spark, d):
+    """Event types as trials: where one falls behind those before it."""
+    cents = read(spark, d, "events").withColumn("value", F.rint(F.col("value") * 100))
+    return rounded(runs.progress_gates(cents, "event_type", "event_id", "value"), "prev_max")
+
+
 @query("best_so_far", "WITH w AS (SELECT o_orderpriority, o_orderkey, o_totalprice, max(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before FROM orders) SELECT o_orderpriority, o_orderkey, round(o_totalprice, 4) AS o_totalprice, round(best_before, 4) AS best_before FROM w WHERE best_before IS NULL OR o_totalprice >= best_before - 50000")
 def best_so_far(spark, d):
     o = read(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
@@ -149,13 +157,12 @@ def config_overlay(spark, d):
 
 
 
-@query("average_models", "WITH p AS (SELECT c_mktsegment AS model, c_nationkey AS idx, sum(c_acctbal) AS v FROM customer GROUP BY ALL), n AS (SELECT count(DISTINCT c_mktsegment) AS n FROM customer), full_idx AS (SELECT idx FROM p, n GROUP BY idx, n HAVING count(*) = n) SELECT 'w' AS name, idx, round(avg(v), 4) AS value FROM p JOIN full_idx USING (idx) GROUP BY idx")
+@query("average_models", "WITH p AS (SELECT c_mktsegment AS model, c_nationkey AS idx, sum(c_acctbal) AS v FROM customer GROUP BY ALL), g AS (SELECT model, idx FROM (SELECT DISTINCT c_mktsegment AS model FROM customer), (SELECT DISTINCT c_nationkey AS idx FROM customer)) SELECT 'w' AS name, idx, round(avg(coalesce(v, 0)), 4) AS value FROM g LEFT JOIN p USING (model, idx) GROUP BY idx")
 def average_models(spark, d):
-    """One parameter set a market segment; the nations that every segment has."""
+    """One parameter set a market segment, with a value for every nation, 0 where it has none."""
     p = read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("model"), F.col("c_nationkey").alias("idx")).agg(F.sum("c_acctbal").alias("value"))
-    n = p.agg(F.count_distinct("model").alias("_n"))
-    whole = p.groupBy("idx").agg(F.count("*").alias("_h")).join(F.broadcast(n), F.col("_h") == F.col("_n")).select("idx")
-    params = p.join(whole, "idx").select("model", F.lit("w").alias("name"), "idx", "value", F.lit(False).alias("is_int"))
+    every = p.groupBy("idx").pivot("model").agg(F.sum("value")).unpivot("idx", None, "model", "value")
+    params = every.select("model", F.lit("w").alias("name"), "idx", F.coalesce("value", F.lit(0.0)).alias("value"), F.lit(False).alias("is_int"))
     return rounded(metrics.average_models(params), "value")
 
 
@@ -183,10 +190,28 @@ def capture_sample(spark, d):
 
 @query("merge_captures", "SELECT label % 3 AS worker, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS s FROM embeddings GROUP BY label % 3")
 def merge_captures(spark, d):
-    """Captures of three workers, stacked by name and counted per worker."""
-    e = read(spark, d, "embeddings").select("label", F.get(F.col("embedding").cast("array<double>"), F.lit(0)).alias("x"))
-    parts = [e.where(F.col("label") % 3 == k).withColumn("worker", F.lit(k)) for k in range(3)]
-    return runs.union_results(*parts).groupBy("worker").agg(F.count("*").alias("n"), r4(F.sum("x")).alias("s"))
+    """Captures of three workers, each written by itself, one of them twice, and read back together."""
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.get(F.col("embedding").cast("array<double>"), F.lit(0)).alias("x"))
+    folder = tables.shared_folder(spark, "captures")
+    for worker in (0, 1, 2, 1):
+        tables.write_capture(e.where(F.col("label") % 3 == worker), folder, worker)
+    return tables.merge_captures(spark, folder).groupBy("worker").agg(F.count("*").alias("n"), r4(F.sum("x")).alias("s"))
+
+
+@query("scan_labelled_images", "SELECT lang AS label, sum(strlen(text) + 1)::BIGINT AS length FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang")
+def scan_labelled_images(spark, d):
+    """Bytes of the files in a folder a class; their content is not read, as nobody asks for it."""
+    folder = tables.shared_folder(spark, "images")
+    read(spark, d, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").write.partitionBy("lang").text(folder)
+    found = tables.scan_labelled_images(spark, folder).withColumn("label", F.regexp_replace("label", "^lang=", ""))
+    return found.groupBy("label").agg(F.sum("length").alias("length"))
+
+
+@query("strip_prefix", "SELECT o_orderstatus AS status, count(*) AS n, round(max(o_totalprice), 4) AS totalprice FROM orders GROUP BY o_orderstatus")
+def strip_prefix(spark, d):
+    plain = runs.strip_prefix(read(spark, d, "orders"), "o_order")
+    plain = runs.strip_prefix(plain, "o_")
+    return plain.groupBy("status").agg(F.count("*").alias("n"), r4(F.max("totalprice")).alias("totalprice"))
 
 
 @query("parse_layer_name", "SELECT p_partkey, split_part(t, '.', 1) AS row_name, split_part(t, '.', 2) || CASE WHEN t LIKE '%conv%' THEN '(3x3)' WHEN t LIKE '%downsample%' THEN '(1x1)' ELSE '' END AS col_name FROM (SELECT p_partkey, 'layer' || p_size % 4 || '.' || CASE p_partkey % 3 WHEN 0 THEN 'conv' WHEN 1 THEN 'downsample' ELSE 'fc' END AS t FROM part)")

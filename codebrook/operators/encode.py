@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.model import Model
+from .lut import small
 
 
 def _doubles(values) -> Column:
@@ -43,22 +44,23 @@ def long_codes(coded: DataFrame) -> DataFrame:
 
 
 def encode_tree_join(cells: DataFrame, tree: DataFrame, depth: int = 4) -> DataFrame:
-    """Relational form: one broadcast equi-join with the tree a level; only split cells are kept.
+    """Relational form: one equi-join with the tree a level; only split cells are kept.
 
-    The tree has at most codebooks x (codes - 1) rows.
+    The tree has at most codebooks x (codes - 1) rows, and is broadcast if they are few.
+    Cells may have a codebook of their own (`c`), as quantized ones do.
     """
     used = tree.select("c", "level", "dim").distinct()
-    wide = cells.join(F.broadcast(used), "dim").groupBy("row_id", "c").agg(F.map_from_entries(F.collect_list(F.struct("level", "x"))).alias("at"))
+    wide = cells.join(small(used), ["c", "dim"] if "c" in cells.columns else "dim").groupBy("row_id", "c").agg(F.map_from_entries(F.collect_list(F.struct("level", "x"))).alias("at"))
     state = wide.withColumn("node", F.lit(0))
     for level in range(depth):
-        step = F.broadcast(tree.where(F.col("level") == level).select("c", "node", "threshold"))
+        step = small(tree.where(F.col("level") == level).select("c", "node", "threshold"))
         state = state.join(step, ["c", "node"]).withColumn("node", F.col("node") * 2 + (F.element_at("at", F.lit(level)) > F.col("threshold")).cast("int")).drop("threshold")
     return state.select("row_id", "c", F.col("node").alias("k"))
 
 
 def distances(cells: DataFrame, centroids: DataFrame, distance=lambda x, v: (x - v) * (x - v)) -> DataFrame:
     """(row_id, c, k, dist) over all codes; centroids (c, k, dim, value) are model-sized."""
-    return cells.join(F.broadcast(centroids), "dim").groupBy("row_id", "c", "k").agg(F.sum(distance(F.col("x"), F.col("value"))).alias("dist"))
+    return cells.join(small(centroids), "dim").groupBy("row_id", "c", "k").agg(F.sum(distance(F.col("x"), F.col("value"))).alias("dist"))
 
 
 def nearest(dist: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def tree_soft_score(cells: DataFrame, tree: DataFrame, depth: int = 4, temperatu
     """(row_id, c, k, score): sum of signed tanh margins on the way to each leaf."""
     spark = cells.sparkSession
     paths = spark.createDataFrame(leaf_paths(depth), "k int, level int, node int, sign int")
-    margins = cells.join(F.broadcast(tree), "dim").select("row_id", "c", "level", "node", F.tanh((F.col("x") - F.col("threshold")) / temperature).alias("t"))
+    margins = cells.join(small(tree), "dim").select("row_id", "c", "level", "node", F.tanh((F.col("x") - F.col("threshold")) / temperature).alias("t"))
     return margins.join(F.broadcast(paths), ["level", "node"]).groupBy("row_id", "c", "k").agg(F.sum(F.col("t") * F.col("sign")).alias("score"))
 
 

@@ -6,41 +6,69 @@ centroid sums (codebooks x codes x dims), the Gram matrix (codes squared).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.layout import bounds
 from ..plans.model import Model
-from .encode import encode_tree, nearest_code, tree_code
+from . import scan
+from .encode import nearest_code, tree_code
+from .metrics import bucket_sse, code_gram
 
 #: Largest codebooks x codes whose normal equations are solved on the driver.
 LARGEST_GRAM = 4096
 
 
-def in_order(keys: list[str], order: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def _exact(cells: DataFrame, x: str) -> bool:
+    return isinstance(cells.schema[x].dataType, T.IntegralType)
+
+
+def _terms(cells: DataFrame, x: str) -> tuple[Column, Column]:
+    """Values and squares; of integers as wide decimals, so that sums are exact."""
+    v = F.col(x).cast("decimal(19,0)") if _exact(cells, x) else F.col(x)
+    return v, v * v
+
+
+def _squared_error(n: Column, s: Column, q: Column, exact: bool) -> Column:
+    """q - s^2 / n; of integers rounded down, without any rounding on the way."""
+    if not exact:
+        return F.greatest(F.lit(0.0), q - s * s / n)
+    s, q, n = s.cast("decimal(19,0)"), q.cast("decimal(38,0)"), n.cast("decimal(10,0)")
+    rest = (s * s) % n
+    return (q - ((s * s - rest) / n).cast("decimal(38,0)") - F.when(rest > 0, F.lit(1)).otherwise(0)).cast("decimal(38,0)")
 
 
 def cum_sse_head(cells: DataFrame, keys: list[str], order: list[str], x: str = "x") -> DataFrame:
     """Count, sum, sum of squares and squared error of all rows up to each one."""
-    w = in_order(keys, order)
-    out = cells.withColumns({"n_head": F.count("*").over(w), "s_head": F.sum(x).over(w), "q_head": F.sum(F.col(x) * F.col(x)).over(w)})
-    return out.withColumn("sse_head", F.floor(F.col("q_head") - F.col("s_head") * F.col("s_head") / F.col("n_head")).cast("bigint"))
+    rows = scan.parted(cells, keys, order)
+    v, v2 = _terms(rows, x)
+    rows = scan.sums_before(rows, keys, {"_n": F.lit(1), "_s": v, "_q": v2})
+    w = scan.local(keys, order)
+    out = rows.withColumns({"n_head": F.col("_n") + F.count("*").over(w), "s_head": F.col("_s") + F.sum(v).over(w), "q_head": F.col("_q") + F.sum(v2).over(w)}).drop("_n", "_s", "_q")
+    return out.withColumn("sse_head", _squared_error(F.col("n_head"), F.col("s_head"), F.col("q_head"), _exact(cells, x)))
 
 
 def cum_sse_tail(heads: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
     """The same of all rows after each one: the total less the head, without a second sort."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w) - F.col("n_head")
-    s, q = F.sum(x).over(w) - F.col("s_head"), F.sum(F.col(x) * F.col(x)).over(w) - F.col("q_head")
-    return heads.withColumn("sse_tail", F.when(n > 0, F.floor(q - s * s / n)).otherwise(0).cast("bigint"))
+    v, v2 = _terms(heads, x)
+    totals = heads.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum(v).alias("_s"), F.sum(v2).alias("_q"))
+    n, s, q = F.col("_n") - F.col("n_head"), F.col("_s") - F.col("s_head"), F.col("_q") - F.col("q_head")
+    tail = F.when(n > 0, _squared_error(n, s, q, _exact(heads, x))).otherwise(0)
+    return scan.joined(heads, totals, keys).withColumn("sse_tail", tail).drop("_n", "_s", "_q")
 
 
 def split_candidates(heads: DataFrame, keys: list[str], order: list[str], x: str = "x") -> DataFrame:
     """The midpoint between each row's value and the next one's."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return heads.withColumn("threshold", (F.col(x) + F.lead(x, 1).over(w)) / 2).withColumn("threshold", F.coalesce("threshold", F.col(x).cast("double")))
+    rows = scan.next_value(scan.parted(heads, keys, order), keys, order, x, "_next")
+    return rows.withColumn("threshold", F.coalesce((F.col(x) + F.col("_next")) / 2, F.col(x).cast("double"))).drop("_next")
 
 
 def rank_split_dims(stats: DataFrame, most: int = 8) -> DataFrame:
@@ -62,75 +90,213 @@ def choose_dim(splits: DataFrame) -> DataFrame:
     return total.groupBy("c").agg(F.min(F.struct("loss", "dim")).alias("b")).select("c", "b.dim", "b.loss")
 
 
-def _node(features: Column, dims: list[int], thresholds: list[float]) -> Column:
-    return tree_code(features, dims, thresholds) if dims else F.lit(0)
+@dataclass
+class _Tree:
+    """A tree forest while it grows: of one layer, with a number of codebooks."""
+
+    layer: str | None
+    layout: list[tuple[int, int]]
+    chosen: list[list[int]]
+    thresholds: list[list[float]]
+    tries: list[list[int]]
+    leaves: dict[tuple[int, int], np.ndarray]
+
+    def nodes(self, x: np.ndarray, c: int) -> np.ndarray:
+        """The node of each row in a codebook's tree so far."""
+        node = np.zeros(len(x), np.int64)
+        for level, dim in enumerate(self.chosen[c]):
+            cuts = np.asarray(self.thresholds[c][(1 << level) - 1 : (2 << level) - 1])
+            node = 2 * node + (x[:, dim] > cuts[node])
+        return node
+
+
+def _usable(m: DataFrame, dims: int) -> DataFrame:
+    """Rows whose features are `dims` numbers."""
+    return m.where((F.size("features") == dims) & ~F.exists("features", lambda v: v.isNull() | F.isnan(v)))
+
+
+def _features(column: pa.Array, dims: int) -> np.ndarray:
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def tree_fit_many(m: DataFrame, dims: int, configs: dict[object, tuple[str | None, int]], depth: int = 4, tried: int = 8, bins: int = 64) -> dict[object, Model]:
+    """Binned trees of many layers and numbers of codebooks, all in one job a level.
+
+    `m` has (layer, features); a config is its layer (None: all rows) and its codebooks. Each
+    column is cut at quantiles once. A level is one scan: tasks find each row's node and add
+    up counts, sums and squares by (tree, codebook, node, tried column, bin); partial sums
+    are all that is shuffled. From these sums follow the splits, the columns to try at the
+    next level (those of largest squared error), and after the last level the prototypes, so
+    rows are never joined with their codes. What comes to the driver is model-sized.
+    """
+    spark = m.sparkSession
+    rows = _usable(m, dims).select("layer", "features")
+    shares = [i / bins for i in range(1, bins)]
+    got = rows.groupBy("layer").agg(*(F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(dims))).collect()
+    per_layer = {r["layer"]: [np.unique(r[f"d{d}"]) for d in range(dims)] for r in got}
+    if any(layer is None for layer, _ in configs.values()):
+        whole = rows.agg(*(F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(dims))).first()
+        per_layer[None] = [np.unique(whole[f"d{d}"] or [0.0]) for d in range(dims)]
+    trees = {}
+    for key, (layer, codebooks) in configs.items():
+        layout = bounds(dims, codebooks)
+        # the first level tries all columns of a codebook, as nothing is known of them yet
+        trees[key] = _Tree(layer, layout, [[] for _ in layout], [[] for _ in layout], [list(range(a, b)) for a, b in layout], {})
+    names = list(trees)
+    for level in range(depth):
+        state = spark.sparkContext.broadcast((per_layer, [trees[k] for k in names]))
+
+        def sums(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            edges_of, own_trees = state.value
+            total: dict[tuple[int, int, int, int], np.ndarray] = {}
+            for batch in batches:
+                layers, x = np.asarray(batch.column(0).to_pylist(), object), _features(batch.column(1), dims)
+                cache: dict[tuple, np.ndarray] = {}
+                for t, tree in enumerate(own_trees):
+                    at = np.arange(len(x)) if tree.layer is None else np.flatnonzero(layers == tree.layer)
+                    if not len(at) or tree.layer not in edges_of:
+                        continue
+                    own = x[at]
+                    for c, (a, b) in enumerate(tree.layout):
+                        node, sub = tree.nodes(own, c), own[:, a:b]
+                        values = np.concatenate([np.ones((len(own), 1)), sub, sub * sub], 1)
+                        for j in tree.tries[c]:
+                            if (tree.layer, j) not in cache:
+                                cache[tree.layer, j] = np.searchsorted(edges_of[tree.layer][j], own[:, j], "left")
+                            group = node * (bins + 1) + cache[tree.layer, j]
+                            held, of = np.unique(group, return_inverse=True)
+                            for k, g in enumerate(held):
+                                total.setdefault((t, c, j, int(g)), np.append(np.zeros(values.shape[1]), -np.inf))
+                            added = np.zeros((len(held), values.shape[1]))
+                            for v in range(values.shape[1]):
+                                added[:, v] = np.bincount(of, values[:, v], len(held))
+                            top = np.full(len(held), -np.inf)
+                            np.maximum.at(top, of, own[:, j])
+                            for k, g in enumerate(held):
+                                cell = total[t, c, j, int(g)]
+                                cell[:-1] += added[k]
+                                cell[-1] = max(cell[-1], top[k])
+            keys = list(total)
+            columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([total[k][:-1].tolist() for k in keys], pa.list_(pa.float64())), pa.array([float(total[k][-1]) for k in keys])], ["t", "c", "j", "g", "v", "top"])
+
+        parts = rows.mapInArrow(sums, "t int, c int, j int, g int, v array<double>, top double")
+        width = max(b - a for tree in trees.values() for a, b in tree.layout)
+        summed = parts.groupBy("t", "c", "j", "g").agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(1 + 2 * width))).alias("v"), F.max("top").alias("top"))
+        split = summed.groupBy("t", "c", "j").applyInPandas(_best_cuts(bins, 1 << level), "t int, c int, j int, loss double, cuts array<double>, left array<array<double>>, right array<array<double>>").collect()
+        for t, name in enumerate(names):
+            tree = trees[name]
+            for c, (a, b) in enumerate(tree.layout):
+                own = {r["j"]: r for r in split if (r["t"], r["c"]) == (t, c)}
+                j = min(own, key=lambda x: (own[x]["loss"], x)) if own else a
+                cuts = own[j]["cuts"] if own else [0.0] * (1 << level)
+                tree.chosen[c].append(j)
+                tree.thresholds[c] += [float(v) for v in cuts]
+                sizes = 2 * (b - a) + 1
+                kids = np.zeros((2 << level, sizes))
+                if own:
+                    kids[0::2], kids[1::2] = ([[v or 0.0 for v in r[:sizes]] for r in own[j][side]] for side in ("left", "right"))
+                for node in range(2 << level):
+                    tree.leaves[c, node] = kids[node]
+                n, q = np.maximum(kids[:, :1], 1), kids[:, 1 + b - a :]
+                error = np.maximum(q - kids[:, 1 : 1 + b - a] ** 2 / n, 0).sum(0)
+                tree.tries[c] = sorted((a + int(d) for d in np.argsort(-error, kind="stable")[:tried]))
+    out = {}
+    for name, tree in trees.items():
+        proto = {(c, k, a + d): float(tree.leaves[c, k][1 + d] / max(tree.leaves[c, k][0], 1)) for c, (a, b) in enumerate(tree.layout) for k in range(1 << depth) for d in range(b - a)}
+        out[name] = Model(tuple(map(tuple, tree.chosen)), tuple(map(tuple, tree.thresholds)), proto)
+    return out
+
+
+def _best_cuts(bins: int, nodes: int):
+    """For one codebook and tried column: each node's best threshold, all nodes' loss, and what falls to either side."""
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        t, c, j = (int(part[k].iloc[0]) for k in ("t", "c", "j"))
+        have = [[x for x in v if x is not None and not np.isnan(x)] for v in part["v"]]
+        wide = len(have[0])
+        d = (wide - 1) // 2
+        cuts, left, right, loss = [0.0] * nodes, [[0.0] * wide] * nodes, [[0.0] * wide] * nodes, 0.0
+        values, g, top = np.array(have), part["g"].to_numpy(), part["top"].to_numpy()
+        order = np.argsort(g)
+        values, g, top = values[order], g[order], top[order]
+        for node in np.unique(g // (bins + 1)):
+            own = np.flatnonzero(g // (bins + 1) == node)
+            head = np.cumsum(values[own], 0)
+            tail = head[-1] - head
+            sse = lambda x: np.maximum(x[:, 1 + d :] - x[:, 1 : 1 + d] ** 2 / np.maximum(x[:, :1], 1), 0).sum(1)
+            losses = sse(head) + sse(tail)
+            at = int(losses.argmin())
+            loss += float(losses[at])
+            # a value of the data itself, the largest that goes left
+            cuts[int(node)] = float(top[own[at]])
+            left[int(node)], right[int(node)] = head[at].tolist(), tail[at].tolist()
+        return pd.DataFrame({"t": [t], "c": [c], "j": [j], "loss": [loss], "cuts": [cuts], "left": [left], "right": [right]})
+
+    return best
 
 
 def tree_fit(m: DataFrame, dims: int, codebooks: int, depth: int = 4, tried: int = 8, bins: int = 64, exact: bool = False) -> Model:
     """Threshold trees of all codebooks, level by level, all codebooks in one job a level.
 
-    Each level tries the `tried` dims of largest squared error and takes the one whose
-    splits leave the least. `exact` sorts all values; by default thresholds come from
-    `bins` quantile bins, where the work after one aggregation by bin does not depend on
-    the rows: no window ever sees more than `bins` rows of a bucket.
+    Each level tries the `tried` columns of largest squared error (the first one all) and
+    takes the one whose splits leave the least. By default thresholds come from `bins`
+    quantile bins (`tree_fit_many`); `exact` tries all values, and orders each codebook's
+    rows for that: it is for samples. Rows without features, or with a null among them,
+    teach nothing; without rows all thresholds and prototypes are 0.
     """
-    spark = m.sparkSession
-    layout = bounds(dims, codebooks)
+    if not exact:
+        return tree_fit_many(m.withColumn("layer", F.lit("")), dims, {0: ("", codebooks)}, depth, tried, bins)[0]
+    m, layout = _usable(m, dims), bounds(dims, codebooks)
     chosen: list[list[int]] = [[] for _ in layout]
     thresholds: list[list[float]] = [[] for _ in layout]
-    edges = None
-    if not exact:
-        shares = [i / bins for i in range(1, bins)]
-        quantiles = m.agg(*(F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(dims))).first()
-        edges = [sorted(set(quantiles[f"d{d}"] or [0.0])) for d in range(dims)]
     for level in range(depth):
         per = []
         for c, (a, b) in enumerate(layout):
-            sub = F.slice("features", a + 1, b - a)
-            per.append(F.struct(F.lit(c).alias("c"), _node(F.col("features"), chosen[c], thresholds[c]).alias("node"), sub.alias("sub")))
+            node = tree_code(F.col("features"), chosen[c], thresholds[c]) if level else F.lit(0)
+            per.append(F.struct(F.lit(c).alias("c"), node.alias("node"), F.slice("features", a + 1, b - a).alias("sub")))
         rows = m.select("row_id", F.explode(F.array(*per)).alias("p")).select("row_id", "p.*")
-        sums = rows.select("c", "node", F.posexplode("sub").alias("j", "x")).groupBy("c", "node", "j").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-        stats = sums.withColumn("sse", F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n"))).withColumnRenamed("j", "dim")
-        tries: dict[int, list[int]] = {c: [] for c in range(len(layout))}
-        for r in rank_split_dims(stats, tried).orderBy("c", "rank").collect():
-            tries[r["c"]].append(r["dim"])
+        tries = {c: list(range(b - a)) for c, (a, b) in enumerate(layout)}
+        if level:
+            sums = rows.select("c", "node", F.posexplode("sub").alias("dim", "x")).groupBy("c", "node", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2"))
+            tries = {c: [] for c in tries}
+            for r in rank_split_dims(bucket_sse(sums), tried).orderBy("c", "rank").collect():
+                tries[r["c"]].append(r["dim"])
         width = max(b - a for a, b in layout)
         pairs = [F.struct(F.lit(c).alias("tc"), F.lit(j).alias("try")) for c, js in tries.items() for j in js]
+        if not pairs:
+            pairs = [F.struct(F.lit(-1).alias("tc"), F.lit(0).alias("try"))]
         each = rows.withColumn("t", F.explode(F.filter(F.array(*pairs), lambda t: t["tc"] == F.col("c")))).select("row_id", "c", "node", F.col("t.try").alias("try"), "sub", F.get("sub", F.col("t.try")).alias("v"))
         column = lambda j: F.coalesce(F.get("sub", F.lit(j)), F.lit(0.0))
-        if exact:
-            heads = each.select("c", "node", "try", "v", F.col("row_id").alias("o"), F.lit(1).alias("n"), *(column(j).alias(f"s{j}") for j in range(width)), *((column(j) * column(j)).alias(f"q{j}") for j in range(width)))
-        else:
-            cuts = spark.createDataFrame([(c, j, edges[a + j]) for c, (a, b) in enumerate(layout) for j in range(b - a)], "c int, try int, cuts array<double>")
-            binned = each.join(F.broadcast(cuts), ["c", "try"]).withColumn("o", F.size(F.filter("cuts", lambda e: e < F.col("v"))))
-            heads = binned.groupBy("c", "node", "try", "o").agg(F.max("v").alias("v"), F.count("*").alias("n"), *(F.sum(column(j)).alias(f"s{j}") for j in range(width)), *(F.sum(column(j) * column(j)).alias(f"q{j}") for j in range(width)))
-        w = Window.partitionBy("c", "node", "try").orderBy("v", "o").rowsBetween(Window.unboundedPreceding, 0)
-        whole, order = Window.partitionBy("c", "node", "try"), Window.partitionBy("c", "node", "try").orderBy("v", "o")
+        w = Window.partitionBy("c", "node", "try").orderBy("v", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+        whole, order = Window.partitionBy("c", "node", "try"), Window.partitionBy("c", "node", "try").orderBy("v", "row_id")
         loss = F.lit(0.0)
-        n, total = F.sum("n").over(w), F.sum("n").over(whole)
+        n, total = F.count("*").over(w), F.count("*").over(whole)
         for j in range(width):
-            s, q, st, qt = F.sum(f"s{j}").over(w), F.sum(f"q{j}").over(w), F.sum(f"s{j}").over(whole), F.sum(f"q{j}").over(whole)
+            s, q, st, qt = F.sum(column(j)).over(w), F.sum(column(j) * column(j)).over(w), F.sum(column(j)).over(whole), F.sum(column(j) * column(j)).over(whole)
             rest = F.when(total > n, F.greatest(F.lit(0.0), qt - q - (st - s) * (st - s) / (total - n))).otherwise(0.0)
             loss = loss + F.greatest(F.lit(0.0), q - s * s / n) + rest
-        scored = heads.select("c", "node", "try", "v", "o", loss.alias("loss"), F.lead("v").over(order).alias("next"))
-        # bins of the same value are one place; a split lies between different values
+        scored = each.select("c", "node", "try", "v", "row_id", loss.alias("loss"), F.lead("v").over(order).alias("next"))
+        # a split lies between different values
+        scored = scored.where(F.col("next").isNull() | (F.col("next") > F.col("v")))
         cut = F.when(F.col("next").isNull(), F.col("v")).otherwise((F.col("v") + F.col("next")) / 2)
-        best = scored.groupBy("c", "node", "try").agg(F.min(F.struct("loss", "v", "o", cut.alias("threshold"))).alias("b"))
+        best = scored.groupBy("c", "node", "try").agg(F.min(F.struct(F.round("loss", 9).alias("loss"), "v", cut.alias("threshold"))).alias("b"))
         found = best.select("c", "node", "try", "b.loss", "b.threshold").collect()
         for c, (a, b) in enumerate(layout):
             own = [r for r in found if r["c"] == c]
             by = {j: sum(r["loss"] for r in own if r["try"] == j) for j in tries[c]}
-            j = min(by, key=lambda x: (by[x], x)) if by else 0
+            j = min(by, key=lambda x: (by[x], x)) if own else 0
             at = {r["node"]: r["threshold"] for r in own if r["try"] == j}
             chosen[c].append(a + j)
             thresholds[c] += [float(at.get(node, 0.0)) for node in range(1 << level)]
     model = Model(tuple(map(tuple, chosen)), tuple(map(tuple, thresholds)), {})
-    return Model(model.dims, model.thresholds, bucket_prototypes(m, model, layout))
+    codes = F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds)))
+    return Model(model.dims, model.thresholds, bucket_prototypes(m.withColumn("codes", codes), model, layout))
 
 
 def bucket_prototypes(m: DataFrame, model: Model, layout: list[tuple[int, int]]) -> dict[tuple[int, int, int], float]:
     """Mean sub-vector of each bucket; 0 where it is empty."""
-    coded = m.join(encode_tree(m, model), "row_id") if "codes" not in m.columns else m
+    coded = m if "codes" in m.columns else m.withColumn("codes", F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds))))
     per = F.array(*(F.struct(F.lit(c).alias("c"), F.get("codes", F.lit(c)).alias("k"), F.slice("features", a + 1, b - a).alias("sub"), F.lit(a).alias("a")) for c, (a, b) in enumerate(layout)))
     cells = coded.select(F.explode(per).alias("p")).select("p.c", "p.k", "p.a", F.posexplode("p.sub").alias("j", "x"))
     means = cells.groupBy("c", "k", (F.col("a") + F.col("j")).alias("dim")).agg(F.avg("x").alias("value")).collect()
@@ -147,11 +313,9 @@ def ridge_refine(m: DataFrame, model: Model, dims: int, penalty: float = 1.0) ->
     size = model.codebooks * model.codes
     if size > LARGEST_GRAM:
         raise ValueError(f"{size} codes in all; the driver solves {LARGEST_GRAM} at most")
-    with_codes = m.withColumn("codes", F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds))))
+    with_codes = _usable(m, dims).withColumn("codes", F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds))))
     spots = with_codes.select("features", F.transform("codes", lambda k, c: k + c * model.codes).alias("flat"))
-    gram = np.zeros((size, size))
-    for r in spots.select("flat", F.explode("flat").alias("i")).select("i", F.explode("flat").alias("j")).groupBy("i", "j").count().collect():
-        gram[r["i"], r["j"]] = r["count"]
+    gram = _gram(with_codes, size, model.codes)
     right = np.zeros((size, dims))
     sums = [F.sum(F.get("features", F.lit(d))).alias(f"d{d}") for d in range(dims)]
     for r in spots.select("features", F.explode("flat").alias("i")).groupBy("i").agg(*sums).collect():
@@ -164,25 +328,40 @@ def ridge_refine(m: DataFrame, model: Model, dims: int, penalty: float = 1.0) ->
     return Model(model.dims, model.thresholds, dense, model.weights)
 
 
+def _gram(coded: DataFrame, size: int, codes: int) -> np.ndarray:
+    gram = np.zeros((size, size))
+    for r in code_gram(coded, codes).collect():
+        gram[r["c1"] * codes + r["k1"], r["c2"] * codes + r["k2"]] = r["n"]
+    return gram
+
+
 def with_weights(model: Model, weights: list[list[float]]) -> Model:
     return Model(model.dims, model.thresholds, model.prototypes, tuple(map(tuple, weights)))
 
 
-def kmeans_fit(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seed: int = 0, restarts: int = 1, max_points: int = 256, only: list[int] | None = None) -> tuple[list[list[list[float]]], float]:
+def kmeans_fit(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seed: int = 0, restarts: int = 1, max_points: int = 0, only: list[int] | None = None) -> tuple[list[list[list[float]]], float]:
     """Lloyd's algorithm for all codebooks at once: (centroids [c][k][d], inertia).
 
-    Starts from rows chosen by hash; fits on at most `k * max_points` rows, those of
-    least hash (a parameter of the fit, all rows with 0). Each round is one aggregation
-    whose result is codebooks x codes rows; an empty code takes the centroid of the
-    largest one, moved a little. `only` limits the work to some codebooks.
+    Starts from rows chosen by hash and fits on all rows; with `max_points`, on the
+    `k * max_points` rows of least hash. Each round is one aggregation whose result is
+    codebooks x codes rows; an empty code takes the centroid of the largest one, moved a
+    little. `only` limits the work to some codebooks. Fewer rows than codes are taken again
+    as starts; rows without features, or with a null among them, teach nothing; without
+    rows all centroids are 0.
     """
     layout = bounds(dims, codebooks)
     own = range(len(layout)) if only is None else only
-    rows = m.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k * max_points) if max_points else m
-    rows = rows.select("row_id", "features").cache()
+    rows = _usable(m, dims).select("row_id", "features")
+    if max_points:
+        rows = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k * max_points).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.cache()
     best: tuple[list, float] | None = None
     for restart in range(restarts):
         first = rows.orderBy(F.xxhash64("row_id", F.lit(seed + 1 + restart)), "row_id").limit(k).collect()
+        if not first:
+            rows.unpersist()
+            return [[[0.0] * (b - a) for _ in range(k)] for a, b in layout], 0.0
+        first = [first[i % len(first)] for i in range(k)]
         centroids = [[[float(r["features"][d]) for d in range(a, b)] for r in first] for a, b in layout]
         inertia = 0.0
         for _ in range(rounds):
@@ -224,9 +403,7 @@ def lut_refit(coded: DataFrame, outputs: DataFrame, codebooks: int, codes: int,
     if size > LARGEST_GRAM:
         raise ValueError(f"{size} codes in all; the driver solves {LARGEST_GRAM} at most")
     flat = coded.select("row_id", F.transform("codes", lambda k, c: k + c * codes).alias("flat"))
-    gram = np.zeros((size, size))
-    for r in flat.select("flat", F.explode("flat").alias("i")).select("i", F.explode("flat").alias("j")).groupBy("i", "j").count().collect():
-        gram[r["i"], r["j"]] = r["count"]
+    gram = _gram(coded, size, codes)
     sums = flat.join(outputs, "row_id").select("m", "y", F.explode("flat").alias("i")).groupBy("m", "i").agg(F.sum("y").alias("s")).collect()
     right = np.zeros((size, 1 + max((r["m"] for r in sums), default=-1)))
     for r in sums:

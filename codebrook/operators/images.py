@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lut import small
 
-def pixels(m: DataFrame, width: int) -> DataFrame:
-    """(img_id, ch, y, x, v) of one-channel pictures stored row by row."""
-    return m.select(F.col("row_id").alias("img_id"), F.posexplode("features").alias("i", "v")).select("img_id", F.lit(0).alias("ch"), F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), "v")
+
+def pixels(m: DataFrame, width: int, height: int | None = None) -> DataFrame:
+    """(img_id, ch, y, x, v) of pictures stored channel by channel, row by row; one channel without a height."""
+    at = F.col("i") % (width * height) if height else F.col("i")
+    channel = F.floor(F.col("i") / (width * height)).cast("int") if height else F.lit(0)
+    cells = m.select(F.col("row_id").alias("img_id"), F.posexplode("features").alias("i", "v"))
+    return cells.select("img_id", channel.alias("ch"), F.floor(at / width).cast("int").alias("y"), (at % width).alias("x"), "v")
 
 
 def out_size(size: int, kernel: int, stride: int = 1, padding: int = 0, dilation: int = 1) -> int:
@@ -19,30 +24,49 @@ def _grid(rows: int, cols: int, a: str, b: str) -> Column:
     return F.array(*(F.struct(F.lit(i).alias(a), F.lit(j).alias(b)) for i in range(rows) for j in range(cols)))
 
 
-def im2col(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, dilation: int = 1) -> DataFrame:
-    """(img_id, oy, ox, pos, v): every patch's values, 0 outside; made inside each row."""
+def im2col(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, dilation: int = 1, channels: int = 1) -> DataFrame:
+    """(img_id, oy, ox, pos, v): every patch's values, 0 outside; made inside each row.
+
+    Positions go channel by channel, as pictures do.
+    """
     oh, ow = (out_size(s, kernel, stride, padding, dilation) for s in (height, width))
-    spots = m.select("row_id", "features", F.explode(_grid(oh, ow, "oy", "ox")).alias("o")).select("row_id", "features", "o.oy", "o.ox", F.explode(_grid(kernel, kernel, "ky", "kx")).alias("k"))
+    spots = m.select("row_id", "features", F.explode(_grid(oh, ow, "oy", "ox")).alias("o")).withColumn("ch", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
+    spots = spots.select("row_id", "features", "o.oy", "o.ox", "ch", F.explode(_grid(kernel, kernel, "ky", "kx")).alias("k"))
     y = F.col("oy") * stride + F.col("k.ky") * dilation - padding
     x = F.col("ox") * stride + F.col("k.kx") * dilation - padding
     inside = y.between(0, height - 1) & x.between(0, width - 1)
-    return spots.select(F.col("row_id").alias("img_id"), "oy", "ox", (F.col("k.ky") * kernel + F.col("k.kx")).alias("pos"), F.when(inside, F.get("features", y * width + x)).otherwise(0.0).alias("v"))
+    pos = (F.col("ch") * kernel + F.col("k.ky")) * kernel + F.col("k.kx")
+    return spots.select(F.col("row_id").alias("img_id"), "oy", "ox", pos.alias("pos"), F.when(inside, F.get("features", F.col("ch") * (height * width) + y * width + x)).otherwise(0.0).alias("v"))
+
+
+def patch_rows(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, channels: int = 1) -> DataFrame:
+    """(row_id, features): one row a patch, numbered img_id * places + place; arrays made in the row, without a shuffle."""
+    oh, ow = out_size(height, kernel, stride, padding), out_size(width, kernel, stride, padding)
+    spots = m.select("row_id", "features", F.explode(_grid(oh, ow, "oy", "ox")).alias("o"))
+    grid = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(i).alias("ky"), F.lit(j).alias("kx")) for c in range(channels) for i in range(kernel) for j in range(kernel)))
+
+    def value(k):
+        y, x = F.col("o.oy") * stride + k["ky"] - padding, F.col("o.ox") * stride + k["kx"] - padding
+        inside = y.between(0, height - 1) & x.between(0, width - 1)
+        return F.when(inside, F.get("features", k["c"] * (height * width) + y * width + x)).otherwise(0.0)
+
+    return spots.select((F.col("row_id") * (oh * ow) + F.col("o.oy") * ow + F.col("o.ox")).alias("row_id"), F.transform(grid, value).alias("features"))
 
 
 def patches(cols: DataFrame) -> DataFrame:
-    """(row_id, features): one row per patch, numbered img_id * 2**20 + place."""
-    key = F.col("img_id") * (1 << 20) + F.col("oy") * 1024 + F.col("ox")
+    """(row_id, features): one row per patch, numbered img_id * 2**40 + place; sides up to 2**20."""
+    key = F.col("img_id") * (1 << 40) + F.col("oy").cast("bigint") * (1 << 20) + F.col("ox")
     return cols.groupBy(key.alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("features"))
 
 
 def kn2col(px: DataFrame, kernels: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0) -> DataFrame:
     """(img_id, m, oy, ox, y): convolution as a sum over kernel positions of shifted pictures.
 
-    `kernels` (m, ch, ky, kx, w) is model-sized and broadcast.
+    `kernels` (m, ch, ky, kx, w) is model-sized, and broadcast if its rows are few.
     """
     oh, ow = out_size(height, kernel, stride, padding), out_size(width, kernel, stride, padding)
     ty, tx = F.col("y") + padding - F.col("ky"), F.col("x") + padding - F.col("kx")
-    shifted = px.join(F.broadcast(kernels), "ch").where((ty % stride == 0) & (tx % stride == 0))
+    shifted = px.join(small(kernels), "ch").where((ty % stride == 0) & (tx % stride == 0))
     shifted = shifted.select("img_id", "m", F.floor(ty / stride).cast("int").alias("oy"), F.floor(tx / stride).cast("int").alias("ox"), (F.col("v") * F.col("w")).alias("p"))
     return shifted.where(F.col("oy").between(0, oh - 1) & F.col("ox").between(0, ow - 1)).groupBy("img_id", "m", "oy", "ox").agg(F.sum("p").alias("y"))
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def bucket_stats(cells: DataFrame, keys=("c", "node", "dim")) -> DataFrame:
     """n, sum and sum of squares of each bucket; partial sums combine before the shuffle."""
@@ -21,10 +29,43 @@ def bucket_means(stats: DataFrame, grid: DataFrame, keys=("c", "node", "dim")) -
     return grid.join(stats, list(keys), "left").select(*keys, F.coalesce(F.col("sum_x") / F.col("n"), F.lit(0.0)).alias("mean"))
 
 
-def code_gram(coded: DataFrame) -> DataFrame:
-    """Co-occurrence counts (c1, k1, c2, k2, n) of codes; pairs are made inside each row."""
-    a = coded.select("row_id", "codes", F.posexplode("codes").alias("c1", "k1"))
-    return a.select("c1", "k1", F.posexplode("codes").alias("c2", "k2")).groupBy("c1", "k1", "c2", "k2").agg(F.count("*").alias("n"))
+def code_gram(coded: DataFrame, codes: int = 16) -> DataFrame:
+    """Co-occurrence counts (c1, k1, c2, k2, n) of codes; pairs are counted inside the tasks.
+
+    Rows without codes, or with a null among them, count nothing.
+    """
+    wide = codes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                column = batch.column(0).slice(at, 4096)
+                flat = np.asarray(pc.list_flatten(column), np.int64)
+                n = len(flat) // max(len(column), 1)
+                spot = flat.reshape(len(column), n) + np.arange(n) * wide
+                pairs, counts = np.unique(spot[:, :, None] * (n * wide) + spot[:, None, :], return_counts=True)
+                size = n * wide
+                if size * size <= 1 << 22:
+                    np.add.at(total.setdefault(size, np.zeros(size * size, np.int64)), pairs.ravel(), counts)
+                else:
+                    yield _gram_rows(pairs.ravel(), counts, size, wide)
+        for size, own in total.items():
+            at = np.flatnonzero(own)
+            yield _gram_rows(at, own[at], size, wide)
+
+    whole = coded.select("codes").where(F.col("codes").isNotNull() & (F.size("codes") > 0) & ~F.exists("codes", lambda k: k.isNull()))
+    # arrays of one length in a batch: rows of other lengths are counted apart
+    lengths = [r["n"] for r in whole.select(F.size("codes").alias("n")).distinct().collect()]
+    parts = [whole.where(F.size("codes") == n) if len(lengths) > 1 else whole for n in lengths] or [whole]
+    counted = reduce(DataFrame.unionByName, (p.mapInArrow(count, "c1 int, k1 int, c2 int, k2 int, n long") for p in parts))
+    return counted.groupBy("c1", "k1", "c2", "k2").agg(F.sum("n").alias("n"))
+
+
+def _gram_rows(pairs: np.ndarray, counts: np.ndarray, size: int, codes: int) -> pa.RecordBatch:
+    i, j = np.divmod(pairs, size)
+    columns = [*np.divmod(i, codes), *np.divmod(j, codes)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(counts.astype(np.int64))], ["c1", "k1", "c2", "k2", "n"])
 
 
 def code_xty(codes: DataFrame, residuals: DataFrame, value: str = "r") -> DataFrame:
@@ -74,13 +115,18 @@ def error_pairs(a: DataFrame, d: DataFrame) -> DataFrame:
     return a.select("row_id", "m", F.col("y").alias("a")).join(d.select("row_id", "m", F.col("y").alias("d")), ["row_id", "m"])
 
 
-def error_metrics(pairs: DataFrame, *keys: str) -> DataFrame:
-    """mae, mse, mape, and errors scaled by the desired range, in one pass; range 0 gives null."""
+def error_metrics(pairs: DataFrame, *keys: str | Column) -> DataFrame:
+    """mae, mse, mape, and errors scaled by the desired range, in one pass; range 0 gives null.
+
+    Keys are names; aggregates among them are added to the same pass.
+    """
+    more = [k for k in keys if isinstance(k, Column)]
+    keys = [k for k in keys if not isinstance(k, Column)]
     e = F.col("a") - F.col("d")
     span = F.max("d") - F.min("d")
     return pairs.groupBy(*keys).agg(
         F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.avg(F.abs(e) / (1 + F.abs("d"))).alias("mape"),
-        F.when(span != 0, 2 * F.avg(F.abs(e)) / span).alias("scaled_error"), F.when(span != 0, 2 * F.avg(e) / span).alias("scaled_shift"),
+        F.when(span != 0, 2 * F.avg(F.abs(e)) / span).alias("scaled_error"), F.when(span != 0, 2 * F.avg(e) / span).alias("scaled_shift"), *more,
     )
 
 
@@ -112,9 +158,9 @@ def rel_error_histogram(pairs: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def trimmed_range(values: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """The values between two percentiles, ends included; the percentiles are one row."""
-    edges = values.agg(F.percentile(column, low).alias("_lo"), F.percentile(column, high).alias("_hi"))
-    return values.crossJoin(F.broadcast(edges)).where(F.col(column).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    """The values between two exact percentiles, ends included."""
+    lo, hi = scan.exact_quantiles(values, column, [low, high])
+    return values.where(F.col(column).between(F.lit(lo), F.lit(hi)))
 
 
 def ranked_scores(outputs: DataFrame) -> DataFrame:

@@ -2,38 +2,59 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def smoothed_metric(series: DataFrame, keys: list[str], order: list[str], value: str = "value", window: int = 20, weight: str | None = None) -> DataFrame:
     """Median (lower of two), mean, max and last of a sliding window, and the running mean."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    last = w.rowsBetween(-(window - 1), 0)
+    rows = scan.parted(series, keys, order)
     n = F.col(weight) if weight else F.lit(1)
-    held = F.array_sort(F.collect_list(value).over(last))
-    whole = w.rowsBetween(Window.unboundedPreceding, 0)
-    return series.select(
-        *keys, *order, F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")).alias("median"), F.avg(value).over(last).alias("avg"), F.max(value).over(last).alias("max"),
-        F.col(value).alias("last"), (F.sum(F.col(value) * n).over(whole) / F.sum(n).over(whole)).alias("global_avg"),
+    rows = scan.sums_before(scan.last_values(rows, keys, order, value, window, "_held"), keys, {"_s": F.col(value) * n, "_n": n})
+    w, held = scan.local(keys, order), F.array_sort("_held")
+    zero = F.lit(0).cast("double")
+    return rows.select(
+        *keys, *order, F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")).alias("median"),
+        (F.aggregate("_held", zero, lambda a, x: a + x) / F.size("_held")).alias("avg"), F.array_max("_held").alias("max"), F.col(value).alias("last"),
+        ((F.col("_s") + F.sum(F.col(value) * n).over(w)) / (F.col("_n") + F.sum(n).over(w))).alias("global_avg"),
     )
 
 
-def ema(series: DataFrame, keys: list[str], order: list[str], value: str = "value", decay: float = 0.9, window: int = 64) -> DataFrame:
-    """Exponential moving average over the last `window` values, started by the oldest of them.
-
-    Weights decay as decay^age, so a frame of 64 at 0.9 leaves 0.1 % of the first value.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(window - 1), 0)
-    held = F.collect_list(value).over(w)
-    step = F.aggregate(F.slice(held, 2, window), F.get(held, F.lit(0)).cast("double"), lambda s, x: s * decay + x * (1 - decay))
-    return series.select(*keys, *order, step.alias("ema"))
+def ema(series: DataFrame, keys: list[str], order: list[str], value: str = "value", decay: float = 0.9) -> DataFrame:
+    """Exponential moving average of all values so far, started by the first one."""
+    return scan.decayed(series, keys, order, value, decay, "ema")
 
 
 def best_so_far(trials: DataFrame, keys: list[str], order: list[str], value: str, drop: float) -> DataFrame:
     """Trials that are within `drop` of the best before them."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return trials.withColumn("best_before", F.max(value).over(w)).where(F.col("best_before").isNull() | (F.col(value) >= F.col("best_before") - drop))
+    rows = scan.parted(trials, keys, order)
+    tops = rows.groupBy(*keys, scan.PART).agg(F.max(value).alias("_top"))
+    tops = tops.select(*keys, scan.PART, F.max("_top").over(scan.parts_before(keys)).alias("_top"))
+    inside = F.max(value).over(scan.local(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    before = scan.joined(rows.withColumn("_in", inside), tops, [*keys, scan.PART]).withColumn("best_before", F.greatest("_in", "_top")).drop("_in", "_top", scan.PART)
+    return before.where(F.col("best_before").isNull() | (F.col(value) >= F.col("best_before") - drop))
+
+
+def progress_gates(series: DataFrame, trial: str, order: str, value: str, gates=((0.25, 0.2), (0.1, 0.8))) -> DataFrame:
+    """(trial, steps, prev_max, stopped_at): where a trial's running mean falls too far behind the best earlier trial.
+
+    A gate (share, drop) holds from that share of the trial's steps on. Trials go in order
+    of their names; only those after one with a mean over 0 are stopped.
+    """
+    rows = scan.parted(series, [trial], [order])
+    rows = scan.sums_before(rows, [trial], {"_s": F.col(value), "_n": F.lit(1)})
+    w = scan.local([trial], [order])
+    rows = rows.select(trial, (F.col("_n") + F.count("*").over(w)).alias("step"), ((F.col("_s") + F.sum(value).over(w)) / (F.col("_n") + F.count("*").over(w))).alias("mean"))
+    ends = rows.groupBy(trial).agg(F.max("step").alias("steps"), F.max_by("mean", "step").alias("end"))
+    # one row a trial
+    ends = ends.select(trial, "steps", F.max("end").over(Window.orderBy(trial).rowsBetween(Window.unboundedPreceding, -1)).alias("prev_max"))
+    behind = reduce(lambda a, b: a | b, ((F.col("step") > F.col("steps") * share) & (F.col("mean") < F.col("prev_max") - drop) for share, drop in gates))
+    stops = scan.joined(rows, ends, [trial]).where((F.col("prev_max") > 0) & behind).groupBy(trial).agg(F.min("step").alias("stopped_at"))
+    return scan.joined(ends, stops, [trial])
 
 
 def best_run_per(runs: DataFrame, key: str, value: str, tie: str) -> DataFrame:
@@ -76,6 +97,12 @@ def mask_not_in_classes(codes: DataFrame, column: str, classes: list) -> DataFra
     return codes.withColumn(column, F.when(F.col(column).isin(classes), F.col(column)).otherwise(F.lit(-1)))
 
 
+def rows_in_classes(rows: DataFrame, codes: DataFrame, c: int, classes: list) -> DataFrame:
+    """The rows whose code of one codebook is among the classes, with that code."""
+    own = codes.where((F.col("c") == c) & F.col("k").isin(classes)).select("row_id", "k")
+    return rows.join(own, "row_id")
+
+
 def capture_sample(rows: DataFrame, batch: str, row_id: str, quota: int, order: Column | None = None) -> DataFrame:
     """At most `quota` rows of each batch, those first in a pseudo-random order of the id.
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fit, images, lut, metrics, runs
-from ..operators.encode import encode_tree, tree_code
+from ..operators.encode import cascade_predict, encode_tree, tree_code
 from .model import Model
 
 
@@ -15,11 +19,16 @@ def codes_of(model: Model):
     return F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds)))
 
 
+def products(weights) -> Column:
+    """The exact products of a row's features."""
+    dot = lambda row: F.aggregate(F.zip_with("features", F.array(*(F.lit(float(v)) for v in row)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*map(dot, weights))
+
+
 def both_products(m: DataFrame, model: Model) -> DataFrame:
     """All columns of m with `a`, the looked-up outputs, and `d`, the exact ones; no shuffle."""
     spots = [tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds)]
-    dot = lambda row: F.aggregate(F.zip_with("features", F.array(*(F.lit(float(v)) for v in row)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-    return m.withColumns({"a": lut.look_up(spots, model.lut(), model.codes), "d": F.array(*map(dot, model.weights))}).drop("features")
+    return m.withColumns({"a": lut.look_up(spots, model.lut(), model.codes), "d": products(model.weights)}).drop("features")
 
 
 def learn(train: DataFrame, weights: list[list[float]], dims: int, codebooks: int, exact: bool = False, ridge: bool = True, fitter=fit.tree_fit) -> Model:
@@ -30,40 +39,80 @@ def learn(train: DataFrame, weights: list[list[float]], dims: int, codebooks: in
     return fit.with_weights(model, weights)
 
 
-def approx_matmul(train: DataFrame, rows: DataFrame, weights: list[list[float]], dims: int, codebooks: int, encoder=encode_tree, **options) -> DataFrame:
-    """(row_id, y): products of rows with the weights by look-up, learned on `train`."""
-    model = learn(train, weights, dims, codebooks, **options)
-    return lut.decode_arrow(encoder(rows, model), model.lut(), model.codes)
-
-
-def approx_linear(train: DataFrame, rows: DataFrame, weights: list[list[float]], bias: list[float], dims: int, codebooks: int, **options) -> DataFrame:
-    """`approx_matmul` plus a bias per output."""
-    y = approx_matmul(train, rows, weights, dims, codebooks, **options)
-    return y.select("row_id", F.zip_with("y", F.array(*(F.lit(float(b)) for b in bias)), lambda v, b: v + b).alias("y"))
+def approx_matmul(train: DataFrame, rows: DataFrame, weights: list[list[float]], dims: int, codebooks: int, encoder=encode_tree, quantize: bool = False, **options) -> DataFrame:
+    """(row_id, y): products of rows with the weights by look-up, learned on `train`.
 
-
-def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]], height: int, width: int, kernel: int, codebooks: int, stride: int = 1, padding: int = 0, **options) -> DataFrame:
-    """(img_id, ch, y, x, v): patches, their look-up product, and the fold back to pictures."""
-    patch = lambda m: images.patches(images.im2col(m, height, width, kernel, stride, padding))
-    y = approx_matmul(patch(train), patch(rows), kernels, kernel * kernel, codebooks, **options)
-    long = y.select("row_id", F.posexplode("y").alias("ch", "v"))
-    place = F.col("row_id") % (1 << 20)
-    return long.select(F.floor(F.col("row_id") / (1 << 20)).alias("img_id"), "ch", F.floor(place / 1024).cast("int").alias("y"), (place % 1024).cast("int").alias("x"), "v")
+    With `quantize`, table entries are 8-bit whole numbers, and sums are led back at the end.
+    """
+    model = learn(train, weights, dims, codebooks, **options)
+    decode = lut.decode_arrow_quantized if quantize else lut.decode_arrow
+    return decode(encoder(rows, model), model.lut(), model.codes)
 
 
-def fit_many(layers: dict[str, DataFrame], configs: DataFrame, done: DataFrame, dims: int) -> dict[tuple[str, int], Model]:
-    """Models of all (layer, c) configurations that are not done yet; configs are a small list."""
-    todo = runs.missing(configs, done, ["layer", "c"]).orderBy("layer", "c").collect()
-    return {(r["layer"], r["c"]): fit.tree_fit(layers[r["layer"]], dims, r["c"]) for r in todo}
+def with_bias(y: DataFrame, bias: list[float] | None) -> DataFrame:
+    return y if bias is None else y.select("row_id", F.zip_with("y", F.array(*(F.lit(float(b)) for b in bias)), lambda v, b: v + b).alias("y"))
 
 
-def config_sweep(m: DataFrame, weights: list[list[float]], dims: int, codebooks: list[int]) -> DataFrame:
-    """One report row for each number of codebooks."""
+def approx_linear(train: DataFrame, rows: DataFrame, weights: list[list[float]], bias: list[float] | None, dims: int, codebooks: int, **options) -> DataFrame:
+    """`approx_matmul` plus a bias per output."""
+    return with_bias(approx_matmul(train, rows, weights, dims, codebooks, **options), bias)
+
+
+def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]], height: int, width: int, kernel: int, codebooks: int, stride: int = 1, padding: int = 0, channels: int = 1, bias: list[float] | None = None, loop: str = "im2col", **options) -> DataFrame:
+    """(img_id, ch, y, x, v): a look-up convolution of pictures, folded back to pictures.
+
+    A kernel is flat, channel by channel. With loop "im2col" one model answers whole
+    patches; with "kn2col" each place of the kernel has a model of its own over the
+    channels, learned and answered on shifted pictures, and the places' products add up.
+    """
+    oh, ow = images.out_size(height, kernel, stride, padding), images.out_size(width, kernel, stride, padding)
+    patch = lambda m: images.patch_rows(m, height, width, kernel, stride, padding, channels)
+    if loop == "im2col":
+        y = approx_matmul(patch(train), patch(rows), kernels, channels * kernel * kernel, codebooks, **options)
+    else:
+        places = kernel * kernel
+        pick = lambda m, p: patch(m).withColumn("features", F.array(*(F.get("features", F.lit(c * places + p)) for c in range(channels))))  # noqa: B023, E731
+        models = fit_many({str(p): pick(train, p) for p in range(places)}, [(str(p), codebooks) for p in range(places)], channels)
+        y = None
+        for p in range(places):
+            model = fit.with_weights(models[str(p), codebooks], [[row[c * places + p] for c in range(channels)] for row in kernels])
+            codes = codes_of(model)
+            own = patch(rows).select("row_id", F.transform(F.array(*(F.get("features", F.lit(c * places + p)) for c in range(channels))), lambda v: v).alias("features")).select("row_id", codes.alias("codes"))
+            part = lut.decode_arrow(own, model.lut(), model.codes)
+            y = part if y is None else y.unionByName(part)
+        sums = F.array(*(F.sum(F.get("y", F.lit(m))) for m in range(len(kernels))))
+        y = y.groupBy("row_id").agg(sums.alias("y"))
+    long = with_bias(y, bias).select("row_id", F.posexplode("y").alias("m", "y"))
+    return images.fold_output(long, oh, ow)
+
+
+def fit_many(layers: dict[str, DataFrame] | DataFrame, configs: DataFrame | list[tuple[str, int]], dims: int, done: DataFrame | None = None, **options) -> dict[tuple[str, int], Model]:
+    """Models of all (layer, c) configurations that are not done yet, learned together in one job a level.
+
+    Layers are a table with a `layer` column, or tables by name. Configurations are few.
+    """
+    if isinstance(layers, dict):
+        layers = reduce(DataFrame.unionByName, (m.select("row_id", "features").withColumn("layer", F.lit(name)) for name, m in layers.items()))
+    if isinstance(configs, DataFrame):
+        todo = configs if done is None else runs.missing(configs, done, ["layer", "c"])
+        configs = [(r["layer"], r["c"]) for r in todo.select("layer", "c").distinct().orderBy("layer", "c").collect()]
+    return fit.tree_fit_many(layers, dims, {(layer, c): (layer, c) for layer, c in configs}, **options)
+
+
+def config_sweep(m: DataFrame, weights: list[list[float]], dims: int, codebooks: list[int], bits: tuple[int, ...] = (0,)) -> DataFrame:
+    """One report row for each number of codebooks and width of the tables' entries (0: not quantized).
+
+    All models are learned together; a number of codebooks answers all its widths in one pass.
+    """
+    models = fit_many({"": m}, [("", c) for c in codebooks], dims)
     out = None
     for c in codebooks:
-        model = learn(m, weights, dims, c, ridge=False)
-        both = both_products(m, model).select(F.explode(F.arrays_zip("a", "d")).alias("p")).select("p.a", "p.d")
-        row = metrics.error_metrics(both).withColumn("c", F.lit(c))
+        model = fit.with_weights(models["", c], weights)
+        rows = m.select(codes_of(model).alias("codes"), products(model.weights).alias("d"))
+        spots = [F.get("codes", F.lit(i)) for i in range(model.codebooks)]
+        each = F.array(*(F.struct(F.lit(b).alias("bits"), lut.look_up(spots, lut.table_at(model.lut(), b), model.codes).alias("a")) for b in bits))
+        pairs = rows.select("d", F.explode(each).alias("e")).select("e.bits", F.explode(F.arrays_zip(F.col("e.a").alias("a"), "d")).alias("p")).select("bits", "p.a", "p.d")
+        row = metrics.error_metrics(pairs, "bits").withColumn("c", F.lit(c))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -80,3 +129,25 @@ def evaluate(rows: DataFrame, fn) -> DataFrame:
     if not isinstance(out, DataFrame):
         raise TypeError("an evaluator returns a DataFrame")
     return out
+
+
+def distill_trees(m: DataFrame, near: DataFrame, layout: list[tuple[int, int]], codes: int, depth: int = 4) -> DataFrame:
+    """(row_id, c, k, class): classifiers that imitate codes (row_id, c, k) of every codebook.
+
+    The codes of a codebook are dealt to three levels by frequency; a level's tree knows its
+    own codes, and passes the others on to the next one.
+    """
+    ranks = [(r["c"], r["k"], r["level"]) for r in metrics.classes_by_level(near).collect()]
+    out = None
+    for c, (a, b) in enumerate(layout):
+        own = near.where(F.col("c") == c).select("row_id", F.col("k").cast("double").alias("k"))
+        rows = m.select("row_id", array_to_vector(F.slice("features", a + 1, b - a)).alias("features")).join(own, "row_id").cache()
+        answered = rows
+        for level in range(3):
+            classes = [k for x, k, at in ranks if (x, at) == (c, level)] or [0]
+            tree = DecisionTreeClassifier(featuresCol="features", labelCol="_l", predictionCol=f"_p{level}", rawPredictionCol=f"_r{level}", probabilityCol=f"_q{level}", maxDepth=depth, impurity="gini")
+            model = tree.fit(rows.withColumn("_l", F.when(F.col("k").isin(classes), F.col("k")).otherwise(float(codes))))
+            answered = model.transform(answered).withColumn(f"t{level}", F.when(F.col(f"_p{level}") == codes, -1).otherwise(F.col(f"_p{level}").cast("int")))
+        part = cascade_predict(answered, ["t0", "t1", "t2"]).select("row_id", F.lit(c).alias("c"), F.col("k").cast("int").alias("k"), "class")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,27 @@ from pyspark.sql import functions as F
 from ..plans.model import PROTOTYPES, TREE, WEIGHTS, Model
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write a DataFrame to the shared checkpoint folder and cut its lineage."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def _partitioned(df: DataFrame, layer: str, c: int, k: int) -> DataFrame:
@@ -71,3 +89,13 @@ def scan_labelled_images(spark: SparkSession, folder: str) -> DataFrame:
     """(path, label, length, content) of a folder per class; decoding is the caller's."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("label"), "length", "content")
+
+
+def write_capture(rows: DataFrame, folder: str, worker: int) -> None:
+    """One worker's captured rows as a file set of their own; written again, they replace themselves."""
+    rows.write.mode("overwrite").parquet(f"{folder}/worker={worker}")
+
+
+def merge_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """The captures of all workers, stacked, with the worker each row came from."""
+    return spark.read.option("basePath", folder).option("mergeSchema", True).parquet(folder)
