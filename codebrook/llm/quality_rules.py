@@ -7,8 +7,9 @@ there; runs of at least `window` words are the maximal repeats, and the union of
 their spans is what a document repeats.
 
 Edge cases: a null or empty text has no words and fails; a document shorter than
-`window` repeats nothing; overlapping repeats count each word once; a very long text
-is one slice; other columns are ignored.
+`window` repeats nothing; overlapping repeats count each word once; of repeats of one
+length each counts; repeated rows, and those without a doc_id, are measured each; a very
+long text is one slice; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,8 +109,13 @@ def measure(docs: DataFrame, window: int = 8) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long")
 
 
-def judge(measured: DataFrame, least_words: int = 20, covered_percent: int = 30, longest_percent: int = 20) -> DataFrame:
-    """Add base_failed and kept; `kept` also limits the longest single repeat."""
+def judge(measured: DataFrame, least_words: int = 20, covered_percent: int = 30, longest_percent: int = 12, longest_words: int = 16) -> DataFrame:
+    """Add base_failed and kept; `kept` also limits the longest single repeat.
+
+    It may not have `longest_words` words or more and be over `longest_percent` of the text:
+    a passage that stands twice covers twice its share, so at half of `covered_percent` or
+    more this rule would say nothing of its own.
+    """
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > covered_percent * F.col("n_words"))
-    long = 100 * F.col("longest_repeat") > longest_percent * F.col("n_words")
+    long = (F.col("longest_repeat") >= longest_words) & (100 * F.col("longest_repeat") > longest_percent * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & ~long)
