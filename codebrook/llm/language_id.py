@@ -4,10 +4,16 @@
 in each task, so a task sends at most `features` rows per language) and returns a
 log-probability matrix of `languages x features`, which is what is broadcast.
 `predict` scores whole texts in batches: one gather and one segmented sum per language.
+What comes to the driver is languages x features counts, whatever the number of texts.
+
+The score is the posterior of the language under the model. N-grams of one text are not
+independent, so for whole texts it is nearly always close to 1; it ranks short texts.
 
 Edge cases: a null text or one without a letter is `und` with score 0; rows with a
 null language teach nothing; without any labelled row every text is `und`; equal
-scores go to the language that sorts first; repeated rows are scored each.
+scores go to the language that sorts first; repeated rows are scored each; a very long
+text is one batch of the work; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations

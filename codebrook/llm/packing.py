@@ -8,7 +8,8 @@ each piece its rank within its length and looks the rank up in the plan.
 Edge cases: a null or empty text is the single closing token; a document longer
 than `size` is cut, its first piece takes the remainder; an empty table gives an
 empty result and an empty plan; ties between equal lengths go by (doc_id, piece)
-inside hashed buckets; columns other than those named are ignored.
+inside hashed buckets; repeated rows are packed each; a very long text is tokenized whole
+and cut afterwards; columns other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class Encoder:
 
     Within these chunks the tokenizer never looks at their neighbours, so ids of a
     text are the joined ids of its chunks. Texts with rare separators or with the
-    special token are encoded whole.
+    special token are encoded whole. The rank file holds the vocabulary of the JSON file
+    of the same name, which the other library reads at 1.6 times the cost; that both give
+    equal ids is tested over whole tables.
     """
 
     def __init__(self, path: str):
