@@ -1,44 +1,58 @@
 """Corpus pipeline: quality, near duplicates, benchmark passages, PII, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is
-written and read again before the next one.
+written and read again before the next one; what was read is deleted then.
+
+Cases that all stages share: a null or empty text is a text without words; repeated rows
+and rows without a doc_id go through like others; extra columns stay to the last stage but
+one; an empty table gives an empty result; a very long text is taken whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from codebrook.llm import decontamination, line_quality, ngram_join, packing, pii
-from codebrook.llm.common import held_out, table
+from codebrook.llm.common import held_out, shared_dir, table
 from codebrook.llm.registry import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches 0.5; learns from labels that are not held out."""
+    """Documents whose quality score reaches 0.5; learns from labels that are not held out.
+
+    Equal texts get equal scores, so repeated rows stay or go together; without labels of
+    both kinds all documents score 0.5 and stay.
+    """
     model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return line_quality.score(docs, model, "_score").where("_score >= 0.5").drop("_score")
+    return line_quality.score(docs, model, "__quality").where("__quality >= 0.5").drop("__quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of documents linked at 0.8 on 5-word shingles."""
+    """One document, that of the least id, of each class of documents linked at 0.8 on 5-word shingles.
+
+    Documents without words link with nothing and stay; a row without a doc_id stays where
+    no other document is linked with it.
+    """
     return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; all of them where it is empty."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with surrogates for personal data and secrets."""
+    """The documents with surrogates for personal data and secrets.
+
+    No row goes, and texts without entities stay as they are; the key is the session's.
+    """
     return pii.checked(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences; an empty text is the closing token."""
     return packing.best_fit(docs, tokenizer_path())
 
 
@@ -53,12 +67,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result goes to the shared folder as Parquet."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; each result goes to the shared folder as Parquet, the last one stays."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
