@@ -16,11 +16,15 @@ from ..plans.model import Model
 from ..sources.tables import shared_folder
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's files as a stream, with the table's schema."""
+#: Files that a micro-batch takes at most; bounds the rows that a key's state meets at once.
+FILES = 16
+
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = FILES) -> DataFrame:
+    """A table's files as a stream of at most `files` a micro-batch, with the table's schema."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     # as a pattern, since a stream's path may be one file here and a folder there
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -65,7 +69,8 @@ def smoothed(events: DataFrame, key: str, order: str, value: str, window: int =
     """Mean of the last `window` values and of all so far, for each arriving value.
 
     State is `window` values, a sum and a count a key. A micro-batch is put in order
-    by its sequence numbers first, so its size (files per trigger) bounds the memory.
+    by its sequence numbers first, so its size (`FILES` a trigger) bounds the memory; what
+    a key keeps between them is the state alone.
     """
     schema = f"{key} string, {order} long, avg double, global_avg double, n long"
 
