@@ -148,7 +148,8 @@ def tree_fit_many(m: DataFrame, dims: int, configs: dict[object, tuple[str | Non
 
         def sums(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             edges_of, own_trees = state.value
-            total: dict[tuple[int, int, int, int], np.ndarray] = {}
+            total: dict[tuple[int, int, int], np.ndarray] = {}
+            size = (bins + 1) << level
             for batch in batches:
                 layers, x = np.asarray(batch.column(0).to_pylist(), object), _features(batch.column(1), dims)
                 cache: dict[tuple, np.ndarray] = {}
@@ -159,26 +160,26 @@ def tree_fit_many(m: DataFrame, dims: int, configs: dict[object, tuple[str | Non
                     own = x[at]
                     for c, (a, b) in enumerate(tree.layout):
                         node, sub = tree.nodes(own, c), own[:, a:b]
-                        values = np.concatenate([np.ones((len(own), 1)), sub, sub * sub], 1)
+                        values = [np.ones(len(own)), *sub.T, *(sub * sub).T]
                         for j in tree.tries[c]:
+                            edges = edges_of[tree.layer][j]
                             if (tree.layer, j) not in cache:
-                                cache[tree.layer, j] = np.searchsorted(edges_of[tree.layer][j], own[:, j], "left")
-                            group = node * (bins + 1) + cache[tree.layer, j]
-                            held, of = np.unique(group, return_inverse=True)
-                            for k, g in enumerate(held):
-                                total.setdefault((t, c, j, int(g)), np.append(np.zeros(values.shape[1]), -np.inf))
-                            added = np.zeros((len(held), values.shape[1]))
-                            for v in range(values.shape[1]):
-                                added[:, v] = np.bincount(of, values[:, v], len(held))
-                            top = np.full(len(held), -np.inf)
-                            np.maximum.at(top, of, own[:, j])
-                            for k, g in enumerate(held):
-                                cell = total[t, c, j, int(g)]
-                                cell[:-1] += added[k]
-                                cell[-1] = max(cell[-1], top[k])
-            keys = list(total)
+                                cache[tree.layer, j] = np.searchsorted(edges, own[:, j], "left")
+                            bin_of = cache[tree.layer, j]
+                            group = node * (bins + 1) + bin_of
+                            cell = total.get((t, c, j))
+                            if cell is None:
+                                cell = total[t, c, j] = np.zeros((size, len(values) + 1))
+                                # a bin's largest value is its edge; only the last one's is looked for
+                                cell[:, -1] = np.tile(np.append(edges, np.full(bins + 1 - len(edges), -np.inf)), 1 << level)
+                            for v, value in enumerate(values):
+                                cell[:, v] += np.bincount(group, value, size)
+                            last = np.flatnonzero(bin_of == len(edges))
+                            np.maximum.at(cell[:, -1], group[last], own[last, j])
+            keys = [(t, c, j, int(g)) for (t, c, j), cell in total.items() for g in np.flatnonzero(cell[:, 0])]
+            rows_of = [total[t, c, j][g] for t, c, j, g in keys]
             columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([total[k][:-1].tolist() for k in keys], pa.list_(pa.float64())), pa.array([float(total[k][-1]) for k in keys])], ["t", "c", "j", "g", "v", "top"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[:-1].tolist() for r in rows_of], pa.list_(pa.float64())), pa.array([float(r[-1]) for r in rows_of], pa.float64())], ["t", "c", "j", "g", "v", "top"])
 
         parts = rows.mapInArrow(sums, "t int, c int, j int, g int, v array<double>, top double")
         width = max(b - a for tree in trees.values() for a, b in tree.layout)
