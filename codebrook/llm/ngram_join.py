@@ -358,20 +358,24 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     signed = keep(signatures(docs, n))
     of_sig = _roots(docs, signed, n, percent, block)
     first = of_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sig")).alias("f"))
-    kept = first.select(F.col("f.sig").alias("_kept"), F.col("f.least").alias("_least"))
-    texts = zipped(_signed(docs, n))
-    joined = texts.join(kept, (F.col("__sig") == F.col("_kept")) & texts["doc_id"].eqNullSafe(kept["_least"]), "left")
-    joined = joined.where("__n = 0 OR _kept IS NOT NULL").withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
-    return unzipped(joined.dropDuplicates(["__sig", "__row"]).select(*(texts[c] for c in docs.columns)))
+    sig = F.when(F.col("f.none"), F.bitwise_not("f.sig")).otherwise(F.col("f.sig"))
+    kept = first.select(sig.alias("__sig"), F.coalesce("f.least", F.lit(0)).alias("__id"), F.lit(True).alias("__kept"))
+    # one exchange of texts: the join and the choice of one row have the same keys
+    joined = zipped(_signed(docs, n)).join(kept, ["__sig", "__id"], "left").where("__n = 0 OR __kept")
+    joined = joined.withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
+    return unzipped(joined.dropDuplicates(["__sig", "__id", "__row"]).select(*docs.columns))
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """All columns, and the size and the hash of each row's set."""
-    k = docs.columns.index("text")
+    """All columns, the size and the hash of each row's set, and its doc_id; without one, 0 and the hash's complement."""
+    k, at = docs.columns.index("text"), docs.columns.index("doc_id")
+    more = ["__n", "__sig", "__id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             size, sig = _signature(batch.column(k), n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int64()), pa.array(sig)], [*batch.schema.names, "__n", "__sig"])
+            none = batch.column(at).is_null().to_numpy(zero_copy_only=False)
+            own = [pa.array(size, pa.int64()), pa.array(np.where(none, ~sig, sig)), batch.column(at).cast(pa.int64()).fill_null(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, *more])
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("__n", T.LongType()), T.StructField("__sig", T.LongType())]))
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in more)]))
