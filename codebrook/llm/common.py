@@ -190,14 +190,15 @@ def _recode(df: DataFrame, make, to) -> DataFrame:
     return df.mapInArrow(rows, T.StructType(fields))
 
 
-def zipped(df: DataFrame) -> DataFrame:
-    """All columns, with texts as zstd frames, so that a shuffle of texts is less than half as large."""
+def frames(texts: pa.Array) -> pa.Array:
+    """Texts as zstd frames."""
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([None if t is None else pack.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    def make(texts: pa.Array) -> pa.Array:
-        pack = zstandard.ZstdCompressor(level=3)
-        return pa.array([None if t is None else pack.compress(t) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
-    return _recode(df, make, T.BinaryType())
+def zipped(df: DataFrame) -> DataFrame:
+    """All columns, with texts as zstd frames, so that a shuffle of texts is less than half as large."""
+    return _recode(df, frames, T.BinaryType())
 
 
 def unzipped(df: DataFrame) -> DataFrame:

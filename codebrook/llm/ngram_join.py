@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, compressed, hash_words, keep, mix, slices, text_bytes, unzipped, window_hashes, zipped
+from .common import components, compressed, frames, hash_words, keep, mix, slices, text_bytes, unzipped, window_hashes
 from .entries import ENTRIES, Frequent, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
@@ -361,21 +361,28 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     sig = F.when(F.col("f.none"), F.bitwise_not("f.sig")).otherwise(F.col("f.sig"))
     kept = first.select(sig.alias("__sig"), F.coalesce("f.least", F.lit(0)).alias("__id"), F.lit(True).alias("__kept"))
     # one exchange of texts: the join and the choice of one row have the same keys
-    joined = zipped(_signed(docs, n)).join(kept, ["__sig", "__id"], "left").where("__n = 0 OR __kept")
+    joined = _signed(docs, n).join(kept, ["__sig", "__id"], "left").where("__n = 0 OR __kept")
     joined = joined.withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
     return unzipped(joined.dropDuplicates(["__sig", "__id", "__row"]).select(*docs.columns))
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """All columns, the size and the hash of each row's set, and its doc_id; without one, 0 and the hash's complement."""
+    """All columns, with texts as zstd frames, the size and the hash of each row's set, and its doc_id.
+
+    A row without a doc_id has 0 there, and the hash's complement. All is made in one pass,
+    so that a task needs one Python worker only.
+    """
     k, at = docs.columns.index("text"), docs.columns.index("doc_id")
     more = ["__n", "__sig", "__id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            size, sig = _signature(batch.column(k), n)
-            none = batch.column(at).is_null().to_numpy(zero_copy_only=False)
-            own = [pa.array(size, pa.int64()), pa.array(np.where(none, ~sig, sig)), batch.column(at).cast(pa.int64()).fill_null(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, *more])
-
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in more)]))
+        for batch in slices(batches, limit=1 << 20):
+            columns = list(batch.columns)
+            size, sig = _signature(columns[k], n)
+            none = columns[at].is_null().to_numpy(zero_copy_only=False)
+            own = [pa.array(size, pa.int64()), pa.array(np.where(none, ~sig, sig)), columns[at].cast(pa.int64()).fill_null(0)]
+            columns[k] = frames(columns[k])
+            yield pa.RecordBatch.from_arrays([*columns, *own], [*batch.schema.names, *more])
+
+    fields = [T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in docs.schema.fields]
+    return docs.mapInArrow(rows, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in more)]))
