@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -176,6 +177,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of DataFrames that nobody holds any more.
+
+    Spark's cleaner follows the collector, which may not run for long while the heap is large.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _recode(df: DataFrame, make, to) -> DataFrame:
     """`df` with its text column put through `make`, a function for batches of values."""
     fields = [T.StructField(f.name, to) if f.name == "text" else f for f in df.schema.fields]

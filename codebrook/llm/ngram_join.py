@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, compressed, frames, hash_words, keep, mix, slices, text_bytes, unzipped, window_hashes
+from .common import components, compressed, frames, hash_words, keep, mix, release, slices, text_bytes, unzipped, window_hashes
 from .entries import ENTRIES, Frequent, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
@@ -359,7 +359,9 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     of_sig = _roots(docs, signed, n, percent, block)
     first = of_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sig")).alias("f"))
     sig = F.when(F.col("f.none"), F.bitwise_not("f.sig")).otherwise(F.col("f.sig"))
-    kept = first.select(sig.alias("__sig"), F.coalesce("f.least", F.lit(0)).alias("__id"), F.lit(True).alias("__kept"))
+    kept = keep(first.select(sig.alias("__sig"), F.coalesce("f.least", F.lit(0)).alias("__id"), F.lit(True).alias("__kept")))
+    del signed, of_sig, first
+    release(docs.sparkSession)
     # one exchange of texts: the join and the choice of one row have the same keys
     joined = _signed(docs, n).join(kept, ["__sig", "__id"], "left").where("__n = 0 OR __kept")
     joined = joined.withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
