@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, license_scan, line_quality, ngram_join, oracles, packing, pii, quality_rules, substring_dedup, url_filter
+from . import decontamination, fingerprints, language_id, license_scan, line_quality, ngram_join, oracles, packing, pii, quality_rules, substring_dedup, url_filter
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if re.match(r"op\d+_", n)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
