@@ -79,3 +79,24 @@ r AS (SELECT doc_id AS doc, doc_id AS root FROM n UNION SELECT e.y, r.root FROM
 c AS (SELECT doc, min(root) AS component_id FROM r GROUP BY doc)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.doc = doc_id"""
+
+
+def search_sql(best: int = 10) -> str:
+    terms = lambda: f"regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms()} AS w FROM documents WHERE text IS NOT NULL),
+own AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS all_terms FROM own),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM own) GROUP BY r, term),
+items AS (SELECT row_number() OVER () AS q, item_id, list_distinct({terms()}) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+item_terms AS (SELECT q, unnest(w) AS term FROM items),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM item_terms) GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, totals),
+scores AS (
+  SELECT q, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms)))) AS BIGINT) AS score
+  FROM item_terms JOIN weights USING (term) JOIN tf USING (term) JOIN (SELECT r, n FROM own) USING (r), totals GROUP BY q, r
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank, doc_id, score
+  FROM scores JOIN (SELECT r, doc_id FROM own) USING (r) JOIN (SELECT q, item_id FROM items) USING (q) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {best}"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, license_scan, line_quality, ngram_join, oracles, packing, pii, quality_rules, substring_dedup, url_filter
+from . import decontamination, fingerprints, language_id, lexical_search, license_scan, line_quality, ngram_join, oracles, packing, pii, quality_rules, substring_dedup, url_filter
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
@@ -79,4 +83,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql(), "op8_ngram_jaccard_join": oracles.jaccard_sql()}
+    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql(), "op8_ngram_jaccard_join": oracles.jaccard_sql(), "op11_ranked_lexical_search": oracles.search_sql()}
