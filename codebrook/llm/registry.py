@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, language_id, lexical_search, license_scan, line_quality, ngram_join, oracles, packing, pii, quality_rules, substring_dedup, url_filter
+from . import decontamination, fingerprints, language_id, lexical_search, license_scan, line_quality, ngram_join, oracles, packing, pii, prefix_trie, quality_rules, substring_dedup, url_filter
 from .common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,10 +77,14 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if re.match(r"op\d+_", n)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql(), "op8_ngram_jaccard_join": oracles.jaccard_sql(), "op11_ranked_lexical_search": oracles.search_sql()}
+    return {"op5_license_scans": oracles.license_sql(), "op6_url_filters": oracles.url_sql(), "op8_ngram_jaccard_join": oracles.jaccard_sql(), "op11_ranked_lexical_search": oracles.search_sql(), "op13_conversation_prefix_trie": oracles.trie_sql()}
