@@ -154,8 +154,8 @@ def rank_slice(p: Postings, items: list[np.ndarray], weight: np.ndarray, n_docs:
         chosen[own] = weight[local[own]]
         by_bound, done = np.argsort(-bound, kind="stable"), 0
         while done < len(by_bound) and bound[by_bound[done]] >= ranking.least(q):
-            # masks of about 64 documents at a time, as far as they can still enter
-            upto = done + 1 + int(np.searchsorted(np.cumsum(size[by_bound[done:]]), 64))
+            # masks of 64 documents at a time, one at least, as far as they can still enter
+            upto = done + max(1, int(np.searchsorted(np.cumsum(size[by_bound[done:]]), 64, "right")))
             now = by_bound[done:upto]
             now = now[bound[now] >= ranking.least(q)]
             docs = np.concatenate([order[first[g] : first[g] + size[g]] for g in now])

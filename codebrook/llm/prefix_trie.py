@@ -54,7 +54,7 @@ class SpillingQueue:
     """
 
     def __init__(self, most: int = QUEUE):
-        self.most, self.heap, self.runs, self.files = most, [], [], []
+        self.most, self.heap, self.runs, self.spills = most, [], [], 0
 
     def put(self, entry: tuple[int, int, int, int]) -> None:
         heapq.heappush(self.heap, entry)
@@ -66,8 +66,9 @@ class SpillingQueue:
             for at in range(0, len(late), 4096):
                 run.write(b"".join(_ENTRY.pack(*x) for x in late[at : at + 4096]))
             run.seek(0)
-            self.files.append(run)
-            self._advance(self._read(run))
+            self.spills += 1
+            entries = self._read(run)
+            heapq.heappush(self.runs, (next(entries), self.spills, entries))
 
     @staticmethod
     def _read(run) -> Iterator[tuple[int, int, int, int]]:
@@ -75,11 +76,6 @@ class SpillingQueue:
             yield from _ENTRY.iter_unpack(data)
         run.close()
 
-    def _advance(self, run: Iterator) -> None:
-        for entry in run:
-            heapq.heappush(self.runs, (entry, len(self.runs), run))
-            break
-
     def least(self) -> tuple[int, int, int, int] | None:
         heads = [h for h in (self.heap[0] if self.heap else None, self.runs[0][0] if self.runs else None) if h is not None]
         return min(heads, default=None)

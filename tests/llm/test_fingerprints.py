@@ -46,7 +46,7 @@ def test_odd_documents(spark):
 
 def test_single_and_empty(spark):
     one = fingerprints.compared(spark.createDataFrame([(7, "a b c d e f g")], "doc_id long, text string")).collect()
-    assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"a b c da b c").hexdigest()
+    assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"a b c da b c ").hexdigest()
     assert fingerprints.compared(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
