@@ -6,15 +6,15 @@ label of their document. A document's quality is the mean of the forward-backwar
 marginals of its lines, weighted by length, put through a logistic calibration.
 
 The field is fitted on a bounded sample of labelled rows: per label at most `sample`
-documents, those with the smallest hash of the id, as far as their texts have at most
-`sample_bytes` bytes in all. Each is taken with its whole text, as scores are too. Those
-ids are all that is broadcast.
+documents, those with the smallest hash of the id, each with its whole text, as scores are
+too, while their texts have at most `sample_bytes` bytes in all; one that does not fit is
+passed over. Those ids are all that is broadcast.
 
 Edge cases: a null or empty text is one empty line; documents without lines of words
 get the score of an empty line; without labelled rows every score is 0.5; labels that
 repeat a doc_id count once, with the lower quality; repeated documents, and equal texts,
 get equal scores; a very long text is one slice of the work, and one that alone exceeds
-`sample_bytes` teaches nothing; an empty table gives an empty result; other columns stay,
+`sample_bytes` teaches nothing, while the others do; an empty table gives an empty result; other columns stay,
 but for one with the score's name, which is replaced.
 """
 
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -199,8 +199,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     ids = pick(0).unionByName(pick(1))
     sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.sum("n").alias("n"))
     # one row a chosen document: at most two times `sample` in all
-    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    taught = sizes.withColumn("n", so_far).where(F.col("n") <= sample_bytes).select("doc_id", "quality")
+    left, chosen = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if (r["n"] or 0) <= left[r["quality"]]:
+            left[r["quality"]] -= r["n"] or 0
+            chosen.append((r["doc_id"], r["quality"]))
+    taught = docs.sparkSession.createDataFrame(chosen, ids.schema)
     taught = docs.select("doc_id", "text").join(F.broadcast(taught), "doc_id")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
