@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ _TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | _U(
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Folders of checkpoints that are still there, in the order they were made.
+_KEPT: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,11 +177,13 @@ def keep(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    _KEPT.append(kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return kept
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints of DataFrames that nobody holds any more.
+    """Let Spark delete the shuffle files of DataFrames that nobody holds any more; their checkpoints stay.
 
     Spark's cleaner follows the collector, which may not run for long while the heap is large.
     """
@@ -186,6 +191,44 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is kept inside is deleted at the end, but for what goes through the function that this gives.
+
+    Results that still read what was kept inside must be written, or go through it, before the end.
+    """
+    before, stays = len(_KEPT), set()
+
+    def stay(df: DataFrame) -> DataFrame:
+        kept = keep(df)
+        stays.add(_KEPT[-1])
+        return kept
+
+    try:
+        yield stay
+    finally:
+        for path in [p for p in _KEPT[before:] if p not in stays]:
+            _KEPT.remove(path)
+            delete(spark, path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until no column, whatever its case, has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _recode(df: DataFrame, make, to) -> DataFrame:
     """`df` with its text column put through `make`, a function for batches of values."""
     fields = [T.StructField(f.name, to) if f.name == "text" else f for f in df.schema.fields]

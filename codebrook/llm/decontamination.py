@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARKS, hash_words, keep, mix, slices
+from .common import MARKS, hash_words, keep, mix, slices, transient, unused
 
 LENGTHS = (3, 5, 8, 13)
 SCORE, PASSAGE, RARE_SHARE, FLOOR = 0.5, 16, 0.001, 16
@@ -316,6 +316,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_sh
 
 def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_share: float = RARE_SHARE, passage: int = PASSAGE) -> DataFrame:
     """The documents, with all their columns, that hold no test item's passage."""
-    bad = keep(found(docs, benchmark, score, rare_share, passage).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash")).distinct())
+    doc, text_hash = unused(docs.columns, "_doc", "_hash")
+    with transient(docs.sparkSession) as stay:
+        bad = stay(found(docs, benchmark, score, rare_share, passage).select(F.col("doc_id").alias(doc), F.col("_text").alias(text_hash)).distinct())
     bad = _small(bad)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[doc]) & (F.xxhash64(docs["text"]) == bad[text_hash]), "left_anti")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, compressed, frames, hash_words, keep, mix, release, slices, text_bytes, unzipped, window_hashes
+from .common import components, compressed, frames, hash_words, keep, mix, release, slices, text_bytes, transient, unused, unzipped, window_hashes
 from .entries import ENTRIES, Frequent, by_key, dealt, entry_batch, in_ranges, planes, unplanes
 
 #: Counters of the sketch, and about how many shingles (of 8 bytes) a chunk of a block has.
@@ -355,27 +355,28 @@ def representatives(docs: DataFrame, n: int = 3, percent: int = 90, block: int =
     without a doc_id are kept where their set is nobody else's, and rows without words
     stay. Texts travel compressed to the join.
     """
-    signed = keep(signatures(docs, n))
-    of_sig = _roots(docs, signed, n, percent, block)
-    first = of_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sig")).alias("f"))
-    sig = F.when(F.col("f.none"), F.bitwise_not("f.sig")).otherwise(F.col("f.sig"))
-    kept = keep(first.select(sig.alias("__sig"), F.coalesce("f.least", F.lit(0)).alias("__id"), F.lit(True).alias("__kept")))
+    size, sig, doc, row, mark = unused(docs.columns, "_n", "_sig", "_id", "_row", "_kept")
+    with transient(docs.sparkSession) as stay:
+        signed = keep(signatures(docs, n))
+        of_sig = _roots(docs, signed, n, percent, block)
+        first = of_sig.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "sig")).alias("f"))
+        of = F.when(F.col("f.none"), F.bitwise_not("f.sig")).otherwise(F.col("f.sig"))
+        kept = stay(first.select(of.alias(sig), F.coalesce("f.least", F.lit(0)).alias(doc), F.lit(True).alias(mark)))
     del signed, of_sig, first
     release(docs.sparkSession)
     # one exchange of texts: the join and the choice of one row have the same keys
-    joined = _signed(docs, n).join(kept, ["__sig", "__id"], "left").where("__n = 0 OR __kept")
-    joined = joined.withColumn("__row", F.when(F.col("__n") == 0, F.monotonically_increasing_id()))
-    return unzipped(joined.dropDuplicates(["__sig", "__id", "__row"]).select(*docs.columns))
+    joined = _signed(docs, n, [size, sig, doc]).join(kept, [sig, doc], "left").where((F.col(size) == 0) | F.col(mark))
+    joined = joined.withColumn(row, F.when(F.col(size) == 0, F.monotonically_increasing_id()))
+    return unzipped(joined.dropDuplicates([sig, doc, row]).select(*docs.columns))
 
 
-def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """All columns, with texts as zstd frames, the size and the hash of each row's set, and its doc_id.
+def _signed(docs: DataFrame, n: int, more: list[str]) -> DataFrame:
+    """All columns, with texts as zstd frames, and, by the names in `more`, the size and the hash of each row's set, and its doc_id.
 
     A row without a doc_id has 0 there, and the hash's complement. All is made in one pass,
     so that a task needs one Python worker only.
     """
     k, at = docs.columns.index("text"), docs.columns.index("doc_id")
-    more = ["__n", "__sig", "__id"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 20):

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, slices
+from .common import keep, slices, unused
 
 ROUNDS = 6
 #: Most rows of colliding entities' documents that are broadcast.
@@ -345,11 +345,12 @@ def _told(docs: DataFrame, key: str) -> DataFrame:
             columns = list(zip(*told)) or ([],) * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(),) * 3 + (pa.int32(),))], ["kind", "original", "surrogate", "again"])
 
-    return docs.select("text", "_again").mapInArrow(rows, "kind string, original string, surrogate string, again int").distinct()
+    return docs.select("text", docs.columns[-1]).mapInArrow(rows, "kind string, original string, surrogate string, again int").distinct()
 
 
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_again", F.lit(None).cast("array<struct<kind: string, original: string, again: int>>"))
+    """`docs` and, as its last column, the colliding entities of each text: none so far."""
+    return docs.withColumn(unused(docs.columns, "_again")[0], F.lit(None).cast("array<struct<kind: string, original: string, again: int>>"))
 
 
 def _clashing(told: DataFrame) -> DataFrame:
@@ -366,17 +367,19 @@ def collisions(docs: DataFrame, key: str) -> DataFrame:
 
 
 def _with_again(docs: DataFrame, again: DataFrame, key: str) -> DataFrame:
-    """`docs` with the colliding entities of each text; only documents that have some are joined."""
+    """`docs` and, as its last column, the colliding entities of each text; only documents that have some are joined."""
+    name, text_hash = unused(docs.columns, "_again", "_text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [(h, k, i) for text, h in zip(*(c.to_pylist() for c in batch.columns)) for k, i in {(k, identity(key, k, text[a:b])) for a, b, k in entities(text)}]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or ([],) * 3, (pa.int64(), pa.string(), pa.string()))], ["_text", "kind", "original"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or ([],) * 3, (pa.int64(), pa.string(), pa.string()))], ["text", "kind", "original"])
 
-    held = docs.select("text", F.xxhash64("text").alias("_text")).mapInArrow(rows, "_text long, kind string, original string").distinct()
-    own = keep(held.join(again, ["kind", "original"]).groupBy("_text").agg(F.collect_list(F.struct("kind", "original", "again")).alias("_again")))
+    held = docs.select("text", F.xxhash64("text").alias("hash")).mapInArrow(rows, "text long, kind string, original string").distinct()
+    own = held.join(again, ["kind", "original"]).groupBy(F.col("text").alias(text_hash)).agg(F.collect_list(F.struct("kind", "original", "again")).alias(name))
+    own = keep(own)
     own = F.broadcast(own) if own.count() <= SMALL_ROWS else own
-    return docs.withColumn("_text", F.xxhash64("text")).join(own, "_text", "left").drop("_text")
+    return docs.withColumn(text_hash, F.xxhash64("text")).join(own, text_hash, "left").select(*docs.columns, name)
 
 
 def replace(docs: DataFrame, key: str, report: bool = False) -> DataFrame:
@@ -387,8 +390,7 @@ def replace(docs: DataFrame, key: str, report: bool = False) -> DataFrame:
 def _replaced(docs: DataFrame, key: str, report: bool) -> DataFrame:
     extra = [T.StructField("n_entities", T.IntegerType()), T.StructField("kinds", T.StringType())] if report else []
     docs = docs.drop(*(f.name for f in extra))
-    names = [n for n in docs.columns if n != "_again"]
-    docs = docs.select(*names, "_again")
+    names = docs.columns[:-1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
