@@ -13,9 +13,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codebrook.llm import decontamination, line_quality, ngram_join, packing, pii
-from codebrook.llm.common import held_out, shared_dir, table
+from codebrook.llm.common import delete, held_out, shared_dir, table, transient, unused
 from codebrook.llm.registry import tokenizer_path
 
 
@@ -26,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both kinds all documents score 0.5 and stay.
     """
     model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return line_quality.score(docs, model, "__quality").where("__quality >= 0.5").drop("__quality")
+    (name,) = unused(docs.columns, "_quality")
+    return line_quality.score(docs, model, name).where(F.col(name) >= 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,18 +69,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared store."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result goes to the shared folder as Parquet, the last one stays."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with transient(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
         if k:
             delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
