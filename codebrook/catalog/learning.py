@@ -96,6 +96,23 @@ def fit_many(spark, d):
     return spark.createDataFrame(found, "layer string, n_codebooks int, c int, level int, node int, dim int, threshold double").withColumn("threshold", r4("threshold"))
 
 
+@query("fit_many_ragged")
+def fit_many_ragged(spark, d):
+    """Trees of three layers of 16, 64 and 72 columns, with 4, 8 and 9 codebooks of 8 and 16 codes, in one job a level.
+
+    The layers are the first quarter of each embedding, the whole, and the whole with the
+    differences of its first nine values.
+    """
+    whole = F.col("features")
+    more = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(whole, i + 1) - F.get(whole, i))
+    layers = F.array(*(F.struct(F.lit(n).alias("layer"), f.alias("features")) for n, f in (("quarter", F.slice(whole, 1, 16)), ("whole", whole), ("longer", F.concat(whole, more)))))
+    rows = matrix(spark, d).select("row_id", F.explode(layers).alias("l")).select("row_id", "l.*")
+    configs = [(layer, c, k) for layer, c in (("quarter", 4), ("whole", 8), ("longer", 9)) for k in (8, 16)]
+    models = api.fit_many(rows, configs, {"quarter": 16, "whole": 64, "longer": 72})
+    found = [(layer, n, k, *row) for (layer, n, k), m in models.items() for row in m.tree_rows()]
+    return spark.createDataFrame(found, "layer string, n_codebooks int, n_codes int, c int, level int, node int, dim int, threshold double").withColumn("threshold", r4("threshold"))
+
+
 @query("config_sweep")
 def config_sweep(spark, d):
     """Errors by number of codebooks and width of the tables."""

@@ -25,6 +25,8 @@ from .metrics import bucket_sse, code_gram
 
 #: Largest codebooks x codes whose normal equations are solved on the driver.
 LARGEST_GRAM = 4096
+#: Bytes of sums that a task of a tree's level holds.
+SUMS_BYTES = 256 << 20
 
 
 def _exact(cells: DataFrame, x: str) -> bool:
@@ -119,96 +121,145 @@ def _features(column: pa.Array, dims: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def tree_fit_many(m: DataFrame, dims: int, configs: dict[object, tuple[str | None, int]], depth: int = 4, tried: int = 8, bins: int = 64) -> dict[object, Model]:
-    """Binned trees of many layers and numbers of codebooks, all in one job a level.
-
-    `m` has (layer, features); a config is its layer (None: all rows) and its codebooks. Each
-    column is cut at quantiles once. A level is one scan: tasks find each row's node and add
-    up counts, sums and squares by (tree, codebook, node, tried column, bin); partial sums
-    are all that is shuffled. From these sums follow the splits, the columns to try at the
-    next level (those of largest squared error), and after the last level the prototypes, so
-    rows are never joined with their codes. What comes to the driver is model-sized.
+def _bin_edges(rows: DataFrame, dims: dict[str | None, int], bins: int) -> dict[str | None, list[np.ndarray]]:
+    """Quantiles of every column of every layer; layers with fewer columns have nulls in the others."""
+    shares = [i / bins for i in range(1, bins)]
+    wide = max(dims.values())
+    columns = [F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(wide)]
+    found = {}
+    if dims.keys() - {None}:
+        found = {r["layer"]: r for r in rows.groupBy("layer").agg(*columns).collect()}
+    if None in dims:
+        found[None] = rows.agg(*columns).first()
+    return {layer: [np.unique(r[f"d{d}"] or [0.0]) for d in range(dims[layer])] for layer, r in found.items() if layer in dims}
+
+
+def _column_parts(trees: list[_Tree], cells: int) -> Iterator[list[dict[int, list[int]]]]:
+    """The columns that each tree's codebooks try, in parts whose sums have at most `cells` values a bin and node."""
+    part, held = [{} for _ in trees], 0
+    for t, tree in enumerate(trees):
+        for c, (a, b) in enumerate(tree.layout):
+            for j in tree.tries[c]:
+                need = 2 * (b - a) + 2
+                if held and held + need > cells:
+                    yield part
+                    part, held = [{} for _ in trees], 0
+                part[t].setdefault(c, []).append(j)
+                held += need
+    if held:
+        yield part
+
+
+def tree_fit_many(m: DataFrame, dims: int | dict[str, int], configs: dict[object, tuple], depth: int = 4, tried: int = 8, bins: int = 64, sums_bytes: int = SUMS_BYTES) -> dict[object, Model]:
+    """Binned trees of many layers, widths and numbers of codebooks and codes, all in one job a level.
+
+    `m` has (layer, features). `dims` is the width of all layers, or of each one by name:
+    rows of a layer are as long as it is wide, others teach nothing. A config is its layer
+    (None: all rows), its codebooks and, if it has other than `depth`, its levels, so 2 to
+    that power codes. Each column of a layer is cut at that layer's quantiles once. A level is one
+    scan: tasks find each row's node and add up counts, sums and squares by (tree, codebook,
+    node, tried column, bin); partial sums are all that is shuffled. From these follow
+    the splits, the columns to try at the next level (those of largest squared error), and
+    after a tree's last level the prototypes, so rows are never joined with their codes. What
+    comes to the driver is model-sized. A level whose sums would take more than `sums_bytes`
+    in a task, as the first one of wide sub-vectors, is done in several scans, a part of the
+    columns each; its splits are the same.
     """
     spark = m.sparkSession
-    rows = _usable(m, dims).select("layer", "features")
-    shares = [i / bins for i in range(1, bins)]
-    got = rows.groupBy("layer").agg(*(F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(dims))).collect()
-    per_layer = {r["layer"]: [np.unique(r[f"d{d}"]) for d in range(dims)] for r in got}
-    if any(layer is None for layer, _ in configs.values()):
-        whole = rows.agg(*(F.percentile_approx(F.get("features", F.lit(d)), shares, 10_000).alias(f"d{d}") for d in range(dims))).first()
-        per_layer[None] = [np.unique(whole[f"d{d}"] or [0.0]) for d in range(dims)]
-    trees = {}
-    for key, (layer, codebooks) in configs.items():
-        layout = bounds(dims, codebooks)
+    if not configs:
+        return {}
+    layers = {layer for layer, *_ in configs.values()}
+    width = {layer: dims if isinstance(dims, int) else dims[layer] for layer in layers}
+    size = F.coalesce(*(F.when(F.col("layer") == layer, F.lit(n)) for layer, n in width.items() if layer is not None), F.lit(width.get(None, -1)))
+    rows = m.where((F.size("features") == size) & ~F.exists("features", lambda v: v.isNull() | F.isnan(v))).select("layer", "features")
+    per_layer = _bin_edges(rows, width, bins)
+    trees: dict[object, _Tree] = {}
+    levels = {key: config[2] if len(config) > 2 else depth for key, config in configs.items()}
+    for key, (layer, codebooks, *_) in configs.items():
+        layout = bounds(width[layer], codebooks)
         # the first level tries all columns of a codebook, as nothing is known of them yet
         trees[key] = _Tree(layer, layout, [[] for _ in layout], [[] for _ in layout], [list(range(a, b)) for a, b in layout], {})
-    names = list(trees)
-    for level in range(depth):
-        state = spark.sparkContext.broadcast((per_layer, [trees[k] for k in names]))
-
-        def sums(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            edges_of, own_trees = state.value
-            total: dict[tuple[int, int, int], np.ndarray] = {}
-            size = (bins + 1) << level
-            for batch in batches:
-                layers, x = np.asarray(batch.column(0).to_pylist(), object), _features(batch.column(1), dims)
-                cache: dict[tuple, np.ndarray] = {}
-                for t, tree in enumerate(own_trees):
-                    at = np.arange(len(x)) if tree.layer is None else np.flatnonzero(layers == tree.layer)
-                    if not len(at) or tree.layer not in edges_of:
-                        continue
-                    own = x[at]
-                    for c, (a, b) in enumerate(tree.layout):
-                        node, sub = tree.nodes(own, c), own[:, a:b]
-                        values = [np.ones(len(own)), *sub.T, *(sub * sub).T]
-                        for j in tree.tries[c]:
-                            edges = edges_of[tree.layer][j]
-                            if (tree.layer, j) not in cache:
-                                cache[tree.layer, j] = np.searchsorted(edges, own[:, j], "left")
-                            bin_of = cache[tree.layer, j]
-                            group = node * (bins + 1) + bin_of
-                            cell = total.get((t, c, j))
-                            if cell is None:
-                                cell = total[t, c, j] = np.zeros((size, len(values) + 1))
-                                # a bin's largest value is its edge; only the last one's is looked for
-                                cell[:, -1] = np.tile(np.append(edges, np.full(bins + 1 - len(edges), -np.inf)), 1 << level)
-                            for v, value in enumerate(values):
-                                cell[:, v] += np.bincount(group, value, size)
-                            last = np.flatnonzero(bin_of == len(edges))
-                            np.maximum.at(cell[:, -1], group[last], own[last, j])
-            keys = [(t, c, j, int(g)) for (t, c, j), cell in total.items() for g in np.flatnonzero(cell[:, 0])]
-            rows_of = [total[t, c, j][g] for t, c, j, g in keys]
-            columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([r[:-1].tolist() for r in rows_of], pa.list_(pa.float64())), pa.array([float(r[-1]) for r in rows_of], pa.float64())], ["t", "c", "j", "g", "v", "top"])
-
-        parts = rows.mapInArrow(sums, "t int, c int, j int, g int, v array<double>, top double")
-        width = max(b - a for tree in trees.values() for a, b in tree.layout)
-        summed = parts.groupBy("t", "c", "j", "g").agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(1 + 2 * width))).alias("v"), F.max("top").alias("top"))
-        split = summed.groupBy("t", "c", "j").applyInPandas(_best_cuts(bins, 1 << level), "t int, c int, j int, loss double, cuts array<double>, left array<array<double>>, right array<array<double>>").collect()
-        for t, name in enumerate(names):
-            tree = trees[name]
+    for level in range(max(levels.values())):
+        names = [key for key in trees if levels[key] > level]
+        growing = [trees[key] for key in names]
+        best: dict[tuple[int, int], tuple] = {}
+        for part in _column_parts(growing, max(1, sums_bytes // (8 * (bins + 1) << level))):
+            for r in _scanned(rows, per_layer, growing, part, width, level, bins):
+                key, own = (r["t"], r["c"]), (r["loss"], r["j"])
+                if key not in best or own < best[key][0]:
+                    best[key] = (own, r)
+        for t, tree in enumerate(growing):
             for c, (a, b) in enumerate(tree.layout):
-                own = {r["j"]: r for r in split if (r["t"], r["c"]) == (t, c)}
-                j = min(own, key=lambda x: (own[x]["loss"], x)) if own else a
-                cuts = own[j]["cuts"] if own else [0.0] * (1 << level)
-                tree.chosen[c].append(j)
-                tree.thresholds[c] += [float(v) for v in cuts]
+                r = best[t, c][1] if (t, c) in best else None
+                tree.chosen[c].append(r["j"] if r else a)
+                tree.thresholds[c] += [float(v) for v in r["cuts"]] if r else [0.0] * (1 << level)
                 sizes = 2 * (b - a) + 1
                 kids = np.zeros((2 << level, sizes))
-                if own:
-                    kids[0::2], kids[1::2] = ([[v or 0.0 for v in r[:sizes]] for r in own[j][side]] for side in ("left", "right"))
+                if r:
+                    kids[0::2], kids[1::2] = ([[v or 0.0 for v in x[:sizes]] for x in r[side]] for side in ("left", "right"))
                 for node in range(2 << level):
                     tree.leaves[c, node] = kids[node]
                 n, q = np.maximum(kids[:, :1], 1), kids[:, 1 + b - a :]
                 error = np.maximum(q - kids[:, 1 : 1 + b - a] ** 2 / n, 0).sum(0)
                 tree.tries[c] = sorted((a + int(d) for d in np.argsort(-error, kind="stable")[:tried]))
     out = {}
-    for name, tree in trees.items():
-        proto = {(c, k, a + d): float(tree.leaves[c, k][1 + d] / max(tree.leaves[c, k][0], 1)) for c, (a, b) in enumerate(tree.layout) for k in range(1 << depth) for d in range(b - a)}
-        out[name] = Model(tuple(map(tuple, tree.chosen)), tuple(map(tuple, tree.thresholds)), proto)
+    for key, tree in trees.items():
+        proto = {(c, k, a + d): float(tree.leaves[c, k][1 + d] / max(tree.leaves[c, k][0], 1)) for c, (a, b) in enumerate(tree.layout) for k in range(1 << levels[key]) for d in range(b - a)}
+        out[key] = Model(tuple(map(tuple, tree.chosen)), tuple(map(tuple, tree.thresholds)), proto)
     return out
 
 
+def _scanned(rows: DataFrame, per_layer: dict, trees: list[_Tree], part: list[dict[int, list[int]]], width: dict, level: int, bins: int) -> list:
+    """Best cuts of a level for the tree's tried columns of one part: rows (t, c, j, loss, cuts, left, right), one scan."""
+    state = rows.sparkSession.sparkContext.broadcast((per_layer, trees, part))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges_of, own_trees, tries = state.value
+        total: dict[tuple[int, int, int], np.ndarray] = {}
+        size = (bins + 1) << level
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), object)
+            features: dict[str | None, np.ndarray] = {}
+            cache: dict[tuple, np.ndarray] = {}
+            for t, tree in enumerate(own_trees):
+                if tree.layer not in edges_of or not tries[t]:
+                    continue
+                if tree.layer not in features:
+                    at = np.arange(len(names)) if tree.layer is None else np.flatnonzero(names == tree.layer)
+                    features[tree.layer] = _features(batch.column(1).take(pa.array(at)), width[tree.layer])
+                own = features[tree.layer]
+                if not len(own):
+                    continue
+                for c, js in tries[t].items():
+                    a, b = tree.layout[c]
+                    node, sub = tree.nodes(own, c), own[:, a:b]
+                    values = [np.ones(len(own)), *sub.T, *(sub * sub).T]
+                    for j in js:
+                        edges = edges_of[tree.layer][j]
+                        if (tree.layer, j) not in cache:
+                            cache[tree.layer, j] = np.searchsorted(edges, own[:, j], "left")
+                        bin_of = cache[tree.layer, j]
+                        group = node * (bins + 1) + bin_of
+                        cell = total.get((t, c, j))
+                        if cell is None:
+                            cell = total[t, c, j] = np.zeros((size, len(values) + 1))
+                            # a bin's largest value is its edge; only the last one's is looked for
+                            cell[:, -1] = np.tile(np.append(edges, np.full(bins + 1 - len(edges), -np.inf)), 1 << level)
+                        for v, value in enumerate(values):
+                            cell[:, v] += np.bincount(group, value, size)
+                        last = np.flatnonzero(bin_of == len(edges))
+                        np.maximum.at(cell[:, -1], group[last], own[last, j])
+        keys = [(t, c, j, int(g)) for (t, c, j), cell in total.items() for g in np.flatnonzero(cell[:, 0])]
+        rows_of = [total[t, c, j][g] for t, c, j, g in keys]
+        columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([r[:-1].tolist() for r in rows_of], pa.list_(pa.float64())), pa.array([float(r[-1]) for r in rows_of], pa.float64())], ["t", "c", "j", "g", "v", "top"])
+
+    parts = rows.mapInArrow(sums, "t int, c int, j int, g int, v array<double>, top double")
+    widest = max(b - a for t, own in enumerate(part) for c in own for a, b in [trees[t].layout[c]])
+    summed = parts.groupBy("t", "c", "j", "g").agg(F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(1 + 2 * widest))).alias("v"), F.max("top").alias("top"))
+    return summed.groupBy("t", "c", "j").applyInPandas(_best_cuts(bins, 1 << level), "t int, c int, j int, loss double, cuts array<double>, left array<array<double>>, right array<array<double>>").collect()
+
+
 def _best_cuts(bins: int, nodes: int):
     """For one codebook and tried column: each node's best threshold, all nodes' loss, and what falls to either side."""
 

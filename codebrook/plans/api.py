@@ -86,17 +86,22 @@ def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]],
     return images.fold_output(long, oh, ow)
 
 
-def fit_many(layers: dict[str, DataFrame] | DataFrame, configs: DataFrame | list[tuple[str, int]], dims: int, done: DataFrame | None = None, **options) -> dict[tuple[str, int], Model]:
-    """Models of all (layer, c) configurations that are not done yet, learned together in one job a level.
+def fit_many(layers: dict[str, DataFrame] | DataFrame, configs: DataFrame | list[tuple], dims: int | dict[str, int], done: DataFrame | None = None, **options) -> dict[tuple, Model]:
+    """Models of all (layer, c) or (layer, c, k) configurations that are not done yet, learned together in one job a level.
 
-    Layers are a table with a `layer` column, or tables by name. Configurations are few.
+    Layers are a table with a `layer` column, or tables by name; they may have different
+    widths (`dims` by layer). `k`, a power of two, is the number of codes. Configurations are few.
     """
     if isinstance(layers, dict):
         layers = reduce(DataFrame.unionByName, (m.select("row_id", "features").withColumn("layer", F.lit(name)) for name, m in layers.items()))
     if isinstance(configs, DataFrame):
-        todo = configs if done is None else runs.missing(configs, done, ["layer", "c"])
-        configs = [(r["layer"], r["c"]) for r in todo.select("layer", "c").distinct().orderBy("layer", "c").collect()]
-    return fit.tree_fit_many(layers, dims, {(layer, c): (layer, c) for layer, c in configs}, **options)
+        key = [c for c in ("layer", "c", "k") if c in configs.columns]
+        todo = configs if done is None else runs.missing(configs, done, key)
+        configs = [tuple(r) for r in todo.select(*key).distinct().orderBy(*key).collect()]
+    for _, _, *k in configs:
+        if k and (k[0] < 2 or k[0] & (k[0] - 1)):
+            raise ValueError(f"{k[0]} codes; a tree has a power of two of them")
+    return fit.tree_fit_many(layers, dims, {(layer, c, *k): (layer, c, *(x.bit_length() - 1 for x in k)) for layer, c, *k in configs}, **options)
 
 
 def config_sweep(m: DataFrame, weights: list[list[float]], dims: int, codebooks: list[int], bits: tuple[int, ...] = (0,)) -> DataFrame:

@@ -78,6 +78,40 @@ def test_many_layers_are_as_each_alone(spark):
     assert set(found["empty", 2].prototypes.values()) == {0.0}
 
 
+def same_models(a, b):
+    assert a.dims == b.dims and a.prototypes.keys() == b.prototypes.keys()
+    assert np.allclose(np.concatenate([np.array(t) for t in a.thresholds]), np.concatenate([np.array(t) for t in b.thresholds]))
+    assert np.allclose(list(a.prototypes.values()), list(b.prototypes.values()))
+
+
+def test_ragged_layers_and_codes_are_as_each_alone(spark):
+    """Three widths, two numbers of codes; rows of a wrong length teach nothing."""
+    rng = np.random.default_rng(23)
+    dims = {"a": 16, "b": 64, "c": 72}
+    layers = {n: rng.normal(size=(130, w)) * (1 + w) for n, w in dims.items()}
+    tables = {n: table(spark, v) for n, v in layers.items()}
+    mixed = {**tables, "a": tables["a"].unionByName(tables["b"].limit(5))}
+    configs = [(n, w // 8, k) for n, w in dims.items() for k in (4, 8)]
+    found = api.fit_many(mixed, configs, dims)
+    assert set(found) == set(configs)
+    for n, c, k in configs:
+        assert found[n, c, k].codes == k
+        same_models(found[n, c, k], fit.tree_fit(tables[n], dims[n], c, depth=k.bit_length() - 1))
+    todo = spark.createDataFrame(configs, "layer string, c int, k int")
+    assert set(api.fit_many(tables, todo, dims, todo.where("k = 4 OR layer = 'c'"))) == {("a", 2, 8), ("b", 8, 8)}
+    with pytest.raises(ValueError):
+        api.fit_many(tables, [("a", 2, 6)], dims)
+
+
+def test_wide_sub_vectors_in_several_scans_give_the_same_trees(spark):
+    x = np.random.default_rng(24).normal(size=(90, 24))
+    m, config = table(spark, x, layer="l"), {0: ("l", 2, 3)}
+    whole = fit.tree_fit_many(m, 24, config, bins=8)
+    same_models(fit.tree_fit_many(m, 24, config, bins=8, sums_bytes=9 * 26 * 8 * 5)[0], whole[0])
+    parts = list(fit._column_parts([fit._Tree("l", [(0, 12), (12, 24)], [[], []], [[], []], [list(range(12)), list(range(12, 24))], {})], 26 * 5))
+    assert len(parts) == 5 and sorted(j for p in parts for js in p[0].values() for j in js) == list(range(24))
+
+
 def test_odd_tables_do_not_break_the_fits(spark, x):
     none = table(spark, x).limit(0)
     holes = table(spark, x).unionByName(spark.createDataFrame([(900, None), (901, [1.0, None, 2.0, 3.0, 4.0]), (902, [1.0]), (903, [])], "row_id long, features array<double>"))
