@@ -10,7 +10,7 @@ from ..plans.model import Model
 from ..sources import tables
 from ..streaming import streams
 from .analytics import _METRICS
-from .base import C, D, GOLD, K, LAYOUT, OUTPUTS, cells, coded, codes, lut_table, matrix, query, r4, read, rounded
+from .base import CELLS, C, D, GOLD, K, LAYOUT, OUTPUTS, cells, coded, codes, lut_table, matrix, query, r4, read, rounded
 
 WEIGHTS = [list(r) for r in GOLD.weights]
 
@@ -24,6 +24,30 @@ def tree_fit_exact(spark, d):
     return _tree(spark, fit.tree_fit(matrix(spark, d), D, C, exact=True))
 
 
+def _levels_sql(depth: int) -> str:
+    """Levels of exact trees, one after the other, over all cuts between values."""
+    steps = ["x AS (SELECT row_id, dim // 8 AS c, dim, x FROM cells), n0 AS (SELECT DISTINCT row_id, c, 0 AS node FROM x)"]
+    for l in range(depth):
+        steps.append(f"""
+r{l} AS (SELECT a.row_id, a.c, a.dim AS try, b.dim, n.node, a.x AS v, b.x AS x FROM x a JOIN x b ON b.row_id = a.row_id AND b.c = a.c JOIN n{l} n ON n.row_id = a.row_id AND n.c = a.c),
+s{l} AS (SELECT row_id, c, try, node, v, count(*) OVER h AS n, sum(x) OVER h AS s, sum(x * x) OVER h AS q, count(*) OVER w AS nt, sum(x) OVER w AS st, sum(x * x) OVER w AS qt FROM r{l}
+  WINDOW h AS (PARTITION BY c, try, dim, node ORDER BY v, row_id ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY c, try, dim, node)),
+l{l} AS (SELECT row_id, c, try, node, v, round(sum(greatest(0, q - s * s / n) + CASE WHEN nt > n THEN greatest(0, qt - q - (st - s) * (st - s) / (nt - n)) ELSE 0 END), 9) AS loss FROM s{l} GROUP BY ALL),
+c{l} AS (SELECT *, lead(v) OVER (PARTITION BY c, try, node ORDER BY v, row_id) AS following FROM l{l}),
+b{l} AS (SELECT c, try, node, min(loss) AS loss, arg_min(CASE WHEN following IS NULL THEN v ELSE (v + following) / 2 END, (loss, v)) AS threshold FROM c{l} WHERE following IS NULL OR following > v GROUP BY ALL),
+d{l} AS (SELECT c, arg_min(try, (loss, try)) AS dim FROM (SELECT c, try, sum(loss) AS loss FROM b{l} GROUP BY c, try) GROUP BY c),
+t{l} AS (SELECT b.c, b.node, d.dim, b.threshold FROM b{l} b JOIN d{l} d ON d.c = b.c AND d.dim = b.try),
+n{l + 1} AS (SELECT n.row_id, n.c, 2 * n.node + (x.x > t.threshold)::INT AS node FROM n{l} n JOIN t{l} t ON t.c = n.c AND t.node = n.node JOIN x ON x.row_id = n.row_id AND x.dim = t.dim)""")
+    out = " UNION ALL ".join(f"SELECT c, {l} AS level, node, dim, round(threshold, 4) AS threshold FROM t{l}" for l in range(depth))
+    return f"WITH {CELLS}, {', '.join(steps)} {out}"
+
+
+@query("tree_fit_exact_levels", _levels_sql(2))
+def tree_fit_exact_levels(spark, d):
+    """The first two levels of the exact trees, whose every cut SQL can try as well."""
+    return _tree(spark, fit.tree_fit(matrix(spark, d), D, C, depth=2, exact=True))
+
+
 @query("tree_fit_binned")
 def tree_fit_binned(spark, d):
     """Trees over all line items: four columns, two codebooks."""

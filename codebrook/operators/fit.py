@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..plans.layout import bounds
 from ..plans.model import Model
-from . import scan
+from . import lists, scan
 from .encode import nearest_code, tree_code
 from .metrics import bucket_sse, code_gram
 
@@ -293,54 +293,14 @@ def tree_fit(m: DataFrame, dims: int, codebooks: int, depth: int = 4, tried: int
 
     Each level tries the `tried` columns of largest squared error (the first one all) and
     takes the one whose splits leave the least. By default thresholds come from `bins`
-    quantile bins (`tree_fit_many`); `exact` tries all values, and orders each codebook's
-    rows for that: it is for samples. Rows without features, or with a null among them,
+    quantile bins (`tree_fit_many`); `exact` tries all values, from sorted attribute lists
+    (`lists`). Rows without features, or with a null among them,
     teach nothing; without rows all thresholds and prototypes are 0.
     """
     if not exact:
         return tree_fit_many(m.withColumn("layer", F.lit("")), dims, {0: ("", codebooks)}, depth, tried, bins)[0]
     m, layout = _usable(m, dims), bounds(dims, codebooks)
-    chosen: list[list[int]] = [[] for _ in layout]
-    thresholds: list[list[float]] = [[] for _ in layout]
-    for level in range(depth):
-        per = []
-        for c, (a, b) in enumerate(layout):
-            node = tree_code(F.col("features"), chosen[c], thresholds[c]) if level else F.lit(0)
-            per.append(F.struct(F.lit(c).alias("c"), node.alias("node"), F.slice("features", a + 1, b - a).alias("sub")))
-        rows = m.select("row_id", F.explode(F.array(*per)).alias("p")).select("row_id", "p.*")
-        tries = {c: list(range(b - a)) for c, (a, b) in enumerate(layout)}
-        if level:
-            sums = rows.select("c", "node", F.posexplode("sub").alias("dim", "x")).groupBy("c", "node", "dim").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2"))
-            tries = {c: [] for c in tries}
-            for r in rank_split_dims(bucket_sse(sums), tried).orderBy("c", "rank").collect():
-                tries[r["c"]].append(r["dim"])
-        width = max(b - a for a, b in layout)
-        pairs = [F.struct(F.lit(c).alias("tc"), F.lit(j).alias("try")) for c, js in tries.items() for j in js]
-        if not pairs:
-            pairs = [F.struct(F.lit(-1).alias("tc"), F.lit(0).alias("try"))]
-        each = rows.withColumn("t", F.explode(F.filter(F.array(*pairs), lambda t: t["tc"] == F.col("c")))).select("row_id", "c", "node", F.col("t.try").alias("try"), "sub", F.get("sub", F.col("t.try")).alias("v"))
-        column = lambda j: F.coalesce(F.get("sub", F.lit(j)), F.lit(0.0))
-        w = Window.partitionBy("c", "node", "try").orderBy("v", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-        whole, order = Window.partitionBy("c", "node", "try"), Window.partitionBy("c", "node", "try").orderBy("v", "row_id")
-        loss = F.lit(0.0)
-        n, total = F.count("*").over(w), F.count("*").over(whole)
-        for j in range(width):
-            s, q, st, qt = F.sum(column(j)).over(w), F.sum(column(j) * column(j)).over(w), F.sum(column(j)).over(whole), F.sum(column(j) * column(j)).over(whole)
-            rest = F.when(total > n, F.greatest(F.lit(0.0), qt - q - (st - s) * (st - s) / (total - n))).otherwise(0.0)
-            loss = loss + F.greatest(F.lit(0.0), q - s * s / n) + rest
-        scored = each.select("c", "node", "try", "v", "row_id", loss.alias("loss"), F.lead("v").over(order).alias("next"))
-        # a split lies between different values
-        scored = scored.where(F.col("next").isNull() | (F.col("next") > F.col("v")))
-        cut = F.when(F.col("next").isNull(), F.col("v")).otherwise((F.col("v") + F.col("next")) / 2)
-        best = scored.groupBy("c", "node", "try").agg(F.min(F.struct(F.round("loss", 9).alias("loss"), "v", cut.alias("threshold"))).alias("b"))
-        found = best.select("c", "node", "try", "b.loss", "b.threshold").collect()
-        for c, (a, b) in enumerate(layout):
-            own = [r for r in found if r["c"] == c]
-            by = {j: sum(r["loss"] for r in own if r["try"] == j) for j in tries[c]}
-            j = min(by, key=lambda x: (by[x], x)) if own else 0
-            at = {r["node"]: r["threshold"] for r in own if r["try"] == j}
-            chosen[c].append(a + j)
-            thresholds[c] += [float(at.get(node, 0.0)) for node in range(1 << level)]
+    chosen, thresholds = lists.tree_fit_exact(m, dims, codebooks, depth, tried)
     model = Model(tuple(map(tuple, chosen)), tuple(map(tuple, thresholds)), {})
     codes = F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds)))
     return Model(model.dims, model.thresholds, bucket_prototypes(m.withColumn("codes", codes), model, layout))

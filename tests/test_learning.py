@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codebrook.operators import encode, fit, lut, metrics, runs, scan
+from codebrook.operators import encode, fit, lists, lut, metrics, runs, scan
 from codebrook.plans import api, layout
 from codebrook.plans.model import Model, by_rule
 
@@ -288,3 +288,16 @@ def test_model_with_many_outputs_takes_the_arrow_path(spark):
     assert len(t) * len(t[0]) > lut.UNROLL
     got = {r["row_id"]: r["y"] for r in lut.decode_lut(coded, t).collect()}
     assert got[2] is None and np.allclose(got[1], np.array(t)[:, np.arange(8) * 16 + 1].sum(1))
+
+
+def test_attribute_lists_carry_between_parts(spark):
+    """Few columns over more parts, and equal values on both sides of a part's end."""
+    rng = np.random.default_rng(31)
+    x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 40, 400)]).astype(float)
+    held = lists.attribute_lists(table(spark, x), [(0, 2)])
+    per = {(r["dim"], r["n"]) for r in held.groupBy("dim").agg(F.count_distinct("_part").alias("n")).collect()}
+    assert all(n > 1 for _, n in per)
+    between = lambda v: [*((a + b) / 2 for a, b in zip(np.unique(v), np.unique(v)[1:])), v.max()]
+    chosen, thresholds, _ = grown(x, 2, 1, 2, between)
+    model = fit.tree_fit(table(spark, x), 2, 1, depth=2, exact=True)
+    assert list(model.dims) == chosen and np.allclose(model.thresholds, thresholds)
