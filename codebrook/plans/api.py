@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fit, images, lut, metrics, runs
-from ..operators.encode import cascade_predict, encode_tree, tree_code
+from ..operators import classify, fit, images, lut, metrics, runs
+from ..operators.encode import encode_tree, tree_code
 from .model import Model
 
 
@@ -140,19 +138,6 @@ def distill_trees(m: DataFrame, near: DataFrame, layout: list[tuple[int, int]],
     """(row_id, c, k, class): classifiers that imitate codes (row_id, c, k) of every codebook.
 
     The codes of a codebook are dealt to three levels by frequency; a level's tree knows its
-    own codes, and passes the others on to the next one.
+    own codes, and passes the others on to the next one. All trees grow together.
     """
-    ranks = [(r["c"], r["k"], r["level"]) for r in metrics.classes_by_level(near).collect()]
-    out = None
-    for c, (a, b) in enumerate(layout):
-        own = near.where(F.col("c") == c).select("row_id", F.col("k").cast("double").alias("k"))
-        rows = m.select("row_id", array_to_vector(F.slice("features", a + 1, b - a)).alias("features")).join(own, "row_id").cache()
-        answered = rows
-        for level in range(3):
-            classes = [k for x, k, at in ranks if (x, at) == (c, level)] or [0]
-            tree = DecisionTreeClassifier(featuresCol="features", labelCol="_l", predictionCol=f"_p{level}", rawPredictionCol=f"_r{level}", probabilityCol=f"_q{level}", maxDepth=depth, impurity="gini")
-            model = tree.fit(rows.withColumn("_l", F.when(F.col("k").isin(classes), F.col("k")).otherwise(float(codes))))
-            answered = model.transform(answered).withColumn(f"t{level}", F.when(F.col(f"_p{level}") == codes, -1).otherwise(F.col(f"_p{level}").cast("int")))
-        part = cascade_predict(answered, ["t0", "t1", "t2"]).select("row_id", F.lit(c).alias("c"), F.col("k").cast("int").alias("k"), "class")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return classify.distill(m, near.where(F.col("k") < codes), layout, depth)
