@@ -197,6 +197,17 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on, the session's Arrow batches have at most so many rows.
+
+    A batch of whole texts lies outside the heap, in each of a task's two or three steps in
+    Python; ten thousand texts, Spark's default, are tens of MB each time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 @contextmanager
 def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What is kept inside is deleted at the end, but for what goes through the function that this gives.
