@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codebrook.llm import decontamination, line_quality, ngram_join, packing, pii
-from codebrook.llm.common import delete, held_out, shared_dir, table, transient, unused
+from codebrook.llm.common import bounded_batches, delete, held_out, shared_dir, table, transient, unused
 from codebrook.llm.registry import tokenizer_path
 
 
@@ -26,6 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Equal texts get equal scores, so repeated rows stay or go together; without labels of
     both kinds all documents score 0.5 and stay.
     """
+    bounded_batches(spark)
     model = line_quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     (name,) = unused(docs.columns, "_quality")
     return line_quality.score(docs, model, name).where(F.col(name) >= 0.5).drop(name)
@@ -37,11 +38,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words link with nothing and stay; a row without a doc_id stays where
     no other document is linked with it.
     """
+    bounded_batches(spark)
     return ngram_join.representatives(docs, n=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark; all of them where it is empty."""
+    bounded_batches(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,11 +53,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No row goes, and texts without entities stay as they are; the key is the session's.
     """
+    bounded_batches(spark)
     return pii.checked(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in sequences; an empty text is the closing token."""
+    bounded_batches(spark)
     return packing.best_fit(docs, tokenizer_path())
 
 
