@@ -154,6 +154,16 @@ def pq_kmeans_fit(spark, d):
     return rounded(_centroids(spark, fit.centroid_model(m, D, centroids)), "value")
 
 
+@query("pq_kmeans_oversampled")
+def pq_kmeans_oversampled(spark, d):
+    """Inertia of three restarts, started by hash and by oversampling; each kind shares its scans."""
+    m, out = matrix(spark, d), []
+    for start in ("hash", "oversampled"):
+        found = fit.kmeans_many(m, D, C, K, rounds=3, seeds=[1, 2, 3], start=start)
+        out += [(start, seed, inertia) for seed, (_, inertia) in found.items()]
+    return rounded(spark.createDataFrame(out, "start string, seed int, inertia double"), "inertia")
+
+
 @query("pq_refit_codebook")
 def pq_refit_codebook(spark, d):
     m = matrix(spark, d)

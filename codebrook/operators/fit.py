@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from ..plans.layout import bounds
 from ..plans.model import Model
-from . import lists, scan
-from .encode import nearest_code, tree_code
+from . import kmeans, lists, scan
+from .encode import tree_code
 from .metrics import bucket_sse, code_gram
 
 #: Largest codebooks x codes whose normal equations are solved on the driver.
@@ -351,50 +351,27 @@ def with_weights(model: Model, weights: list[list[float]]) -> Model:
     return Model(model.dims, model.thresholds, model.prototypes, tuple(map(tuple, weights)))
 
 
-def kmeans_fit(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seed: int = 0, restarts: int = 1, max_points: int = 0, only: list[int] | None = None) -> tuple[list[list[list[float]]], float]:
-    """Lloyd's algorithm for all codebooks at once: (centroids [c][k][d], inertia).
+def kmeans_many(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seeds: tuple[int, ...] | list[int] = (0,), max_points: int = 0, only: list[int] | None = None, start: str = "hash", steps: int = 4) -> dict[int, tuple[list[list[list[float]]], float]]:
+    """Lloyd's algorithm for all codebooks and seeds at once: (centroids [c][k][d], inertia) by seed.
 
-    Starts from rows chosen by hash and fits on all rows; with `max_points`, on the
-    `k * max_points` rows of least hash. Each round is one aggregation whose result is
-    codebooks x codes rows; an empty code takes the centroid of the largest one, moved a
-    little. `only` limits the work to some codebooks. Fewer rows than codes are taken again
-    as starts; rows without features, or with a null among them, teach nothing; without
-    rows all centroids are 0.
+    Starts from rows chosen by hash, or (`start="oversampled"`) drawn in a few `steps` by
+    their distance from those before, and fits on all rows; with `max_points`, on the `k *
+    max_points` rows of least hash by the first seed. Each round is one scan for all seeds.
+    `only` limits the work to some codebooks. Fewer rows than codes are taken again as
+    starts; rows without features, or with a null among them, teach nothing; without rows
+    all centroids are 0.
     """
     layout = bounds(dims, codebooks)
-    own = range(len(layout)) if only is None else only
     rows = _usable(m, dims).select("row_id", "features")
     if max_points:
-        rows = rows.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(k * max_points).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.cache()
-    best: tuple[list, float] | None = None
-    for restart in range(restarts):
-        first = rows.orderBy(F.xxhash64("row_id", F.lit(seed + 1 + restart)), "row_id").limit(k).collect()
-        if not first:
-            rows.unpersist()
-            return [[[0.0] * (b - a) for _ in range(k)] for a, b in layout], 0.0
-        first = [first[i % len(first)] for i in range(k)]
-        centroids = [[[float(r["features"][d]) for d in range(a, b)] for r in first] for a, b in layout]
-        inertia = 0.0
-        for _ in range(rounds):
-            per = F.array(*(F.struct(F.lit(c).alias("c"), nearest_code(F.col("features"), centroids[c], list(range(*layout[c]))).alias("k"), F.slice("features", layout[c][0] + 1, layout[c][1] - layout[c][0]).alias("sub")) for c in own))
-            cells = rows.select(F.explode(per).alias("p")).select("p.c", "p.k", F.posexplode("p.sub").alias("j", "x"))
-            sums = cells.groupBy("c", "k", "j").agg(F.avg("x").alias("v"), F.count("*").alias("n"), F.sum(F.col("x") * F.col("x")).alias("q")).collect()
-            inertia, filled, counts = 0.0, {}, {}
-            for r in sums:
-                filled.setdefault((r["c"], r["k"]), {})[r["j"]] = r["v"]
-                counts[r["c"], r["k"]] = r["n"]
-                inertia += r["q"] - r["n"] * r["v"] ** 2
-            for c in own:
-                most = max((x for x in counts if x[0] == c), key=lambda x: (counts[x], -x[1]))
-                for j in range(k):
-                    values = filled.get((c, j))
-                    source = filled[most]
-                    centroids[c][j] = [values[d] if values else source[d] * (1 + 1e-3 * (1 + j)) for d in range(len(centroids[c][j]))]
-        if best is None or inertia < best[1]:
-            best = (centroids, inertia)
-    rows.unpersist()
-    return best
+        rows = scan.keep(rows.orderBy(F.xxhash64("row_id", F.lit(seeds[0])), "row_id").limit(k * max_points).repartition(int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return kmeans.kmeans_many(rows, layout, k, rounds, list(seeds), list(range(len(layout)) if only is None else only), start, steps)
+
+
+def kmeans_fit(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seed: int = 0, restarts: int = 1, **options) -> tuple[list[list[list[float]]], float]:
+    """`kmeans_many` of one seed and those after it, as many as restarts: what ends with the least inertia."""
+    found = kmeans_many(m, dims, codebooks, k, rounds, [seed + i for i in range(restarts)], **options)
+    return min(found.items(), key=lambda x: (x[1][1], x[0]))[1]
 
 
 def refit_codebook(m: DataFrame, centroids: list, codebook: int, dims: int, **options) -> list:

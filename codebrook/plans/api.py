@@ -121,9 +121,9 @@ def config_sweep(m: DataFrame, weights: list[list[float]], dims: int, codebooks:
 
 
 def best_of_restarts(m: DataFrame, dims: int, codebooks: int, seeds: list[int], **options) -> tuple[int, list, float]:
-    """The seed whose k-means ends with the least inertia, its centroids, and that."""
-    tried = [(seed, *fit.kmeans_fit(m, dims, codebooks, seed=seed, **options)) for seed in seeds]
-    return min(tried, key=lambda t: (t[2], t[0]))
+    """The seed whose k-means ends with the least inertia, its centroids, and that; all seeds share their scans."""
+    tried = fit.kmeans_many(m, dims, codebooks, seeds=seeds, **options)
+    return min(((seed, *found) for seed, found in tried.items()), key=lambda t: (t[2], t[0]))
 
 
 def evaluate(rows: DataFrame, fn) -> DataFrame:
