@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode, fit, lut, metrics
 from ..plans import api, layout
-from ..plans.model import Model
+from ..plans.model import Model, by_rule
 from ..sources import tables
 from ..streaming import streams
 from .analytics import _METRICS
@@ -190,6 +190,17 @@ def lut_refit(spark, d):
     return rounded(out, *metrics.METRICS)
 
 
+@query("lut_refit_large")
+def lut_refit_large(spark, d):
+    """Errors of tables of 8 x 1024 codes fitted to the exact outputs, without the matrix of their equations."""
+    model, m = by_rule(D, C, 10, 2), matrix(spark, d)
+    with_codes = encode.encode_tree(m, model)
+    exact = lut.matmul_exact(cells(spark, d), GOLD.weight_table(spark))
+    table = fit.lut_refit(with_codes, exact, C, model.codes, penalty=1.0, tolerance=1e-8)
+    y = lut.decode_arrow(with_codes, table, model.codes).select("row_id", F.posexplode("y").alias("m", "y"))
+    return rounded(metrics.error_metrics(metrics.error_pairs(y, exact)), *metrics.METRICS)
+
+
 @query("distill_trees")
 def distill_trees(spark, d):
     """Depth-4 classifiers that imitate the nearest codes of every codebook, by frequency level."""

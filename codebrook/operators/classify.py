@@ -3,7 +3,7 @@
 For every codebook and level of frequency there is one tree: it tells that level's codes
 apart, and from all others. A level of all trees is one scan: tasks find each row's node and
 count classes by (tree, column, node, bin); counts of tasks are added up where they meet,
-one node after the other, and give each node's split of least Gini impurity. What comes to the
+one tree after the other, and give each node's split of least Gini impurity. What comes to the
 driver is one row a tree and node.
 """
 
@@ -98,7 +98,7 @@ def class_trees(rows: DataFrame, layout: list[tuple[int, int]], classes: list[li
         def count(batches: Iterator[pa.RecordBatch], state=state, level=level) -> Iterator[pa.RecordBatch]:
             trees, edges = state.value
             total: dict[tuple[int, int], np.ndarray] = {}
-            first, many = 1 << level, 1 << level
+            first = many = 1 << level
             for x, ks in _arrays(batches, dims, len(layout)):
                 bin_of = [np.searchsorted(e, x[:, d], "left") for d, e in enumerate(edges)]
                 for t, tree in enumerate(trees):
@@ -109,34 +109,33 @@ def class_trees(rows: DataFrame, layout: list[tuple[int, int]], classes: list[li
                         size = len(edges[d]) + 1
                         own = np.bincount((node[at] * size + bin_of[d][at]) * wide + label, minlength=many * size * wide)
                         total[t, d] = total[t, d] + own if (t, d) in total else own
-            out = []
-            for (t, d), counts in total.items():
-                by_node = counts.reshape(many, -1)
-                out += [(t, first + n, d, by_node[n].astype("<i8").tobytes()) for n in np.flatnonzero(by_node.any(1)).tolist()]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*out)] or [()] * 4, kinds)], ["t", "node", "dim", "counts"])
-
-        def split(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int32(), pa.int32(), pa.binary())
+            out = [(t, d, counts.astype("<i8").tobytes()) for (t, d), counts in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*zip(*out)] or [()] * 3, kinds)], ["t", "dim", "counts"])
+
+        def split(batches: Iterator[pa.RecordBatch], state=state, level=level) -> Iterator[pa.RecordBatch]:
             trees, edges = state.value
-            now, columns, done = None, [], []
+            now, columns, done = None, {}, []
+
+            def close() -> None:
+                for n in np.flatnonzero(next(iter(columns.values())).sum(axis=(1, 2))).tolist():
+                    done.append((now, (1 << level) + n, *_best([(d, x[n]) for d, x in columns.items()])))
+
             for batch in batches:
-                for t, node, d, data in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (t, node) != now:
-                        if columns:
-                            done.append((*now, *_best(columns)))
-                        now, columns = (t, node), []
-                    counts = np.frombuffer(data, "<i8").reshape(len(edges[d]) + 1, -1)
-                    if columns and columns[-1][0] == d:
-                        columns[-1] = (d, columns[-1][1] + counts)
-                    else:
-                        columns.append((d, counts))
+                for t, d, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if t != now and columns:
+                        close()
+                        columns = {}
+                    now = t
+                    own = np.frombuffer(data, "<i8").reshape(1 << level, len(edges[d]) + 1, len(trees[t].classes) + 1)
+                    columns[d] = columns[d] + own if d in columns else own
             if columns:
-                done.append((*now, *_best(columns)))
+                close()
             names = ["t", "node", "dim", "cut", "n", "answer", "left", "right"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([*zip(*done)] or [()] * 8)], names)
 
-        counts = rows.mapInArrow(count, "t int, node int, dim int, counts binary")
-        found = counts.repartition("t", "node").sortWithinPartitions("t", "node", "dim").mapInArrow(split, "t long, node long, dim long, cut long, n long, answer long, left long, right long").collect()
+        counts = rows.mapInArrow(count, "t int, dim int, counts binary")
+        found = counts.repartition("t").sortWithinPartitions("t", "dim").mapInArrow(split, "t long, node long, dim long, cut long, n long, answer long, left long, right long").collect()
         for r in found:
             tree = trees[r["t"]]
             tree.answers[r["node"]] = r["answer"]

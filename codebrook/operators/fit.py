@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..plans.layout import bounds
 from ..plans.model import Model
-from . import kmeans, lists, scan
+from . import kmeans, lists, scan, solve
 from .encode import tree_code
 from .metrics import bucket_sse, code_gram
 
@@ -316,18 +316,16 @@ def bucket_prototypes(m: DataFrame, model: Model, layout: list[tuple[int, int]])
     return out | {(r["c"], r["k"], r["dim"]): r["value"] for r in means}
 
 
-def ridge_refine(m: DataFrame, model: Model, dims: int, penalty: float = 1.0) -> Model:
+def ridge_refine(m: DataFrame, model: Model, dims: int, penalty: float = 1.0, largest: int = LARGEST_GRAM) -> Model:
     """Prototypes plus the ridge solution of residuals on one-hot codes; dense afterwards.
 
     The Gram matrix and the right-hand side are sums over rows in Spark; only their
-    (codebooks x codes)^2 and (codebooks x codes) x dims values come to the driver.
+    (codebooks x codes)^2 and (codebooks x codes) x dims values come to the driver. Beyond
+    `largest` codes the matrix is never made: `solve` finds the solution by products with it.
     """
     size = model.codebooks * model.codes
-    if size > LARGEST_GRAM:
-        raise ValueError(f"{size} codes in all; the driver solves {LARGEST_GRAM} at most")
     with_codes = _usable(m, dims).withColumn("codes", F.array(*(tree_code(F.col("features"), d, t) for d, t in zip(model.dims, model.thresholds))))
     spots = with_codes.select("features", F.transform("codes", lambda k, c: k + c * model.codes).alias("flat"))
-    gram = _gram(with_codes, size, model.codes)
     right = np.zeros((size, dims))
     sums = [F.sum(F.get("features", F.lit(d))).alias(f"d{d}") for d in range(dims)]
     for r in spots.select("features", F.explode("flat").alias("i")).groupBy("i").agg(*sums).collect():
@@ -335,7 +333,12 @@ def ridge_refine(m: DataFrame, model: Model, dims: int, penalty: float = 1.0) ->
     proto = np.zeros((size, dims))
     for (c, k, d), v in model.prototypes.items():
         proto[c * model.codes + k, d] = v
-    solved = proto + np.linalg.solve(gram + penalty * np.eye(size), right - gram @ proto)
+    if size <= largest:
+        gram = _gram(with_codes, size, model.codes)
+        solved = proto + np.linalg.solve(gram + penalty * np.eye(size), right - gram @ proto)
+    else:
+        held = scan.keep(with_codes.select("codes"))
+        solved = proto + solve.solve(held, model.codebooks, model.codes, right - solve.gram_product(held, model.codebooks, model.codes, proto), penalty)
     dense = {(i // model.codes, i % model.codes, d): float(solved[i, d]) for i in range(size) for d in range(dims)}
     return Model(model.dims, model.thresholds, dense, model.weights)
 
@@ -386,15 +389,18 @@ def centroid_model(m: DataFrame, dims: int, centroids: list) -> list[tuple]:
     return [(c, j, a + d, float(v)) for c, (a, _) in enumerate(layout) for j, row in enumerate(centroids[c]) for d, v in enumerate(row)]
 
 
-def lut_refit(coded: DataFrame, outputs: DataFrame, codebooks: int, codes: int, penalty: float = 1e-6) -> list[list[float]]:
-    """Tables [m][c * codes + k] that fit exact outputs best for fixed codes (normal equations)."""
+def lut_refit(coded: DataFrame, outputs: DataFrame, codebooks: int, codes: int, penalty: float = 1e-6, largest: int = LARGEST_GRAM, **options) -> list[list[float]]:
+    """Tables [m][c * codes + k] that fit exact outputs best for fixed codes (normal equations).
+
+    Beyond `largest` codes they are solved without their matrix (`solve`, with its options).
+    """
     size = codebooks * codes
-    if size > LARGEST_GRAM:
-        raise ValueError(f"{size} codes in all; the driver solves {LARGEST_GRAM} at most")
     flat = coded.select("row_id", F.transform("codes", lambda k, c: k + c * codes).alias("flat"))
-    gram = _gram(coded, size, codes)
     sums = flat.join(outputs, "row_id").select("m", "y", F.explode("flat").alias("i")).groupBy("m", "i").agg(F.sum("y").alias("s")).collect()
     right = np.zeros((size, 1 + max((r["m"] for r in sums), default=-1)))
     for r in sums:
         right[r["i"], r["m"]] = r["s"]
+    if size > largest:
+        return solve.solve(coded, codebooks, codes, right, penalty, **options).T.tolist()
+    gram = _gram(coded, size, codes)
     return np.linalg.solve(gram + penalty * np.eye(size), right).T.tolist()

@@ -231,6 +231,23 @@ def test_solved_tables_and_prototypes(spark):
     coded = spark.createDataFrame([(i, [int(v) for v in r]) for i, r in enumerate(codes)], "row_id long, codes array<int>")
     want = np.linalg.solve(onehot.T @ onehot + 1e-6 * np.eye(8), onehot.T @ y).T
     assert np.allclose(fit.lut_refit(coded, outputs, 2, 4), want)
+    # the same without the matrix; rows without codes, or with a null among them, count nothing
+    odd = coded.unionByName(spark.createDataFrame([(900, None), (901, [1, None])], coded.schema))
+    assert np.allclose(fit.lut_refit(odd, outputs, 2, 4, penalty=1e-2, largest=0), fit.lut_refit(coded, outputs, 2, 4, penalty=1e-2), atol=1e-8, rtol=0)
+    large = fit.ridge_refine(table(spark, a), model, 4, largest=0)
+    assert all(abs(large.prototypes[k] - v) < 1e-8 for k, v in ridge.prototypes.items())
+
+
+def test_products_with_more_codes_than_a_matrix_holds(spark):
+    """8 x 1024 codes: the solution's residual is small, and no matrix of codes squared is made."""
+    rng = np.random.default_rng(14)
+    codes, y = rng.integers(0, 1024, (600, 8)), rng.normal(size=(600, 2))
+    coded = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(codes)], "row_id long, codes array<int>")
+    outputs = spark.createDataFrame([(i, j, float(y[i, j])) for i in range(600) for j in range(2)], "row_id long, m int, y double")
+    t = np.array(fit.lut_refit(coded, outputs, 8, 1024, penalty=0.5))
+    onehot = np.zeros((600, 8192))
+    onehot[np.arange(600)[:, None], codes + np.arange(8) * 1024] = 1
+    assert np.abs(onehot.T @ (onehot @ t.T) + 0.5 * t.T - onehot.T @ y).max() < 1e-8
 
 
 def test_codes_that_are_null_or_short(spark):
