@@ -194,7 +194,7 @@ def lut_refit(spark, d):
 def lut_refit_large(spark, d):
     """Errors of tables of 8 x 1024 codes fitted to the exact outputs, without the matrix of their equations."""
     model, m = by_rule(D, C, 10, 2), matrix(spark, d)
-    with_codes = encode.encode_tree(m, model)
+    with_codes = tables.keep(encode.encode_tree(m, model))
     exact = lut.matmul_exact(cells(spark, d), GOLD.weight_table(spark))
     table = fit.lut_refit(with_codes, exact, C, model.codes, penalty=1.0, tolerance=1e-8)
     y = lut.decode_arrow(with_codes, table, model.codes).select("row_id", F.posexplode("y").alias("m", "y"))
@@ -242,9 +242,8 @@ def stream_encode_decode(spark, d):
 
 @query("stream_capture", "SELECT label, least(count(*), 15) AS n FROM embeddings GROUP BY label")
 def stream_capture(spark, d):
-    folder = tables.shared_folder(spark, "capture")
-    streams.capture(streams.stream_table(spark, d, "embeddings").select("vec_id", "label"), folder, "label", "vec_id", 15)
-    return spark.read.parquet(f"{folder}/rows").groupBy("label").agg(F.count("*").alias("n"))
+    rows = streams.stream_table(spark, d, "embeddings").select("vec_id", "label")
+    return streams.capture(rows, tables.shared_folder(spark, "capture"), "label", "vec_id", 15).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("stream_error_report", f"WITH {OUTPUTS} SELECT label, count(*) AS n, round(avg(abs(a - d)), 4) AS mae, round(avg((a - d) * (a - d)), 4) AS mse, round(2 * avg(abs(a - d)) / (max(d) - min(d)), 4) AS scaled_error, round(2 * avg(a - d) / (max(d) - min(d)), 4) AS scaled_shift FROM pairs JOIN embeddings ON vec_id = row_id GROUP BY label")
@@ -255,8 +254,10 @@ def stream_error_report(spark, d):
 
 @query("stream_smoothed_metric", "WITH ev AS (SELECT event_type, event_id, round_even(value * 100, 0) AS value FROM events), w AS (SELECT event_type, event_id, avg(value) OVER l AS a, sum(value) OVER g AS s, count(*) OVER g AS n FROM ev WINDOW l AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), g AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT event_type, event_id, round(a, 4) AS avg, floor(s / n * 1000) / 1000 AS global_avg, n FROM w")
 def stream_smoothed_metric(spark, d):
-    ev = streams.stream_table(spark, d, "events").withColumn("value", F.rint(F.col("value") * 100))
-    return rounded(streams.drain(streams.smoothed(ev, "event_type", "event_id", "value"), "smoothed"), "avg").withColumn("global_avg", F.floor(F.col("global_avg") * 1000) / 1000)
+    """Files may come in any order: a row waits as long as the table's days, until the stream's end at most."""
+    ev = streams.stream_table(spark, d, "events").withColumn("value", F.rint(F.col("value") * 100)).select("event_type", "event_id", "value", "ts")
+    out = streams.drain_to_end(lambda e: streams.smoothed(e, "event_type", "event_id", "value", late="40 days"), ev, "smoothed")
+    return rounded(out, "avg").withColumn("global_avg", F.floor(F.col("global_avg") * 1000) / 1000)
 
 
 @query("stream_throughput", "SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1")

@@ -27,6 +27,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _store(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared store; none where it isn't there."""
+    store, where = _store(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    store, where = _store(spark, path)
+    store.delete(where, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared checkpoint folder and cut its lineage."""
     context = df.sparkSession.sparkContext

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import lut, runs
 from ..operators.encode import encode_tree
 from ..plans.layout import matrix
 from ..plans.model import Model
+from ..sources import tables
 from ..sources.tables import shared_folder
 
-
-#: Files that a micro-batch takes at most; bounds the rows that a key's state meets at once.
+#: Files that a micro-batch takes at most.
 FILES = 16
 
 
@@ -27,10 +29,10 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, files: int = FILES
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there; its sink and checkpoint are in the shared folder."""
+def drain(stream: DataFrame, name: str, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Run a stream over what is there; its sink and checkpoint are in the shared folder. `out` goes on with an earlier one."""
     spark = stream.sparkSession
-    out = shared_folder(spark, name)
+    out = out or shared_folder(spark, name)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint")
     if mode == "append":
         writer = writer.outputMode("append").format("parquet").option("path", f"{out}/rows")
@@ -40,18 +42,54 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def drain_to_end(make: Callable[[DataFrame], DataFrame], events: DataFrame, name: str, ts: str = "ts") -> DataFrame:
+    """Run a stream that holds rows back, then end it, so that what it still holds comes out.
+
+    The end is a row of nulls with a late time, in a second source, that the same query
+    finds when it is run again: the watermark passes all that was held.
+    """
+    spark = events.sparkSession
+    folder, out = shared_folder(spark, "end"), shared_folder(spark, name)
+    schema = T.StructType([T.StructField(f.name, T.TimestampType() if f.name == ts else f.dataType) for f in events.schema])
+    spark.createDataFrame([], schema).write.parquet(folder)
+    ends = spark.readStream.schema(schema).parquet(folder)
+    stream = make(events.withColumn(ts, F.col(ts).cast("timestamp")).unionByName(ends))
+    drain(stream, name, out=out)
+    row = [F.expr("timestamp'2200-01-01 00:00:00'").alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).write.mode("append").parquet(folder)
+    return drain(stream, name, out=out)
+
+
 def encode_decode(rows: DataFrame, model: Model) -> DataFrame:
     """Look-up products of arriving rows; stateless, the model is part of the plan."""
     return lut.decode_lut(encode_tree(matrix(rows), model), model.lut(), model.codes)
 
 
-def capture(rows: DataFrame, folder: str, batch: str, row_id: str, quota: int) -> None:
-    """Sample each micro-batch into its own partition; a repeated batch overwrites itself."""
+def capture(rows: DataFrame, folder: str, batch: str, row_id: str, quota: int) -> DataFrame:
+    """At most `quota` rows of each `batch` value over the whole stream: those that `capture_sample` takes of a table.
+
+    After each micro-batch the folder has the sample of all rows so far, made from the one
+    before it and the new rows' own, as least hashes of least hashes are least hashes of
+    all. A micro-batch that is run again makes its sample again from the same two.
+    """
+    spark = rows.sparkSession
+
+    def snapshots(below: int) -> list[int]:
+        found = tables.folders(spark, f"{folder}/samples")
+        return sorted(n for n in (int(x.removeprefix("after=")) for x in found if x.startswith("after=")) if n < below)
 
     def put(df: DataFrame, batch_id: int) -> None:
-        runs.capture_sample(df, batch, row_id, quota).write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
+        before = snapshots(batch_id)
+        sample = runs.capture_sample(df, batch, row_id, quota)
+        if before:
+            sample = sample.unionByName(spark.read.schema(df.schema).parquet(f"{folder}/samples/after={before[-1]}"))
+        runs.capture_sample(sample, batch, row_id, quota).write.mode("overwrite").parquet(f"{folder}/samples/after={batch_id}")
+        for old in before[:-1]:
+            tables.delete(spark, f"{folder}/samples/after={old}")
 
     rows.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).start().awaitTermination()
+    last = snapshots(2**63)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/samples/after={last[-1]}") if last else spark.createDataFrame([], rows.schema)
 
 
 def error_sums(pairs: DataFrame, key: str) -> DataFrame:
@@ -65,28 +103,45 @@ def error_report(sums: DataFrame) -> DataFrame:
     return sums.withColumns({"mae": F.col("abs") / F.col("n"), "mse": F.col("sq") / F.col("n"), "scaled_error": F.when(span != 0, 2 * F.col("abs") / F.col("n") / span), "scaled_shift": F.when(span != 0, 2 * F.col("e") / F.col("n") / span)}).drop("abs", "sq", "e", "lo", "hi")
 
 
-def smoothed(events: DataFrame, key: str, order: str, value: str, window: int = 20) -> DataFrame:
-    """Mean of the last `window` values and of all so far, for each arriving value.
+def smoothed(events: DataFrame, key: str, order: str, value: str, window: int = 20, ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """Mean of the last `window` values and of all so far, for each value, in order of the sequence numbers.
 
-    State is `window` values, a sum and a count a key. A micro-batch is put in order
-    by its sequence numbers first, so its size (`FILES` a trigger) bounds the memory; what
-    a key keeps between them is the state alone.
+    Rows may come out of order by up to `late` of their time, whatever micro-batches they
+    come in: a key's rows wait in its state until the watermark has passed their time, and
+    leave in order of `order`, which must not run against the time. Later ones are dropped. State
+    is what waits, `window` values, a sum and a count a key. Null values are passed
+    over by the means and not counted; rows without a sequence number only move the watermark.
     """
     schema = f"{key} string, {order} long, avg double, global_avg double, n long"
+    held_by = "orders array<long>, millis array<long>, waiting array<double>, held array<double>, total double, n long"
 
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, total, n = state.get if state.exists else ([], 0.0, 0)
-        held = list(held)
-        rows = pd.concat(list(chunks)).sort_values(order)
-        out = []
-        for o, v in zip(rows[order], rows[value]):
-            held = (held + [float(v)])[-window:]
-            total, n = total + float(v), n + 1
-            out.append((k[0], int(o), sum(held) / len(held), total / n, n))
-        state.update((held, total, n))
+        orders, millis, waiting, held, total, n = state.get if state.exists else ([], [], [], [], 0.0, 0)
+        fresh = pd.concat(list(chunks)) if not state.hasTimedOut else pd.DataFrame({order: [], "_ms": [], value: []})
+        fresh = fresh[fresh[order].notna()]
+        o = np.concatenate([np.asarray(orders, np.int64), fresh[order].to_numpy(np.int64)])
+        t = np.concatenate([np.asarray(millis, np.int64), fresh["_ms"].to_numpy(np.int64)])
+        v = np.concatenate([np.asarray([np.nan if x is None else x for x in waiting], np.float64), fresh[value].to_numpy(np.float64)])
+        by = np.argsort(o, kind="stable")
+        o, t, v = o[by], t[by], v[by]
+        passed = state.getCurrentWatermarkMs()
+        early = np.flatnonzero(t > passed)
+        upto = int(early[0]) if len(early) else len(o)
+        held, out = list(held), []
+        for at, x in zip(o[:upto].tolist(), v[:upto].tolist()):
+            held = [*held, x][-window:]
+            own = [y for y in held if y is not None and y == y]
+            if x == x:
+                total, n = total + x, n + 1
+            out.append((k[0], at, sum(own) / len(own) if own else None, total / n if n else None, n))
+        if len(o) or state.exists:
+            state.update((o[upto:].tolist(), t[upto:].tolist(), v[upto:].tolist(), held, total, n))
+            if upto < len(o):
+                state.setTimeoutTimestamp(max(int(t[upto:].min()), passed + 1))
         yield pd.DataFrame(out, columns=[key, order, "avg", "global_avg", "n"])
 
-    return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "held array<double>, total double, n long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return timed.select(key, order, value, ts, F.unix_millis(ts).alias("_ms")).groupBy(key).applyInPandasWithState(step, schema, held_by, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def throughput(events: DataFrame, ts: str = "ts", every: str = "1 hour", late: str = "2 hours") -> DataFrame:
