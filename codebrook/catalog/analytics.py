@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import encode, fit, lut, metrics
+from ..operators import encode, fit, lut, metrics, scan
 from ..plans import layout
 from .base import C, CODES, GOLD, K, OUTPUTS, PROTO, RESID, cells, coded, codes, lut_table, query, r4, read, residuals, rounded
 
@@ -112,6 +112,15 @@ def rel_error_histogram(spark, d):
     return rounded(metrics.rel_error_histogram(o), "upper_edge")
 
 
+_SHARES = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("quantiles_by_key", f"WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, {_SHARES}) AS q FROM orders GROUP BY 1), v AS (SELECT o_orderpriority, unnest({_SHARES}::DOUBLE[]) AS share, unnest(q) AS value FROM q) SELECT o_orderpriority, share, round(value, 4) AS value FROM v")
+def quantiles_by_key(spark, d):
+    """Five exact quantiles of every order priority, narrowed down together."""
+    return rounded(scan.quantiles_by(read(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", _SHARES, bins=64, most=500), "value")
+
+
 @query("trimmed_range", "WITH p AS (SELECT quantile_cont(o_totalprice, 0.05) AS lo, quantile_cont(o_totalprice, 0.95) AS hi FROM orders) SELECT o_orderpriority, count(*) AS n, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high FROM orders, p WHERE o_totalprice BETWEEN lo AND hi GROUP BY o_orderpriority")
 def trimmed_range(spark, d):
     kept = metrics.trimmed_range(read(spark, d, "orders"), "o_totalprice")

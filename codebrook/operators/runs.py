@@ -11,21 +11,25 @@ from . import scan
 
 
 def smoothed_metric(series: DataFrame, keys: list[str], order: list[str], value: str = "value", window: int = 20, weight: str | None = None) -> DataFrame:
-    """Median (lower of two), mean, max and last of a sliding window, and the running mean."""
+    """Median (lower of two), mean, max and last of a sliding window, and the running mean.
+
+    A null value takes a place in the window, and is passed over by all but `last`.
+    """
     rows = scan.parted(series, keys, order)
-    n = F.col(weight) if weight else F.lit(1)
+    n = F.when(F.col(value).isNotNull(), F.col(weight) if weight else F.lit(1))
     rows = scan.sums_before(scan.last_values(rows, keys, order, value, window, "_held"), keys, {"_s": F.col(value) * n, "_n": n})
-    w, held = scan.local(keys, order), F.array_sort("_held")
-    zero = F.lit(0).cast("double")
+    w, there = scan.local(keys, order), F.filter("_held", lambda v: v.isNotNull())
+    held, zero = F.array_sort(there), F.lit(0).cast("double")
+    so_far = lambda before, own: F.coalesce(F.col(before), F.lit(0)) + F.coalesce(F.sum(own).over(w), F.lit(0))
     return rows.select(
         *keys, *order, F.get(held, F.floor((F.size(held) - 1) / 2).cast("int")).alias("median"),
-        (F.aggregate("_held", zero, lambda a, x: a + x) / F.size("_held")).alias("avg"), F.array_max("_held").alias("max"), F.col(value).alias("last"),
-        ((F.col("_s") + F.sum(F.col(value) * n).over(w)) / (F.col("_n") + F.sum(n).over(w))).alias("global_avg"),
+        F.when(F.size(there) > 0, F.aggregate(there, zero, lambda a, x: a + x) / F.size(there)).alias("avg"), F.array_max(there).alias("max"), F.col(value).alias("last"),
+        F.try_divide(so_far("_s", F.col(value) * n), so_far("_n", n)).alias("global_avg"),
     )
 
 
 def ema(series: DataFrame, keys: list[str], order: list[str], value: str = "value", decay: float = 0.9) -> DataFrame:
-    """Exponential moving average of all values so far, started by the first one."""
+    """Exponential moving average of all values so far, started by the first one; a null leaves it as it is."""
     return scan.decayed(series, keys, order, value, decay, "ema")
 
 
