@@ -138,7 +138,8 @@ def smoothed(events: DataFrame, key: str, order: str, value: str, window: int =
             state.update((o[upto:].tolist(), t[upto:].tolist(), v[upto:].tolist(), held, total, n))
             if upto < len(o):
                 state.setTimeoutTimestamp(max(int(t[upto:].min()), passed + 1))
-        yield pd.DataFrame(out, columns=[key, order, "avg", "global_avg", "n"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, order, "avg", "global_avg", "n"])
 
     timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return timed.select(key, order, value, ts, F.unix_millis(ts).alias("_ms")).groupBy(key).applyInPandasWithState(step, schema, held_by, "append", GroupStateTimeout.EventTimeTimeout)
