@@ -8,8 +8,10 @@ words apart in one document, the doubled window is that document's text and keep
 class; only other pairs are grouped anew. Doubling ends when no such pair is left: what remains
 then repeats as far as its runs reach.
 
-What is removed is the union of the repeated runs of all levels: the long ones from the
-doubled windows, and from each level below what did not repeat at twice the length.
+What is removed is the union of the runs of all levels. A level keeps only what did not double: a
+place that a window of twice the length covers, with a first place in an earlier
+document as well, is that level's. So long repeats come from the doubled windows, and
+from each level below what did not repeat at twice the length.
 
 Scale: first occurrences are found in three steps. A slice of documents sends each
 distinct hash for one document only; windows that are met in several documents are kept
@@ -288,8 +290,39 @@ def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
     return dealt(found, ranges).mapInArrow(gather, f"{BY_DOC}, {ENTRIES}")
 
 
+def undoubled(state: DataFrame, length: int, above: DataFrame) -> DataFrame:
+    """(doc_id, runs): the places of windows of `length` that no doubled window with an earlier document's class covers.
+
+    Places whose class is no earlier document's go as well.
+    """
+    run = "array<struct<start: int, n: int, step: int, first_doc: long, first_start: int>>"
+    none = F.array().cast(run)
+    both = state.select("doc_id", "runs", none.alias("above")).unionByName(above.select("doc_id", none.alias("runs"), F.col("runs").alias("above")))
+    both = both.select("doc_id", *(F.filter(c, lambda r: r["first_doc"] < F.col("doc_id")).alias(c) for c in ("runs", "above")))
+    both = both.where("size(runs) + size(above) > 0").groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "above")))
+    alone = both.where("size(runs) > 0 AND size(above) = 0").select("doc_id", "runs")
+
+    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches, 200):
+            out = []
+            for doc, own, more in zip(*(c.to_pylist() for c in batch.columns)):
+                s, n, t, d, fs = (np.array([x[k] for x in own], np.int64) for k in ("start", "n", "step", "first_doc", "first_start"))
+                pos, first_pos, of = places(s, n, t, fs)
+                starts = np.array(sorted((x["start"], x["start"] + x["n"]) for x in more), np.int64)
+                # doubled windows that start between pos - length and pos
+                upto = np.maximum.accumulate(starts[:, 1])
+                k = np.searchsorted(starts[:, 0], pos, "right") - 1
+                left = np.flatnonzero((k < 0) | (upto[np.maximum(k, 0)] - 1 < pos - length))
+                left = left[np.argsort(pos[left], kind="stable")]
+                out.append(runs(np.full(len(left), doc), pos[left], d[of[left]], first_pos[left]))
+            if out:
+                yield _by_doc([np.concatenate(c) for c in zip(*out)])
+
+    return alone.unionByName(both.where("size(runs) > 0 AND size(above) > 0").mapInArrow(trim, BY_DOC))
+
+
 def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTES) -> list[tuple[int, DataFrame]]:
-    """For each level, the window length and the kept runs of repeated places.
+    """For each level, the window length and the runs of repeated places that did not double.
 
     Each level has rows (doc_id, runs).
     """
@@ -304,7 +337,7 @@ def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTE
         entries = level.where("range IS NOT NULL").select(*ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
         # places whose class goes on in its own document repeat as far as their runs say
         if level.where("kind = 0").isEmpty():
-            return levels
+            return [*((own, undoubled(state, own, above)) for (own, state), (_, above) in zip(levels, levels[1:])), levels[-1]]
 
 
 def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:

@@ -60,3 +60,19 @@ def test_what_was_kept_goes_but_for_what_stays(spark):
         there = common._KEPT[-1]
     where = lambda p: p.removeprefix("file:")
     assert not os.path.exists(where(gone)) and os.path.exists(where(there)) and kept.count() == 7
+
+
+def test_long_repeats_are_the_doubled_windows(spark):
+    """Level 0 alone keeps what did not double: a short repeat goes with it, a long one only with the levels above."""
+    from codebrook.llm import substring_dedup
+
+    long_, short = [f"l{i}" for i in range(300)], [f"s{i}" for i in range(15)]
+    fill = lambda k, n: [f"f{k}_{i}" for i in range(n)]
+    rows = [(1, long_ + fill(1, 20) + short), (2, fill(2, 30) + long_ + fill(3, 5)), (3, short + fill(4, 40)), (4, fill(5, 9) + long_[100:160] + fill(6, 3) + short)]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    levels = substring_dedup.repeated_runs(docs)
+    of = lambda some: {r["doc_id"]: r["n_removed"] for r in substring_dedup.removed(docs, some).collect()}
+    assert of(levels) == {1: 0, 2: 300, 3: 15, 4: 75}
+    assert of(levels[:1]) == {1: 0, 2: 0, 3: 15, 4: 15}
+    assert [of([lv])[2] for lv in levels] == [0] * (len(levels) - 1) + [300]
+    assert of(levels[:3])[4] == 75 and of([levels[0]])[4] == 15
