@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encode, fit, lut, metrics, scan
+from ..operators.splits import best_splits
 from ..plans import layout
 from .base import C, CODES, GOLD, K, OUTPUTS, PROTO, RESID, cells, coded, codes, lut_table, query, r4, read, residuals, rounded
 
@@ -232,8 +233,7 @@ def rank_split_dims(spark, d):
 
 
 def splits(spark, d):
-    full = fit.cum_sse_tail(heads(spark, d), _KEYS)
-    return fit.best_split(fit.split_candidates(full, _KEYS, _ORDER), _KEYS)
+    return best_splits(fixed(spark, d), _KEYS)
 
 
 @query("best_split", f"WITH {_HEAD} SELECT c, node, dim, round(arg_min(threshold, (sse_head + sse_tail, x, row_id)), 4) AS threshold, min(sse_head + sse_tail)::DOUBLE AS loss FROM lo GROUP BY c, node, dim")

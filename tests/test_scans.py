@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codebrook.operators import metrics, runs, scan
+from codebrook.operators import fit, metrics, runs, scan, splits
 
 
 @pytest.fixture
@@ -74,3 +74,21 @@ def test_an_infinite_value_ends(spark):
     both = df.unionByName(spark.createDataFrame([(float("-inf"),)], "v double"))
     assert scan.exact_quantiles(both, "v", [0.0, 0.5], bins=8, most=50) == [float("-inf"), 99.5]
     assert metrics.trimmed_range(both, "v").count() > 150
+
+
+def test_best_cuts_are_those_of_the_row_level_form(spark, parts):
+    """Two passes against all cuts listed row by row: whole numbers large enough to leave 64 bits, ties, one value alone."""
+    parts(5)
+    rng = np.random.default_rng(19)
+    values = {0: rng.integers(0, 6, 300), 1: rng.integers(-(10**10), 10**10, 200), 2: np.full(30, 7), 3: np.array([5]), 4: rng.integers(0, 10**7, 400)}
+    rows = [(k % 2, k, i, int(v)) for k, x in values.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "c int, node int, row_id long, x long")
+    keys, order = ["c", "node"], ["x", "row_id"]
+    for cells in (df, df.where("node <> 1").withColumn("x", F.col("x").cast("double"))):
+        full = fit.split_candidates(fit.cum_sse_tail(fit.cum_sse_head(cells, keys, order), keys), keys, order)
+        want = {(r["c"], r["node"]): (r["threshold"], r["loss"]) for r in fit.best_split(full, keys).collect()}
+        got = {(r["c"], r["node"]): (r["threshold"], r["loss"]) for r in splits.best_splits(cells, keys).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == want[k] or (cells is not df and abs(got[k][1] - want[k][1]) <= 1e-9 * abs(want[k][1]))
+    assert splits.best_splits(df.limit(0), keys).count() == 0
