@@ -164,6 +164,14 @@ def pq_kmeans_oversampled(spark, d):
     return rounded(spark.createDataFrame(out, "start string, seed int, inertia double"), "inertia")
 
 
+@query("pq_kmeans_bounded")
+def pq_kmeans_bounded(spark, d):
+    """Share of all distances that each round takes when rows carry bounds: two codebooks of 32 columns and 64 codes."""
+    _, inertia, report = fit.kmeans_bounded(matrix(spark, d), D, 2, 64, rounds=5)
+    out = [(step, n, taken, round(taken / (n * 2 * 64), 4), round(inertia, 4)) for step, n, taken in report]
+    return spark.createDataFrame(out, "round int, n_rows long, distances long, share double, last_inertia double")
+
+
 @query("pq_refit_codebook")
 def pq_refit_codebook(spark, d):
     m = matrix(spark, d)

@@ -377,6 +377,12 @@ def kmeans_fit(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int
     return min(found.items(), key=lambda x: (x[1][1], x[0]))[1]
 
 
+def kmeans_bounded(m: DataFrame, dims: int, codebooks: int, k: int = 16, rounds: int = 10, seed: int = 0) -> tuple[list[list[list[float]]], float, list[tuple[int, int, int]]]:
+    """`kmeans_fit` with distance bounds that rows carry between rounds, and (round, rows, distances taken): for many codes."""
+    rows = _usable(m, dims).select(F.col("row_id").cast("long").alias("row_id"), "features")
+    return kmeans.kmeans_bounded(rows, bounds(dims, codebooks), k, rounds, seed)
+
+
 def refit_codebook(m: DataFrame, centroids: list, codebook: int, dims: int, **options) -> list:
     """One codebook learned anew, the others as they are."""
     fresh, _ = kmeans_fit(m, dims, len(centroids), len(centroids[0]), only=[codebook], **options)

@@ -21,6 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import forget
+from . import scan
+
 Centroids = list[list[np.ndarray]]  # [restart][codebook], each codes x width
 _CELLS = 1 << 22
 
@@ -172,3 +175,113 @@ def kmeans_many(rows: DataFrame, layout: list[tuple[int, int]], k: int, rounds:
             most = max(found, key=lambda j: (found[j][0], -j))
             state[r][c] = np.array([found[j][1] if j in found else found[most][1] * (1 + 1e-3 * (1 + j)) for j in range(k)])
     return {seed: ([book.tolist() for book in state[r]], inertia[r]) for r, seed in enumerate(seeds)}
+
+
+def _half_gaps(centroids: np.ndarray) -> np.ndarray:
+    """Half the distance from each centroid to the nearest other one."""
+    d = np.sqrt(((centroids[:, None] - centroids[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return d.min(1) / 2
+
+
+def pruned_nearest(sub: np.ndarray, centroids: np.ndarray, code: np.ndarray, upper: np.ndarray, lower: np.ndarray, moved: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """New codes, bounds and how many distances each row took.
+
+    `upper` bounds the distance to the row's own centroid, `lower` that to all others; both
+    held before the centroids moved by `moved`. A row keeps its code where its upper
+    bound is under its lower one, or under half the way to the next centroid; else its own
+    distance is taken, and all others only if that does not settle it.
+    """
+    far = np.sort(moved)[::-1]
+    largest = np.where(moved[code] == far[0], far[min(1, len(far) - 1)], far[0]) if (moved == far[0]).sum() == 1 else np.full(len(code), far[0])
+    upper, lower = upper + moved[code], lower - largest
+    gap = _half_gaps(centroids)
+    # a little apart, so that rounding and equal distances are settled by the distances
+    settled = lambda at: upper[at] < np.maximum(gap[code[at]], lower[at]) * (1 - 1e-9) - 1e-12
+    taken = np.zeros(len(sub), np.int64)
+    at = np.flatnonzero(~settled(slice(None)))
+    upper[at] = np.sqrt(((sub[at] - centroids[code[at]]) ** 2).sum(1))
+    taken[at] = 1
+    at = at[~settled(at)]
+    code = code.copy()
+    code[at], upper[at], lower[at] = two_nearest(sub[at], centroids)
+    taken[at] += len(centroids)
+    return code, upper, lower, taken
+
+
+def two_nearest(sub: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's nearest centroid, its distance and that of the next one."""
+    code, upper, lower = np.empty(len(sub), np.int64), np.empty(len(sub)), np.full(len(sub), np.inf)
+    step = max(1, _CELLS // max(centroids.size, 1))
+    for at in range(0, len(sub), step):
+        d = ((sub[at : at + step, None] - centroids[None]) ** 2).sum(2)
+        code[at : at + step] = d.argmin(1)
+        if d.shape[1] > 1:
+            d = np.partition(d, 1, axis=1)
+            lower[at : at + step] = np.sqrt(d[:, 1])
+        upper[at : at + step] = np.sqrt(d[:, 0] if d.shape[1] > 1 else d.min(1))
+    return code, upper, lower
+
+
+_BOUNDED = "row_id long, features array<double>, code array<int>, upper array<double>, lower array<double>, distances long"
+
+
+def bounded_codes(rows: DataFrame, layout: list[tuple[int, int]], centroids: list[np.ndarray], before: list[np.ndarray] | None = None) -> DataFrame:
+    """Rows with their nearest codes, bounds, and the distances taken for them.
+
+    Without `before`, `rows` has (row_id, features) and all distances are taken. Else it is the result for
+    the centroids `before`, whose bounds spare most of them where centroids move little.
+    """
+    dims, size = layout[-1][1], len(layout)
+    shared = rows.sparkSession.sparkContext.broadcast((centroids, before))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, old = shared.value
+        for batch in batches:
+            x = _features(batch, dims)
+            if old is not None:
+                code, upper, lower = (pc.list_flatten(batch.column(i)).to_numpy(zero_copy_only=False).reshape(-1, size) for i in (2, 3, 4))
+            out, taken = [], np.zeros(len(x), np.int64)
+            for c, (a, b) in enumerate(layout):
+                sub = x[:, a:b]
+                if old is None:
+                    own, many = two_nearest(sub, now[c]), np.full(len(x), len(now[c]))
+                else:
+                    moved = np.sqrt(((now[c] - old[c]) ** 2).sum(1))
+                    *own, many = pruned_nearest(sub, now[c], code[:, c].astype(np.int64), upper[:, c].copy(), lower[:, c].copy(), moved)
+                out.append(own)
+                taken += many
+            ends = pa.array(np.arange(len(x) + 1) * size, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.stack([o[i] for o in out], 1).ravel(), t)) for i, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(taken)], [f.split()[0] for f in _BOUNDED.split(", ")])
+
+    return rows.mapInArrow(assign, _BOUNDED)
+
+
+def kmeans_bounded(rows: DataFrame, layout: list[tuple[int, int]], k: int, rounds: int, seed: int) -> tuple[list, float, list[tuple[int, int, int]]]:
+    """One seed's centroids and inertia as `kmeans_many` finds them, and (round, rows, distances taken).
+
+    For many codes a codebook: rows carry their codes and bounds from round to round in
+    the shared folder, so a round reads and writes them, and takes few distances.
+    """
+    start = hashed_starts(rows, layout, k, [seed])
+    if not start:
+        return [[[0.0] * (b - a) for _ in range(k)] for a, b in layout], 0.0, []
+    now, before, state, inertia, report = start[0], None, rows, 0.0, []
+    per = F.array(*(F.struct(F.lit(c).alias("c"), F.get("code", F.lit(c)).alias("k"), F.slice("features", a + 1, b - a).alias("s")) for c, (a, b) in enumerate(layout)))
+    wide = max(b - a for a, b in layout)
+    for step in range(rounds):
+        last, state = state, scan.keep(bounded_codes(state, layout, now, before))
+        if step:
+            forget(last)
+        count, taken = state.agg(F.count("*"), F.coalesce(F.sum("distances"), F.lit(0))).first()
+        report.append((step, count, taken))
+        square = F.aggregate("s", F.lit(0.0), lambda t, v: t + v * v)
+        sums = state.select(F.explode(per).alias("p")).select("p.*").groupBy("c", "k").agg(F.count("*").alias("n"), F.sum(square).alias("q"), F.array(*(F.sum(F.get("s", F.lit(i))) for i in range(wide))).alias("s")).collect()
+        before, now, inertia = now, [], 0.0
+        for c, (a, b) in enumerate(layout):
+            found = {r["k"]: (r["n"], np.array(r["s"][: b - a]) / r["n"]) for r in sums if r["c"] == c}
+            inertia += sum(r["q"] - r["n"] * float(found[r["k"]][1] @ found[r["k"]][1]) for r in sorted(sums, key=lambda r: r["k"]) if r["c"] == c)
+            most = max(found, key=lambda j: (found[j][0], -j))
+            now.append(np.array([found[j][1] if j in found else found[most][1] * (1 + 1e-3 * (1 + j)) for j in range(k)]))
+    return [book.tolist() for book in now], inertia, report

@@ -52,6 +52,11 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(kept: DataFrame) -> None:
+    """Delete what `keep` wrote; nothing may read it any more."""
+    delete(kept.sparkSession, kept._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+
+
 def _partitioned(df: DataFrame, layer: str, c: int, k: int) -> DataFrame:
     return df.select(F.lit(layer).alias("layer"), F.lit(c).alias("n_codebooks"), F.lit(k).alias("n_codes"), *df.columns)
 

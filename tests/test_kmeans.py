@@ -76,3 +76,32 @@ def test_few_different_rows(spark):
     (centroids, inertia), = fit.kmeans_many(m, 2, 1, k=4, rounds=2, start="oversampled").values()
     assert inertia < 1e-9 and np.shape(centroids[0]) == (4, 2)
     assert fit.kmeans_many(m.limit(0), 2, 1, k=4, start="oversampled") == {0: ([[[0.0, 0.0]] * 4], 0.0)}
+
+
+def test_bounds_spare_distances_and_change_nothing(spark):
+    """The same codes, centroids and inertia as with all distances, ties among them; later rounds take fewer."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([clustered(rng, 600, 8, 6), np.round(rng.normal(size=(100, 6)))])
+    m = table(spark, x)
+    centroids, inertia, report = fit.kmeans_bounded(m, 6, 2, k=8, rounds=5, seed=3)
+    want, whole = fit.kmeans_fit(m, 6, 2, k=8, rounds=5, seed=3)
+    assert all(np.allclose(a, b) for a, b in zip(centroids, want)) and abs(inertia - whole) < 1e-6 * whole
+    taken = [t for _, n, t in report]
+    assert taken[0] == 700 * 16 and taken[-1] < 0.5 * taken[0]
+    assert fit.kmeans_bounded(m.limit(0), 6, 2, k=8) == ([[[0.0] * 3] * 8] * 2, 0.0, [])
+
+
+def test_pruned_codes_are_the_nearest():
+    rng = np.random.default_rng(13)
+    sub = np.vstack([rng.normal(size=(400, 3)), np.round(rng.normal(size=(200, 3)) * 2) / 2])
+    old = np.round(rng.normal(size=(12, 3)) * 2) / 2
+    code, upper, lower = kmeans.two_nearest(sub, old)
+    for scale in (0.0, 0.01, 0.3):
+        new = old + rng.normal(size=old.shape) * scale
+        moved = np.sqrt(((new - old) ** 2).sum(1))
+        got, up, low, taken = kmeans.pruned_nearest(sub, new, code, upper.copy(), lower.copy(), moved)
+        d = np.sqrt(((sub[:, None] - new[None]) ** 2).sum(2))
+        assert (got == ((sub[:, None] - new[None]) ** 2).sum(2).argmin(1)).all()
+        assert (up >= d[np.arange(600), got] - 1e-9).all() and (low <= np.sort(d, 1)[:, 1] + 1e-9).all()
+        old, code, upper, lower = new, got, up, low
+    assert kmeans.two_nearest(sub, old[:1])[0].max() == 0
