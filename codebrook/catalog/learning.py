@@ -110,6 +110,16 @@ def approx_conv2d_kn2col(spark, d):
     return rounded(api.approx_conv2d(m, m, _KERNELS, 4, 4, 3, 2, padding=1, channels=4, bias=[0.1, -0.1], loop="kn2col"), "v")
 
 
+@query("approx_conv2d_dilated")
+def approx_conv2d_dilated(spark, d):
+    """The same pictures, with kernels whose values lie two apart, in both loop orders."""
+    m, out = matrix(spark, d), None
+    for loop, codebooks, more in (("im2col", 6, {"ridge": False}), ("kn2col", 2, {})):
+        y = api.approx_conv2d(m, m, _KERNELS, 4, 4, 3, codebooks, padding=2, channels=4, loop=loop, dilation=2, **more).withColumn("loop", F.lit(loop))
+        out = y if out is None else out.unionByName(y)
+    return rounded(out, "v")
+
+
 @query("fit_many")
 def fit_many(spark, d):
     """Thresholds of two layers' trees, of those configurations that are not done."""

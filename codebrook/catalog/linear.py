@@ -333,13 +333,12 @@ def fake_quantized_product(spark, d):
     m = matrix(spark, d)
     top = m.agg(F.max(F.array_max(F.transform("features", F.abs))).alias("t")).first()["t"]
     weights = [list(r) for r in GOLD.weights]
-    out = None
-    for bits in (4, 7, 8, 32):
-        q = lut.fake_quantized_product(m, weights, bits, top)
-        both = q.select("row_id", F.posexplode("y").alias("m", "q")).join(lut.matmul_arrays(m, weights).select("row_id", F.posexplode("y").alias("m", "y")), ["row_id", "m"])
-        row = both.agg(r4(F.avg(F.abs(F.col("q") - F.col("y")))).alias("mae")).select(F.lit(bits).alias("bits"), "mae")
-        out = row if out is None else out.unionByName(row)
-    return out
+    # both products are arrays of one row: each width's error is taken there
+    y = lut.products(F.col("features"), weights)
+    q = {bits: lut.fake_quantized(F.col("features"), weights, bits, top) for bits in (4, 7, 8, 32)}
+    off = F.array(*(F.struct(F.lit(bits).alias("bits"), F.zip_with(v, "y", lambda a, b: F.abs(a - b)).alias("e")) for bits, v in q.items()))
+    each = m.withColumn("y", y).select(F.explode(off).alias("o")).select("o.bits", F.explode("o.e").alias("e"))
+    return each.groupBy("bits").agg(r4(F.avg("e")).alias("mae"))
 
 
 @query("dequantize", "SELECT l_linenumber, round(avg((l_quantity - 25.0) / 0.5), 4) AS v FROM lineitem GROUP BY l_linenumber")

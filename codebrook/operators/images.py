@@ -39,14 +39,14 @@ def im2col(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1,
     return spots.select(F.col("row_id").alias("img_id"), "oy", "ox", pos.alias("pos"), F.when(inside, F.get("features", F.col("ch") * (height * width) + y * width + x)).otherwise(0.0).alias("v"))
 
 
-def patch_rows(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, channels: int = 1) -> DataFrame:
+def patch_rows(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, channels: int = 1, dilation: int = 1) -> DataFrame:
     """(row_id, features): one row a patch, numbered img_id * places + place; arrays made in the row, without a shuffle."""
-    oh, ow = out_size(height, kernel, stride, padding), out_size(width, kernel, stride, padding)
+    oh, ow = (out_size(s, kernel, stride, padding, dilation) for s in (height, width))
     spots = m.select("row_id", "features", F.explode(_grid(oh, ow, "oy", "ox")).alias("o"))
     grid = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(i).alias("ky"), F.lit(j).alias("kx")) for c in range(channels) for i in range(kernel) for j in range(kernel)))
 
     def value(k):
-        y, x = F.col("o.oy") * stride + k["ky"] - padding, F.col("o.ox") * stride + k["kx"] - padding
+        y, x = F.col("o.oy") * stride + k["ky"] * dilation - padding, F.col("o.ox") * stride + k["kx"] * dilation - padding
         inside = y.between(0, height - 1) & x.between(0, width - 1)
         return F.when(inside, F.get("features", k["c"] * (height * width) + y * width + x)).otherwise(0.0)
 

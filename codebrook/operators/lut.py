@@ -210,13 +210,18 @@ def decode_arrow_quantized(coded: DataFrame, lut: list[list[float]], codes: int
     return decode_arrow(coded, q, codes).select("row_id", F.transform("y", lambda s: s / scale + shift).alias("y"))
 
 
-def fake_quantized_product(m: DataFrame, weights: list[list[float]], bits: int, x_top: float) -> DataFrame:
-    """(row_id, y): the exact product of features and weights that are both quantized to `bits`."""
+def fake_quantized(features: Column, weights: list[list[float]], bits: int, x_top: float) -> Column:
+    """The products of a row's features and weights that are both quantized to `bits`."""
     top = 2.0 ** (bits - 1) - 1
     w_top = max(abs(v) for row in weights for v in row) or 1.0
     own = [[float(np.clip(np.rint(v / (w_top / top)), -top - 1, top) * (w_top / top)) for v in row] for row in weights]
     scale = F.lit((x_top or 1.0) / top)
-    return matmul_arrays(m.withColumn("features", F.transform("features", lambda x: fake_quantize(x, scale, bits))), own)
+    return products(F.transform(features, lambda x: fake_quantize(x, scale, bits)), own)
+
+
+def fake_quantized_product(m: DataFrame, weights: list[list[float]], bits: int, x_top: float) -> DataFrame:
+    """(row_id, y): the exact product of features and weights that are both quantized to `bits`."""
+    return m.select("row_id", fake_quantized(F.col("features"), weights, bits, x_top).alias("y"))
 
 
 def fake_quantize(x: Column, scale: Column, bits: int) -> Column:
@@ -234,7 +239,12 @@ def matmul_exact(cells: DataFrame, weights: DataFrame) -> DataFrame:
     return cells.join(small(weights), "dim").groupBy("row_id", "m").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
 
 
+def products(features: Column | str, weights: list[list[float]]) -> Column:
+    """The array of a row's products with each row of weights."""
+    dot = lambda row: F.aggregate(F.zip_with(features, F.array(*(F.lit(float(v)) for v in row)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*map(dot, weights))
+
+
 def matmul_arrays(m: DataFrame, weights: list[list[float]]) -> DataFrame:
     """(row_id, y): the exact product of each row in place, without a shuffle."""
-    dot = lambda row: F.aggregate(F.zip_with("features", F.array(*(F.lit(float(v)) for v in row)), lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
-    return m.select("row_id", F.array(*map(dot, weights)).alias("y"))
+    return m.select("row_id", products("features", weights).alias("y"))

@@ -56,30 +56,29 @@ def approx_linear(train: DataFrame, rows: DataFrame, weights: list[list[float]],
     return with_bias(approx_matmul(train, rows, weights, dims, codebooks, **options), bias)
 
 
-def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]], height: int, width: int, kernel: int, codebooks: int, stride: int = 1, padding: int = 0, channels: int = 1, bias: list[float] | None = None, loop: str = "im2col", **options) -> DataFrame:
+def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]], height: int, width: int, kernel: int, codebooks: int, stride: int = 1, padding: int = 0, channels: int = 1, bias: list[float] | None = None, loop: str = "im2col", dilation: int = 1, **options) -> DataFrame:
     """(img_id, ch, y, x, v): a look-up convolution of pictures, folded back to pictures.
 
-    A kernel is flat, channel by channel. With loop "im2col" one model answers whole
-    patches; with "kn2col" each place of the kernel has a model of its own over the
-    channels, learned and answered on shifted pictures, and the places' products add up.
+    A kernel is flat, channel by channel; its values lie `dilation` apart in the picture.
+    With loop "im2col" one model answers whole patches; with "kn2col" each place of the
+    kernel has a model of its own over the channels. These are learned together, and a patch
+    looks all of them up in one sum: pictures are read once.
     """
-    oh, ow = images.out_size(height, kernel, stride, padding), images.out_size(width, kernel, stride, padding)
-    patch = lambda m: images.patch_rows(m, height, width, kernel, stride, padding, channels)
+    oh, ow = (images.out_size(s, kernel, stride, padding, dilation) for s in (height, width))
+    patch = lambda m: images.patch_rows(m, height, width, kernel, stride, padding, channels, dilation)
     if loop == "im2col":
         y = approx_matmul(patch(train), patch(rows), kernels, channels * kernel * kernel, codebooks, **options)
     else:
         places = kernel * kernel
-        pick = lambda m, p: patch(m).withColumn("features", F.array(*(F.get("features", F.lit(c * places + p)) for c in range(channels))))  # noqa: B023, E731
-        models = fit_many({str(p): pick(train, p) for p in range(places)}, [(str(p), codebooks) for p in range(places)], channels)
-        y = None
+        shifted = F.array(*(F.struct(F.lit(str(p)).alias("layer"), F.array(*(F.get("features", F.lit(c * places + p)) for c in range(channels))).alias("features")) for p in range(places)))
+        learned = patch(train).select("row_id", F.explode(shifted).alias("s")).select("row_id", "s.*")
+        models = fit_many(learned, [(str(p), codebooks) for p in range(places)], channels)
+        spots, table = [], [[] for _ in kernels]
         for p in range(places):
             model = fit.with_weights(models[str(p), codebooks], [[row[c * places + p] for c in range(channels)] for row in kernels])
-            codes = codes_of(model)
-            own = patch(rows).select("row_id", F.transform(F.array(*(F.get("features", F.lit(c * places + p)) for c in range(channels))), lambda v: v).alias("features")).select("row_id", codes.alias("codes"))
-            part = lut.decode_arrow(own, model.lut(), model.codes)
-            y = part if y is None else y.unionByName(part)
-        sums = F.array(*(F.sum(F.get("y", F.lit(m))) for m in range(len(kernels))))
-        y = y.groupBy("row_id").agg(sums.alias("y"))
+            spots += [tree_code(F.col("features"), [d * places + p for d in dims], t) for dims, t in zip(model.dims, model.thresholds)]
+            table = [held + more for held, more in zip(table, model.lut())]
+        y = lut.decode_arrow(patch(rows).select("row_id", F.array(*spots).alias("codes")), table, model.codes)
     long = with_bias(y, bias).select("row_id", F.posexplode("y").alias("m", "y"))
     return images.fold_output(long, oh, ow)
 

@@ -167,20 +167,21 @@ def test_products_by_look_up(spark):
     assert np.allclose([r["y"] for r in api.approx_linear(m, m, b, None, 8, 4).orderBy("row_id").collect()], want)
 
 
-@pytest.mark.parametrize("loop,kernel,stride,padding", [("kn2col", 3, 1, 1), ("kn2col", 3, 2, 1), ("kn2col", 2, 1, 0), ("im2col", 1, 1, 0)])
-def test_convolutions_of_few_values_are_exact(spark, loop, kernel, stride, padding):
+@pytest.mark.parametrize("loop,kernel,stride,padding,dilation", [("kn2col", 3, 1, 1, 1), ("kn2col", 3, 2, 1, 1), ("kn2col", 2, 1, 0, 1), ("im2col", 1, 1, 0, 1), ("kn2col", 3, 1, 2, 2), ("kn2col", 2, 2, 1, 3)])
+def test_convolutions_of_few_values_are_exact(spark, loop, kernel, stride, padding, dilation):
     """Two channels of zeros and ones a codebook: sixteen codes tell all apart, so the look-up is the product."""
     rng = np.random.default_rng(7)
     pictures = rng.integers(0, 2, (12, 4, 5, 6)).astype(float)
     kernels, bias = rng.normal(size=(2, 4, kernel, kernel)), [0.5, -1.0]
     m = table(spark, pictures.reshape(12, -1))
-    out = api.approx_conv2d(m, m, kernels.reshape(2, -1).tolist(), 5, 6, kernel, 2, stride, padding, channels=4, bias=bias, loop=loop, **({"ridge": False} if loop == "im2col" else {}))
+    out = api.approx_conv2d(m, m, kernels.reshape(2, -1).tolist(), 5, 6, kernel, 2, stride, padding, channels=4, bias=bias, loop=loop, dilation=dilation, **({"ridge": False} if loop == "im2col" else {}))
     padded = np.pad(pictures, ((0, 0), (0, 0), (padding, padding), (padding, padding)))
-    oh, ow = (5 + 2 * padding - kernel) // stride + 1, (6 + 2 * padding - kernel) // stride + 1
+    far = dilation * (kernel - 1) + 1
+    oh, ow = (5 + 2 * padding - far) // stride + 1, (6 + 2 * padding - far) // stride + 1
     want = np.zeros((12, 2, oh, ow))
     for y in range(oh):
         for z in range(ow):
-            want[:, :, y, z] = np.einsum("ncij,mcij->nm", padded[:, :, y * stride : y * stride + kernel, z * stride : z * stride + kernel], kernels)
+            want[:, :, y, z] = np.einsum("ncij,mcij->nm", padded[:, :, y * stride : y * stride + far : dilation, z * stride : z * stride + far : dilation], kernels)
     rows = out.collect()
     assert len(rows) == want.size
     for r in rows:
