@@ -93,6 +93,16 @@ def approx_linear(spark, d):
     return rounded(y.select("row_id", F.posexplode("y").alias("m", "y")), "y")
 
 
+@query("approx_linear_places")
+def approx_linear_places(spark, d):
+    """A layer over the quarters of each embedding: rows are numbered by (vec_id, place)."""
+    m = matrix(spark, d)
+    quarters = m.select(F.col("row_id").alias("vec_id"), F.posexplode(F.array(*(F.slice("features", 16 * i + 1, 16) for i in range(4)))).alias("place", "features"))
+    train = quarters.select((F.col("vec_id") * 4 + F.col("place")).alias("row_id"), "features")
+    y = api.approx_linear(train, quarters, [r[:16] for r in WEIGHTS], [0.1 * i for i in range(len(WEIGHTS))], 16, 4, lead=["vec_id", "place"], ridge=False)
+    return rounded(y.select("vec_id", "place", F.posexplode("y").alias("m", "y")), "y")
+
+
 _KERNELS = [[round(0.1 * (m + 1) * ((p % 3) - 1) + 0.03 * (p // 9), 3) for p in range(36)] for m in range(2)]
 
 
@@ -153,6 +163,12 @@ def config_sweep(spark, d):
     return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [8, 16], (0, 8, 4)), *metrics.METRICS)
 
 
+@query("config_sweep_many")
+def config_sweep_many(spark, d):
+    """Errors up to a codebook for each column."""
+    return rounded(api.config_sweep(matrix(spark, d), WEIGHTS, D, [8, 64], (0, 8)), *metrics.METRICS)
+
+
 def _centroids(spark, rows):
     return spark.createDataFrame(rows, "c int, k int, dim int, value double")
 

@@ -82,7 +82,7 @@ def decode_arrow(coded: DataFrame, lut: list[list[float]], codes: int = 16) -> D
                 lists = pa.ListArray.from_arrays(offsets, pa.array(y.ravel()), mask=pa.array(~have))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row_id", "y"])
 
-    return coded.select("row_id", "codes").mapInArrow(rows, "row_id long, y array<double>")
+    return coded.select("row_id", "codes").mapInArrow(rows, f"row_id {coded.schema['row_id'].dataType.simpleString()}, y array<double>")
 
 
 #: Rows up to which a model-sized side of a join is broadcast; beyond, both sides are shuffled.

@@ -51,9 +51,16 @@ def with_bias(y: DataFrame, bias: list[float] | None) -> DataFrame:
     return y if bias is None else y.select("row_id", F.zip_with("y", F.array(*(F.lit(float(b)) for b in bias)), lambda v, b: v + b).alias("y"))
 
 
-def approx_linear(train: DataFrame, rows: DataFrame, weights: list[list[float]], bias: list[float] | None, dims: int, codebooks: int, **options) -> DataFrame:
-    """`approx_matmul` plus a bias per output."""
-    return with_bias(approx_matmul(train, rows, weights, dims, codebooks, **options), bias)
+def approx_linear(train: DataFrame, rows: DataFrame, weights: list[list[float]], bias: list[float] | None, dims: int, codebooks: int, lead: list[str] | None = None, **options) -> DataFrame:
+    """`approx_matmul` plus a bias per output.
+
+    `lead` names the columns that number a row where it has several, as (batch, place); they
+    take the place of row_id in `rows` and in the result.
+    """
+    if not lead:
+        return with_bias(approx_matmul(train, rows, weights, dims, codebooks, **options), bias)
+    numbered = rows.select(F.struct(*lead).alias("row_id"), "features")
+    return with_bias(approx_matmul(train, numbered, weights, dims, codebooks, **options), bias).select("row_id.*", "y")
 
 
 def approx_conv2d(train: DataFrame, rows: DataFrame, kernels: list[list[float]], height: int, width: int, kernel: int, codebooks: int, stride: int = 1, padding: int = 0, channels: int = 1, bias: list[float] | None = None, loop: str = "im2col", dilation: int = 1, **options) -> DataFrame:

@@ -165,6 +165,9 @@ def test_products_by_look_up(spark):
     line = np.array([r["y"] for r in api.approx_linear(m, m, b, [1.0, -2.0, 0.5], 8, 4).orderBy("row_id").collect()])
     assert np.allclose(line, want + np.array([1.0, -2.0, 0.5]))
     assert np.allclose([r["y"] for r in api.approx_linear(m, m, b, None, 8, 4).orderBy("row_id").collect()], want)
+    places = m.select(F.floor(F.col("row_id") / 4).alias("batch"), (F.col("row_id") % 4).alias("place"), "features")
+    shaped = {(r["batch"], r["place"]): r["y"] for r in api.approx_linear(m, places, b, None, 8, 4, lead=["batch", "place"]).collect()}
+    assert len(shaped) == 400 and all(np.allclose(shaped[i // 4, i % 4], want[i]) for i in range(400))
 
 
 @pytest.mark.parametrize("loop,kernel,stride,padding,dilation", [("kn2col", 3, 1, 1, 1), ("kn2col", 3, 2, 1, 1), ("kn2col", 2, 1, 0, 1), ("im2col", 1, 1, 0, 1), ("kn2col", 3, 1, 2, 2), ("kn2col", 2, 2, 1, 3)])
