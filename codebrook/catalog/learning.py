@@ -228,7 +228,7 @@ def lut_refit(spark, d):
 def lut_refit_large(spark, d):
     """Errors of tables of 8 x 1024 codes fitted to the exact outputs, without the matrix of their equations."""
     model, m = by_rule(D, C, 10, 2), matrix(spark, d)
-    with_codes = tables.keep(encode.encode_tree(m, model))
+    with_codes = tables.keep(encode.encode_tree_arrow(m, model))
     exact = lut.matmul_exact(cells(spark, d), GOLD.weight_table(spark))
     table = fit.lut_refit(with_codes, exact, C, model.codes, penalty=1.0, tolerance=1e-8)
     y = lut.decode_arrow(with_codes, table, model.codes).select("row_id", F.posexplode("y").alias("m", "y"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +38,37 @@ def encode_tree(m: DataFrame, model: Model) -> DataFrame:
     return m.select("row_id", codes.alias("codes"))
 
 
+def encode_tree_arrow(m: DataFrame, model: Model) -> DataFrame:
+    """The same for deep trees: numpy over Arrow batches, the model broadcast instead of part of the plan.
+
+    Rows without features, of another length than the first codes need, or with a null among them, have null codes.
+    """
+    shared = m.sparkSession.sparkContext.broadcast(model)
+    width = 1 + max(d for dims in model.dims for d in dims)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        cuts = [np.asarray(t) for t in own.thresholds]
+        for batch in batches:
+            column = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+            codes, good = np.zeros((batch.num_rows, own.codebooks), np.int32), np.zeros(batch.num_rows, bool)
+            for size in np.unique(sizes[sizes >= width]).tolist():
+                at = np.flatnonzero(sizes == size)
+                flat = pc.list_flatten(column.take(pa.array(at)))
+                x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                node = np.zeros((len(at), own.codebooks), np.int64)
+                for level in range(own.depth):
+                    for c in range(own.codebooks):
+                        node[:, c] = 2 * node[:, c] + (x[:, own.dims[c][level]] > cuts[c][(1 << level) - 1 : (2 << level) - 1][node[:, c]])
+                codes[at], good[at] = node, ~np.isnan(x).any(1)
+            offsets = pa.array(np.append(0, np.cumsum(good)) * own.codebooks, pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(codes[good].ravel()), mask=pa.array(~good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["row_id", "codes"])
+
+    return m.select("row_id", "features").mapInArrow(rows, f"row_id {m.schema['row_id'].dataType.simpleString()}, codes array<int>")
+
+
 def flat_codes(codes: Column, k: int = 16) -> Column:
     """codes + c * k, the places in a flat table."""
     return F.transform(codes, lambda x, c: x + c * k)

@@ -322,3 +322,13 @@ def test_attribute_lists_carry_between_parts(spark):
     chosen, thresholds, _ = grown(x, 2, 1, 2, between)
     model = fit.tree_fit(table(spark, x), 2, 1, depth=2, exact=True)
     assert list(model.dims) == chosen and np.allclose(model.thresholds, thresholds)
+
+
+def test_deep_trees_in_arrow_batches_give_the_same_codes(spark, data):
+    m = layout.matrix(spark.read.parquet(f"{data}/embeddings.parquet")).limit(150)
+    odd = m.unionByName(spark.createDataFrame([(9000, None), (9001, [1.0, 2.0]), (9002, [None] * 64)], m.schema))
+    model = by_rule(64, 8, 5, 1)
+    want = {r["row_id"]: r["codes"] for r in encode.encode_tree(m, model).collect()}
+    got = {r["row_id"]: r["codes"] for r in encode.encode_tree_arrow(odd, model).collect()}
+    assert {i: got.pop(i) for i in (9000, 9001, 9002)} == {9000: None, 9001: None, 9002: None} and got == want
+    assert encode.encode_tree_arrow(m.limit(0), model).count() == 0
