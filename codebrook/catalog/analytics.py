@@ -122,6 +122,12 @@ def quantiles_by_key(spark, d):
     return rounded(scan.quantiles_by(read(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", _SHARES, bins=64, most=500), "value")
 
 
+@query("quantiles_of_lengths", f"WITH q AS (SELECT lang, quantile_cont(n_chars::DOUBLE, {_SHARES}) AS q FROM documents GROUP BY 1), v AS (SELECT lang, unnest({_SHARES}::DOUBLE[]) AS share, unnest(q) AS value FROM q) SELECT lang, share, round(value, 4) AS value FROM v")
+def quantiles_of_lengths(spark, d):
+    """The same of the documents' lengths by language, which hold many ties."""
+    return rounded(scan.quantiles_by(read(spark, d, "documents"), ["lang"], "n_chars", _SHARES), "value")
+
+
 @query("trimmed_range", "WITH p AS (SELECT quantile_cont(o_totalprice, 0.05) AS lo, quantile_cont(o_totalprice, 0.95) AS hi FROM orders) SELECT o_orderpriority, count(*) AS n, round(min(o_totalprice), 4) AS low, round(max(o_totalprice), 4) AS high FROM orders, p WHERE o_totalprice BETWEEN lo AND hi GROUP BY o_orderpriority")
 def trimmed_range(spark, d):
     kept = metrics.trimmed_range(read(spark, d, "orders"), "o_totalprice")
