@@ -1,18 +1,20 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased, so that punctuation and case do
-not hide a copy. A seed is a run of words of a test item that is rare: at most `FLOOR`
-documents, or `rare_share` of all, hold it, and of the items no more by the same rule.
-Each place of an item takes the shortest of `LENGTHS` words from there on that is rare.
+not hide a copy. A seed is a run of words of a test item that is rare: at most `RARE`
+documents and `RARE_ITEMS` items hold it, however large the tables are. Each place of an item takes the shortest of `LENGTHS` words from there on that is rare.
 The longest of them always are seeds, however many documents hold them, and so is the
 item as a whole where it is a document as a whole. So an item made of common short runs
 finds nothing by them, an item that was copied everywhere is found by its long runs, and
 items of fewer words than a seed are found in documents that are equal to them.
 
 Seeds join documents and items. Wherever a document holds a seed, the words around that
-diagonal are aligned with the item, in a band of at most 3 x `BAND` words, so the work is
-linear in the item's length. The score is the best local alignment over that of the item
-with itself. A pair counts from a share of the item (`score`) or from a passage of
+diagonal are aligned with the item: as far as the item is long to either side, at most
+`BAND` words. For items longer than that, diagonals with seeds that lie no further apart than
+the item's length, so that one alignment may lead from one to the other, are one band from
+the least to the largest; words inserted between seeds widen it, however many they are. A plain
+copy has one diagonal, so its work is linear in the item's length. The score is the best
+local alignment over that of the item with itself. A pair counts from a share of the item (`score`) or from a passage of
 `passage` equal words, whatever the item's length. Passages are scored more strictly: a
 word that differs or is missing costs `STRICT`, as much as two equal words give, so long
 chance alignments of common words do not add up (at most one word in three may differ).
@@ -20,7 +22,8 @@ chance alignments of common words do not add up (at most one word in three may d
 Scale: documents are read twice, once to count seeds and once for their hits, whatever
 the size of the benchmark. A Bloom filter of all seeds, of at most `FILTER_BYTES`, keeps
 nearly all windows out of the exact joins on the seed's hash; what passes is shuffled.
-Only documents with a hit travel with their text. Sides of joins are broadcast under
+Only documents with a hit travel with their text, once for each `ITEM_BYTES` of their
+candidate items' texts, so that no row holds more. Sides of joins are broadcast under
 `SMALL_ROWS` rows, which are counted, else both sides are shuffled.
 
 Edge cases: null or empty texts match nothing; an item without words matches nothing;
@@ -39,16 +42,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MARKS, hash_words, keep, mix, slices, transient, unused
 
 LENGTHS = (3, 5, 8, 13)
-SCORE, PASSAGE, RARE_SHARE, FLOOR = 0.5, 16, 0.001, 16
+SCORE, PASSAGE, RARE, RARE_ITEMS = 0.5, 16, 100, 16
 MATCH, MISMATCH, GAP, STRICT = 2, 1, 1, 4
-#: Most words of a band of diagonals, and of the room on either side of it.
+#: Most words of a step of diagonals, and of the room on either side of a band.
 BAND = 128
+#: Bytes of items' texts that travel with a document.
+ITEM_BYTES = 1 << 20
 #: Cells of alignment rows computed at once.
 CELLS = 1 << 18
 #: Bits of the filter a seed, and the largest filter that is broadcast.
@@ -174,13 +179,12 @@ def seed_counts(docs: DataFrame, filled: np.ndarray, lengths=LENGTHS) -> DataFra
     return docs.select("text").mapInArrow(count, "hash long, docs long").groupBy("hash").agg(F.sum("docs").alias("docs"))
 
 
-def rare_seeds(docs: DataFrame, seeds: DataFrame, filled: np.ndarray, items: int, rare_share: float, lengths=LENGTHS) -> DataFrame:
+def rare_seeds(docs: DataFrame, seeds: DataFrame, filled: np.ndarray, rare: int, lengths=LENGTHS) -> DataFrame:
     """The seeds (hash, item, at, size) that documents are searched for."""
-    limit = lambda n: max(float(FLOOR), rare_share * n)
     held = seeds.groupBy("hash").agg(F.count_distinct("item").alias("items")).join(seed_counts(docs, filled, lengths), "hash")
     known = seeds.where("length > 0").join(held, "hash")
-    rare = known.where((F.col("docs") <= limit(docs.count())) & (F.col("items") <= limit(items)))
-    shortest = rare.groupBy("item", "at", "size").agg(F.min(F.struct("length", "hash")).alias("s")).select("s.hash", "item", "at", "size")
+    few = known.where((F.col("docs") <= rare) & (F.col("items") <= RARE_ITEMS))
+    shortest = few.groupBy("item", "at", "size").agg(F.min(F.struct("length", "hash")).alias("s")).select("s.hash", "item", "at", "size")
     always = known.where(F.col("length") == max(lengths)).unionByName(seeds.where("length = 0"), allowMissingColumns=True)
     return shortest.unionByName(always.select("hash", "item", "at", "size")).distinct()
 
@@ -214,29 +218,42 @@ def align_band(a: np.ndarray, b: np.ndarray, mismatch: int = MISMATCH, gap: int
     return best, end
 
 
-def aligned(words: np.ndarray, items: list[np.ndarray], item: np.ndarray, band: np.ndarray, score: float, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def diagonals(size: int, bands: list[int]) -> list[tuple[int, int]]:
+    """(first diagonal, how many) to align an item of `size` words in, from the steps of diagonals with seeds."""
+    step = min(size, BAND)
+    if size <= BAND:
+        return [(k * step - step, 3 * step) for k in bands]
+    out, bands = [], sorted(bands)
+    begin = bands[0]
+    for k, after in zip(bands, [*bands[1:], None]):
+        if after is None or (after - k) * step > size:
+            out.append((begin * step - step, (k - begin + 3) * step))
+            begin = after
+    return out
+
+
+def aligned(words: np.ndarray, items: list[np.ndarray], item: np.ndarray, begin: np.ndarray, width: np.ndarray, score: float, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, score, last word) of one document's best alignment with each item that counts.
 
-    `item` and `band` say which band of which item's diagonals to look at.
+    `item`, `begin` and `width` say which diagonals of which item to look at.
     """
     size = np.array([len(x) for x in items])[item]
-    order = np.argsort(size, kind="stable")
-    item, band, size = item[order], band[order], size[order]
+    order = np.lexsort((size, width))
+    item, begin, width, size = item[order], begin[order], width[order], size[order]
     out, at = [], 0
     while at < len(item):
-        room = np.minimum(size, BAND)
-        to = at + max(1, int(CELLS // max(3 * int(room[at : at + 4096].max()), 1)))
-        # sizes only grow, so the cells of the last row bound the batch
-        while to > at + 1 and (min(to, len(item)) - at) * (3 * int(room[min(to, len(item)) - 1]) + int(size[min(to, len(item)) - 1])) > 4 * CELLS:
-            to = at + (to - at) // 2
-        own, m, r = item[at:to], size[at:to], room[at:to]
-        longest, width = int(m.max()), int(3 * r.max())
+        wide, long = (np.maximum.accumulate(x[at : at + 4096]) for x in (width, size))
+        many = np.arange(1, len(wide) + 1)
+        fit = (many * wide <= CELLS) & (many * (wide + long) <= 4 * CELLS)
+        to = at + max(1, int(fit.sum()))
+        own, m, first = item[at:to], size[at:to], begin[at:to]
+        longest, widest = int(m.max()), int(width[to - 1])
         a = np.full((len(own), longest), _U(1))
         for row, k in enumerate(own):
             a[row, : m[row]] = items[k]
-        begin = band[at:to] * r - r
-        j = begin[:, None] + np.arange(longest + width - 1)
-        inside = (j >= 0) & (j < len(words)) & (np.arange(longest + width - 1) < (m + 3 * r)[:, None])
+        span = np.arange(longest + widest - 1)
+        j = first[:, None] + span
+        inside = (j >= 0) & (j < len(words)) & (span < (m + width[at:to])[:, None])
         b = np.where(inside, words[np.clip(j, 0, max(len(words) - 1, 0))], _U(2))
         best, end = align_band(a, b)
         value = best / (MATCH * m)
@@ -247,7 +264,7 @@ def aligned(words: np.ndarray, items: list[np.ndarray], item: np.ndarray, band:
             strict, at_end = align_band(a[look], b[look], STRICT, STRICT)
             good[look] = strict >= MATCH * passage
             end[look] = at_end
-        out.append((own[good], value[good], (begin + end)[good]))
+        out.append((own[good], value[good], (first + end)[good]))
         at = to
     item, value, end = (np.concatenate(c) for c in zip(*out))
     order = np.lexsort((end, -value, item))
@@ -261,14 +278,14 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def found(docs: DataFrame, benchmark: DataFrame, score: float, rare_share: float, passage: int, lengths=LENGTHS) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, score: float, rare: int, passage: int, lengths=LENGTHS) -> DataFrame:
     """(doc_id, _text, item_id, score, last_word), `_text` a hash of the text."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct().withColumn("item", F.xxhash64("item_id", "text"))
     items = keep(items)
     seeds = keep(item_seeds(items, lengths))
     gate = seed_filter(seeds, seeds.count())
-    rare = keep(rare_seeds(docs, seeds, gate, items.count(), rare_share, lengths))
-    wanted = seed_filter(rare, rare.count())
+    chosen = keep(rare_seeds(docs, seeds, gate, rare, lengths))
+    wanted = seed_filter(chosen, chosen.count())
     shared = docs.sparkSession.sparkContext.broadcast((gate, wanted))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,9 +304,11 @@ def found(docs: DataFrame, benchmark: DataFrame, score: float, rare_share: float
     held = held.withColumn("_text", F.xxhash64("text"))
     each = held.select("doc_id", "_text", F.explode(F.arrays_zip("hash", "pos")).alias("h")).select("doc_id", "_text", "h.hash", "h.pos")
     width = F.least("size", F.lit(BAND))
-    pairs = each.join(_small(rare), "hash").select("doc_id", "_text", "item", F.floor((F.col("pos") - F.col("at")) / width).alias("band"))
+    pairs = each.join(_small(chosen), "hash").select("doc_id", "_text", "item", F.floor((F.col("pos") - F.col("at")) / width).alias("band"))
     pairs = pairs.groupBy("doc_id", "_text", "item").agg(F.collect_set("band").alias("bands")).join(_small(items), "item")
-    by_doc = pairs.groupBy("doc_id", "_text").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "bands")).alias("pairs"))
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("doc_id", "_text").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pairs = pairs.withColumn("part", F.floor(before / ITEM_BYTES))
+    by_doc = pairs.groupBy("doc_id", "_text", "part").agg(F.collect_list(F.struct("item_id", F.col("text").alias("item_text"), "bands")).alias("pairs"))
     by_doc = by_doc.withColumnsRenamed({"doc_id": "_doc", "_text": "_hash"})
     joined = held.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_hash")))
 
@@ -300,8 +319,8 @@ def found(docs: DataFrame, benchmark: DataFrame, score: float, rare_share: float
                 words, _ = hash_words(pa.array([text]), True, MARKS)
                 at, first = hash_words(pa.array([p["item_text"] for p in own], pa.string()), True, MARKS)
                 sets = [at[a:b] for a, b in zip(first, first[1:])]
-                item = np.repeat(np.arange(len(own)), [len(p["bands"]) for p in own])
-                for k, value, end in zip(*aligned(words, sets, item, np.array([b for p in own for b in p["bands"]], np.int64), score, passage)):
+                places = [(k, *d) for k, p in enumerate(own) for d in diagonals(len(sets[k]), p["bands"])]
+                for k, value, end in zip(*aligned(words, sets, *np.array(places, np.int64).T, score, passage)):
                     out.append((doc, key, own[k]["item_id"], float(value), int(end)))
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["doc_id", "_text", "item_id", "score", "last_word"])
@@ -309,15 +328,15 @@ def found(docs: DataFrame, benchmark: DataFrame, score: float, rare_share: float
     return joined.select("doc_id", "_text", "text", "pairs").mapInArrow(judge, "doc_id long, _text long, item_id long, score double, last_word long")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_share: float = RARE_SHARE, passage: int = PASSAGE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare: int = RARE, passage: int = PASSAGE) -> DataFrame:
     """Rows (doc_id, item_id, score, last_word) of documents that hold a test item's passage."""
-    return found(docs, benchmark, score, rare_share, passage).drop("_text")
+    return found(docs, benchmark, score, rare, passage).drop("_text")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare_share: float = RARE_SHARE, passage: int = PASSAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, rare: int = RARE, passage: int = PASSAGE) -> DataFrame:
     """The documents, with all their columns, that hold no test item's passage."""
     doc, text_hash = unused(docs.columns, "_doc", "_hash")
     with transient(docs.sparkSession) as stay:
-        bad = stay(found(docs, benchmark, score, rare_share, passage).select(F.col("doc_id").alias(doc), F.col("_text").alias(text_hash)).distinct())
+        bad = stay(found(docs, benchmark, score, rare, passage).select(F.col("doc_id").alias(doc), F.col("_text").alias(text_hash)).distinct())
     bad = _small(bad)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad[doc]) & (F.xxhash64(docs["text"]) == bad[text_hash]), "left_anti")

@@ -113,3 +113,37 @@ def test_band_is_the_whole_where_it_covers_it(m, n):
     best, end = d.align(a, b)
     for x, y, got, at in zip(a, b, best, end):
         assert smith_waterman(list(x), list(y), 1, 1) == got == smith_waterman(list(x), list(y[: at + 1]), 1, 1)
+
+
+@pytest.mark.parametrize("size,inserted", [(1200, (250,)), (1200, (300,)), (1200, (700,)), (700, (150, 150, 150)), (129, (60,)), (400, (0,))])
+def test_long_items_with_insertions_score_as_the_whole(spark, size, inserted):
+    """An item cut into equal parts with foreign words between them, and once more far away."""
+    rng = np.random.default_rng(size + len(inserted))
+    item, own = [f"w{i}" for i in rng.integers(0, 5000, size)], [f"v{i}" for i in rng.integers(0, 5000, 3000)]
+    parts, text, used = np.array_split(item, len(inserted) + 1), [], 0
+    for part, n in zip(parts, (*inserted, 0)):
+        text += [*part, *own[used : used + n]]
+        used += n
+    far = own[:2000] + item[: size // 4] + own[2000:] + text + own[:50]
+    rows = [(1, " ".join(text)), (2, " ".join(far))]
+    got = found(spark, rows, [(9, " ".join(item))])
+    whole = smith_waterman(item, text, d.MISMATCH, d.GAP) / (2 * size)
+    assert got == {(1, 9): round(whole, 6), (2, 9): round(whole, 6)}
+
+
+def test_rarity_does_not_follow_the_number_of_documents(spark):
+    """A seed of `rare` documents is one, of one more isn't, whatever the other documents."""
+    item = "the copper kettle boils"
+    for copies, others in ((20, 0), (20, 400), (21, 0), (21, 400), (21, 30_000)):
+        rows = [(k, f"a{k} b{k} {item} c{k} d{k}") for k in range(copies)] + [(1000 + k, f"x{k} y{k} z{k}") for k in range(others)]
+        got = {r["doc_id"] for r in d.matches(docs(spark, rows), items(spark, [(1, item)]), rare=20).collect()}
+        assert got == (set(range(copies)) if copies == 20 else set())
+
+
+def test_many_candidate_items_travel_in_parts(spark, monkeypatch):
+    bench = [(k, f"which question number{k} asks about place{k} and about year{k} in the north{k}") for k in range(40)]
+    text = " ".join(t for _, t in bench)
+    monkeypatch.setattr(d, "ITEM_BYTES", 200)
+    rows = [(1, text), (1, text), (2, "nothing of the kind"), (None, text)]
+    got = sorted((r["doc_id"] or -1, r["item_id"], r["score"]) for r in d.matches(docs(spark, rows), items(spark, bench)).collect())
+    assert got == sorted((doc, k, 1.0) for doc in (1, 1, -1) for k in range(40))
