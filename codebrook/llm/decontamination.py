@@ -181,7 +181,8 @@ def seed_counts(docs: DataFrame, filled: np.ndarray, lengths=LENGTHS) -> DataFra
 
 def rare_seeds(docs: DataFrame, seeds: DataFrame, filled: np.ndarray, rare: int, lengths=LENGTHS) -> DataFrame:
     """The seeds (hash, item, at, size) that documents are searched for."""
-    held = seeds.groupBy("hash").agg(F.count_distinct("item").alias("items")).join(seed_counts(docs, filled, lengths), "hash")
+    # kept, as the documents would be read for each of its two uses
+    held = keep(seeds.groupBy("hash").agg(F.count_distinct("item").alias("items")).join(seed_counts(docs, filled, lengths), "hash"))
     known = seeds.where("length > 0").join(held, "hash")
     few = known.where((F.col("docs") <= rare) & (F.col("items") <= RARE_ITEMS))
     shortest = few.groupBy("item", "at", "size").agg(F.min(F.struct("length", "hash")).alias("s")).select("s.hash", "item", "at", "size")
