@@ -57,6 +57,13 @@ def tree_fit_binned(spark, d):
     return _tree(spark, fit.tree_fit(m, 4, 2, depth=3))
 
 
+@query("tree_fit_wide")
+def tree_fit_wide(spark, d):
+    """Trees of two wide codebooks, whose first level tries the eight columns of largest squared error."""
+    found = fit.tree_fit_many(matrix(spark, d).withColumn("layer", F.lit("")), D, {0: ("", 2)}, first=8)
+    return _tree(spark, found[0])
+
+
 @query("ridge_refine")
 def ridge_refine(spark, d):
     """Mean squared error of the rule-made model's trees before and after refinement."""

@@ -43,7 +43,7 @@ def _squared_error(n: Column, s: Column, q: Column, exact: bool) -> Column:
     """q - s^2 / n; of integers rounded down, without any rounding on the way."""
     if not exact:
         return F.greatest(F.lit(0.0), q - s * s / n)
-    s, q, n = s.cast("decimal(19,0)"), q.cast("decimal(38,0)"), n.cast("decimal(10,0)")
+    s, q, n = s.cast("decimal(19,0)"), q.cast("decimal(38,0)"), n.cast("decimal(19,0)")
     rest = (s * s) % n
     return (q - ((s * s - rest) / n).cast("decimal(38,0)") - F.when(rest > 0, F.lit(1)).otherwise(0)).cast("decimal(38,0)")
 
@@ -134,6 +134,29 @@ def _bin_edges(rows: DataFrame, dims: dict[str | None, int], bins: int) -> dict[
     return {layer: [np.unique(r[f"d{d}"] or [0.0]) for d in range(dims[layer])] for layer, r in found.items() if layer in dims}
 
 
+def _column_errors(rows: DataFrame, dims: dict[str | None, int]) -> dict[str | None, np.ndarray]:
+    """Squared error of every column of every layer: three sums a column from each task."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            names = np.asarray(batch.column(0).to_pylist(), object)
+            for layer, wide in dims.items():
+                at = np.arange(len(names)) if layer is None else np.flatnonzero(names == layer)
+                x = _features(batch.column(1).take(pa.array(at)), wide)
+                total = held.setdefault(layer, np.zeros((3, wide)))
+                total += np.array([np.full(wide, float(len(x))), x.sum(0), (x * x).sum(0)])
+        for layer, total in held.items():
+            wide = total.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([layer] * wide, pa.string()), pa.array(np.arange(wide, dtype=np.int32)), *map(pa.array, total)], ["layer", "dim", "n", "s", "q"])
+
+    parts = rows.mapInArrow(sums, "layer string, dim int, n double, s double, q double")
+    out = {layer: np.zeros(wide) for layer, wide in dims.items()}
+    for r in parts.groupBy("layer", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect():
+        out[r["layer"]][r["dim"]] = max(r["q"] - r["s"] ** 2 / r["n"], 0.0) if r["n"] else 0.0
+    return out
+
+
 def _column_parts(trees: list[_Tree], cells: int) -> Iterator[list[dict[int, list[int]]]]:
     """The columns that each tree's codebooks try, in parts whose sums have at most `cells` values a bin and node."""
     part, held = [{} for _ in trees], 0
@@ -150,7 +173,7 @@ def _column_parts(trees: list[_Tree], cells: int) -> Iterator[list[dict[int, lis
         yield part
 
 
-def tree_fit_many(m: DataFrame, dims: int | dict[str, int], configs: dict[object, tuple], depth: int = 4, tried: int = 8, bins: int = 64, sums_bytes: int = SUMS_BYTES) -> dict[object, Model]:
+def tree_fit_many(m: DataFrame, dims: int | dict[str, int], configs: dict[object, tuple], depth: int = 4, tried: int = 8, bins: int = 64, sums_bytes: int = SUMS_BYTES, first: int | None = None) -> dict[object, Model]:
     """Binned trees of many layers, widths and numbers of codebooks and codes, all in one job a level.
 
     `m` has (layer, features). `dims` is the width of all layers, or of each one by name:
@@ -164,6 +187,10 @@ def tree_fit_many(m: DataFrame, dims: int | dict[str, int], configs: dict[object
     comes to the driver is model-sized. A level whose sums would take more than `sums_bytes`
     in a task, as the first one of wide sub-vectors, is done in several scans, a part of the
     columns each; its splits are the same.
+
+    The first level tries all columns, whose sums grow with the square of a sub-vector's
+    width. With `first` it tries only so many columns of each codebook, those of largest
+    squared error as at later levels, found by one more scan of three sums a column.
     """
     spark = m.sparkSession
     if not configs:
@@ -173,12 +200,15 @@ def tree_fit_many(m: DataFrame, dims: int | dict[str, int], configs: dict[object
     size = F.coalesce(*(F.when(F.col("layer") == layer, F.lit(n)) for layer, n in width.items() if layer is not None), F.lit(width.get(None, -1)))
     rows = m.where((F.size("features") == size) & ~F.exists("features", lambda v: v.isNull() | F.isnan(v))).select("layer", "features")
     per_layer = _bin_edges(rows, width, bins)
+    errors = _column_errors(rows, width) if first else {}
     trees: dict[object, _Tree] = {}
     levels = {key: config[2] if len(config) > 2 else depth for key, config in configs.items()}
     for key, (layer, codebooks, *_) in configs.items():
         layout = bounds(width[layer], codebooks)
-        # the first level tries all columns of a codebook, as nothing is known of them yet
-        trees[key] = _Tree(layer, layout, [[] for _ in layout], [[] for _ in layout], [list(range(a, b)) for a, b in layout], {})
+        tries = [list(range(a, b)) for a, b in layout]
+        if first:
+            tries = [sorted(a + int(d) for d in np.argsort(-errors[layer][a:b], kind="stable")[:first]) for a, b in layout]
+        trees[key] = _Tree(layer, layout, [[] for _ in layout], [[] for _ in layout], tries, {})
     for level in range(max(levels.values())):
         names = [key for key in trees if levels[key] > level]
         growing = [trees[key] for key in names]

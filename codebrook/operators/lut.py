@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import keep
+
 #: Largest table that is written into a plan; larger ones are broadcast as arrays.
 UNROLL = 65536
 
@@ -90,8 +92,9 @@ SMALL_ROWS = 500_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A side of a join, marked for broadcast if a count of its rows allows it."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """A model-sized side of a join, made once and marked for broadcast if a count of its rows allows it."""
+    kept = keep(df)
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
 
 
 def decode_join(codes: DataFrame, lut: DataFrame) -> DataFrame:

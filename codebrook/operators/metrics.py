@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +37,10 @@ def code_gram(coded: DataFrame, codes: int = 16) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                column = batch.column(0).slice(at, 4096)
-                flat = np.asarray(pc.list_flatten(column), np.int64)
-                n = len(flat) // max(len(column), 1)
-                spot = flat.reshape(len(column), n) + np.arange(n) * wide
+        for n, column in (p for batch in batches for p in _by_length(batch.column(0))):
+            for at in range(0, len(column), 4096):
+                part = column.slice(at, 4096)
+                spot = np.asarray(pc.list_flatten(part), np.int64).reshape(len(part), n) + np.arange(n) * wide
                 pairs, counts = np.unique(spot[:, :, None] * (n * wide) + spot[:, None, :], return_counts=True)
                 size = n * wide
                 if size * size <= 1 << 22:
@@ -55,13 +52,17 @@ def code_gram(coded: DataFrame, codes: int = 16) -> DataFrame:
             yield _gram_rows(at, own[at], size, wide)
 
     whole = coded.select("codes").where(F.col("codes").isNotNull() & (F.size("codes") > 0) & ~F.exists("codes", lambda k: k.isNull()))
-    # arrays of one length in a batch: rows of other lengths are counted apart
-    lengths = [r["n"] for r in whole.select(F.size("codes").alias("n")).distinct().collect()]
-    parts = [whole.where(F.size("codes") == n) if len(lengths) > 1 else whole for n in lengths] or [whole]
-    counted = reduce(DataFrame.unionByName, (p.mapInArrow(count, "c1 int, k1 int, c2 int, k2 int, n long") for p in parts))
+    counted = whole.mapInArrow(count, "c1 int, k1 int, c2 int, k2 int, n long")
     return counted.groupBy("c1", "k1", "c2", "k2").agg(F.sum("n").alias("n"))
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """The arrays of a batch, those of one length together."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
+        yield int(n), column.take(pa.array(np.flatnonzero(sizes == n)))
+
+
 def _gram_rows(pairs: np.ndarray, counts: np.ndarray, size: int, codes: int) -> pa.RecordBatch:
     i, j = np.divmod(pairs, size)
     columns = [*np.divmod(i, codes), *np.divmod(j, codes)]

@@ -112,6 +112,44 @@ def test_wide_sub_vectors_in_several_scans_give_the_same_trees(spark):
     assert len(parts) == 5 and sorted(j for p in parts for js in p[0].values() for j in js) == list(range(24))
 
 
+def test_first_level_of_the_columns_of_largest_error(spark):
+    """The columns tried are those of numpy's largest squared error; with room for all of them nothing changes."""
+    rng = np.random.default_rng(25)
+    x = rng.normal(size=(200, 24)) * rng.permutation(np.arange(1, 25)) + 3
+    m = table(spark, x, layer="l").unionByName(table(spark, x[:50, :12] * 4, layer="half"))
+    dims, configs = {"l": 24, "half": 12}, {0: ("l", 2, 2), 1: ("half", 1, 2)}
+    same = fit.tree_fit_many(m, dims, configs, bins=8)
+    room = fit.tree_fit_many(m, dims, configs, bins=8, first=12)
+    for key in configs:
+        same_models(room[key], same[key])
+    one = fit.tree_fit_many(m, dims, configs, bins=8, first=1)
+    for key, own, layout in ((0, x, ((0, 12), (12, 24))), (1, x[:50, :12] * 4, ((0, 12),))):
+        assert [c[0] for c in one[key].dims] == [a + int(own[:, a:b].var(0).argmax()) for a, b in layout]
+    found = fit._column_errors(m.select("layer", "features"), dims)
+    assert np.allclose(found["l"], x.var(0) * 200) and np.allclose(found["half"], (x[:50, :12] * 4).var(0) * 50)
+    assert set(fit.tree_fit_many(m.limit(0), dims, configs, first=3)[0].prototypes.values()) == {0.0}
+    # all rows of one width, whatever their layer
+    alone = fit.tree_fit_many(table(spark, x, layer="l"), 24, {0: (None, 2, 2)}, bins=8, first=12)
+    same_models(alone[0], same[0])
+
+
+def test_first_level_of_wide_sub_vectors_fits_a_task():
+    tries = [list(range(a, a + 8)) for a in range(0, 4608, 288)]
+    tree = fit._Tree("l", [(a, a + 288) for a in range(0, 4608, 288)], [[] for _ in tries], [[] for _ in tries], tries, {})
+    assert len(list(fit._column_parts([tree], fit.SUMS_BYTES // (8 * 65)))) == 1
+
+
+def test_pairs_of_codes_of_several_lengths_in_one_scan(spark):
+    rows = [(i, [int(v) for v in np.random.default_rng(i).integers(0, 4, 1 + i % 3)]) for i in range(60)] + [(90, None), (91, []), (92, [1, None])]
+    want = {}
+    for _, own in rows[:60]:
+        for c1, k1 in enumerate(own):
+            for c2, k2 in enumerate(own):
+                want[c1, k1, c2, k2] = want.get((c1, k1, c2, k2), 0) + 1
+    df = spark.createDataFrame(rows, "row_id long, codes array<int>").repartition(2)
+    assert {tuple(r)[:4]: r["n"] for r in metrics.code_gram(df, 4).collect()} == want
+
+
 def test_odd_tables_do_not_break_the_fits(spark, x):
     none = table(spark, x).limit(0)
     holes = table(spark, x).unionByName(spark.createDataFrame([(900, None), (901, [1.0, None, 2.0, 3.0, 4.0]), (902, [1.0]), (903, [])], "row_id long, features array<double>"))
