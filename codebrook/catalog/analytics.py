@@ -196,7 +196,7 @@ def bucket_stats(spark, d):
 
 @query("bucket_sse", f"WITH {_STATS} SELECT c, node, dim, n, round(greatest(0.0, sum_x2 - sum_x::DOUBLE * sum_x / n) / 1e6, 4) AS sse FROM st")
 def bucket_sse(spark, d):
-    sse = metrics.bucket_sse(metrics.bucket_stats(fixed(spark, d)).withColumn("sum_x", F.col("sum_x").cast("double")))
+    sse = metrics.bucket_sse(metrics.bucket_stats(fixed(spark, d)))
     return sse.select("c", "node", "dim", "n", r4(F.col("sse") / 1e6).alias("sse"))
 
 

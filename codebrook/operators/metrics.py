@@ -9,23 +9,30 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scan
 
 
 def bucket_stats(cells: DataFrame, keys=("c", "node", "dim")) -> DataFrame:
-    """n, sum and sum of squares of each bucket; partial sums combine before the shuffle."""
-    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum(F.col("x") * F.col("x")).alias("sum_x2"))
+    """n, sum and sum of squares of each bucket; partial sums combine before the shuffle.
+
+    Of integers both sums are exact, as decimals: squares soon add up to more than 64 bits hold.
+    """
+    x = F.col("x").cast("decimal(19,0)") if isinstance(cells.schema["x"].dataType, T.IntegralType) else F.col("x")
+    return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sum_x"), F.sum(x * x).alias("sum_x2"))
+
 
 
 def bucket_sse(stats: DataFrame) -> DataFrame:
     """Squared error around the mean, not below 0."""
-    return stats.withColumn("sse", F.greatest(F.lit(0.0), F.col("sum_x2") - F.col("sum_x") * F.col("sum_x") / F.col("n")))
+    s, q = F.col("sum_x").cast("double"), F.col("sum_x2").cast("double")
+    return stats.withColumn("sse", F.greatest(F.lit(0.0), q - s * s / F.col("n")))
 
 
 def bucket_means(stats: DataFrame, grid: DataFrame, keys=("c", "node", "dim")) -> DataFrame:
     """Mean of each bucket of the grid; 0 where it is empty."""
-    return grid.join(stats, list(keys), "left").select(*keys, F.coalesce(F.col("sum_x") / F.col("n"), F.lit(0.0)).alias("mean"))
+    return grid.join(stats, list(keys), "left").select(*keys, F.coalesce(F.col("sum_x").cast("double") / F.col("n"), F.lit(0.0)).alias("mean"))
 
 
 def code_gram(coded: DataFrame, codes: int = 16) -> DataFrame:

@@ -92,3 +92,13 @@ def test_best_cuts_are_those_of_the_row_level_form(spark, parts):
         for k in want:
             assert got[k] == want[k] or (cells is not df and abs(got[k][1] - want[k][1]) <= 1e-9 * abs(want[k][1]))
     assert splits.best_splits(df.limit(0), keys).count() == 0
+
+
+def test_sums_of_squares_beyond_64_bits(spark):
+    """Two columns of whole numbers: one whose squares add up to more than a long holds, one of small values."""
+    own = {0: [4_000_000_001 - 7 * i for i in range(40)], 1: list(range(-20, 20))}
+    cells = spark.createDataFrame([(0, dim % 1, dim, x) for dim, xs in own.items() for x in xs], "c int, node int, dim int, x long")
+    stats = metrics.bucket_stats(cells)
+    got = {r["dim"]: (r["n"], int(r["sum_x"]), int(r["sum_x2"])) for r in stats.collect()}
+    assert got == {dim: (40, sum(xs), sum(x * x for x in xs)) for dim, xs in own.items()}
+    assert all(r["sse"] >= 0 for r in metrics.bucket_sse(stats).collect())
