@@ -191,7 +191,8 @@ _STATS = f"{_FIXED}, st AS (SELECT c, node, dim, count(*) AS n, sum(x)::BIGINT A
 
 @query("bucket_stats", f"WITH {_STATS} SELECT * FROM st")
 def bucket_stats(spark, d):
-    return metrics.bucket_stats(fixed(spark, d))
+    """Sums are longs, as in SQL, as long as those of all buckets fit; beyond, where SQL's cast fails, decimals."""
+    return metrics.as_longs(metrics.bucket_stats(fixed(spark, d)), "sum_x", "sum_x2")
 
 
 @query("bucket_sse", f"WITH {_STATS} SELECT c, node, dim, n, round(greatest(0.0, sum_x2 - sum_x::DOUBLE * sum_x / n) / 1e6, 4) AS sse FROM st")

@@ -23,6 +23,12 @@ def bucket_stats(cells: DataFrame, keys=("c", "node", "dim")) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(x).alias("sum_x"), F.sum(x * x).alias("sum_x2"))
 
 
+def as_longs(stats: DataFrame, *columns: str) -> DataFrame:
+    """Whole decimals of a table of few rows as longs, where a column's values all fit; else they stay decimals."""
+    kept = scan.keep(stats)
+    fit = kept.agg(*(F.coalesce(F.bool_and(F.col(c).between(-(2**63), 2**63 - 1)), F.lit(True)).alias(c) for c in columns)).first()
+    return kept.withColumns({c: F.col(c).cast("bigint" if fit[c] else "decimal(38,0)") for c in columns})
+
 
 def bucket_sse(stats: DataFrame) -> DataFrame:
     """Squared error around the mean, not below 0."""

@@ -101,4 +101,8 @@ def test_sums_of_squares_beyond_64_bits(spark):
     stats = metrics.bucket_stats(cells)
     got = {r["dim"]: (r["n"], int(r["sum_x"]), int(r["sum_x2"])) for r in stats.collect()}
     assert got == {dim: (40, sum(xs), sum(x * x for x in xs)) for dim, xs in own.items()}
+    shown = metrics.as_longs(stats, "sum_x", "sum_x2")
+    assert dict(shown.dtypes)["sum_x"] == "bigint" and dict(shown.dtypes)["sum_x2"] == "decimal(38,0)"
+    assert dict(metrics.as_longs(stats.where("dim = 1"), "sum_x2").dtypes)["sum_x2"] == "bigint"
+    assert {r["dim"]: int(r["sum_x2"]) for r in shown.collect()} == {dim: sum(x * x for x in xs) for dim, xs in own.items()}
     assert all(r["sse"] >= 0 for r in metrics.bucket_sse(stats).collect())
