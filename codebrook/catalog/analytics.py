@@ -235,7 +235,7 @@ def split_candidates(spark, d):
 
 @query("rank_split_dims", f"WITH {_STATS}, e AS (SELECT c, dim, sum(greatest(0.0, sum_x2 - sum_x::DOUBLE * sum_x / n)) AS sse FROM st GROUP BY c, dim), r AS (SELECT c, dim, row_number() OVER (PARTITION BY c ORDER BY sse DESC, dim)::INT AS rank FROM e) SELECT c, dim, rank FROM r WHERE rank <= 3")
 def rank_split_dims(spark, d):
-    stats = metrics.bucket_sse(metrics.bucket_stats(fixed(spark, d)).withColumn("sum_x", F.col("sum_x").cast("double")))
+    stats = metrics.bucket_sse(metrics.bucket_stats(fixed(spark, d)))
     return fit.rank_split_dims(stats, 3).select("c", "dim", "rank")
 
 

@@ -106,3 +106,4 @@ def test_sums_of_squares_beyond_64_bits(spark):
     assert dict(metrics.as_longs(stats.where("dim = 1"), "sum_x2").dtypes)["sum_x2"] == "bigint"
     assert {r["dim"]: int(r["sum_x2"]) for r in shown.collect()} == {dim: sum(x * x for x in xs) for dim, xs in own.items()}
     assert all(r["sse"] >= 0 for r in metrics.bucket_sse(stats).collect())
+    assert [(r["dim"], r["rank"]) for r in fit.rank_split_dims(metrics.bucket_sse(stats), 1).collect()] == [(0, 1)]
