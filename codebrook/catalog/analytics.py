@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import encode, fit, lut, metrics, scan
+from ..operators.running import running_sse
 from ..operators.splits import best_splits
 from ..plans import layout
 from .base import C, CODES, GOLD, K, OUTPUTS, PROTO, RESID, cells, coded, codes, lut_table, query, r4, read, residuals, rounded
@@ -214,18 +215,18 @@ _FLOOR = lambda q, s, n: f"({q} - ({s} * {s} + {n} - 1) // {n})"
 _HEAD = f"{_FIXED}, hd AS (SELECT *, (count(*) OVER w)::HUGEINT AS n_head, (sum(x::HUGEINT) OVER w) AS s_head, (sum(x::HUGEINT * x) OVER w) AS q_head, (count(*) OVER p)::HUGEINT AS n_all, (sum(x::HUGEINT) OVER p) AS s_all, (sum(x::HUGEINT * x) OVER p) AS q_all, lead(x) OVER (PARTITION BY c, node, dim ORDER BY x, row_id) AS next_x FROM fx WINDOW {_OVER}), lo AS (SELECT c, node, dim, row_id, x, n_head::BIGINT AS n_head, {_FLOOR('q_head', 's_head', 'n_head')} AS sse_head, CASE WHEN n_all > n_head THEN {_FLOOR('(q_all - q_head)', '(s_all - s_head)', '(n_all - n_head)')} ELSE 0 END AS sse_tail, coalesce((x + next_x) / 2.0, x::DOUBLE) AS threshold FROM hd)"
 
 
-def heads(spark, d):
-    return fit.cum_sse_head(fixed(spark, d), _KEYS, _ORDER)
+def errors(spark, d, tail):
+    return running_sse(fixed(spark, d), _KEYS, _ORDER, tail=tail)
 
 
 @query("cum_sse_head", f"WITH {_HEAD} SELECT row_id, node, dim, n_head, sse_head::DOUBLE AS sse_head FROM lo")
 def cum_sse_head(spark, d):
-    return heads(spark, d).select("row_id", "node", "dim", "n_head", F.col("sse_head").cast("double").alias("sse_head"))
+    return errors(spark, d, False).select("row_id", "node", "dim", "n_head", F.col("sse_head").cast("double").alias("sse_head"))
 
 
 @query("cum_sse_tail", f"WITH {_HEAD} SELECT row_id, node, dim, sse_tail::DOUBLE AS sse_tail FROM lo")
 def cum_sse_tail(spark, d):
-    return fit.cum_sse_tail(heads(spark, d), _KEYS).select("row_id", "node", "dim", F.col("sse_tail").cast("double").alias("sse_tail"))
+    return errors(spark, d, True).select("row_id", "node", "dim", F.col("sse_tail").cast("double").alias("sse_tail"))
 
 
 @query("split_candidates", f"WITH {_HEAD} SELECT row_id, node, dim, round(threshold, 4) AS threshold FROM lo")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codebrook.operators import fit, metrics, runs, scan, splits
+from codebrook.operators import fit, metrics, running, runs, scan, splits
 
 
 @pytest.fixture
@@ -107,3 +107,30 @@ def test_sums_of_squares_beyond_64_bits(spark):
     assert {r["dim"]: int(r["sum_x2"]) for r in shown.collect()} == {dim: sum(x * x for x in xs) for dim, xs in own.items()}
     assert all(r["sse"] >= 0 for r in metrics.bucket_sse(stats).collect())
     assert [(r["dim"], r["rank"]) for r in fit.rank_split_dims(metrics.bucket_sse(stats), 1).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("n", [1, 7])
+@pytest.mark.parametrize("kind", ["far", "near", "same"])
+def test_errors_of_whole_numbers_in_any_number_of_parts(spark, parts, n, kind):
+    """Large and negative numbers, many ties and a key of nulls: exact, whatever the parts."""
+    parts(n)
+    rng = np.random.default_rng(5)
+    draw = {"far": lambda: int(rng.integers(-2_999_999_999, 2_999_999_999)), "near": lambda: int(rng.integers(-3, 4)), "same": lambda: 2_999_999_999}[kind]
+    rows = [(None if k == 0 else k, i, draw()) for k, size in ((0, 30), (1, 1), (2, 400), (3, 70)) for i in range(size)]
+    cells = spark.createDataFrame(rows, "node int, row_id long, x long")
+    for tail in (False, True):
+        got = {(r["node"], r["row_id"]): tuple(map(int, r[-2:])) for r in running.running_sse(cells, ["node"], ["x", "row_id"], tail=tail).collect()}
+        want = {}
+        for k in {r[0] for r in rows}:
+            own = sorted((x, i) for node, i, x in rows if node == k)
+            for at, (_, i) in enumerate(own):
+                xs = [x for x, _ in (own[at + 1 :] if tail else own[: at + 1])]
+                want[k, i] = (len(xs), sum(x * x for x in xs) - -(-(sum(xs) ** 2) // len(xs)) if xs else 0)
+        assert got == want
+
+
+def test_errors_beyond_what_fits_go_by_windows(spark):
+    cells = spark.createDataFrame([(1, i, x) for i, x in enumerate([-4_000_000_000, 0, 4_000_000_001])] + [(2, 0, 5)], "node int, row_id long, x long")
+    got = {(r["node"], r["row_id"]): (r["n_tail"], int(r["sse_tail"])) for r in running.running_sse(cells, ["node"], ["x", "row_id"], tail=True).collect()}
+    assert got == {(1, 0): (2, 8_000_000_004_000_000_000), (1, 1): (1, 0), (1, 2): (0, 0), (2, 0): (0, 0)}
+    assert running.running_sse(cells.limit(0), ["node"], ["x", "row_id"]).count() == 0
