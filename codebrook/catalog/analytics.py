@@ -216,17 +216,17 @@ _HEAD = f"{_FIXED}, hd AS (SELECT *, (count(*) OVER w)::HUGEINT AS n_head, (sum(
 
 
 def errors(spark, d, tail):
-    return running_sse(fixed(spark, d), _KEYS, _ORDER, tail=tail)
+    return running_sse(fixed(spark, d), _KEYS, _ORDER, tail=tail, decimals=False)
 
 
 @query("cum_sse_head", f"WITH {_HEAD} SELECT row_id, node, dim, n_head, sse_head::DOUBLE AS sse_head FROM lo")
 def cum_sse_head(spark, d):
-    return errors(spark, d, False).select("row_id", "node", "dim", "n_head", F.col("sse_head").cast("double").alias("sse_head"))
+    return errors(spark, d, False).select("row_id", "node", "dim", "n_head", "sse_head")
 
 
 @query("cum_sse_tail", f"WITH {_HEAD} SELECT row_id, node, dim, sse_tail::DOUBLE AS sse_tail FROM lo")
 def cum_sse_tail(spark, d):
-    return errors(spark, d, True).select("row_id", "node", "dim", F.col("sse_tail").cast("double").alias("sse_tail"))
+    return errors(spark, d, True).select("row_id", "node", "dim", "sse_tail")
 
 
 @query("split_candidates", f"WITH {_HEAD} SELECT row_id, node, dim, round(threshold, 4) AS threshold FROM lo")

@@ -127,6 +127,9 @@ def test_errors_of_whole_numbers_in_any_number_of_parts(spark, parts, n, kind):
                 xs = [x for x, _ in (own[at + 1 :] if tail else own[: at + 1])]
                 want[k, i] = (len(xs), sum(x * x for x in xs) - -(-(sum(xs) ** 2) // len(xs)) if xs else 0)
         assert got == want
+        # without the key of nulls, key and number are one word
+        near = running.running_sse(cells.where("node IS NOT NULL"), ["node"], ["x", "row_id"], tail=tail, decimals=False)
+        assert {(r["node"], r["row_id"]): tuple(r[-2:]) for r in near.collect()} == {k: (n, float(e)) for k, (n, e) in want.items() if k[0] is not None}
 
 
 def test_errors_beyond_what_fits_go_by_windows(spark):
