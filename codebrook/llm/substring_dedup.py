@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,13 @@ def places(start: np.ndarray, n: np.ndarray, step: np.ndarray, first_start: np.n
     return start[of] + k, first_start[of] + k * step[of], of
 
 
+def _listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """The row of each element of a column of lists of structs, and fields of all elements."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), lengths), *(flat.field(name).to_numpy().astype(np.int64) for name in names)
+
+
 def _run_batch(columns: list[np.ndarray], extra: int | None = None) -> pa.RecordBatch:
     arrays = [pa.array(np.asarray(c), type=pa.int64()).cast(t) for c, t in zip(columns, _TYPES)]
     return pa.RecordBatch.from_arrays(arrays if extra is None else [*arrays, pa.array(np.full(len(columns[0]), extra, np.int32))], _NAMES if extra is None else [*_NAMES, "kind"])
@@ -206,28 +214,27 @@ def _resolved(found: DataFrame) -> DataFrame:
     final = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list(run).alias("runs"))
     of_pair = found.where("kind = 2").groupBy("doc_id", "first_doc").agg(F.collect_list(run).alias("runs"))
 
-    def columns(own: list[dict], *names: str) -> list[np.ndarray]:
-        own = sorted(own, key=lambda x: x["start"])
-        return [np.array([x[name] for x in own], np.int64) for name in names]
-
     def lead_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
-            out = []
-            for doc, mid, own, known in zip(*(c.to_pylist() for c in batch.columns)):
-                pos, at, _ = places(*columns(own, "start", "n", "step", "first_start"))
-                first_doc, first_pos = np.full(len(pos), mid), at.copy()
-                if known:
-                    s, m, t, fs, d = columns(known, "start", "n", "step", "first_start", "first_doc")
-                    i = np.maximum(np.searchsorted(s, at, "right") - 1, 0)
-                    hit = (at >= s[i]) & (at < s[i] + m[i])
-                    first_doc[hit] = d[i][hit]
-                    first_pos[hit] = (fs[i] + (at - s[i]) * t[i])[hit]
-                out.append(runs(np.full(len(pos), doc), pos, first_doc, first_pos))
-            if out:
-                flat = _run_batch([np.concatenate(c) for c in zip(*out)])
-                ends = np.cumsum([0, *(len(r[0]) for r in out)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat.columns[1:], _NAMES[1:]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "runs"])
+            if not batch.num_rows:
+                continue
+            row, start, n, step, first_start = _listed(batch.column(2), "start", "n", "step", "first_start")
+            pos, at, of = places(start, n, step, first_start)
+            order = np.lexsort((pos, row[of]))
+            pos, at, row = pos[order], at[order], row[of][order]
+            first_doc, first_pos = batch.column(1).to_numpy()[row], at.copy()
+            own, s, m, t, fs, d = _listed(batch.column(3), "start", "n", "step", "first_start", "first_doc")
+            if len(own):
+                by = np.lexsort((s, own))
+                own, s, m, t, fs, d = (v[by] for v in (own, s, m, t, fs, d))
+                i = np.maximum(np.searchsorted((own << 32) + s, (row << 32) + at, "right") - 1, 0)
+                hit = (own[i] == row) & (at >= s[i]) & (at < s[i] + m[i])
+                first_doc[hit] = d[i][hit]
+                first_pos[hit] = (fs[i] + (at - s[i]) * t[i])[hit]
+            found = runs(row, pos, first_doc, first_pos)
+            ends = np.cumsum(np.append(0, np.bincount(found[0], minlength=batch.num_rows)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(_run_batch(found).columns[1:], _NAMES[1:]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "runs"])
 
     known = final.select(F.col("doc_id").alias("first_doc"), F.col("runs").alias("known"))
     joined = of_pair.join(known, "first_doc", "left").select("doc_id", "first_doc", "runs", "known")
@@ -258,14 +265,12 @@ def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
-            parts = []
-            for doc, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s, n, t, d, fs = (np.array(x, np.int64) for x in zip(*((x["start"], x["n"], x["step"], x["first_doc"], x["first_start"]) for x in own)))
-                pos, first_pos, of = places(s, n, t, fs)
-                order = np.argsort(pos, kind="stable")
-                parts.append((np.full(len(pos), doc), pos[order], d[of][order], first_pos[order]))
-            if parts:
-                yield entry_batch(_pair_up(*(np.concatenate(p) for p in zip(*parts)), length, ranges))
+            if batch.num_rows:
+                row, start, n, step, first_doc, first_start = _listed(batch.column(1), "start", "n", "step", "first_doc", "first_start")
+                pos, first_pos, of = places(start, n, step, first_start)
+                order = np.lexsort((pos, row[of]))
+                of = of[order]
+                yield entry_batch(_pair_up(batch.column(0).to_numpy()[row[of]], pos[order], first_doc[of], first_pos[order], length, ranges))
 
     return docs.mapInArrow(emit, ENTRIES)
 
@@ -304,19 +309,20 @@ def undoubled(state: DataFrame, length: int, above: DataFrame) -> DataFrame:
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches, 200):
-            out = []
-            for doc, own, more in zip(*(c.to_pylist() for c in batch.columns)):
-                s, n, t, d, fs = (np.array([x[k] for x in own], np.int64) for k in ("start", "n", "step", "first_doc", "first_start"))
-                pos, first_pos, of = places(s, n, t, fs)
-                starts = np.array(sorted((x["start"], x["start"] + x["n"]) for x in more), np.int64)
-                # doubled windows that start between pos - length and pos
-                upto = np.maximum.accumulate(starts[:, 1])
-                k = np.searchsorted(starts[:, 0], pos, "right") - 1
-                left = np.flatnonzero((k < 0) | (upto[np.maximum(k, 0)] - 1 < pos - length))
-                left = left[np.argsort(pos[left], kind="stable")]
-                out.append(runs(np.full(len(left), doc), pos[left], d[of[left]], first_pos[left]))
-            if out:
-                yield _by_doc([np.concatenate(c) for c in zip(*out)])
+            if not batch.num_rows:
+                continue
+            row, start, n, step, first_doc, first_start = _listed(batch.column(1), "start", "n", "step", "first_doc", "first_start")
+            pos, first_pos, of = places(start, n, step, first_start)
+            above, s, m = _listed(batch.column(2), "start", "n")
+            by = np.lexsort((s, above))
+            # doubled windows that start between pos - length and pos; a later document's places are all larger
+            starts, upto = (above << 32)[by] + s[by], np.maximum.accumulate((above << 32)[by] + (s + m)[by])
+            at = (row[of] << 32) + pos
+            k = np.searchsorted(starts, at, "right") - 1
+            left = np.flatnonzero((k < 0) | (upto[np.maximum(k, 0)] - 1 < at - length))
+            if len(left):
+                left = left[np.lexsort((pos[left], row[of[left]]))]
+                yield _by_doc(runs(batch.column(0).to_numpy()[row[of[left]]], pos[left], first_doc[of[left]], first_pos[left]))
 
     return alone.unionByName(both.where("size(runs) > 0 AND size(above) > 0").mapInArrow(trim, BY_DOC))
 
@@ -359,15 +365,14 @@ def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in slices(batches, "z", 1 << 18):
-            out = []
-            for doc, z, own, longest in zip(*(c.to_pylist() for c in batch.columns)):
+            out, (row, start, end) = [], _listed(batch.column(2), "start", "end")
+            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            for i, (doc, z, longest) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
                 words = unpack.decompress(z).split() if z else []
                 n = len(words)
-                if own:
-                    edge = np.zeros(n + 1, np.int64)
-                    for x in own:
-                        edge[x["start"]] += 1
-                        edge[x["end"]] -= 1
+                own = slice(begin[i], begin[i + 1])
+                if begin[i] < begin[i + 1]:
+                    edge = np.bincount(start[own], minlength=n + 1) - np.bincount(end[own], minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), longest or 0))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
