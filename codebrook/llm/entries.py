@@ -52,8 +52,13 @@ def in_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, rows
 
 
-def dealt(entries: DataFrame, ranges: int) -> DataFrame:
-    """Rows by range, each range in one task, tasks take one range after the other."""
+def dealt(entries: DataFrame, ranges: int, merged: bool = False) -> DataFrame:
+    """Rows by range, each range in one task, tasks take one range after the other.
+
+    With `merged`, few bytes are few tasks, as Spark sees fit.
+    """
+    if merged:
+        return entries.repartition("range").sortWithinPartitions("range")
     parts = min(ranges, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return entries.repartition(parts, "range").sortWithinPartitions("range")
 

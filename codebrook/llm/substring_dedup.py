@@ -276,66 +276,40 @@ def _doubled(state: DataFrame, length: int, ranges: int) -> DataFrame:
 
 
 def _level(entries: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Runs of repeated windows of `length` (range null), and entries of the next doubling.
+    """Runs of repeated windows of `length` with an earlier document's class (range null), and entries of the next doubling.
 
-    A document's places meet in one task here, so the next doubling starts from them.
+    A document's places meet in one task here, so the next doubling starts from them. Levels
+    get smaller and smaller, and so does their number of tasks.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in in_ranges(batches):
             at = _ordered(rows)
-            kept, more = _by_doc(runs(*at)), entry_batch(_pair_up(*at, length, ranges))
+            own = runs(*at)
+            earlier = np.asarray(own[4]) < own[0]
+            kept, more = _by_doc([v[earlier] for v in own]), entry_batch(_pair_up(*at, length, ranges))
             for batch, mine in ((kept, True), (more, False)):
                 null = lambda t: pa.nulls(batch.num_rows, t)  # noqa: B023, E731
                 left = batch.columns if mine else [null(f.type) for f in kept.schema]
                 right = [null(f.type) for f in more.schema] if mine else batch.columns
                 yield pa.RecordBatch.from_arrays([*left, *right], ["doc_id", "runs", *more.schema.names])
 
-    found = dealt(entries, ranges).mapInArrow(_finder(ranges), ENTRIES)
-    return dealt(found, ranges).mapInArrow(gather, f"{BY_DOC}, {ENTRIES}")
+    found = dealt(entries, ranges, merged=True).mapInArrow(_finder(ranges), ENTRIES)
+    return dealt(found, ranges, merged=True).mapInArrow(gather, f"{BY_DOC}, {ENTRIES}")
 
 
-def undoubled(state: DataFrame, length: int, above: DataFrame) -> DataFrame:
-    """(doc_id, runs): the places of windows of `length` that no doubled window with an earlier document's class covers.
+def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTES) -> list[tuple[int, DataFrame, DataFrame | None]]:
+    """For each level, the window length, the runs of its places, and those of the level above.
 
-    Places whose class is no earlier document's go as well.
-    """
-    run = "array<struct<start: int, n: int, step: int, first_doc: long, first_start: int>>"
-    none = F.array().cast(run)
-    both = state.select("doc_id", "runs", none.alias("above")).unionByName(above.select("doc_id", none.alias("runs"), F.col("runs").alias("above")))
-    both = both.select("doc_id", *(F.filter(c, lambda r: r["first_doc"] < F.col("doc_id")).alias(c) for c in ("runs", "above")))
-    both = both.where("size(runs) + size(above) > 0").groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "above")))
-    alone = both.where("size(runs) > 0 AND size(above) = 0").select("doc_id", "runs")
-
-    def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches, 200):
-            if not batch.num_rows:
-                continue
-            row, start, n, step, first_doc, first_start = _listed(batch.column(1), "start", "n", "step", "first_doc", "first_start")
-            pos, first_pos, of = places(start, n, step, first_start)
-            above, s, m = _listed(batch.column(2), "start", "n")
-            by = np.lexsort((s, above))
-            # doubled windows that start between pos - length and pos; a later document's places are all larger
-            starts, upto = (above << 32)[by] + s[by], np.maximum.accumulate((above << 32)[by] + (s + m)[by])
-            at = (row[of] << 32) + pos
-            k = np.searchsorted(starts, at, "right") - 1
-            left = np.flatnonzero((k < 0) | (upto[np.maximum(k, 0)] - 1 < at - length))
-            if len(left):
-                left = left[np.lexsort((pos[left], row[of[left]]))]
-                yield _by_doc(runs(batch.column(0).to_numpy()[row[of[left]]], pos[left], first_doc[of[left]], first_pos[left]))
-
-    return alone.unionByName(both.where("size(runs) > 0 AND size(above) > 0").mapInArrow(trim, BY_DOC))
-
-
-def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTES) -> list[tuple[int, DataFrame]]:
-    """For each level, the window length and the runs of repeated places that did not double.
-
-    Each level has rows (doc_id, runs).
+    Runs are rows (doc_id, runs) of repeated places whose class is an earlier document's. Places
+    that a doubled window of the level above covers are that level's (`removed`).
     """
     ranges = max(1, -(-text_bytes(docs) // RANGE_BYTES))
     found = keep(_repeated(_window_entries(docs, size, ranges, slice_bytes), ranges))
-    levels = [(size, keep(_resolved(found)))]
-    entries = _doubled(levels[0][1], size, ranges)
+    every = keep(_resolved(found))
+    earlier = every.select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs"))
+    levels = [(size, earlier.where(F.size("runs") > 0))]
+    entries = _doubled(every, size, ranges)
     while True:
         length = 2 * levels[-1][0]
         level = keep(_level(entries, length, ranges))
@@ -343,38 +317,83 @@ def repeated_runs(docs: DataFrame, size: int = 13, slice_bytes: int = SLICE_BYTE
         entries = level.where("range IS NOT NULL").select(*ENTRIES.replace(" int", "").replace(" binary", "").split(", "))
         # places whose class goes on in its own document repeat as far as their runs say
         if level.where("kind = 0").isEmpty():
-            return [*((own, undoubled(state, own, above)) for (own, state), (_, above) in zip(levels, levels[1:])), levels[-1]]
+            return [*((own, state, above) for (own, state), (_, above) in zip(levels, levels[1:])), (*levels[-1], None)]
+
 
+def _marked(base: np.ndarray, n: np.ndarray, at: np.ndarray, start: np.ndarray, many: np.ndarray, step: np.ndarray, length: np.ndarray, counted: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of documents go, and each document's longest repeat.
 
-def removed(docs: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    Document i has `n[i]` words from `base[i]` on; runs `start`, `many`, `step` of windows of `length` are of documents `at`.
+    """
+    size = int(base[-1] + n[-1]) + 1
+    edge, longest = np.zeros(size, np.int64), np.zeros(len(n), np.int64)
+
+    def within(own: np.ndarray, more: int, width: int) -> np.ndarray:
+        """Places of runs and `more` places after each, as far as windows of `width` fit."""
+        last = np.maximum(n[at[own]] - (width - 1), 0)
+        to = base[at[own]] + np.minimum(start[own] + many[own] + more, last)
+        begin = base[at[own]] + np.minimum(start[own], last)
+        return np.cumsum(np.bincount(begin, minlength=size) - np.bincount(to, minlength=size)) > 0
+
+    for width in sorted(counted.intersection(np.unique(length).tolist())):
+        own, above = np.flatnonzero(length == width), np.flatnonzero(length == 2 * width)
+        left = within(own, 0, width)
+        if len(above):
+            # a doubled window covers the places from its own to that of its second half
+            left &= ~within(above, width, width)
+        there = np.flatnonzero(left)
+        edge += np.bincount(there, minlength=size) - np.bincount(there + width, minlength=size)
+        upto = np.append(0, np.cumsum(left))
+        begin, end = (base[at[own]] + np.minimum(v, n[at[own]]) for v in (start[own], start[own] + many[own]))
+        some = own[upto[end] > upto[begin]]
+        np.maximum.at(longest, at[some], np.where(step[some] == 1, many[some] + (width - 1), width))
+    return np.cumsum(edge)[:-1] > 0, longest
+
+
+def removed(docs: DataFrame, levels: list[tuple[int, DataFrame, DataFrame | None]]) -> DataFrame:
     """Per document: words, removed words, longest earlier repeat, and the kept text's sha256.
 
     A word goes if a window over it also starts in a document with a smaller doc_id: it
-    lies in a run of some level whose class has one. Texts travel compressed to the join with the spans.
+    lies in a run of some level whose class has one. A level has the places that no doubled window covers: long
+    repeats come from the doubled windows. Runs of all levels and texts, compressed, travel once: they are dealt by
+    document, each one's runs before its text. Rows without a doc_id have no runs, and are dealt by their text.
     """
-    size = levels[0][0]
-    far = lambda step, n, length: F.when(step == 1, n + (length - 1)).otherwise(length)
-    marks = None
-    for length, state in levels:
-        own = state.select("doc_id", F.filter("runs", lambda r: r["first_doc"] < F.col("doc_id")).alias("runs")).where(F.size("runs") > 0)
-        spans = F.transform("runs", lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"] + (length - 1)).alias("end")))  # noqa: B023
-        own = own.select("doc_id", spans.alias("spans"), F.array_max(F.transform("runs", lambda r: far(r["step"], r["n"], length))).alias("m"))  # noqa: B023
-        marks = own if marks is None else marks.unionByName(own)
-    marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("m").cast("long").alias("longest_repeat"))
+    counted = {length for length, *_ in levels}
+    nothing = {name: F.lit(None).cast(kind) for name, kind in (("length", "int"), ("z", "binary"), ("runs", BY_DOC.split("runs ")[1]))}
+    both = compressed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), nothing["runs"].alias("runs"), nothing["length"].alias("length"), "z")
+    for length, state, above in levels:
+        for wide, runs_of in ((length, state), (2 * length, above)):
+            if wide == length or (runs_of is not None and wide not in counted):
+                both = both.unionByName(runs_of.select("doc_id", "runs", F.lit(wide).alias("length"), nothing["z"].alias("z")))
+    both = both.repartition(F.coalesce("doc_id", F.xxhash64("z"))).sortWithinPartitions("doc_id", F.col("length").asc_nulls_last())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "z", 1 << 18):
-            out, (row, start, end) = [], _listed(batch.column(2), "start", "end")
-            begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            for i, (doc, z, longest) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)))):
-                words = unpack.decompress(z).split() if z else []
-                n = len(words)
-                own = slice(begin[i], begin[i + 1])
-                if begin[i] < begin[i + 1]:
-                    edge = np.bincount(start[own], minlength=n + 1) - np.bincount(end[own], minlength=n + 1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                out.append((doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), longest or 0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
-
-    return compressed(docs).join(marks, "doc_id", "left").select("doc_id", "z", "spans", "longest_repeat").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long")
+        unpack, carry = zstandard.ZstdDecompressor(), []
+        for batch in rows_of(batches, 1000):
+            if carry:
+                batch = pa.Table.from_batches([*carry, batch]).combine_chunks().to_batches()[0]
+            is_text = pc.is_null(batch.column(2))
+            marks = batch.filter(pc.invert(is_text))
+            of, start, many, step = _listed(marks.column(1), "start", "n", "step")
+            doc, length = (marks.column(c).to_numpy().astype(np.int64)[of] for c in (0, 2))
+            for texts in slices(iter([batch.filter(is_text)]), "z", 1 << 18):
+                words = [unpack.decompress(z).split() if z else [] for z in texts.column(3).to_pylist()]
+                ids, known = pc.fill_null(texts.column(0), 0).to_numpy(), pc.is_valid(texts.column(0)).to_numpy(zero_copy_only=False)
+                low, high = (np.searchsorted(doc, ids, side) for side in ("left", "right"))
+                found = np.flatnonzero(known & (high > low))
+                out, gone, longest = [], {}, {}
+                if len(found):
+                    n = np.array([len(words[i]) for i in found])
+                    base, per = np.cumsum(n) - n, (high - low)[found]
+                    k = np.repeat(low[found] - np.cumsum(per) + per, per) + np.arange(per.sum())
+                    mask, most = _marked(base, n, np.repeat(np.arange(len(found)), per), start[k], many[k], step[k], length[k], counted)
+                    gone, longest = dict(zip(found.tolist(), np.split(mask, base[1:]))), dict(zip(found.tolist(), most.tolist()))
+                for i, (own, id_) in enumerate(zip(words, texts.column(0).to_pylist())):
+                    stay = [own[j] for j in np.flatnonzero(~gone[i])] if i in gone and gone[i].any() else own
+                    out.append((id_, len(own), len(own) - len(stay), hashlib.sha256(b" ".join(stay)).hexdigest(), longest.get(i, 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["doc_id", "n_words", "n_removed", "kept_sha256", "longest_repeat"])
+            # the last document's texts may go on in the next batch
+            last = batch.column(0)[-1]
+            carry = [marks.filter(pc.equal(marks.column(0), last))] if last.is_valid else []
+
+    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long")

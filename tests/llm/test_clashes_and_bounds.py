@@ -76,3 +76,26 @@ def test_long_repeats_are_the_doubled_windows(spark):
     assert of(levels[:1]) == {1: 0, 2: 0, 3: 15, 4: 15}
     assert [of([lv])[2] for lv in levels] == [0] * (len(levels) - 1) + [300]
     assert of(levels[:3])[4] == 75 and of([levels[0]])[4] == 15
+
+
+def test_runs_and_texts_travel_once(spark):
+    """However many levels there are, texts and the runs of all levels meet by one exchange."""
+    from codebrook.llm import substring_dedup
+
+    long_ = " ".join(f"l{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, long_), (2, f"a {long_}"), (None, long_), (None, None), (3, "b")], "doc_id long, text string")
+    levels = substring_dedup.repeated_runs(docs)
+    out = substring_dedup.removed(docs, levels)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(levels) > 1 and plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Join" not in plan
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["longest_repeat"]) for r in out.collect()) == [(0, 0, 0), (0, 0, 0), (1, 0, 0), (2, 300, 300), (3, 0, 0)]
+
+
+def test_rows_of_one_document_of_different_lengths(spark):
+    """Runs of a document's longer row end with its shorter one."""
+    from codebrook.llm import substring_dedup
+
+    long_ = " ".join(f"l{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, long_), (2, long_), (2, "l0 l1 l2")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.removed(docs, substring_dedup.repeated_runs(docs)).collect())
+    assert got == [(1, 60, 0), (2, 3, 0), (2, 60, 60)]
