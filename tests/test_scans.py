@@ -137,3 +137,21 @@ def test_errors_beyond_what_fits_go_by_windows(spark):
     got = {(r["node"], r["row_id"]): (r["n_tail"], int(r["sse_tail"])) for r in running.running_sse(cells, ["node"], ["x", "row_id"], tail=True).collect()}
     assert got == {(1, 0): (2, 8_000_000_004_000_000_000), (1, 1): (1, 0), (1, 2): (0, 0), (2, 0): (0, 0)}
     assert running.running_sse(cells.limit(0), ["node"], ["x", "row_id"]).count() == 0
+
+
+def test_best_cuts_sort_values_not_rows(spark, parts, monkeypatch):
+    """Whole numbers of few values: what is sorted and kept is a row a value, and cuts between equal values are tried as well."""
+    parts(3)
+    kept, plain = [], splits.scan.keep
+    monkeypatch.setattr(splits.scan, "keep", lambda df: (kept.append(plain(df)), kept[-1])[1])
+    rng = np.random.default_rng(23)
+    values = {0: rng.integers(0, 3, 900), 1: np.full(400, 9), 2: np.repeat([-1, 0, 1], [50, 301, 50]), 3: np.array([4, 4, 4]), 4: np.repeat([1, 2], [2, 1]), **{5 + i: rng.integers(0, 2 + i % 3, 3 + i) for i in range(20)}}
+    df = spark.createDataFrame([(k, i, int(v)) for k, x in values.items() for i, v in enumerate(x)] + [(0, None, 5), (0, 7000, None)], "node int, row_id long, x long")
+    got = {r["node"]: (r["threshold"], r["loss"]) for r in splits.best_splits(df, ["node"]).collect()}
+    for k, x in values.items():
+        x = sorted(int(v) for v in x)
+        floor = lambda v: sum(i * i for i in v) - (sum(v) ** 2 + len(v) - 1) // len(v) if v else 0
+        cuts = [(floor(x[: i + 1]) + floor(x[i + 1 :]), v, i) for i, v in enumerate(x)]
+        loss, v, i = min(cuts)
+        assert got[k] == ((v + x[i + 1]) / 2 if i + 1 < len(x) else v, loss)
+    assert kept[0].count() == sum(len(set(x.tolist())) for x in values.values())
