@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lut import small
 
+#: Values of patches that are made at a time.
+PATCH_VALUES = 1 << 18
+
 
 def pixels(m: DataFrame, width: int, height: int | None = None) -> DataFrame:
     """(img_id, ch, y, x, v) of pictures stored channel by channel, row by row; one channel without a height."""
@@ -40,17 +49,32 @@ def im2col(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1,
 
 
 def patch_rows(m: DataFrame, height: int, width: int, kernel: int, stride: int = 1, padding: int = 0, channels: int = 1, dilation: int = 1) -> DataFrame:
-    """(row_id, features): one row a patch, numbered img_id * places + place; arrays made in the row, without a shuffle."""
-    oh, ow = (out_size(s, kernel, stride, padding, dilation) for s in (height, width))
-    spots = m.select("row_id", "features", F.explode(_grid(oh, ow, "oy", "ox")).alias("o"))
-    grid = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(i).alias("ky"), F.lit(j).alias("kx")) for c in range(channels) for i in range(kernel) for j in range(kernel)))
+    """(row_id, features): one row a patch, numbered img_id * places + place; cut from Arrow batches by one index, without a shuffle.
 
-    def value(k):
-        y, x = F.col("o.oy") * stride + k["ky"] * dilation - padding, F.col("o.ox") * stride + k["kx"] * dilation - padding
-        inside = y.between(0, height - 1) & x.between(0, width - 1)
-        return F.when(inside, F.get("features", k["c"] * (height * width) + y * width + x)).otherwise(0.0)
-
-    return spots.select((F.col("row_id") * (oh * ow) + F.col("o.oy") * ow + F.col("o.ox")).alias("row_id"), F.transform(grid, value).alias("features"))
+    Values that a picture lacks are null, those outside of it 0.
+    """
+    oh, ow = (out_size(s, kernel, stride, padding, dilation) for s in (height, width))
+    # the place in the picture of each patch's values, -1 outside
+    oy, ox, c, ky, kx = np.ogrid[:oh, :ow, :channels, :kernel, :kernel]
+    y, x = oy * stride + ky * dilation - padding, ox * stride + kx * dilation - padding
+    at = np.where((y >= 0) & (y < height) & (x >= 0) & (x < width), c * (height * width) + y * width + x, -1).reshape(oh * ow, -1)
+    places, wide = at.shape
+    step = max(1, PATCH_VALUES // max(at.size, 1))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
+                lengths = pc.fill_null(pc.list_value_length(part.column(1)), 0).to_numpy().astype(np.int64)[:, None, None]
+                flat = part.column(1).flatten().cast(pa.float64())
+                own = np.where(at < lengths, np.cumsum(lengths)[:, None, None] - lengths + at, len(flat) + 1)
+                values = pa.concat_arrays([flat, pa.array([0.0, None], pa.float64())]).take(pa.array(np.where(at < 0, len(flat), own).reshape(-1)))
+                features = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, wide, dtype=np.int32)), values)
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), places)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(places, dtype=np.int32), part.num_rows)), features], ["row_id", "place", "features"])
+
+    kinds = T.StructType([m.schema["row_id"], T.StructField("place", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    return m.select("row_id", "features").mapInArrow(cut, kinds).select((F.col("row_id") * places + F.col("place")).alias("row_id"), "features")
 
 
 def patches(cols: DataFrame) -> DataFrame:

@@ -64,3 +64,22 @@ def test_every_row_has_its_products(spark, data):
     got = registry.queries()["approx_matmul"](spark, data).groupBy("row_id").count().collect()
     want = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()
     assert {r["row_id"]: r["count"] for r in got} == {r["vec_id"]: 10 for r in want}
+
+
+def test_patches_are_cut_from_whole_batches(spark, monkeypatch):
+    """No expression for each value of a patch; pictures that are short, null or hold nulls keep their patches."""
+    from codebrook.operators import images
+
+    monkeypatch.setattr(images, "PATCH_VALUES", 100)
+    pictures = {i: [float(10 * i + j) for j in range(8)] for i in range(7)} | {7: [1.0] * 5, 8: None, 9: [None, 2.0] * 4}
+    df = spark.createDataFrame(list(pictures.items()), "row_id long, features array<double>").repartition(2)
+    got = images.patch_rows(df, 2, 2, 2, padding=2, channels=2, dilation=2)
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for i, v in pictures.items():
+        v = [*(v or []), *[None] * 8][:8]
+        for oy in range(4):
+            for ox in range(4):
+                spots = [(c, oy + 2 * ky - 2, ox + 2 * kx - 2) for c in range(2) for ky in range(2) for kx in range(2)]
+                want[16 * i + 4 * oy + ox] = [v[4 * c + 2 * y + x] if 0 <= y < 2 and 0 <= x < 2 else 0.0 for c, y, x in spots]
+    assert {r["row_id"]: r["features"] for r in got.collect()} == want
